@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The original workload has no stream, watermark, event-time window or
+incremental state: every mart is a full rebuild and every "moving
+average" is a batch row frame over days present. So there is no
+streaming operator to re-express; this package exists only to keep the
+layout uniform. A user who lands files continuously rebuilds the marts
+with ``sources.tables.write_mart`` after each load.
+"""

@@ -1,0 +1 @@
+"""DuckDB SQL oracle for every catalogued query (test infrastructure)."""
