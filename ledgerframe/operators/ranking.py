@@ -20,6 +20,14 @@ scale, so the distributed form is the default:
 ``ntile`` follows from the global row number and the total count.
 The frame is read twice (summary and final join) from one shared
 shuffle, so both reads see the same partition ids.
+
+``prepare`` materialises the (aggregated) input once with a reliable
+checkpoint in the cluster's shared checkpoint folder: the lineage is
+cut (a lost executor re-reads the checkpoint instead of recomputing
+the fact aggregation), the range-partition sampling jobs read only the
+small checkpoint, and the row count it returns is a checked size. Up to
+``NATIVE_MAX_ROWS`` rows a plain window (one task) is cheaper and is
+used; beyond it the distributed form is used.
 """
 
 from __future__ import annotations
@@ -28,6 +36,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+NATIVE_MAX_ROWS = 1_000_000
+
+
+def prepare(df: DataFrame, distributed: bool | None = None,
+            native_max_rows: int = NATIVE_MAX_ROWS) -> tuple[DataFrame, bool]:
+    """Checkpoint ``df`` once; return it and whether to rank it distributed.
+
+    ``distributed=None`` decides from the checked row count.
+    """
+    from ledgerframe.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    frame = df.checkpoint(eager=True)
+    if distributed is None:
+        distributed = frame.count() > native_max_rows
+    return frame, distributed
+
+
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 

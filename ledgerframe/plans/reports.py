@@ -30,7 +30,7 @@ from ledgerframe.operators.grouped import (
     stats_by,
     sum_count,
 )
-from ledgerframe.operators.ranking import rank_desc
+from ledgerframe.operators.ranking import prepare, rank_desc
 from ledgerframe.operators.window import (
     asc,
     desc,
@@ -254,7 +254,7 @@ def daily_moving(t: DataFrame) -> DataFrame:
 
 
 def rank_categories(t: DataFrame, n: int = 30, min_rows: int = 5,
-                    distributed: bool = True) -> DataFrame:
+                    distributed: bool | None = None) -> DataFrame:
     """Categories (> ``min_rows`` rows) ranked by debit, frequency and risk; top n by debit rank."""
     g = t.groupBy("description").agg(
         count_rows().alias("txn_count"),
@@ -267,6 +267,7 @@ def rank_categories(t: DataFrame, n: int = 30, min_rows: int = 5,
     # distinct fractions with denominators below ~3e8
     g = g.withColumn("__rate", div_round(F.col("__fs"), F.col("__fn"), 17))
     g = share_of_total(g, "txn_count", "pct_of_total_txns")
+    g, distributed = prepare(g, distributed)
     g = rank_desc(g, "__sd", "debit_rank", distributed=distributed)
     g = rank_desc(g, "txn_count", "frequency_rank", distributed=distributed)
     g = rank_desc(g, "__rate", "risk_rank", distributed=distributed)

@@ -24,13 +24,13 @@ from ledgerframe.functions import labels as L
 from ledgerframe.functions.exact import as_count, money, percent
 from ledgerframe.operators.bands import above_band, between_band
 from ledgerframe.operators.grouped import FLAG, count_rows
-from ledgerframe.operators.ranking import ntile
+from ledgerframe.operators.ranking import ntile, prepare
 from ledgerframe.operators.window import top_k
 from ledgerframe.plans.reports import _as_of
 
 
 def rfm(t: DataFrame, as_of=None, buckets: int = 5, min_rows: int = 5, n: int | None = 50,
-        invert_scores: bool = False, distributed: bool = True) -> DataFrame:
+        invert_scores: bool = False, distributed: bool | None = None) -> DataFrame:
     g = t.groupBy(F.col("description").alias("category")).agg(
         F.max("transaction_date").alias("__last"),
         count_rows().alias("frequency"),
@@ -47,6 +47,7 @@ def rfm(t: DataFrame, as_of=None, buckets: int = 5, min_rows: int = 5, n: int |
         percent("__fs", "__fn").alias("suspicious_percentage"),
     ).where(F.col("recency").isNotNull())
 
+    g, distributed = prepare(g, distributed)
     tb = F.col("category").asc_nulls_last()
     axes = [
         ("r_score", F.col("recency").asc_nulls_last(), F.col("recency").desc_nulls_first()),

@@ -24,6 +24,7 @@ def build_session(
         builder = builder.master(master)
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
@@ -39,21 +40,33 @@ def build_session(
     return spark
 
 
+LOCAL_CHECKPOINT_ROOT = "/tmp/ledgerframe-checkpoints"
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     The cluster setting ``spark.checkpoint.dir`` wins. Only when it is
-    unset (local tests) is ``fallback`` installed as the checkpoint dir.
+    unset is a fallback installed: ``fallback`` if given, else (local
+    mode only, as in tests) a folder under /tmp. On a cluster with no
+    checkpoint folder configured this raises instead of writing to a
+    machine-local path.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
+        "spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
+    if sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir()
     if fallback is None:
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; pass a shared folder as fallback"
-        )
-    os.makedirs(fallback, exist_ok=True) if "://" not in fallback else None
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    spark.sparkContext.setCheckpointDir(fallback)
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set; configure a shared folder for the cluster")
+        fallback = LOCAL_CHECKPOINT_ROOT
+    if "://" not in fallback:
+        os.makedirs(fallback, exist_ok=True)
+    sc.setCheckpointDir(fallback)
     return fallback
