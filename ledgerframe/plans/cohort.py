@@ -15,8 +15,8 @@ Plan: one aggregation of the fact table to (category, activity week);
 the cohort week is the minimum activity week per category (truncation
 to weeks is monotone, so it equals the week of the first date), taken
 by a window over that small frame, whose groups are bounded by the
-number of weeks, not by the rows of a hot category. No self-join of
-the fact table.
+number of weeks, not by the rows of a hot category. The fact table is
+scanned once; there is no self-join and no join with the cohort sizes.
 """
 
 from __future__ import annotations
@@ -48,26 +48,28 @@ def cohort_retention(t: DataFrame, periods: int = 5, week_distance: str = "iso_w
     else:
         raise ValueError("week_distance must be 'iso_week' or 'elapsed'")
 
-    size = cw.groupBy("cohort_week").agg(F.countDistinct("description").alias("cohort_size"))
+    # A category has exactly one (category, week) row in its own cohort
+    # week, so counting those rows gives the cohort size in the same
+    # aggregation: no second pass over the frame and no join.
     ret = cw.groupBy("cohort_week", wn.alias("week_number")).agg(
         F.countDistinct("description").alias("active_categories"),
         F.sum("transactions").alias("total_transactions"),
-    ).join(size, "cohort_week")
-
-    pct = [
-        percent(F.max(F.when(F.col("week_number") == k, F.col("active_categories"))),
-                F.col("cohort_size"), zero_is_null=False).alias(f"week_{k}_pct")
+        F.count(F.when(F.col("activity_week") == F.col("cohort_week"), 1)).alias("__firsts"),
+    )
+    pivot = [
+        F.max(F.when(F.col("week_number") == k, F.col(src))).alias(f"__{src}_{k}")
+        for src in ("active_categories", "total_transactions")
         for k in range(periods)
     ]
-    txns = [
-        as_count(F.max(F.when(F.col("week_number") == k, F.col("total_transactions"))))
-        .alias(f"week_{k}_txns")
+    out = ret.groupBy("cohort_week").agg(F.sum("__firsts").alias("cohort_size"), *pivot)
+    pct = [
+        percent(f"__active_categories_{k}", "cohort_size", zero_is_null=False).alias(f"week_{k}_pct")
         for k in range(periods)
     ]
-    out = ret.groupBy("cohort_week", "cohort_size").agg(*pct, *txns)
+    txns = [as_count(f"__total_transactions_{k}").alias(f"week_{k}_txns") for k in range(periods)]
     return out.select(
         cal.date_str("cohort_week").alias("cohort_week"),
         as_count("cohort_size").alias("cohort_size"),
-        *[f"week_{k}_pct" for k in range(periods)],
-        *[f"week_{k}_txns" for k in range(periods)],
+        *pct,
+        *txns,
     ).orderBy(asc("cohort_week"))
