@@ -21,6 +21,8 @@ Bounds: |X| * 2 * 10^k < 10^38, |Y| < 10^19, |value| < 9.2e18, k <= 17.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,12 +32,45 @@ from ledgerframe.schema import decimal_type
 UNROUNDED_SCALE = 16
 
 _INT38 = "decimal(38,0)"
+_IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def sql_ref(x: str) -> str:
+    """SQL text for a column name (quoted) or an SQL expression (parenthesised)."""
+    return f"`{x}`" if _IDENT.match(x) else f"({x})"
+
+
+def div_round_sql(num: str, den: str, digits: int, num_scale: int = 0, den_scale: int = 0,
+                  zero_is_null: bool = True) -> str:
+    """The SQL text of :func:`div_round` for SQL operands (names or expressions).
+
+    Built as one expression string so a whole exact division costs a
+    single call into the JVM when the plan is built.
+    """
+    if not 0 <= digits <= 17:
+        raise ValueError("digits must be in 0..17")
+    x, y = sql_ref(num), sql_ref(den)
+    x = f"CAST({x} * {10 ** num_scale} AS DECIMAL(38,0))" if num_scale else f"CAST({x} AS DECIMAL(38,0))"
+    y = f"CAST({y} * {10 ** den_scale} AS DECIMAL(38,0))" if den_scale else f"CAST({y} AS DECIMAL(38,0))"
+    shift = den_scale - num_scale
+    if shift > 0:
+        x = f"CAST({x} * {10 ** shift} AS DECIMAL(38,0))"
+    elif shift < 0:
+        y = f"CAST({y} * {10 ** (-shift)} AS DECIMAL(38,0))"
+    if zero_is_null:
+        y = f"NULLIF({y}, CAST(0 AS DECIMAL(38,0)))"
+    frac = (f"(CAST(abs({x} % {y}) * {2 * 10 ** digits} AS DECIMAL(38,0)) + abs({y})) "
+            f"div CAST(abs({y}) * 2 AS DECIMAL(38,0))")
+    sign = f"CASE WHEN ({x} < 0) <> ({y} < 0) THEN -1 ELSE 1 END"
+    return (f"CAST(CAST({x} div {y} AS DECIMAL(20,0)) + "
+            f"CAST(({frac}) * {sign} AS DECIMAL(19,0)) / CAST({10 ** digits} AS DECIMAL(19,0)) "
+            f"AS DECIMAL(38,{digits}))")
+
+
 def unscaled(col, scale: int) -> Column:
     """Exact integer image of a decimal with ``scale`` fractional digits."""
     c = _c(col)
@@ -59,6 +94,8 @@ def div_round(
     denominator gives NULL when ``zero_is_null`` (the AVG / NULLIF form);
     otherwise it raises DIVIDE_BY_ZERO like an unguarded SQL division.
     """
+    if isinstance(num, str) and isinstance(den, str):
+        return F.expr(div_round_sql(num, den, digits, num_scale, den_scale, zero_is_null))
     if not 0 <= digits <= 17:
         raise ValueError("digits must be in 0..17")
     x = unscaled(num, num_scale)
@@ -96,6 +133,9 @@ def mean(sum_col, count_col, digits: int, scale: int = 0) -> Column:
 def percent(part, whole, digits: int = 2, part_scale: int = 0,
             whole_scale: int = 0, zero_is_null: bool = True) -> Column:
     """round(100.0 * part / whole, digits), exact."""
+    if isinstance(part, str) and isinstance(whole, str):
+        return div_round(f"{sql_ref(part)} * 100", whole, digits, num_scale=part_scale,
+                         den_scale=whole_scale, zero_is_null=zero_is_null)
     return div_round(
         _c(part) * F.lit(100),
         whole,

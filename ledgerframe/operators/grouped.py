@@ -37,7 +37,7 @@ def sum_count(col: str, prefix: str | None = None, when: Column | None = None) -
 
 
 def mean_of(prefix: str, digits: int = 2, scale: int = 2) -> Column:
-    return mean(F.col(f"__s_{prefix}"), F.col(f"__n_{prefix}"), digits, scale=scale)
+    return mean(f"__s_{prefix}", f"__n_{prefix}", digits, scale=scale)
 
 
 def drop_hidden(df: DataFrame) -> DataFrame:

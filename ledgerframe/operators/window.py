@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerframe.functions.exact import div_round
+from ledgerframe.functions.exact import div_round, div_round_sql, percent, sql_ref
 
 
 def _c(x) -> Column:
@@ -39,12 +39,33 @@ def ordered(order: Sequence[Column | str], partition: Sequence[str] = ()) -> Win
     return w.partitionBy(*partition) if partition else w
 
 
+def _names(value, order, partition) -> bool:
+    return isinstance(value, str) and all(isinstance(o, str) for o in order) and all(
+        isinstance(p, str) for p in partition)
+
+
+def over_sql(order: Sequence[str], partition: Sequence[str] = (), frame: str = "") -> str:
+    """OVER clause text; names order ascending with NULLs last (SQL's default)."""
+    part = f"PARTITION BY {', '.join(sql_ref(p) for p in partition)} " if partition else ""
+    cols = ", ".join(f"{sql_ref(o)} ASC NULLS LAST" for o in order)
+    return f"OVER ({part}ORDER BY {cols}{' ' + frame if frame else ''})"
+
+
+def _rows(rows: int) -> str:
+    return f"ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW"
+
+
 def moving_mean(value, order: Sequence, rows: int, digits: int, scale: int = 0,
                 partition: Sequence[str] = ()) -> Column:
     """Exact AVG(value) OVER (ORDER BY .. ROWS rows-1 PRECEDING .. CURRENT ROW).
 
-    NULL values are skipped; a frame of only NULLs gives NULL.
+    NULL values are skipped; a frame of only NULLs gives NULL. With column
+    names for ``value`` and ``order`` the whole expression is one SQL string.
     """
+    if _names(value, order, partition):
+        w = over_sql(order, partition, _rows(rows))
+        v = sql_ref(value)
+        return F.expr(div_round_sql(f"sum({v}) {w}", f"count({v}) {w}", digits, num_scale=scale))
     w = ordered(order, partition).rowsBetween(-(rows - 1), Window.currentRow)
     return div_round(F.sum(_c(value)).over(w), F.count(_c(value)).over(w), digits,
                      num_scale=scale)
@@ -56,6 +77,11 @@ def moving_deviation(value, order: Sequence, rows: int, digits: int,
 
     value - s/n = (value*n - s)/n, exact for an integer ``value``.
     """
+    if _names(value, order, partition):
+        w = over_sql(order, partition, _rows(rows))
+        v = sql_ref(value)
+        return F.expr(div_round_sql(f"{v} * count({v}) {w} - sum({v}) {w}", f"count({v}) {w}",
+                                    digits))
     w = ordered(order, partition).rowsBetween(-(rows - 1), Window.currentRow)
     s = F.sum(_c(value)).over(w)
     n = F.count(_c(value)).over(w)
@@ -64,12 +90,17 @@ def moving_deviation(value, order: Sequence, rows: int, digits: int,
 
 def running_sum(value, order: Sequence, partition: Sequence[str] = ()) -> Column:
     """SUM(value) OVER (ORDER BY ..): default RANGE frame, ties included."""
+    if _names(value, order, partition):
+        return F.expr(f"sum({sql_ref(value)}) " + over_sql(
+            order, partition, "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"))
     w = ordered(order, partition).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return F.sum(_c(value)).over(w)
 
 
 def previous(value, order: Sequence, partition: Sequence[str] = ()) -> Column:
     """LAG(value, 1) OVER (ORDER BY ..)."""
+    if _names(value, order, partition):
+        return F.expr(f"lag({sql_ref(value)}, 1) " + over_sql(order, partition))
     return F.lag(_c(value), 1).over(ordered(order, partition))
 
 
@@ -80,6 +111,10 @@ def growth_pct(value, order: Sequence, digits: int = 2, scale: int = 0, safe: bo
     ``safe=False`` keeps the unguarded division (a zero previous value
     raises, as in SQL); ``safe=True`` is the NULLIF(LAG(v), 0) form.
     """
+    if _names(value, order, partition):
+        prev = f"lag({sql_ref(value)}, 1) " + over_sql(order, partition)
+        return F.expr(div_round_sql(f"({sql_ref(value)} - {prev}) * 100", prev, digits,
+                                    num_scale=scale, den_scale=scale, zero_is_null=safe))
     prev = previous(value, order, partition)
     return div_round((_c(value) - prev) * F.lit(100), prev, digits, num_scale=scale,
                      den_scale=scale, zero_is_null=safe)
@@ -94,8 +129,7 @@ def share_of_total(df: DataFrame, value: str, alias: str, digits: int = 2,
     """
     total = df.agg(F.sum(value).alias("__total"))
     return df.crossJoin(F.broadcast(total)).withColumn(
-        alias, div_round(F.col(value) * F.lit(100), F.col("__total"), digits,
-                         num_scale=scale, den_scale=scale)
+        alias, percent(value, "__total", digits, part_scale=scale, whole_scale=scale)
     ).drop("__total")
 
 

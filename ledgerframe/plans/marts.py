@@ -86,6 +86,7 @@ def daily_mart(t: DataFrame, updated_at=None) -> DataFrame:
         *sum_count("balance"),
     )
     order = [asc("transaction_date")]
+    keys = ["transaction_date"]
     return d.select(
         "transaction_date",
         cal.year("transaction_date").alias("year"),
@@ -102,8 +103,8 @@ def daily_mart(t: DataFrame, updated_at=None) -> DataFrame:
         money(_zero(mean_of("debit"))).alias("avg_debit"),
         money(_zero(mean_of("credit"))).alias("avg_credit"),
         money(_zero(mean_of("balance"))).alias("avg_balance"),
-        moving_mean("__cnt", order, 7, 2).alias("transactions_ma7"),
-        moving_mean("__fs", order, 7, 2).alias("suspicious_ma7"),
+        moving_mean("__cnt", keys, 7, 2).alias("transactions_ma7"),
+        moving_mean("__fs", keys, 7, 2).alias("suspicious_ma7"),
         _updated_at(updated_at).alias("updated_at"),
     ).orderBy(*order)
 
@@ -211,6 +212,7 @@ def anomaly_mart(t: DataFrame, updated_at=None) -> DataFrame:
     """Daily flagged-vs-normal mart with a 7-row baseline and anomaly labels."""
     b = _anomaly_daily(t)
     order = [asc("day")]
+    keys = ["day"]
     sc = F.col("suspicious_count")
     s = b.select(
         "day",
@@ -218,8 +220,8 @@ def anomaly_mart(t: DataFrame, updated_at=None) -> DataFrame:
         as_count("suspicious_count").alias("suspicious_count"),
         as_count("normal_count").alias("normal_count"),
         percent("suspicious_count", "total_transactions").alias("suspicious_rate"),
-        moving_mean("suspicious_count", order, 7, 2).alias("avg_suspicious_7d"),
-        moving_deviation("suspicious_count", order, 7, 2).alias("deviation_from_avg"),
+        moving_mean("suspicious_count", keys, 7, 2).alias("avg_suspicious_7d"),
+        moving_deviation("suspicious_count", keys, 7, 2).alias("deviation_from_avg"),
         money("suspicious_debit").alias("suspicious_debit"),
         money("normal_debit").alias("normal_debit"),
         money("suspicious_credit").alias("suspicious_credit"),

@@ -106,7 +106,8 @@ def daily_moving_average(t: DataFrame, sizes=(7, 30)) -> DataFrame:
     """Daily count with its moving averages over the last N rows (days present)."""
     d = daily(t, [count_rows().alias("daily_transactions")])
     order = [asc("transaction_date")]
-    cols = [moving_mean("daily_transactions", order, n, 2).alias(f"moving_avg_{n}days") for n in sizes]
+    keys = ["transaction_date"]
+    cols = [moving_mean("daily_transactions", keys, n, 2).alias(f"moving_avg_{n}days") for n in sizes]
     return d.select("transaction_date", as_count("daily_transactions").alias("daily_transactions"),
                     *cols).orderBy(*order)
 
@@ -130,14 +131,15 @@ def cumulative_daily(t: DataFrame) -> DataFrame:
                   money(F.sum("debit")).alias("total_debit"),
                   money(F.sum("credit")).alias("total_credit")])
     order = [asc("transaction_date")]
+    keys = ["transaction_date"]
     return d.select(
         "transaction_date",
         as_count("trans_count").alias("trans_count"),
         "total_debit",
         "total_credit",
-        as_count(running_sum("trans_count", order)).alias("cumulative_transactions"),
-        money(running_sum("total_debit", order)).alias("cumulative_debits"),
-        money(running_sum("total_credit", order)).alias("cumulative_credits"),
+        as_count(running_sum("trans_count", keys)).alias("cumulative_transactions"),
+        money(running_sum("total_debit", keys)).alias("cumulative_debits"),
+        money(running_sum("total_credit", keys)).alias("cumulative_credits"),
     ).orderBy(*order)
 
 
@@ -241,15 +243,16 @@ def daily_moving(t: DataFrame) -> DataFrame:
                   F.sum(FLAG).alias("__fs"), F.count(FLAG).alias("__fn")])
     d = d.withColumn("__rate", mean(F.col("__fs"), F.col("__fn"), UNROUNDED_SCALE))
     order = [asc("transaction_date")]
+    keys = ["transaction_date"]
     return d.select(
         "transaction_date",
         as_count("__cnt").alias("daily_transactions"),
-        moving_mean("__cnt", order, 7, 2).alias("moving_avg_7days"),
-        moving_mean("__cnt", order, 30, 2).alias("moving_avg_30days"),
+        moving_mean("__cnt", keys, 7, 2).alias("moving_avg_7days"),
+        moving_mean("__cnt", keys, 30, 2).alias("moving_avg_30days"),
         money("__debit").alias("daily_debit"),
-        moving_mean("__debit", order, 7, 2, scale=2).alias("debit_moving_avg"),
+        moving_mean("__debit", keys, 7, 2, scale=2).alias("debit_moving_avg"),
         F.col("__rate").alias("daily_suspicious_rate"),
-        moving_mean("__rate", order, 7, 4, scale=UNROUNDED_SCALE).alias("suspicious_moving_avg"),
+        moving_mean("__rate", keys, 7, 4, scale=UNROUNDED_SCALE).alias("suspicious_moving_avg"),
     ).orderBy(*order)
 
 
@@ -290,16 +293,17 @@ def monthly_cumulative(t: DataFrame) -> DataFrame:
     m = monthly(t, [count_rows().alias("__cnt"), F.sum("debit").alias("__sd"),
                     F.sum("credit").alias("__sc"), F.sum(FLAG).alias("__fs")])
     order = [asc("__month")]
+    keys = ["__month"]
     return m.select(
         cal.month_key("__month").alias("month"),
         as_count("__cnt").alias("monthly_txns"),
         money("__sd").alias("monthly_debit"),
         money("__sc").alias("monthly_credit"),
         as_count("__fs").alias("monthly_suspicious"),
-        as_count(running_sum("__cnt", order)).alias("cumulative_txns"),
-        money(running_sum("__sd", order)).alias("cumulative_debit"),
-        money(running_sum("__sc", order)).alias("cumulative_credit"),
-        as_count(moving_mean("__cnt", order, 3, 0)).alias("avg_last_3_months"),
+        as_count(running_sum("__cnt", keys)).alias("cumulative_txns"),
+        money(running_sum("__sd", keys)).alias("cumulative_debit"),
+        money(running_sum("__sc", keys)).alias("cumulative_credit"),
+        as_count(moving_mean("__cnt", keys, 3, 0)).alias("avg_last_3_months"),
         "__month",
     ).orderBy(*order).drop("__month")
 
@@ -308,14 +312,15 @@ def period_change(t: DataFrame, safe: bool = False) -> DataFrame:
     """Month vs previous month: previous values and growth % (unguarded by default)."""
     m = monthly(t, [count_rows().alias("__cnt"), F.sum("debit").alias("__sd")])
     order = [asc("__month")]
+    keys = ["__month"]
     return m.select(
         cal.month_key("__month").alias("month"),
         as_count("__cnt").alias("txns"),
         money("__sd").alias("total_debit"),
-        as_count(previous("__cnt", order)).alias("prev_month_txns"),
-        money(previous("__sd", order)).alias("prev_month_debit"),
-        growth_pct("__cnt", order, 2, safe=safe).alias("txn_growth_pct"),
-        growth_pct("__sd", order, 2, scale=2, safe=safe).alias("debit_growth_pct"),
+        as_count(previous("__cnt", keys)).alias("prev_month_txns"),
+        money(previous("__sd", keys)).alias("prev_month_debit"),
+        growth_pct("__cnt", keys, 2, safe=safe).alias("txn_growth_pct"),
+        growth_pct("__sd", keys, 2, scale=2, safe=safe).alias("debit_growth_pct"),
         "__month",
     ).orderBy(*order).drop("__month")
 
@@ -387,6 +392,7 @@ def monthly_dynamics(t: DataFrame) -> DataFrame:
     m = monthly(t, [count_rows().alias("__cnt"), F.countDistinct("description").alias("__cats"),
                     *sum_count("debit"), F.sum("credit").alias("__sc"), F.sum(FLAG).alias("__fs")])
     order = [asc("__month")]
+    keys = ["__month"]
     return m.select(
         cal.month_key("__month").alias("month"),
         as_count("__cnt").alias("transactions"),
@@ -396,7 +402,7 @@ def monthly_dynamics(t: DataFrame) -> DataFrame:
         mean_of("debit").alias("avg_debit"),
         as_count("__fs").alias("suspicious_count"),
         percent("__fs", "__cnt", zero_is_null=False).alias("suspicious_pct"),
-        growth_pct("__s_debit", order, 2, scale=2, safe=True).alias("growth_pct"),
+        growth_pct("__s_debit", keys, 2, scale=2, safe=True).alias("growth_pct"),
         "__month",
     ).orderBy(*order).drop("__month")
 

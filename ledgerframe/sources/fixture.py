@@ -9,54 +9,36 @@ the scan reads only the five ``orders`` columns it needs.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
-def _cents_to_money(c):
-    return (c.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(15,2)")
+# Both steps are SQL expression lists: two calls into the JVM build the
+# whole projection.
+_STEP1 = [
+    "o_orderkey AS k",
+    "o_orderstatus AS status",
+    "o_orderdate AS odate",
+    "(o_custkey % 40) * (o_orderkey % 40) AS cat",
+    "CAST(round(o_totalprice * 100) AS BIGINT) AS cents",
+]
+_DEBIT_CENTS = """CASE WHEN k % 10 < 1 THEN cents
+     WHEN k % 10 < 4 THEN CAST((cents - cents % 10) / 10 AS BIGINT)
+     WHEN k % 10 < 7 THEN CAST((cents - cents % 100) / 100 AS BIGINT)
+     ELSE CAST((cents - cents % 1000) / 1000 AS BIGINT) END"""
+_IS_CREDIT = "(status = 'O' OR cat % 13 = 7)"
+_STEP2 = [
+    "CAST(k AS BIGINT) AS transaction_id",
+    "CASE WHEN k % 997 = 0 THEN NULL ELSE CAST(odate AS DATE) END AS transaction_date",
+    "CASE WHEN k % 211 = 0 THEN NULL ELSE concat('cat-', CAST(cat AS STRING)) END AS description",
+    f"CASE WHEN {_IS_CREDIT} THEN NULL ELSE CAST(({_DEBIT_CENTS}) * 0.01 AS DECIMAL(15,2)) END AS debit",
+    f"CASE WHEN {_IS_CREDIT} THEN CAST(cents * 0.01 AS DECIMAL(15,2)) END AS credit",
+    "CAST(cents * 0.01 AS DECIMAL(15,2)) AS balance",
+    "CASE WHEN (k * 7919) % 997 < 10 * (cat % 16) THEN 1 ELSE 0 END AS is_suspicious",
+]
 
 
 def transactions_from_orders(orders: DataFrame) -> DataFrame:
-    k = F.col("o_orderkey")
-    cat = (F.col("o_custkey") % 40) * (k % 40)
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    base = orders.select(
-        k.alias("k"),
-        F.col("o_orderstatus").alias("status"),
-        F.col("o_orderdate").alias("odate"),
-        cat.alias("cat"),
-        cents.alias("cents"),
-    )
-    m = F.col("k") % 10
-    c = F.col("cents")
-
-    def cut(unit):
-        return ((c - c % unit) / unit).cast("bigint")
-
-    debit_cents = (
-        F.when(m < 1, c).when(m < 4, cut(10)).when(m < 7, cut(100)).otherwise(cut(1000))
-    )
-    is_credit = (F.col("status") == "O") | (F.col("cat") % 13 == 7)
-    return base.select(
-        F.col("k").cast("bigint").alias("transaction_id"),
-        F.when(F.col("k") % 997 == 0, F.lit(None).cast("date"))
-        .otherwise(F.col("odate").cast("date"))
-        .alias("transaction_date"),
-        F.when(F.col("k") % 211 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("cat-"), F.col("cat").cast("string")))
-        .alias("description"),
-        F.when(is_credit, F.lit(None).cast("decimal(15,2)"))
-        .otherwise(_cents_to_money(debit_cents))
-        .alias("debit"),
-        F.when(is_credit, _cents_to_money(c)).alias("credit"),
-        _cents_to_money(c).alias("balance"),
-        F.when((F.col("k") * 7919) % 997 < (F.col("cat") % 16) * 10, F.lit(1))
-        .otherwise(F.lit(0))
-        .alias("is_suspicious"),
-    )
+    return orders.selectExpr(*_STEP1).selectExpr(*_STEP2)
 
 
 def load_fact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,29 @@ def test_catalog_table_comments(spark, hand):
     assert desc["transactions_ma7"] == cols["transactions_ma7"]
     assert marts.daily_mart_count(spark.table(name)).first().rows_in_mart == 9
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_load_job_and_mart_rebuild(spark):
+    from ledgerframe.plans import jobs
+
+    p = _write("2024-01-01,A,99.99,,10.00,0\n2024-01-01,A,100.00,,10.00,1\n"
+               "2024-01-02,B,,70.00,10.00,0\n2024-01-03,,1.00,,,\n")
+    root = tempfile.mkdtemp(prefix="lf-job-", dir="/tmp")
+    rep = jobs.load_transactions(spark, p, path=os.path.join(root, "fact"))
+    assert rep.first().loaded_rows == 4
+    fact = spark.read.parquet(os.path.join(root, "fact"))
+    assert sorted(r.transaction_id for r in fact.collect()) == [1, 2, 3, 4]
+    out = jobs.rebuild_marts(fact, root=os.path.join(root, "marts"), as_of="2025-01-01",
+                             updated_at="2025-01-01T00:00:00")
+    assert out[marts.DAILY_MART].first().rows_in_mart == 3
+    assert out[marts.CATEGORY_MART].first().categories == 0  # no category has > 5 rows
+    assert out[marts.ANOMALY_MART].first().rows_in_mart == 3
+    # catalog flavour: tables with comments, load rejects rule violations
+    spark.sql("DROP TABLE IF EXISTS lf_fact_job")
+    assert jobs.load_transactions(spark, p, table="lf_fact_job").first().loaded_rows == 4
+    bad = _write("2024-01-01,A,1.00,,10.00,2\n")
+    with pytest.raises(ValueError):
+        jobs.load_transactions(spark, bad, table="lf_fact_job")
+    assert spark.table("lf_fact_job").count() == 4  # the failed load left the table intact
+    tables.ensure_table(spark, "lf_fact_job")  # idempotent
+    spark.sql("DROP TABLE IF EXISTS lf_fact_job")
