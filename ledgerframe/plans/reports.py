@@ -271,9 +271,9 @@ def rank_categories(t: DataFrame, n: int = 30, min_rows: int = 5,
     g = g.withColumn("__rate", div_round(F.col("__fs"), F.col("__fn"), 17))
     g = share_of_total(g, "txn_count", "pct_of_total_txns")
     g, distributed = prepare(g, distributed)
-    g = rank_desc(g, "__sd", "debit_rank", distributed=distributed)
-    g = rank_desc(g, "txn_count", "frequency_rank", distributed=distributed)
-    g = rank_desc(g, "__rate", "risk_rank", distributed=distributed)
+    g = rank_desc(g, "__sd", "debit_rank", tiebreak="description", distributed=distributed)
+    g = rank_desc(g, "txn_count", "frequency_rank", tiebreak="description", distributed=distributed)
+    g = rank_desc(g, "__rate", "risk_rank", tiebreak="description", distributed=distributed)
     out = g.select(
         "description",
         as_count("txn_count").alias("txn_count"),

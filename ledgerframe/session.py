@@ -31,6 +31,11 @@ def build_session(
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(shuffle_partitions or 8),
+        # PySpark otherwise records the Python call site of every column
+        # function through several JVM calls; plans build much faster without
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # remove checkpoint files once the checkpointed frame is unreachable
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     conf.update(extra or {})
     for k, v in conf.items():
