@@ -11,12 +11,14 @@ the driver.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerframe.operators.validate import assert_valid
 from ledgerframe.plans import marts
 from ledgerframe.sources import csv as csvsrc
+from ledgerframe.session import checkpoint_dir
 from ledgerframe.sources import tables
 
 
@@ -28,9 +30,16 @@ def load_transactions(
     date_format: str = "yyyy-MM-dd",
     check_rules: bool = True,
 ) -> DataFrame:
-    """CSV -> rule check -> overwrite the fact table -> one-row load report."""
+    """CSV -> rule check -> overwrite the fact table -> one-row load report.
+
+    The CSV is parsed exactly once: it is staged as parquet in the shared
+    checkpoint folder (the parse is FAILFAST, so a bad row aborts here),
+    and the rule check and the dense ids read the columnar copy.
+    """
     raw = csvsrc.read_transactions(spark, csv_path, date_format=date_format)
-    staged = tables.with_surrogate_id(raw, dense=True)
+    stage_path = _staging_path(spark)
+    raw.write.mode("overwrite").parquet(stage_path)
+    staged = tables.with_surrogate_id(spark.read.parquet(stage_path), dense=True)
     if check_rules:
         assert_valid(staged)
     if path:
@@ -43,6 +52,11 @@ def load_transactions(
     return tables.load_report(loaded)
 
 
+def _staging_path(spark: SparkSession) -> str:
+    root = checkpoint_dir(spark)
+    return f"{root.rstrip('/')}/ledgerframe-staging-{uuid.uuid4().hex}"
+
+
 def rebuild_marts(
     t: DataFrame,
     root: str | None = None,

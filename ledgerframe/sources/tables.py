@@ -97,14 +97,18 @@ def write_mart(
 
     ``sort_by`` range-partitions and sorts the rows so each file covers
     a key range (file skipping on the lookup keys); ``partition_by``
-    adds directory partitions (e.g. ``year``).
+    adds directory partitions (e.g. ``year``). Without ``num_files`` the
+    range exchange uses the session's shuffle partitions and adaptive
+    execution coalesces them to the data size, so a small mart is not
+    scattered over thousands of tiny files on a large cluster.
     """
     if (name is None) == (path is None):
         raise ValueError("give exactly one of name or path")
     out = df
     if sort_by:
-        n = num_files or max(1, df.sparkSession.sparkContext.defaultParallelism)
-        out = out.repartitionByRange(n, *sort_by).sortWithinPartitions(*sort_by)
+        out = (out.repartitionByRange(num_files, *sort_by) if num_files
+               else out.repartitionByRange(*sort_by))
+        out = out.sortWithinPartitions(*sort_by)
     writer = out.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
