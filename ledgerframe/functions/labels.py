@@ -87,3 +87,19 @@ HIGH_RISK_DAY_RATE = 10  # rounded percentage, strictly above
 LARGE_MULTIPLIER = 2  # rounded multiplier, strictly above
 LARGE_DEBIT = 100000  # flagged rows with debit strictly above
 BIG_CATEGORY_VOLUME = 100000000  # debit+credit volume strictly above
+
+# --- fixed values: table and column documentation of the marts and fact table ---
+FACT_TABLE_COMMENT = "Факты транзакций"
+FACT_COLUMN_COMMENTS = {
+    "is_suspicious": "Флаг подозрительности: 0 - норма, 1 - подозрительно",
+}
+DAILY_MART_COMMENT = "Ежедневная витрина транзакций для дашбордов"
+DAILY_MART_COLUMN_COMMENTS = {
+    "transactions_ma7": "Скользящее среднее за 7 дней",
+    "suspicious_rate": "Процент подозрительных транзакций",
+}
+ANOMALY_MART_COMMENT = "Витрина для анализа подозрительных транзакций и аномалий"
+ANOMALY_MART_COLUMN_COMMENTS = {
+    "anomaly_flag": "Флаг аномалии на основе отклонения от скользящего среднего",
+    "suspicious_debit_multiplier": "Во сколько раз подозрительные транзакции крупнее нормальных",
+}

@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerframe.functions import labels as L
 from ledgerframe.operators.validate import assert_valid
 from ledgerframe.plans import marts
 from ledgerframe.sources import csv as csvsrc
@@ -48,6 +49,7 @@ def load_transactions(
     else:
         tables.ensure_table(spark, table)
         tables.load(staged, name=table)
+        tables.comment(spark, table, L.FACT_TABLE_COMMENT, L.FACT_COLUMN_COMMENTS)
         loaded = spark.table(table)
     return tables.load_report(loaded)
 

@@ -47,14 +47,8 @@ MART_LAYOUT = {
 
 # Documentation attached to the marts when written to the catalog.
 MART_COMMENTS = {
-    DAILY_MART: ("Ежедневная витрина транзакций для дашбордов", {
-        "transactions_ma7": "Скользящее среднее за 7 дней",
-        "suspicious_rate": "Процент подозрительных транзакций",
-    }),
-    ANOMALY_MART: ("Витрина для анализа подозрительных транзакций и аномалий", {
-        "anomaly_flag": "Флаг аномалии на основе отклонения от скользящего среднего",
-        "suspicious_debit_multiplier": "Во сколько раз подозрительные транзакции крупнее нормальных",
-    }),
+    DAILY_MART: (L.DAILY_MART_COMMENT, L.DAILY_MART_COLUMN_COMMENTS),
+    ANOMALY_MART: (L.ANOMALY_MART_COMMENT, L.ANOMALY_MART_COLUMN_COMMENTS),
 }
 
 

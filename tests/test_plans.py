@@ -71,3 +71,62 @@ def test_daily_windows_run_on_aggregated_days(fact):
     p = plan(marts.daily_mart(fact, updated_at=dt.datetime(2002, 1, 1)))
     below_window = p.split("Window")[1]
     assert "HashAggregate" in below_window
+
+
+def _nodes(p: str):
+    """(id, name, depth) of each operator line of a formatted plan tree."""
+    import re
+
+    out = []
+    for line in p.split("\n\n")[0].splitlines()[1:]:
+        m = re.match(r"^([ :|+\-]*)(\w[\w ]*?) \((\d+)\)", line)
+        if m:
+            out.append((int(m.group(3)), m.group(2).strip(), len(m.group(1))))
+    return out
+
+
+def _single_partition_ids(p: str):
+    import re
+
+    ids = set()
+    for block in p.split("\n\n")[1:]:
+        m = re.match(r"\((\d+)\) (Exchange|ShuffleQueryStage)", block.strip())
+        if m and "SinglePartition" in block:
+            ids.add(int(m.group(1)))
+    return ids
+
+
+def _aggregated_below(nodes, idx) -> bool:
+    """Every path from nodes[idx] down to a scan passes an aggregate or a broadcast."""
+    _, _, depth = nodes[idx]
+    j = idx + 1
+    children = []
+    while j < len(nodes) and nodes[j][2] > depth:
+        if not children or nodes[j][2] == nodes[children[0]][2]:
+            children.append(j)
+        j += 1
+    if not children:
+        return False  # a leaf (scan) reached without aggregation
+    for c in children:
+        name = nodes[c][1]
+        if "Aggregate" in name or "BroadcastExchange" in name or "Scan ExistingRDD" in name:
+            continue  # aggregated (or a checkpointed, already aggregated frame)
+        if not _aggregated_below(nodes, c):
+            return False
+    return True
+
+
+@pytest.mark.parametrize("key", ["q01_overall", "q01_by_flag", "q03_moving_avg", "q03_cumulative",
+                                 "q04_rfm", "q05_cohort", "q07_daily_moving", "q07_ranking",
+                                 "q07_monthly_cumulative", "q07_period_change", "q08_kpis",
+                                 "q08_monthly", "q08_dashboard", "m01_daily", "m02_category",
+                                 "m03_anomaly", "m03_weekday", "m03_monthly", "l06_validate"])
+def test_no_single_partition_exchange_over_raw_fact_rows(fact, key):
+    from ledgerframe.plans.catalog import CATALOG
+
+    p = plan(CATALOG[key](fact))
+    nodes = _nodes(p)
+    single = _single_partition_ids(p)
+    for i, (nid, name, _) in enumerate(nodes):
+        if nid in single:
+            assert _aggregated_below(nodes, i), f"{key}: single-partition exchange ({nid}) over raw rows"
