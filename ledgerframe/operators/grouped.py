@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerframe.functions import calendar as cal
 from ledgerframe.functions.exact import as_count, mean, money, percent
-from ledgerframe.operators.window import asc, share_of_total
+from ledgerframe.operators.window import asc, share_of_total, sort_bounded
 
 FLAG = "is_suspicious"
 
@@ -66,7 +66,7 @@ def stats_by(t: DataFrame, key: str = FLAG, count_alias: str = "transaction_coun
         money("__minb").alias("min_balance"),
         money("__maxb").alias("max_balance"),
     )
-    return out.orderBy(asc(key)) if order else out
+    return sort_bounded(out, [asc(key)]) if order else out
 
 
 def by_weekday(
@@ -99,7 +99,7 @@ def by_weekday(
     ]
     if with_means:
         cols += [mean_of("debit").alias("avg_debit"), mean_of("credit").alias("avg_credit")]
-    return g.select(*cols).orderBy(asc(number_col))
+    return sort_bounded(g.select(*cols), [asc(number_col)])
 
 
 def daily(t: DataFrame, aggs: Sequence[Column], key: Column | None = None,

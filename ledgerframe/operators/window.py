@@ -136,3 +136,16 @@ def share_of_total(df: DataFrame, value: str, alias: str, digits: int = 2,
 def top_k(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """ORDER BY .. LIMIT n: planned as TakeOrderedAndProject (per-task top-n, then merge)."""
     return df.orderBy(*order).limit(n)
+
+
+def sort_bounded(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """ORDER BY for a result with a small fixed set of groups (<= 32).
+
+    Used for flags, weekdays, amount bands and days of the month. The final
+    aggregate under it reads at most (map tasks x groups) partial rows,
+    which adaptive execution would coalesce into one partition anyway, so
+    the rows are gathered into one partition and sorted there: no range
+    partitioning and its sampling job. Results keyed by months, weeks or
+    categories keep the distributed ``orderBy``.
+    """
+    return df.coalesce(1).orderBy(*order)

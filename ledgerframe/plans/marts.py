@@ -30,7 +30,14 @@ from ledgerframe.functions.exact import (
 )
 from ledgerframe.operators.bands import above_band
 from ledgerframe.operators.grouped import FLAG, count_rows, flagged, mean_of, sum_count
-from ledgerframe.operators.window import asc, desc, moving_deviation, moving_mean, top_k
+from ledgerframe.operators.window import (
+    asc,
+    desc,
+    moving_deviation,
+    moving_mean,
+    sort_bounded,
+    top_k,
+)
 from ledgerframe.plans.reports import _as_of
 from ledgerframe.sources.tables import mart_report, preview
 
@@ -302,15 +309,16 @@ def mart_by_weekday(mart: DataFrame) -> DataFrame:
         F.count(F.when(F.col("anomaly_flag") == L.ANOMALY_CRITICAL, 1))
         .alias("critical_anomaly_days"),
     )
-    return g.select(
+    g = g.select(
         "day_name",
-        mean(F.col("__sr"), F.col("__nr"), UNROUNDED_SCALE, scale=2).alias("avg_suspicious_rate"),
+        mean("__sr", "__nr", UNROUNDED_SCALE, scale=2).alias("avg_suspicious_rate"),
         "max_suspicious_rate",
         as_count("total_suspicious").alias("total_suspicious"),
-        mean(F.col("__sm"), F.col("__nm"), UNROUNDED_SCALE, scale=2).alias("avg_amount_multiplier"),
+        mean("__sm", "__nm", UNROUNDED_SCALE, scale=2).alias("avg_amount_multiplier"),
         as_count("critical_anomaly_days").alias("critical_anomaly_days"),
         "day_of_week",
-    ).orderBy(asc("day_of_week")).drop("day_of_week")
+    )
+    return sort_bounded(g, [asc("day_of_week")]).drop("day_of_week")
 
 
 def mart_by_month(mart: DataFrame) -> DataFrame:
@@ -325,7 +333,7 @@ def mart_by_month(mart: DataFrame) -> DataFrame:
     return g.select(
         "year",
         "month",
-        mean(F.col("__sr"), F.col("__nr"), UNROUNDED_SCALE, scale=2).alias("avg_monthly_rate"),
+        mean("__sr", "__nr", UNROUNDED_SCALE, scale=2).alias("avg_monthly_rate"),
         as_count("__sc").alias("total_suspicious"),
         as_count("__tt").alias("total_txns"),
         percent("__sc", "__tt", zero_is_null=False).alias("actual_rate"),

@@ -39,6 +39,7 @@ from ledgerframe.operators.window import (
     previous,
     running_sum,
     share_of_total,
+    sort_bounded,
     top_k,
 )
 
@@ -85,17 +86,14 @@ def amount_bands(t: DataFrame, bands=L.DEBIT_BANDS, else_label: str = L.NO_DEBIT
         F.min("debit").alias("__min_debit"),
     )
     g = share_of_total(g, "transactions", "percentage")
-    return (
-        g.select(
-            "debit_range",
-            as_count("transactions").alias("transactions"),
-            "percentage",
-            mean(F.col("__fs"), F.col("__fn"), 4).alias("suspicious_rate"),
-            "__min_debit",
-        )
-        .orderBy(asc("__min_debit"), asc("debit_range"))
-        .drop("__min_debit")
+    out = g.select(
+        "debit_range",
+        as_count("transactions").alias("transactions"),
+        "percentage",
+        mean("__fs", "__fn", 4).alias("suspicious_rate"),
+        "__min_debit",
     )
+    return sort_bounded(out, [asc("__min_debit"), asc("debit_range")]).drop("__min_debit")
 
 
 def weekday_flags(t: DataFrame) -> DataFrame:
@@ -436,13 +434,14 @@ def day_of_month_profile(t: DataFrame) -> DataFrame:
     g = t.groupBy(cal.day_of_month("transaction_date").alias("day_of_month")).agg(
         count_rows().alias("__cnt"), *sum_count("debit"), *sum_count("credit"),
         F.sum(FLAG).alias("__fs"), F.count(FLAG).alias("__fn"))
-    return g.select(
+    g = g.select(
         "day_of_month",
         as_count("__cnt").alias("avg_transactions"),
         mean_of("debit").alias("avg_debit"),
         mean_of("credit").alias("avg_credit"),
         percent("__fs", "__fn").alias("avg_suspicious_pct"),
-    ).orderBy(asc("day_of_month"))
+    )
+    return sort_bounded(g, [asc("day_of_month")])
 
 
 def risk_bands(t: DataFrame, bands=L.RISK_AMOUNT_BANDS, levels=L.RISK_LEVELS) -> DataFrame:
@@ -455,8 +454,8 @@ def risk_bands(t: DataFrame, bands=L.RISK_AMOUNT_BANDS, levels=L.RISK_LEVELS) ->
         as_count("__fs").alias("suspicious"),
         percent("__fs", "__cnt", zero_is_null=False).alias("risk_percentage"),
     )
-    return g.withColumn("risk_level", above_band("risk_percentage", levels, L.RISK_LEVEL_ELSE)) \
-        .orderBy(desc("risk_percentage"), asc("amount_category"))
+    g = g.withColumn("risk_level", above_band("risk_percentage", levels, L.RISK_LEVEL_ELSE))
+    return sort_bounded(g, [desc("risk_percentage"), asc("amount_category")])
 
 
 def dashboard(t: DataFrame) -> DataFrame:
