@@ -61,3 +61,11 @@ def test_prepare_decides_by_checked_size(spark):
     assert dist is True
     _, dist = ranking.prepare(df, native_max_rows=1000)
     assert dist is False
+
+
+def test_distributed_branches_share_one_exchange(spark):
+    # summary and final join must read the same range-partitioned shuffle
+    df = _frame(spark, 300, 5)
+    out = ranking.rank_desc(df, "v", "r", tiebreak="k", distributed=True, n_parts=4)
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
