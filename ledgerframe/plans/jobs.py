@@ -42,7 +42,8 @@ def load_transactions(
     raw.write.mode("overwrite").parquet(stage_path)
     staged = tables.with_surrogate_id(spark.read.parquet(stage_path), dense=True)
     if check_rules:
-        assert_valid(staged)
+        # row rules only: the ids were just generated and are unique by construction
+        assert_valid(staged, check_unique=False)
     if path:
         tables.load(staged, path=path)
         loaded = spark.read.parquet(path)

@@ -39,3 +39,20 @@ def test_fixture_equals_oracle_derivation(spark):
     c = duck(SF001)
     ok, msg = compare(load_fact(spark, SF001), c, FACT)
     assert ok, msg
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "date": "DATE",
+                 "timestamp": "TIMESTAMP"}
+
+
+def test_result_types_match_oracle(spark):
+    """Same column names and exactly the same types as the oracle, for every query."""
+    con = duck(SF001)
+    for name, fn in E.queries().items():
+        df = fn(spark, SF001)
+        ours = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(),
+                                          f.dataType.simpleString().upper())
+                for f in df.schema.fields}
+        rel = con.sql(E.oracle_sql()[name])
+        theirs = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+        assert ours == theirs, name
