@@ -73,18 +73,55 @@ def _zero(col) -> Column:
     return F.coalesce(col, F.lit(0))
 
 
+# ------------------------------------------------------- shared pre-aggregate
+def day_category_rollup(t: DataFrame) -> DataFrame:
+    """(day, category) pre-aggregate from which all three marts are derived.
+
+    One row per day and category with the sums, counts and flagged/normal
+    splits the marts need. Per-day category counts and per-category day
+    counts become plain row counts over it (no COUNT(DISTINCT), no
+    Expand), and both levels aggregate map-side, so a hot category or day
+    never travels as raw rows. ``rebuild_marts`` materialises it once and
+    derives the three marts from it: one scan of the fact table.
+    """
+    f1 = F.col(FLAG) == 1
+    f0 = F.col(FLAG) == 0
+    return t.groupBy(F.col("transaction_date").alias("day"), "description").agg(
+        count_rows().alias("n"),
+        *[a for c in ("debit", "credit", "balance")
+          for a in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))],
+        F.sum(FLAG).alias("s_flag"),
+        F.count(FLAG).alias("n_flag"),
+        flagged(1).alias("n_f1"),
+        flagged(0).alias("n_f0"),
+        # SUM(CASE WHEN flag = k THEN amount ELSE 0 END)
+        F.sum(F.when(f1, F.col("debit")).otherwise(0)).alias("sd_f1"),
+        F.sum(F.when(f0, F.col("debit")).otherwise(0)).alias("sd_f0"),
+        F.sum(F.when(f1, F.col("credit")).otherwise(0)).alias("sc_f1"),
+        F.sum(F.when(f0, F.col("credit")).otherwise(0)).alias("sc_f0"),
+        # debit sum and count of flagged / normal rows only, for their means
+        *sum_count("debit", "d_f1", when=f1),
+        *sum_count("debit", "d_f0", when=f0),
+    )
+
+
+def _rollup(t: DataFrame | None, rollup: DataFrame | None) -> DataFrame:
+    if rollup is not None:
+        return rollup
+    if t is None:
+        raise ValueError("give the fact table or its day_category_rollup")
+    return day_category_rollup(t)
+
+
 # ---------------------------------------------------------------- daily mart
-def daily_mart(t: DataFrame, updated_at=None) -> DataFrame:
+def daily_mart(t: DataFrame | None, updated_at=None, rollup: DataFrame | None = None) -> DataFrame:
     """One row per day (NULL dates form one row): counts, sums, means, 7-row averages."""
-    d = t.groupBy("transaction_date").agg(
-        count_rows().alias("__cnt"),
-        F.countDistinct("description").alias("__cats"),
-        F.sum("debit").alias("__sd"),
-        F.sum("credit").alias("__sc"),
-        F.sum(FLAG).alias("__fs"),
-        *sum_count("debit"),
-        *sum_count("credit"),
-        *sum_count("balance"),
+    d = _rollup(t, rollup).groupBy(F.col("day").alias("transaction_date")).agg(
+        F.sum("n").alias("__cnt"),
+        F.count("description").alias("__cats"),
+        F.sum("s_flag").alias("__fs"),
+        *[F.sum(f"{k}_{c}").alias(f"__{k}_{c}") for c in ("debit", "credit", "balance")
+          for k in ("s", "n")],
     )
     order = [asc("transaction_date")]
     keys = ["transaction_date"]
@@ -96,9 +133,9 @@ def daily_mart(t: DataFrame, updated_at=None) -> DataFrame:
         cal.day_name("transaction_date").alias("day_name"),
         as_count("__cnt").alias("transactions"),
         as_count("__cats").alias("unique_categories"),
-        money(_zero(F.col("__sd"))).alias("total_debit"),
-        money(_zero(F.col("__sc"))).alias("total_credit"),
-        money(_zero(F.col("__sd") - F.col("__sc"))).alias("net_flow"),
+        money(_zero(F.col("__s_debit"))).alias("total_debit"),
+        money(_zero(F.col("__s_credit"))).alias("total_credit"),
+        money(_zero(F.col("__s_debit") - F.col("__s_credit"))).alias("net_flow"),
         as_count("__fs").alias("suspicious_count"),
         percent("__fs", "__cnt").alias("suspicious_rate"),
         money(_zero(mean_of("debit"))).alias("avg_debit"),
@@ -119,17 +156,17 @@ def daily_mart_preview(mart: DataFrame, n: int = 10) -> DataFrame:
 
 
 # ------------------------------------------------------------- category mart
-def category_mart(t: DataFrame, as_of=None, updated_at=None, min_rows: int = 5) -> DataFrame:
+def category_mart(t: DataFrame | None, as_of=None, updated_at=None, min_rows: int = 5,
+                  rollup: DataFrame | None = None) -> DataFrame:
     """One row per category with more than ``min_rows`` rows: span, volume, means, segments."""
-    g = t.groupBy(F.col("description").alias("category")).agg(
-        count_rows().alias("__cnt"),
-        F.countDistinct("transaction_date").alias("__days"),
-        F.min("transaction_date").alias("first_seen"),
-        F.max("transaction_date").alias("last_seen"),
-        *sum_count("debit"),
-        *sum_count("credit"),
-        F.sum(FLAG).alias("__fs"),
-        F.count(FLAG).alias("__fn"),
+    g = _rollup(t, rollup).groupBy(F.col("description").alias("category")).agg(
+        F.sum("n").alias("__cnt"),
+        F.count("day").alias("__days"),  # one rollup row per (day, category)
+        F.min("day").alias("first_seen"),
+        F.max("day").alias("last_seen"),
+        *[F.sum(f"{k}_{c}").alias(f"__{k}_{c}") for c in ("debit", "credit") for k in ("s", "n")],
+        F.sum("s_flag").alias("__fs"),
+        F.sum("n_flag").alias("__fn"),
     ).where(F.col("__cnt") > min_rows)
     volume = _zero(F.col("__s_debit") + F.col("__s_credit"))
     fs, fn = F.col("__fs"), F.col("__fn")
@@ -169,49 +206,34 @@ def category_mart_preview(mart: DataFrame, n: int = 10) -> DataFrame:
 
 
 # -------------------------------------------------------------- anomaly mart
-def _anomaly_daily(t: DataFrame) -> DataFrame:
-    """Flagged vs normal split per day, in two partial aggregations.
+def _anomaly_daily(r: DataFrame) -> DataFrame:
+    """Flagged vs normal split per day from the (day, category) rollup.
 
-    The two distinct category counts are taken from a (day, category)
-    pre-aggregate instead of two COUNT(DISTINCT) (which Spark plans as an
-    Expand that triples the fact rows); both levels combine map-side.
+    The two distinct category counts are counts of rollup rows with a
+    flagged / normal row (instead of two COUNT(DISTINCT), which Spark plans
+    as an Expand that triples the fact rows).
     """
-    f1 = F.col(FLAG) == 1
-    f0 = F.col(FLAG) == 0
-    per_cat = t.groupBy(F.col("transaction_date").alias("day"), "description").agg(
-        count_rows().alias("n"),
-        flagged(1).alias("sc"),
-        flagged(0).alias("nc"),
-        F.sum(F.when(f1, F.col("debit")).otherwise(0)).alias("sd"),
-        F.sum(F.when(f0, F.col("debit")).otherwise(0)).alias("nd"),
-        F.sum(F.when(f1, F.col("credit")).otherwise(0)).alias("scr"),
-        F.sum(F.when(f0, F.col("credit")).otherwise(0)).alias("ncr"),
-        *sum_count("debit", "sdm", when=f1),
-        *sum_count("debit", "ndm", when=f0),
-        F.max(f1.cast("int")).alias("has1"),
-        F.max(f0.cast("int")).alias("has0"),
-    )
     known = F.col("description").isNotNull()
-    return per_cat.groupBy("day").agg(
+    return r.groupBy("day").agg(
         F.sum("n").alias("total_transactions"),
-        F.sum("sc").alias("suspicious_count"),
-        F.sum("nc").alias("normal_count"),
-        F.sum("sd").alias("suspicious_debit"),
-        F.sum("nd").alias("normal_debit"),
-        F.sum("scr").alias("suspicious_credit"),
-        F.sum("ncr").alias("normal_credit"),
-        F.sum("__s_sdm").alias("__s_sdm"),
-        F.sum("__n_sdm").alias("__n_sdm"),
-        F.sum("__s_ndm").alias("__s_ndm"),
-        F.sum("__n_ndm").alias("__n_ndm"),
-        F.count(F.when(known & (F.col("has1") == 1), 1)).alias("suspicious_categories"),
-        F.count(F.when(known & (F.col("has0") == 1), 1)).alias("normal_categories"),
+        F.sum("n_f1").alias("suspicious_count"),
+        F.sum("n_f0").alias("normal_count"),
+        F.sum("sd_f1").alias("suspicious_debit"),
+        F.sum("sd_f0").alias("normal_debit"),
+        F.sum("sc_f1").alias("suspicious_credit"),
+        F.sum("sc_f0").alias("normal_credit"),
+        F.sum("__s_d_f1").alias("__s_sdm"),
+        F.sum("__n_d_f1").alias("__n_sdm"),
+        F.sum("__s_d_f0").alias("__s_ndm"),
+        F.sum("__n_d_f0").alias("__n_ndm"),
+        F.count(F.when(known & (F.col("n_f1") > 0), 1)).alias("suspicious_categories"),
+        F.count(F.when(known & (F.col("n_f0") > 0), 1)).alias("normal_categories"),
     )
 
 
-def anomaly_mart(t: DataFrame, updated_at=None) -> DataFrame:
+def anomaly_mart(t: DataFrame | None, updated_at=None, rollup: DataFrame | None = None) -> DataFrame:
     """Daily flagged-vs-normal mart with a 7-row baseline and anomaly labels."""
-    b = _anomaly_daily(t)
+    b = _anomaly_daily(_rollup(t, rollup))
     order = [asc("day")]
     keys = ["day"]
     sc = F.col("suspicious_count")

@@ -93,3 +93,17 @@ def test_random_rank_and_ntile(spark, values, parts, buckets):
     got = ranking.ntile(df, buckets, key, tb, "t", distributed=True, n_parts=parts)
     exp = df.withColumn("t", F.ntile(buckets).over(Window.orderBy(key, tb)))
     assert sorted(got.collect()) == sorted(exp.collect())
+
+
+def test_marts_from_one_shared_rollup_equal_direct_builds(fact):
+    r = marts.day_category_rollup(fact).cache()
+    pairs = [
+        (marts.daily_mart(fact, updated_at=AS_OF), marts.daily_mart(None, updated_at=AS_OF, rollup=r)),
+        (marts.category_mart(fact, as_of=AS_OF, updated_at=AS_OF),
+         marts.category_mart(None, as_of=AS_OF, updated_at=AS_OF, rollup=r)),
+        (marts.anomaly_mart(fact, updated_at=AS_OF), marts.anomaly_mart(None, updated_at=AS_OF, rollup=r)),
+    ]
+    for direct, shared in pairs:
+        a = [tuple(x) for x in direct.collect()]
+        b = [tuple(x) for x in shared.collect()]
+        assert a == b and len(a) > 400
