@@ -23,7 +23,6 @@ from ledgerframe.operators.grouped import (
     by_weekday,
     count_rows,
     daily,
-    drop_hidden,
     flagged,
     mean_of,
     monthly,
@@ -239,7 +238,7 @@ def daily_moving(t: DataFrame) -> DataFrame:
     """Daily count/debit/flag rate with 7- and 30-row moving averages."""
     d = daily(t, [count_rows().alias("__cnt"), F.sum("debit").alias("__debit"),
                   F.sum(FLAG).alias("__fs"), F.count(FLAG).alias("__fn")])
-    d = d.withColumn("__rate", mean(F.col("__fs"), F.col("__fn"), UNROUNDED_SCALE))
+    d = d.withColumn("__rate", mean("__fs", "__fn", UNROUNDED_SCALE))
     order = [asc("transaction_date")]
     keys = ["transaction_date"]
     return d.select(
@@ -266,7 +265,7 @@ def rank_categories(t: DataFrame, n: int = 30, min_rows: int = 5,
     ).where(F.col("txn_count") > min_rows)
     # exact-enough order key for the rate: 17 digits separates any two
     # distinct fractions with denominators below ~3e8
-    g = g.withColumn("__rate", div_round(F.col("__fs"), F.col("__fn"), 17))
+    g = g.withColumn("__rate", div_round("__fs", "__fn", 17))
     g = share_of_total(g, "txn_count", "pct_of_total_txns")
     g, distributed = prepare(g, distributed)
     g = rank_desc(g, "__sd", "debit_rank", tiebreak="description", distributed=distributed)
@@ -484,5 +483,3 @@ def dashboard(t: DataFrame) -> DataFrame:
         div_round(F.col("__cnt"), F.col("__days"), 2).alias("avg_daily_txns"),
     )
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["drop_hidden"]
