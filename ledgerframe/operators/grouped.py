@@ -55,7 +55,7 @@ def stats_by(t: DataFrame, key: str = FLAG, count_alias: str = "transaction_coun
         F.min("balance").alias("__minb"),
         F.max("balance").alias("__maxb"),
     )
-    g = share_of_total(g, "__cnt", "percentage")
+    g = share_of_total(g, "__cnt", "percentage", bounded=True)  # a few flag values
     out = g.select(
         F.col(key),
         as_count("__cnt").alias(count_alias),

@@ -121,12 +121,20 @@ def growth_pct(value, order: Sequence, digits: int = 2, scale: int = 0, safe: bo
 
 
 def share_of_total(df: DataFrame, value: str, alias: str, digits: int = 2,
-                   scale: int = 0) -> DataFrame:
+                   scale: int = 0, bounded: bool = False) -> DataFrame:
     """Add round(100.0 * value / SUM(value) OVER (), digits) to an aggregated frame.
 
-    The grand total is a one-row aggregate joined by broadcast (one row is
-    a fixed size), so no single-partition window over ``df`` is planned.
+    ``bounded=True`` (a small fixed set of groups, gathered into one
+    partition): a window over the whole frame, no second branch.
+    Otherwise the grand total is a one-row aggregate joined by broadcast
+    (one row is a fixed size), so no single-partition window over ``df``
+    is planned.
     """
+    if bounded:
+        total = F.expr(f"sum({sql_ref(value)}) OVER ()")
+        return df.coalesce(1).withColumn("__total", total).withColumn(
+            alias, percent(value, "__total", digits, part_scale=scale, whole_scale=scale)
+        ).drop("__total")
     total = df.agg(F.sum(value).alias("__total"))
     return df.crossJoin(F.broadcast(total)).withColumn(
         alias, percent(value, "__total", digits, part_scale=scale, whole_scale=scale)

@@ -84,7 +84,7 @@ def amount_bands(t: DataFrame, bands=L.DEBIT_BANDS, else_label: str = L.NO_DEBIT
         F.count(FLAG).alias("__fn"),
         F.min("debit").alias("__min_debit"),
     )
-    g = share_of_total(g, "transactions", "percentage")
+    g = share_of_total(g, "transactions", "percentage", bounded=True)  # six bands
     out = g.select(
         "debit_range",
         as_count("transactions").alias("transactions"),
@@ -266,8 +266,8 @@ def rank_categories(t: DataFrame, n: int = 30, min_rows: int = 5,
     # exact-enough order key for the rate: 17 digits separates any two
     # distinct fractions with denominators below ~3e8
     g = g.withColumn("__rate", div_round("__fs", "__fn", 17))
-    g = share_of_total(g, "txn_count", "pct_of_total_txns")
     g, distributed = prepare(g, distributed)
+    g = share_of_total(g, "txn_count", "pct_of_total_txns")
     g = rank_desc(g, "__sd", "debit_rank", tiebreak="description", distributed=distributed)
     g = rank_desc(g, "txn_count", "frequency_rank", tiebreak="description", distributed=distributed)
     g = rank_desc(g, "__rate", "risk_rank", tiebreak="description", distributed=distributed)
