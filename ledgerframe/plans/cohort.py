@@ -48,13 +48,21 @@ def cohort_retention(t: DataFrame, periods: int = 5, week_distance: str = "iso_w
     else:
         raise ValueError("week_distance must be 'iso_week' or 'elapsed'")
 
+    # Per category first: the frame is already hash-partitioned by category
+    # (the cohort window), so this level needs no shuffle, and afterwards
+    # each category appears once per (cohort week, week number), making the
+    # active-category count a plain count instead of a COUNT(DISTINCT).
     # A category has exactly one (category, week) row in its own cohort
-    # week, so counting those rows gives the cohort size in the same
-    # aggregation: no second pass over the frame and no join.
-    ret = cw.groupBy("cohort_week", wn.alias("week_number")).agg(
-        F.countDistinct("description").alias("active_categories"),
+    # week, so counting those rows gives the cohort size in the same pass:
+    # no second pass over the frame and no join.
+    per_cat = cw.groupBy("description", "cohort_week", wn.alias("week_number")).agg(
+        F.sum("transactions").alias("transactions"),
+        F.count(F.when(F.col("activity_week") == F.col("cohort_week"), 1)).alias("__first"),
+    )
+    ret = per_cat.groupBy("cohort_week", "week_number").agg(
+        F.count(F.lit(1)).alias("active_categories"),
         F.sum("transactions").alias("total_transactions"),
-        F.count(F.when(F.col("activity_week") == F.col("cohort_week"), 1)).alias("__firsts"),
+        F.sum("__first").alias("__firsts"),
     )
     pivot = [
         F.max(F.when(F.col("week_number") == k, F.col(src))).alias(f"__{src}_{k}")
