@@ -16,7 +16,15 @@ from pyspark.sql import functions as F
 
 from ledgerframe.functions import calendar as cal
 from ledgerframe.functions import labels as L
-from ledgerframe.functions.exact import UNROUNDED_SCALE, as_count, div_round, mean, money, percent
+from ledgerframe.functions.exact import (
+    UNROUNDED_SCALE,
+    as_count,
+    div_round,
+    mean,
+    money,
+    percent,
+    sql_ref,
+)
 from ledgerframe.operators.bands import above_band, range_band
 from ledgerframe.operators.grouped import (
     FLAG,
@@ -329,21 +337,29 @@ def first_last(t: DataFrame, key: str = "description", order: str = "transaction
     Rows are ordered by ``order`` with NULLs last, then ``tiebreak``; the
     first row is the smallest, the last row the largest in that order (so
     a key with a NULL date has a NULL last date). Computed with
-    min_by/max_by, which aggregate map-side: no sort of the fact table
-    and no hot-key partition.
+    min_by/max_by hash aggregates, which combine map-side: no sort of the
+    fact table and no hot-key partition. The tie-break must be a unique
+    integer below 10^24 (the transaction id).
     """
-    o = F.struct(F.col(order).isNull(), F.col(order), F.col(tiebreak))
-    v = F.struct(F.col(order).alias("d"), F.col(value).alias("v"))
+    # (date IS NULL, date, id) packed into one exact DECIMAL(38,0) order key:
+    # null flag * 10^36 + (epoch day + 500000) * 10^24 + id. Fixed-width
+    # aggregation buffers let Spark use hash aggregation (a struct key would
+    # fall back to sorting each task's fact rows by category).
+    o = F.expr(
+        f"CAST(IF({sql_ref(order)} IS NULL, 1, 0) AS DECIMAL(38,0)) * 1000000000000000000000000000000000000"
+        f" + CAST(coalesce(unix_date({sql_ref(order)}), 0) + 500000 AS DECIMAL(38,0))"
+        f" * 1000000000000000000000000 + CAST({sql_ref(tiebreak)} AS DECIMAL(38,0))")
     g = t.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.min_by(v, o).alias("__first"), F.max_by(v, o).alias("__last"))
+        F.min_by(F.col(order), o).alias("__first_d"), F.min_by(F.col(value), o).alias("__first_v"),
+        F.max_by(F.col(order), o).alias("__last_d"), F.max_by(F.col(value), o).alias("__last_v"))
     out = g.select(
         F.col(key),
-        F.col("__first.d").alias("first_txn_date"),
-        money("__first.v").alias("first_amount"),
-        F.col("__last.d").alias("last_txn_date"),
-        money("__last.v").alias("last_amount"),
-        cal.days_between(F.col("__last.d"), F.col("__first.d")).alias("days_active"),
-        money(F.col("__last.v") - F.col("__first.v")).alias("amount_change"),
+        F.col("__first_d").alias("first_txn_date"),
+        money("__first_v").alias("first_amount"),
+        F.col("__last_d").alias("last_txn_date"),
+        money("__last_v").alias("last_amount"),
+        cal.days_between(F.col("__last_d"), F.col("__first_d")).alias("days_active"),
+        money(F.col("__last_v") - F.col("__first_v")).alias("amount_change"),
     )
     return top_k(out, [F.col("days_active").desc_nulls_last(), asc(key)], n)
 
