@@ -45,8 +45,16 @@ def drop_hidden(df: DataFrame) -> DataFrame:
 
 
 def stats_by(t: DataFrame, key: str = FLAG, count_alias: str = "transaction_count",
-             order: bool = True) -> DataFrame:
-    """Per key: count, share of all rows %, mean debit/credit/balance, min/max balance."""
+             order: bool = True, bounded: bool | None = None) -> DataFrame:
+    """Per key: count, share of all rows %, mean debit/credit/balance, min/max balance.
+
+    ``bounded`` says the key has a small fixed set of values (default: only
+    for the 0/1 flag), so the result is gathered into one partition; for
+    any other key the share uses a broadcast one-row total and the sort is
+    distributed.
+    """
+    if bounded is None:
+        bounded = key == FLAG
     g = t.groupBy(key).agg(
         count_rows().alias("__cnt"),
         *sum_count("debit"),
@@ -55,7 +63,7 @@ def stats_by(t: DataFrame, key: str = FLAG, count_alias: str = "transaction_coun
         F.min("balance").alias("__minb"),
         F.max("balance").alias("__maxb"),
     )
-    g = share_of_total(g, "__cnt", "percentage", bounded=True)  # a few flag values
+    g = share_of_total(g, "__cnt", "percentage", bounded=bounded)
     out = g.select(
         F.col(key),
         as_count("__cnt").alias(count_alias),
@@ -66,7 +74,9 @@ def stats_by(t: DataFrame, key: str = FLAG, count_alias: str = "transaction_coun
         money("__minb").alias("min_balance"),
         money("__maxb").alias("max_balance"),
     )
-    return sort_bounded(out, [asc(key)]) if order else out
+    if not order:
+        return out
+    return sort_bounded(out, [asc(key)]) if bounded else out.orderBy(asc(key))
 
 
 def by_weekday(
