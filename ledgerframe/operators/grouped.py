@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerframe.operators.rollup import Measures
+
 from ledgerframe.functions import calendar as cal
 from ledgerframe.functions.exact import as_count, mean, money, percent
 from ledgerframe.operators.window import asc, share_of_total, sort_bounded
@@ -94,12 +96,13 @@ def by_weekday(
     ``flag_mode='case'`` counts rows with flag = 1 (never NULL);
     ``flag_mode='sum'`` is SUM(flag), which skips NULL flags.
     """
-    flag_agg = flagged(1) if flag_mode == "case" else F.sum(F.col(FLAG))
-    extra = [*sum_count("debit"), *sum_count("credit")] if with_means else []
+    m = Measures(t)
+    flag_agg = m.flagged(1) if flag_mode == "case" else m.sum(FLAG)
+    extra = [*m.sum_count("debit"), *m.sum_count("credit")] if with_means else []
     g = t.groupBy(
         cal.day_name("transaction_date").alias(name_col),
         cal.day_of_week("transaction_date").alias(number_col),
-    ).agg(count_rows().alias("__cnt"), flag_agg.alias("__flag"), *extra)
+    ).agg(m.rows().alias("__cnt"), flag_agg.alias("__flag"), *extra)
     cols = [
         F.col(name_col),
         F.col(number_col),

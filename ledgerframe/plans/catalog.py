@@ -77,3 +77,20 @@ CATALOG: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m03_weekday": lambda t: marts.mart_by_weekday(marts.anomaly_mart(t, updated_at=UPDATED_AT)),
     "m03_monthly": lambda t: marts.mart_by_month(marts.anomaly_mart(t, updated_at=UPDATED_AT)),
 }
+
+# Queries that need only day- or category-level sums and counts: they run
+# unchanged on the (day, category) rollup of the fact table. The others
+# need row-level values (amount bands, balance extremes per flag, first/
+# last rows, largest rows, per-row rules) and read the fact table.
+ROLLUP_KEYS = frozenset({
+    "q01_overall", "q01_top_days",
+    "q03_weekday", "q03_moving_avg", "q03_top_flagged", "q03_cumulative",
+    "q04_rfm", "q04_big_categories", "q04_big_categories_1m", "q05_cohort",
+    "q06_monthly", "q06_top_flagged", "q06_weekday",
+    "q07_daily_moving", "q07_ranking", "q07_monthly_cumulative", "q07_period_change",
+    "q08_kpis", "q08_monthly", "q08_top_categories", "q08_weekday", "q08_seasonality",
+    "q08_dashboard",
+    "m01_daily", "m01_count", "m01_preview", "m02_category", "m02_count", "m02_preview",
+    "m03_anomaly", "m03_top_days", "m03_anomalies", "m03_weekday", "m03_monthly",
+})
+FACT_KEYS = frozenset(CATALOG) - ROLLUP_KEYS

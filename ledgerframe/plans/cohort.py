@@ -24,17 +24,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerframe.operators.rollup import Measures
+
 from ledgerframe.functions import calendar as cal
 from ledgerframe.functions.exact import as_count, percent
-from ledgerframe.operators.grouped import count_rows
 from ledgerframe.operators.window import asc
 
 
 def category_weeks(t: DataFrame) -> DataFrame:
     """(description, activity_week, transactions, cohort_week) for known categories and dates."""
+    m = Measures(t)
     cw = t.where(F.col("description").isNotNull() & F.col("transaction_date").isNotNull()) \
         .groupBy("description", cal.week_start("transaction_date").alias("activity_week")) \
-        .agg(count_rows().alias("transactions"))
+        .agg(m.rows().alias("transactions"))
     return cw.withColumn("cohort_week",
                          F.min("activity_week").over(Window.partitionBy("description")))
 

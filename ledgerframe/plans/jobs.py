@@ -103,3 +103,22 @@ def rebuild_marts(
             written = spark.table(name)
         reports[key] = tables.mart_report(written, count_alias)
     return reports
+
+
+def run_reports(t: DataFrame, keys=None) -> dict[str, DataFrame]:
+    """Every catalogued report, mart and read-back with one pre-aggregation.
+
+    The (day, category) rollup is computed once and checkpointed to the
+    shared checkpoint folder; the queries that need only day- or
+    category-level sums and counts read it, the few that need row-level
+    values read the fact table. Returns lazy DataFrames keyed by name.
+    """
+    from ledgerframe.operators.rollup import day_category_rollup
+    from ledgerframe.plans.catalog import CATALOG, ROLLUP_KEYS
+
+    wanted = list(keys or CATALOG)
+    rollup = None
+    if any(k in ROLLUP_KEYS for k in wanted):
+        checkpoint_dir(t.sparkSession)
+        rollup = day_category_rollup(t).checkpoint(eager=True)
+    return {k: CATALOG[k](rollup if k in ROLLUP_KEYS else t) for k in wanted}

@@ -29,7 +29,8 @@ from ledgerframe.functions.exact import (
     percent,
 )
 from ledgerframe.operators.bands import above_band
-from ledgerframe.operators.grouped import FLAG, count_rows, flagged, mean_of, sum_count
+from ledgerframe.operators.grouped import FLAG, mean_of
+from ledgerframe.operators.rollup import day_category_rollup, is_rollup  # noqa: F401
 from ledgerframe.operators.window import (
     asc,
     desc,
@@ -74,40 +75,11 @@ def _zero(col) -> Column:
 
 
 # ------------------------------------------------------- shared pre-aggregate
-def day_category_rollup(t: DataFrame) -> DataFrame:
-    """(day, category) pre-aggregate from which all three marts are derived.
-
-    One row per day and category with the sums, counts and flagged/normal
-    splits the marts need. Per-day category counts and per-category day
-    counts become plain row counts over it (no COUNT(DISTINCT), no
-    Expand), and both levels aggregate map-side, so a hot category or day
-    never travels as raw rows. ``rebuild_marts`` materialises it once and
-    derives the three marts from it: one scan of the fact table.
-    """
-    f1 = F.col(FLAG) == 1
-    f0 = F.col(FLAG) == 0
-    return t.groupBy(F.col("transaction_date").alias("day"), "description").agg(
-        count_rows().alias("n"),
-        *[a for c in ("debit", "credit", "balance")
-          for a in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))],
-        F.sum(FLAG).alias("s_flag"),
-        F.count(FLAG).alias("n_flag"),
-        flagged(1).alias("n_f1"),
-        flagged(0).alias("n_f0"),
-        # SUM(CASE WHEN flag = k THEN amount ELSE 0 END)
-        F.sum(F.when(f1, F.col("debit")).otherwise(0)).alias("sd_f1"),
-        F.sum(F.when(f0, F.col("debit")).otherwise(0)).alias("sd_f0"),
-        F.sum(F.when(f1, F.col("credit")).otherwise(0)).alias("sc_f1"),
-        F.sum(F.when(f0, F.col("credit")).otherwise(0)).alias("sc_f0"),
-        # debit sum and count of flagged / normal rows only, for their means
-        *sum_count("debit", "d_f1", when=f1),
-        *sum_count("debit", "d_f0", when=f0),
-    )
-
-
 def _rollup(t: DataFrame | None, rollup: DataFrame | None) -> DataFrame:
     if rollup is not None:
         return rollup
+    if t is not None and is_rollup(t):
+        return t
     if t is None:
         raise ValueError("give the fact table or its day_category_rollup")
     return day_category_rollup(t)
@@ -116,7 +88,7 @@ def _rollup(t: DataFrame | None, rollup: DataFrame | None) -> DataFrame:
 # ---------------------------------------------------------------- daily mart
 def daily_mart(t: DataFrame | None, updated_at=None, rollup: DataFrame | None = None) -> DataFrame:
     """One row per day (NULL dates form one row): counts, sums, means, 7-row averages."""
-    d = _rollup(t, rollup).groupBy(F.col("day").alias("transaction_date")).agg(
+    d = _rollup(t, rollup).groupBy("transaction_date").agg(
         F.sum("n").alias("__cnt"),
         F.count("description").alias("__cats"),
         F.sum("s_flag").alias("__fs"),
@@ -161,9 +133,9 @@ def category_mart(t: DataFrame | None, as_of=None, updated_at=None, min_rows: in
     """One row per category with more than ``min_rows`` rows: span, volume, means, segments."""
     g = _rollup(t, rollup).groupBy(F.col("description").alias("category")).agg(
         F.sum("n").alias("__cnt"),
-        F.count("day").alias("__days"),  # one rollup row per (day, category)
-        F.min("day").alias("first_seen"),
-        F.max("day").alias("last_seen"),
+        F.count("transaction_date").alias("__days"),  # one rollup row per (day, category)
+        F.min("transaction_date").alias("first_seen"),
+        F.max("transaction_date").alias("last_seen"),
         *[F.sum(f"{k}_{c}").alias(f"__{k}_{c}") for c in ("debit", "credit") for k in ("s", "n")],
         F.sum("s_flag").alias("__fs"),
         F.sum("n_flag").alias("__fn"),
@@ -214,7 +186,7 @@ def _anomaly_daily(r: DataFrame) -> DataFrame:
     as an Expand that triples the fact rows).
     """
     known = F.col("description").isNotNull()
-    return r.groupBy("day").agg(
+    return r.groupBy(F.col("transaction_date").alias("day")).agg(
         F.sum("n").alias("total_transactions"),
         F.sum("n_f1").alias("suspicious_count"),
         F.sum("n_f0").alias("normal_count"),

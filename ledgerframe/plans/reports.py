@@ -14,6 +14,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerframe.operators.rollup import Measures
+
 from ledgerframe.functions import calendar as cal
 from ledgerframe.functions import labels as L
 from ledgerframe.functions.exact import (
@@ -29,9 +31,7 @@ from ledgerframe.operators.bands import above_band, range_band
 from ledgerframe.operators.grouped import (
     FLAG,
     by_weekday,
-    count_rows,
     daily,
-    flagged,
     mean_of,
     monthly,
     stats_by,
@@ -64,32 +64,35 @@ def _as_of(as_of) -> Column:
 # ------------------------------------------------------------------ basic stats
 def overall_stats(t: DataFrame) -> DataFrame:
     """One row: count, first/last date, distinct categories, debit/credit sums, mean balance."""
+    m = Measures(t)
     return t.agg(
-        count_rows().alias("total_transactions"),
+        m.rows().alias("total_transactions"),
         F.min("transaction_date").alias("first_date"),
         F.max("transaction_date").alias("last_date"),
         as_count(F.countDistinct("description")).alias("unique_categories"),
-        money(F.sum("debit")).alias("total_debits"),
-        money(F.sum("credit")).alias("total_credits"),
-        mean(F.sum("balance"), F.count("balance"), 2, scale=2).alias("avg_balance"),
+        money(m.sum("debit")).alias("total_debits"),
+        money(m.sum("credit")).alias("total_credits"),
+        mean(m.sum("balance"), m.count("balance"), 2, scale=2).alias("avg_balance"),
     )
 
 
 def top_days(t: DataFrame, n: int = 10) -> DataFrame:
     """The n days with the largest debit sum (NULL sums last)."""
-    d = daily(t, [count_rows().alias("transactions_count"),
-                  money(F.sum("debit")).alias("total_debit"),
-                  money(F.sum("credit")).alias("total_credit")])
+    m = Measures(t)
+    d = daily(t, [m.rows().alias("transactions_count"),
+                  money(m.sum("debit")).alias("total_debit"),
+                  money(m.sum("credit")).alias("total_credit")])
     return top_k(d, [F.col("total_debit").desc_nulls_last(), asc("transaction_date")], n)
 
 
 # -------------------------------------------------------------- detailed stats
 def amount_bands(t: DataFrame, bands=L.DEBIT_BANDS, else_label: str = L.NO_DEBIT_LABEL) -> DataFrame:
     """Count, share % and flag rate (4 dp) per debit band, by smallest debit (NULL last)."""
+    m = Measures(t)
     g = t.groupBy(range_band("debit", bands, else_label).alias("debit_range")).agg(
-        count_rows().alias("transactions"),
-        F.sum(FLAG).alias("__fs"),
-        F.count(FLAG).alias("__fn"),
+        m.rows().alias("transactions"),
+        m.sum(FLAG).alias("__fs"),
+        m.count(FLAG).alias("__fn"),
         F.min("debit").alias("__min_debit"),
     )
     g = share_of_total(g, "transactions", "percentage", bounded=True)  # six bands
@@ -109,7 +112,8 @@ def weekday_flags(t: DataFrame) -> DataFrame:
 
 def daily_moving_average(t: DataFrame, sizes=(7, 30)) -> DataFrame:
     """Daily count with its moving averages over the last N rows (days present)."""
-    d = daily(t, [count_rows().alias("daily_transactions")])
+    m = Measures(t)
+    d = daily(t, [m.rows().alias("daily_transactions")])
     order = [asc("transaction_date")]
     keys = ["transaction_date"]
     cols = [moving_mean("daily_transactions", keys, n, 2).alias(f"moving_avg_{n}days") for n in sizes]
@@ -119,8 +123,9 @@ def daily_moving_average(t: DataFrame, sizes=(7, 30)) -> DataFrame:
 
 def top_flagged(t: DataFrame, n: int = 10, min_rows: int = 10) -> DataFrame:
     """n descriptions by flagged % among those with more than ``min_rows`` rows."""
-    g = t.groupBy("description").agg(count_rows().alias("total_count"),
-                                     flagged(1).alias("suspicious_count"))
+    m = Measures(t)
+    g = t.groupBy("description").agg(m.rows().alias("total_count"),
+                                     m.flagged(1).alias("suspicious_count"))
     g = g.where(F.col("total_count") > min_rows).select(
         "description",
         as_count("total_count").alias("total_count"),
@@ -132,9 +137,10 @@ def top_flagged(t: DataFrame, n: int = 10, min_rows: int = 10) -> DataFrame:
 
 def cumulative_daily(t: DataFrame) -> DataFrame:
     """Daily count, debit, credit and their running totals."""
-    d = daily(t, [count_rows().alias("trans_count"),
-                  money(F.sum("debit")).alias("total_debit"),
-                  money(F.sum("credit")).alias("total_credit")])
+    m = Measures(t)
+    d = daily(t, [m.rows().alias("trans_count"),
+                  money(m.sum("debit")).alias("total_debit"),
+                  money(m.sum("credit")).alias("total_credit")])
     order = [asc("transaction_date")]
     keys = ["transaction_date"]
     return d.select(
@@ -155,16 +161,17 @@ def big_categories(t: DataFrame, min_volume=L.BIG_CATEGORY_VOLUME, as_of=None) -
     One aggregation: the volume filter of the IN-subquery is a HAVING on the
     same groups (a NULL description never matches IN, so it is dropped).
     """
-    vol = F.sum(F.coalesce(F.col("debit"), F.lit(0)) + F.coalesce(F.col("credit"), F.lit(0)))
+    m = Measures(t)
+    vol = m.volume()
     g = (
         t.where(F.col("description").isNotNull())
         .groupBy(F.col("description").alias("category"))
         .agg(
-            count_rows().alias("transaction_count"),
+            m.rows().alias("transaction_count"),
             F.min("transaction_date").alias("first_seen"),
             F.max("transaction_date").alias("last_seen"),
-            *sum_count("debit"),
-            *sum_count("credit"),
+            *m.sum_count("debit"),
+            *m.sum_count("credit"),
             vol.alias("__vol"),
         )
         .where(F.col("__vol") > F.lit(min_volume))
@@ -193,12 +200,13 @@ def flag_stats(t: DataFrame) -> DataFrame:
 
 def monthly_flag_trend(t: DataFrame) -> DataFrame:
     """Per YYYY-MM: total, flagged, rate %, mean debit of flagged and of normal rows."""
+    m = Measures(t)
     g = t.groupBy(cal.month_key("transaction_date").alias("month")).agg(
-        count_rows().alias("__cnt"),
-        flagged(1).alias("__flagged"),
-        F.sum(FLAG).alias("__fs"),
-        *sum_count("debit", "sd", when=F.col(FLAG) == 1),
-        *sum_count("debit", "nd", when=F.col(FLAG) == 0),
+        m.rows().alias("__cnt"),
+        m.flagged(1).alias("__flagged"),
+        m.sum(FLAG).alias("__fs"),
+        *m.debit_where_flag(1, "sd"),
+        *m.debit_where_flag(0, "nd"),
     )
     return g.select(
         "month",
@@ -212,11 +220,12 @@ def monthly_flag_trend(t: DataFrame) -> DataFrame:
 
 def top_flagged_detail(t: DataFrame, n: int = 20, min_rows: int = 10) -> DataFrame:
     """n descriptions by flagged %, > ``min_rows`` rows and at least one flagged."""
+    m = Measures(t)
     g = t.groupBy("description").agg(
-        count_rows().alias("total"),
-        F.sum(FLAG).alias("suspicious"),
-        *sum_count("debit"),
-        *sum_count("credit"),
+        m.rows().alias("total"),
+        m.sum(FLAG).alias("suspicious"),
+        *m.sum_count("debit"),
+        *m.sum_count("credit"),
     ).where((F.col("total") > min_rows) & (F.col("suspicious") > 0))
     out = g.select(
         "description",
@@ -244,8 +253,9 @@ def large_flagged(t: DataFrame, min_debit=L.LARGE_DEBIT, n: int = 20) -> DataFra
 # ---------------------------------------------------------- window analyses
 def daily_moving(t: DataFrame) -> DataFrame:
     """Daily count/debit/flag rate with 7- and 30-row moving averages."""
-    d = daily(t, [count_rows().alias("__cnt"), F.sum("debit").alias("__debit"),
-                  F.sum(FLAG).alias("__fs"), F.count(FLAG).alias("__fn")])
+    m = Measures(t)
+    d = daily(t, [m.rows().alias("__cnt"), m.sum("debit").alias("__debit"),
+                  m.sum(FLAG).alias("__fs"), m.count(FLAG).alias("__fn")])
     d = d.withColumn("__rate", mean("__fs", "__fn", UNROUNDED_SCALE))
     order = [asc("transaction_date")]
     keys = ["transaction_date"]
@@ -264,12 +274,13 @@ def daily_moving(t: DataFrame) -> DataFrame:
 def rank_categories(t: DataFrame, n: int = 30, min_rows: int = 5,
                     distributed: bool | None = None) -> DataFrame:
     """Categories (> ``min_rows`` rows) ranked by debit, frequency and risk; top n by debit rank."""
+    m = Measures(t)
     g = t.groupBy("description").agg(
-        count_rows().alias("txn_count"),
-        F.sum("debit").alias("__sd"),
-        F.sum("credit").alias("__sc"),
-        F.sum(FLAG).alias("__fs"),
-        F.count(FLAG).alias("__fn"),
+        m.rows().alias("txn_count"),
+        m.sum("debit").alias("__sd"),
+        m.sum("credit").alias("__sc"),
+        m.sum(FLAG).alias("__fs"),
+        m.count(FLAG).alias("__fn"),
     ).where(F.col("txn_count") > min_rows)
     # exact-enough order key for the rate: 17 digits separates any two
     # distinct fractions with denominators below ~3e8
@@ -295,8 +306,9 @@ def rank_categories(t: DataFrame, n: int = 30, min_rows: int = 5,
 
 def monthly_cumulative(t: DataFrame) -> DataFrame:
     """Monthly totals, running totals and a 3-row moving average of the count."""
-    m = monthly(t, [count_rows().alias("__cnt"), F.sum("debit").alias("__sd"),
-                    F.sum("credit").alias("__sc"), F.sum(FLAG).alias("__fs")])
+    m = Measures(t)
+    m = monthly(t, [m.rows().alias("__cnt"), m.sum("debit").alias("__sd"),
+                    m.sum("credit").alias("__sc"), m.sum(FLAG).alias("__fs")])
     order = [asc("__month")]
     keys = ["__month"]
     return m.select(
@@ -315,7 +327,8 @@ def monthly_cumulative(t: DataFrame) -> DataFrame:
 
 def period_change(t: DataFrame, safe: bool = False) -> DataFrame:
     """Month vs previous month: previous values and growth % (unguarded by default)."""
-    m = monthly(t, [count_rows().alias("__cnt"), F.sum("debit").alias("__sd")])
+    m = Measures(t)
+    m = monthly(t, [m.rows().alias("__cnt"), m.sum("debit").alias("__sd")])
     order = [asc("__month")]
     keys = ["__month"]
     return m.select(
@@ -367,17 +380,18 @@ def first_last(t: DataFrame, key: str = "description", order: str = "transaction
 # ---------------------------------------------------------- business insights
 def kpis_long(t: DataFrame) -> DataFrame:
     """Ten headline KPIs in long form (group, name, text value, unit) from one aggregate."""
+    m = Measures(t)
     a = t.agg(
-        count_rows().alias("total_txns"),
+        m.rows().alias("total_txns"),
         F.countDistinct("description").alias("total_categories"),
         F.countDistinct("transaction_date").alias("active_days"),
         F.min("transaction_date").alias("first_date"),
         F.max("transaction_date").alias("last_date"),
-        F.sum("debit").alias("total_debit"),
-        F.sum("credit").alias("total_credit"),
-        F.sum(FLAG).alias("total_suspicious"),
-        *sum_count("debit"),
-        *sum_count("credit"),
+        m.sum("debit").alias("total_debit"),
+        m.sum("credit").alias("total_credit"),
+        m.sum(FLAG).alias("total_suspicious"),
+        *m.sum_count("debit"),
+        *m.sum_count("credit"),
     )
     s = lambda c: c.cast("string")
     values = [
@@ -402,8 +416,9 @@ def kpis_long(t: DataFrame) -> DataFrame:
 
 def monthly_dynamics(t: DataFrame) -> DataFrame:
     """Monthly totals, distinct categories, flagged %, guarded debit growth %."""
-    m = monthly(t, [count_rows().alias("__cnt"), F.countDistinct("description").alias("__cats"),
-                    *sum_count("debit"), F.sum("credit").alias("__sc"), F.sum(FLAG).alias("__fs")])
+    m = Measures(t)
+    m = monthly(t, [m.rows().alias("__cnt"), F.countDistinct("description").alias("__cats"),
+                    *m.sum_count("debit"), m.sum("credit").alias("__sc"), m.sum(FLAG).alias("__fs")])
     order = [asc("__month")]
     keys = ["__month"]
     return m.select(
@@ -422,9 +437,10 @@ def monthly_dynamics(t: DataFrame) -> DataFrame:
 
 def top_categories(t: DataFrame, n: int = 10, min_rows: int = 10) -> DataFrame:
     """n categories (> ``min_rows`` rows) by debit sum, NULL sums last."""
+    m = Measures(t)
     g = t.groupBy(F.col("description").alias("category")).agg(
-        count_rows().alias("__cnt"), *sum_count("debit"), F.sum("credit").alias("__sc"),
-        F.sum(FLAG).alias("__fs"),
+        m.rows().alias("__cnt"), *m.sum_count("debit"), m.sum("credit").alias("__sc"),
+        m.sum(FLAG).alias("__fs"),
     ).where(F.col("__cnt") > min_rows)
     out = g.select(
         "category",
@@ -446,9 +462,10 @@ def weekday_profile(t: DataFrame) -> DataFrame:
 
 def day_of_month_profile(t: DataFrame) -> DataFrame:
     """Per day of month: row count (named avg_transactions), means, flagged %."""
+    m = Measures(t)
     g = t.groupBy(cal.day_of_month("transaction_date").alias("day_of_month")).agg(
-        count_rows().alias("__cnt"), *sum_count("debit"), *sum_count("credit"),
-        F.sum(FLAG).alias("__fs"), F.count(FLAG).alias("__fn"))
+        m.rows().alias("__cnt"), *m.sum_count("debit"), *m.sum_count("credit"),
+        m.sum(FLAG).alias("__fs"), m.count(FLAG).alias("__fn"))
     g = g.select(
         "day_of_month",
         as_count("__cnt").alias("avg_transactions"),
@@ -461,8 +478,9 @@ def day_of_month_profile(t: DataFrame) -> DataFrame:
 
 def risk_bands(t: DataFrame, bands=L.RISK_AMOUNT_BANDS, levels=L.RISK_LEVELS) -> DataFrame:
     """Four debit bands with flagged %, then a risk level from the rounded %."""
+    m = Measures(t)
     g = t.groupBy(above_band("debit", bands, L.RISK_AMOUNT_ELSE).alias("amount_category")).agg(
-        count_rows().alias("__cnt"), F.sum(FLAG).alias("__fs"))
+        m.rows().alias("__cnt"), m.sum(FLAG).alias("__fs"))
     g = g.select(
         "amount_category",
         as_count("__cnt").alias("total"),
@@ -479,14 +497,15 @@ def dashboard(t: DataFrame) -> DataFrame:
     The mean of daily counts is rows / day groups, where the day groups
     are the distinct dates plus one group for NULL dates if any.
     """
+    m = Measures(t)
     day_groups = F.countDistinct("transaction_date") + F.max(
         F.when(F.col("transaction_date").isNull(), 1).otherwise(0))
     a = t.agg(
-        count_rows().alias("__cnt"),
+        m.rows().alias("__cnt"),
         F.countDistinct("description").alias("__cats"),
-        *sum_count("debit"),
-        F.sum(FLAG).alias("__fs"),
-        F.count(F.when(F.col(FLAG) == 1, 1)).alias("__flagged"),
+        *m.sum_count("debit"),
+        m.sum(FLAG).alias("__fs"),
+        m.flagged(1).alias("__flagged"),
         day_groups.alias("__days"),
     )
     return a.select(

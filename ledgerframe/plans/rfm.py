@@ -19,11 +19,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerframe.operators.rollup import Measures
+
 from ledgerframe.functions import calendar as cal
 from ledgerframe.functions import labels as L
 from ledgerframe.functions.exact import as_count, money, percent
 from ledgerframe.operators.bands import above_band, between_band
-from ledgerframe.operators.grouped import FLAG, count_rows
+from ledgerframe.operators.grouped import FLAG
 from ledgerframe.operators.ranking import ntile, prepare
 from ledgerframe.operators.window import top_k
 from ledgerframe.plans.reports import _as_of
@@ -31,13 +33,13 @@ from ledgerframe.plans.reports import _as_of
 
 def rfm(t: DataFrame, as_of=None, buckets: int = 5, min_rows: int = 5, n: int | None = 50,
         invert_scores: bool = False, distributed: bool | None = None) -> DataFrame:
+    m = Measures(t)
     g = t.groupBy(F.col("description").alias("category")).agg(
         F.max("transaction_date").alias("__last"),
-        count_rows().alias("frequency"),
-        F.sum(F.coalesce(F.col("debit"), F.lit(0)) + F.coalesce(F.col("credit"), F.lit(0)))
-        .alias("__monetary"),
-        F.sum(FLAG).alias("__fs"),
-        F.count(FLAG).alias("__fn"),
+        m.rows().alias("frequency"),
+        m.volume().alias("__monetary"),
+        m.sum(FLAG).alias("__fs"),
+        m.count(FLAG).alias("__fn"),
     ).where(F.col("frequency") > min_rows)
     g = g.select(
         "category",

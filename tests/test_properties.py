@@ -107,3 +107,26 @@ def test_marts_from_one_shared_rollup_equal_direct_builds(fact):
         a = [tuple(x) for x in direct.collect()]
         b = [tuple(x) for x in shared.collect()]
         assert a == b and len(a) > 400
+
+
+def test_reports_on_the_rollup_equal_reports_on_the_fact(fact):
+    from ledgerframe.operators.rollup import day_category_rollup
+    from ledgerframe.plans.catalog import CATALOG, ROLLUP_KEYS
+
+    r = day_category_rollup(fact).cache()
+
+    def key(row):
+        return tuple((x is None, repr(x)) for x in row)
+
+    for name in sorted(ROLLUP_KEYS):
+        a = sorted((tuple(x) for x in CATALOG[name](fact).collect()), key=key)
+        b = sorted((tuple(x) for x in CATALOG[name](r).collect()), key=key)
+        assert a == b, name
+
+
+def test_run_reports_job(fact):
+    from ledgerframe.plans import jobs
+
+    out = jobs.run_reports(fact, keys=["q01_overall", "q06_large", "m03_monthly"])
+    assert out["q01_overall"].first().total_transactions == 15000
+    assert out["q06_large"].count() == 20 and out["m03_monthly"].count() == 81
