@@ -134,3 +134,19 @@ def test_kpi_text_values(hand):
     assert out["Всего транзакций"]["value"] == "15"
     assert out["Период"]["value"] == "2024-01-01 - 2025-01-08"
     assert out["Общий кредит"]["value"] == "71.00" and out["Общий кредит"]["unit"] == "руб"
+
+
+def test_rollup_grain_matches_fact_grain_on_edge_rows(hand):
+    """NULL dates, categories and flags survive the (day, category) pre-aggregate."""
+    from ledgerframe.operators.rollup import day_category_rollup
+    from ledgerframe.plans.catalog import CATALOG, ROLLUP_KEYS
+
+    r = day_category_rollup(hand).cache()
+
+    def key(row):
+        return tuple((x is None, repr(x)) for x in row)
+
+    for name in sorted(ROLLUP_KEYS):
+        a = sorted((tuple(x) for x in CATALOG[name](hand).collect()), key=key)
+        b = sorted((tuple(x) for x in CATALOG[name](r).collect()), key=key)
+        assert a == b, name
