@@ -20,63 +20,73 @@ from ledgerframe.sources.tables import load_report
 AS_OF = _dt.date(2002, 1, 1)
 UPDATED_AT = _dt.datetime(2002, 1, 1, 0, 0, 0)
 
-CATALOG: dict[str, Callable[[DataFrame], DataFrame]] = {
-    # load and table rules
-    "l04_load_report": load_report,
-    "l06_validate": validate,
-    # basic stats
-    "q01_overall": reports.overall_stats,
-    "q01_by_flag": lambda t: reports.stats_by(t),
-    "q01_top_days": reports.top_days,
-    # detailed stats
-    "q03_amount_bands": reports.amount_bands,
-    "q03_weekday": reports.weekday_flags,
-    "q03_moving_avg": reports.daily_moving_average,
-    "q03_top_flagged": reports.top_flagged,
-    "q03_cumulative": reports.cumulative_daily,
-    # RFM
-    "q04_rfm": lambda t: rfm.rfm(t, as_of=AS_OF),
-    "q04_big_categories": lambda t: reports.big_categories(t, as_of=AS_OF),
-    "q04_big_categories_1m": lambda t: reports.big_categories(t, min_volume=1000000, as_of=AS_OF),
-    # cohorts
-    "q05_cohort": cohort.cohort_retention,
-    # suspicious analysis
-    "q06_by_flag": reports.flag_stats,
-    "q06_monthly": reports.monthly_flag_trend,
-    "q06_top_flagged": reports.top_flagged_detail,
-    "q06_weekday": reports.weekday_flag_sums,
-    "q06_large": reports.large_flagged,
-    # window analyses
-    "q07_daily_moving": reports.daily_moving,
-    "q07_ranking": reports.rank_categories,
-    "q07_monthly_cumulative": reports.monthly_cumulative,
-    "q07_period_change": reports.period_change,
-    "q07_first_last": reports.first_last,
-    # business insights
-    "q08_kpis": reports.kpis_long,
-    "q08_monthly": reports.monthly_dynamics,
-    "q08_top_categories": reports.top_categories,
-    "q08_weekday": reports.weekday_profile,
-    "q08_seasonality": reports.day_of_month_profile,
-    "q08_risk_bands": reports.risk_bands,
-    "q08_dashboard": reports.dashboard,
-    # daily mart
-    "m01_daily": lambda t: marts.daily_mart(t, updated_at=UPDATED_AT),
-    "m01_count": lambda t: marts.daily_mart_count(marts.daily_mart(t, updated_at=UPDATED_AT)),
-    "m01_preview": lambda t: marts.daily_mart_preview(marts.daily_mart(t, updated_at=UPDATED_AT)),
-    # category mart
-    "m02_category": lambda t: marts.category_mart(t, as_of=AS_OF, updated_at=UPDATED_AT),
-    "m02_count": lambda t: marts.category_mart_count(
-        marts.category_mart(t, as_of=AS_OF, updated_at=UPDATED_AT)),
-    "m02_preview": lambda t: marts.category_mart_preview(
-        marts.category_mart(t, as_of=AS_OF, updated_at=UPDATED_AT)),
-    # anomaly mart
-    "m03_anomaly": lambda t: marts.anomaly_mart(t, updated_at=UPDATED_AT),
-    "m03_top_days": lambda t: marts.top_risk_days(marts.anomaly_mart(t, updated_at=UPDATED_AT)),
-    "m03_anomalies": lambda t: marts.anomalous_days(marts.anomaly_mart(t, updated_at=UPDATED_AT)),
-    "m03_weekday": lambda t: marts.mart_by_weekday(marts.anomaly_mart(t, updated_at=UPDATED_AT)),
-    "m03_monthly": lambda t: marts.mart_by_month(marts.anomaly_mart(t, updated_at=UPDATED_AT)),
-}
+
+def catalog(as_of=AS_OF, updated_at=UPDATED_AT) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """name -> query over a fact table (or its rollup, for ROLLUP_KEYS).
+
+    ``as_of`` replaces CURRENT_DATE and ``updated_at`` CURRENT_TIMESTAMP;
+    pass None for the clock values of the moment the query runs.
+    """
+    return {
+        # load and table rules
+        "l04_load_report": load_report,
+        "l06_validate": validate,
+        # basic stats
+        "q01_overall": reports.overall_stats,
+        "q01_by_flag": lambda t: reports.stats_by(t),
+        "q01_top_days": reports.top_days,
+        # detailed stats
+        "q03_amount_bands": reports.amount_bands,
+        "q03_weekday": reports.weekday_flags,
+        "q03_moving_avg": reports.daily_moving_average,
+        "q03_top_flagged": reports.top_flagged,
+        "q03_cumulative": reports.cumulative_daily,
+        # RFM
+        "q04_rfm": lambda t: rfm.rfm(t, as_of=as_of),
+        "q04_big_categories": lambda t: reports.big_categories(t, as_of=as_of),
+        "q04_big_categories_1m": lambda t: reports.big_categories(t, min_volume=1000000, as_of=as_of),
+        # cohorts
+        "q05_cohort": cohort.cohort_retention,
+        # suspicious analysis
+        "q06_by_flag": reports.flag_stats,
+        "q06_monthly": reports.monthly_flag_trend,
+        "q06_top_flagged": reports.top_flagged_detail,
+        "q06_weekday": reports.weekday_flag_sums,
+        "q06_large": reports.large_flagged,
+        # window analyses
+        "q07_daily_moving": reports.daily_moving,
+        "q07_ranking": reports.rank_categories,
+        "q07_monthly_cumulative": reports.monthly_cumulative,
+        "q07_period_change": reports.period_change,
+        "q07_first_last": reports.first_last,
+        # business insights
+        "q08_kpis": reports.kpis_long,
+        "q08_monthly": reports.monthly_dynamics,
+        "q08_top_categories": reports.top_categories,
+        "q08_weekday": reports.weekday_profile,
+        "q08_seasonality": reports.day_of_month_profile,
+        "q08_risk_bands": reports.risk_bands,
+        "q08_dashboard": reports.dashboard,
+        # daily mart
+        "m01_daily": lambda t: marts.daily_mart(t, updated_at=updated_at),
+        "m01_count": lambda t: marts.daily_mart_count(marts.daily_mart(t, updated_at=updated_at)),
+        "m01_preview": lambda t: marts.daily_mart_preview(marts.daily_mart(t, updated_at=updated_at)),
+        # category mart
+        "m02_category": lambda t: marts.category_mart(t, as_of=as_of, updated_at=updated_at),
+        "m02_count": lambda t: marts.category_mart_count(
+            marts.category_mart(t, as_of=as_of, updated_at=updated_at)),
+        "m02_preview": lambda t: marts.category_mart_preview(
+            marts.category_mart(t, as_of=as_of, updated_at=updated_at)),
+        # anomaly mart
+        "m03_anomaly": lambda t: marts.anomaly_mart(t, updated_at=updated_at),
+        "m03_top_days": lambda t: marts.top_risk_days(marts.anomaly_mart(t, updated_at=updated_at)),
+        "m03_anomalies": lambda t: marts.anomalous_days(marts.anomaly_mart(t, updated_at=updated_at)),
+        "m03_weekday": lambda t: marts.mart_by_weekday(marts.anomaly_mart(t, updated_at=updated_at)),
+        "m03_monthly": lambda t: marts.mart_by_month(marts.anomaly_mart(t, updated_at=updated_at)),
+    }
+
+
+CATALOG: dict[str, Callable[[DataFrame], DataFrame]] = catalog()
 
 # Queries that need only day- or category-level sums and counts: they run
 # unchanged on the (day, category) rollup of the fact table. The others

@@ -105,20 +105,24 @@ def rebuild_marts(
     return reports
 
 
-def run_reports(t: DataFrame, keys=None) -> dict[str, DataFrame]:
+def run_reports(t: DataFrame, keys=None, as_of=None, updated_at=None,
+                pinned: bool = True) -> dict[str, DataFrame]:
     """Every catalogued report, mart and read-back with one pre-aggregation.
 
     The (day, category) rollup is computed once and checkpointed to the
     shared checkpoint folder; the queries that need only day- or
     category-level sums and counts read it, the few that need row-level
     values read the fact table. Returns lazy DataFrames keyed by name.
+    ``pinned=True`` uses the catalogue's fixed clock values; otherwise
+    ``as_of`` / ``updated_at`` (None: the moment the query runs).
     """
     from ledgerframe.operators.rollup import day_category_rollup
-    from ledgerframe.plans.catalog import CATALOG, ROLLUP_KEYS
+    from ledgerframe.plans.catalog import CATALOG, ROLLUP_KEYS, catalog
 
-    wanted = list(keys or CATALOG)
+    cat = CATALOG if pinned else catalog(as_of, updated_at)
+    wanted = list(keys or cat)
     rollup = None
     if any(k in ROLLUP_KEYS for k in wanted):
         checkpoint_dir(t.sparkSession)
         rollup = day_category_rollup(t).checkpoint(eager=True)
-    return {k: CATALOG[k](rollup if k in ROLLUP_KEYS else t) for k in wanted}
+    return {k: cat[k](rollup if k in ROLLUP_KEYS else t) for k in wanted}

@@ -128,3 +128,16 @@ def test_load_job_and_mart_rebuild(spark):
     assert spark.table("lf_fact_job").count() == 4  # the failed load left the table intact
     tables.ensure_table(spark, "lf_fact_job")  # idempotent
     spark.sql("DROP TABLE IF EXISTS lf_fact_job")
+
+
+def test_command_line(spark, hand, capsys):
+    from ledgerframe.__main__ import main
+
+    root = tempfile.mkdtemp(prefix="lf-cli-", dir="/tmp")
+    hand.write.parquet(os.path.join(root, "fact"))
+    assert main(["list"]) == 0
+    assert "q04_rfm" in capsys.readouterr().out
+    assert main(["query", "--fact", os.path.join(root, "fact"), "q01_overall",
+                 "--as-of", "2025-01-01", "--show", "3"]) == 0
+    assert "total_transactions" in capsys.readouterr().out
+    assert main(["query", "--fact", os.path.join(root, "fact"), "no_such_query"]) == 2
