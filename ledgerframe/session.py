@@ -30,13 +30,19 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or 8),
         # PySpark otherwise records the Python call site of every column
         # function through several JVM calls; plans build much faster without
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         # remove checkpoint files once the checkpointed frame is unreachable
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
+    # Shuffle width: explicit, or 8 for a local run. On a cluster the
+    # configured value is kept (size it so post-aggregation partitions are
+    # ~128-256 MB; adaptive execution coalesces small ones).
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    elif master and master.startswith("local"):
+        conf["spark.sql.shuffle.partitions"] = "8"
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
