@@ -39,22 +39,32 @@ def load_transactions(
     """
     raw = csvsrc.read_transactions(spark, csv_path, date_format=date_format)
     stage_path = _staging_path(spark)
-    raw.write.mode("overwrite").parquet(stage_path)
-    staged = tables.with_surrogate_id(spark.read.parquet(stage_path), dense=True)
-    if check_rules:
-        # row rules only: the ids were just generated and are unique by construction
-        assert_valid(staged, check_unique=False)
-    if path:
-        tables.load(staged, path=path)
-        loaded = spark.read.parquet(path)
-    else:
-        tables.ensure_table(spark, table)
-        tables.load(staged, name=table)
-        tables.comment(spark, table, L.FACT_TABLE_COMMENT, L.FACT_COLUMN_COMMENTS)
-        loaded = spark.table(table)
+    try:
+        raw.write.mode("overwrite").parquet(stage_path)
+        staged = tables.with_surrogate_id(spark.read.parquet(stage_path), dense=True)
+        if check_rules:
+            # row rules only: the ids were just generated and are unique by construction
+            assert_valid(staged, check_unique=False)
+        if path:
+            tables.load(staged, path=path)
+            loaded = spark.read.parquet(path)
+        else:
+            tables.ensure_table(spark, table)
+            tables.load(staged, name=table)
+            tables.comment(spark, table, L.FACT_TABLE_COMMENT, L.FACT_COLUMN_COMMENTS)
+            loaded = spark.table(table)
+    finally:
+        _delete(spark, stage_path)  # the staged copy is as large as the input
     return tables.load_report(loaded)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the Hadoop file system of the cluster."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _staging_path(spark: SparkSession) -> str:
     root = checkpoint_dir(spark)
     return f"{root.rstrip('/')}/ledgerframe-staging-{uuid.uuid4().hex}"

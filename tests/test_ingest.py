@@ -141,3 +141,17 @@ def test_command_line(spark, hand, capsys):
                  "--as-of", "2025-01-01", "--show", "3"]) == 0
     assert "total_transactions" in capsys.readouterr().out
     assert main(["query", "--fact", os.path.join(root, "fact"), "no_such_query"]) == 2
+
+
+def test_load_job_removes_its_staging_copy(spark):
+    from ledgerframe.plans import jobs
+    from ledgerframe.session import checkpoint_dir
+
+    root = checkpoint_dir(spark).replace("file:", "")
+    before = {d for d in os.listdir(root) if d.startswith("ledgerframe-staging-")} \
+        if os.path.isdir(root) else set()
+    p = _write("2024-01-01,A,1.00,,10.00,0\n")
+    out = tempfile.mkdtemp(prefix="lf-stage-", dir="/tmp")
+    assert jobs.load_transactions(spark, p, path=os.path.join(out, "fact")).first().loaded_rows == 1
+    after = {d for d in os.listdir(root) if d.startswith("ledgerframe-staging-")}
+    assert after == before
