@@ -61,13 +61,16 @@ MART_COMMENTS = {
 
 
 def _updated_at(updated_at) -> Column:
+    """Build time as a wall-clock TIMESTAMP_NTZ (the same in every session zone)."""
     if updated_at is None:
-        return F.current_timestamp()
+        return F.localtimestamp()
     if isinstance(updated_at, Column):
         return updated_at
     if isinstance(updated_at, str):
         updated_at = _dt.datetime.fromisoformat(updated_at)
-    return F.lit(updated_at).cast("timestamp")
+    if isinstance(updated_at, _dt.date) and not isinstance(updated_at, _dt.datetime):
+        updated_at = _dt.datetime.combine(updated_at, _dt.time())
+    return F.expr(f"TIMESTAMP_NTZ '{updated_at.replace(tzinfo=None).isoformat(sep=' ')}'")
 
 
 def _zero(col) -> Column:

@@ -42,7 +42,7 @@ def test_fixture_equals_oracle_derivation(spark):
 
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "date": "DATE",
-                 "timestamp": "TIMESTAMP"}
+                 "timestamp_ntz": "TIMESTAMP"}  # both are wall-clock timestamps without a zone
 
 
 def test_result_types_match_oracle(spark):
@@ -56,3 +56,15 @@ def test_result_types_match_oracle(spark):
         rel = con.sql(E.oracle_sql()[name])
         theirs = {c: str(t) for c, t in zip(rel.columns, rel.types)}
         assert ours == theirs, name
+
+
+@pytest.mark.parametrize("name", ["m01_preview", "m03_top_days", "q03_weekday", "q05_cohort",
+                                  "q06_monthly", "q08_kpis"])
+def test_results_do_not_depend_on_the_session_time_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        ok, msg = compare(E.queries()[name](spark, SF01), con, E.oracle_sql()[name])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ok, msg
