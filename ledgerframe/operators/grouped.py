@@ -42,10 +42,6 @@ def mean_of(prefix: str, digits: int = 2, scale: int = 2) -> Column:
     return mean(f"__s_{prefix}", f"__n_{prefix}", digits, scale=scale)
 
 
-def drop_hidden(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
-
-
 def stats_by(t: DataFrame, key: str = FLAG, count_alias: str = "transaction_count",
              order: bool = True, bounded: bool | None = None) -> DataFrame:
     """Per key: count, share of all rows %, mean debit/credit/balance, min/max balance.

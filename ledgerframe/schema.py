@@ -26,11 +26,5 @@ MONEY_SCALE = 2
 # Output type conventions shared by every report so that results compare
 # exactly across engines: counts and calendar parts are BIGINT, every
 # decimal result is DECIMAL(38, s) with s the rounding scale of the column.
-COUNT_TYPE = "bigint"
-
-
 def decimal_type(scale: int) -> str:
     return f"decimal(38,{scale})"
-
-
-MONEY_TYPE = decimal_type(MONEY_SCALE)
