@@ -21,7 +21,7 @@ TRANSACTION_SCHEMA = T.StructType(
 CSV_COLUMNS = [f.name for f in TRANSACTION_SCHEMA.fields[1:]]
 
 MAX_DESCRIPTION_LENGTH = 255
-MONEY_SCALE = 2
+
 
 # Output type conventions shared by every report so that results compare
 # exactly across engines: counts and calendar parts are BIGINT, every
