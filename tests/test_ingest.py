@@ -155,3 +155,21 @@ def test_load_job_removes_its_staging_copy(spark):
     assert jobs.load_transactions(spark, p, path=os.path.join(out, "fact")).first().loaded_rows == 1
     after = {d for d in os.listdir(root) if d.startswith("ledgerframe-staging-")}
     assert after == before
+
+
+def test_csv_custom_date_format(spark):
+    p = _write("07.01.2024,A,1.00,,10.00,0\n")
+    out = csvsrc.read_transactions(spark, p, date_format="dd.MM.yyyy").first()
+    assert out.transaction_date == dt.date(2024, 1, 7)
+
+
+def test_mart_written_with_year_partitions(spark, hand):
+    root = tempfile.mkdtemp(prefix="lf-part-", dir="/tmp")
+    mart = marts.daily_mart(hand, updated_at="2002-01-01")
+    tables.write_mart(mart, path=os.path.join(root, "daily"), sort_by=["transaction_date"],
+                      partition_by=["year"])
+    dirs = sorted(d for d in os.listdir(os.path.join(root, "daily")) if d.startswith("year="))
+    assert dirs == ["year=2024", "year=2025", "year=__HIVE_DEFAULT_PARTITION__"]
+    back = spark.read.parquet(os.path.join(root, "daily"))
+    assert back.count() == mart.count()
+    assert back.where("year = 2025").count() == 1  # partition pruning on the lookup key

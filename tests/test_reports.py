@@ -150,3 +150,14 @@ def test_rollup_grain_matches_fact_grain_on_edge_rows(hand):
         a = sorted((tuple(x) for x in CATALOG[name](hand).collect()), key=key)
         b = sorted((tuple(x) for x in CATALOG[name](r).collect()), key=key)
         assert a == b, name
+
+
+def test_rfm_invert_scores_makes_five_the_best(spark):
+    data = [("2024-01-0%d" % (i + 1), c, "1.00", None, "1.00", 0)
+            for i, c in enumerate("ABCDEFG") for _ in range(6)]
+    f = make_fact(spark, data)
+    plain = {r["category"]: r["r_score"] for r in rows(rfm.rfm(f, as_of=AS_OF, n=None))}
+    inv = {r["category"]: r["r_score"] for r in rows(rfm.rfm(f, as_of=AS_OF, n=None,
+                                                             invert_scores=True))}
+    assert plain["G"] == 1 and inv["G"] == 5  # G is the most recent category
+    assert plain["A"] == 5 and inv["A"] == 1
