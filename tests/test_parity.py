@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
-from oracle.compare import compare, duck
+from lf_oracle.compare import compare, duck
 from tests.conftest import SF01, SF001
 
 NAMES = sorted(E.queries())
@@ -34,7 +34,7 @@ def test_entry_smoke(spark):
 
 def test_fixture_equals_oracle_derivation(spark):
     from ledgerframe.sources.fixture import load_fact
-    from oracle.sql import FACT
+    from lf_oracle.sql import FACT
 
     c = duck(SF001)
     ok, msg = compare(load_fact(spark, SF001), c, FACT)
