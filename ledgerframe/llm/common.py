@@ -137,9 +137,11 @@ def in_bitmap(bits: np.ndarray, slots: pa.Array) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def repeated(df: DataFrame, key: list[str], always: str | None = None) -> DataFrame:
+def repeated(df: DataFrame, key: list[str], always: str | None = None, first: str | None = None) -> DataFrame:
     """Rows whose ``key`` (numbers, none null) occurs more than once, or where ``always`` is true.
 
+    ``first`` adds a column that is true for one row of each key.
+
     Rows are dealt and sorted by the key; a task reads its sorted runs as
     a stream and keeps one row in hand, so no run is ever gathered.
     """
@@ -157,14 +159,18 @@ def repeated(df: DataFrame, key: list[str], always: str | None = None) -> DataFr
                     else batch.column(flag).to_numpy(zero_copy_only=False).astype(bool))
             keep[1:] |= same
             keep[:-1] |= same
-            if held_key == tuple(c[0] for c in columns):
+            goes_on = held_key == tuple(c[0] for c in columns)
+            if goes_on:
                 keep[0] = True
                 if not given:
                     yield held
+            if first is not None:
+                batch = batch.append_column(first, pa.array(np.concatenate(([not goes_on], ~same))))
             yield batch.filter(pa.array(keep))
             held, held_key, given = batch.slice(batch.num_rows - 1), tuple(c[-1] for c in columns), keep[-1]
 
-    return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, df.schema)
+    schema = df.schema if first is None else StructType(df.schema.fields).add(first, "boolean")
+    return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- words as arrays

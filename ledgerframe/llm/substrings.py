@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_CODE, _MULT, bitmap, filter_texts, in_bitmap, mix64, repeated, slot, sql_type, stored, utf8
+from .common import _BYTE_CODE, _MULT, bitmap, filter_texts, in_bitmap, mix64, repeated, slices, slot, sql_type, stored, utf8
 
 LENGTH = 400
 GRAM = 12
 #: one place in so many is an anchor, on average
-EVERY = 40
+EVERY = 32
 RUN = 2
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _SEED2 = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -92,103 +92,176 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def least_inside(at: np.ndarray, n: int, length: int) -> np.ndarray:
+    """For each anchor the phrases inside any window whose first anchor it is, at least; beyond reach if there is none."""
+    start = np.concatenate(([0], at[:-1] + 1)) if len(at) else at
+    last = np.searchsorted(at, start + length - GRAM, side="right") - 1
+    return np.where(start + length <= n, np.maximum(last - np.arange(len(at)), RUN), 1 << 30)
+
+
 def _scan(docs: DataFrame, length: int) -> DataFrame:
-    """(rank, key, th, i, m): every phrase with its fingerprint, number and reach."""
+    """Every phrase with its fingerprint (kind 0), and what windows without ``RUN`` phrases give (kinds 1 and 2).
+
+    kind 0: i the anchor, m its reach, least as ``least_inside``; kind 1: a
+    window at i with its hash; kind 2: bytes i to m that repeat inside the text.
+    """
+    none = np.zeros(0, np.int64)
+
     def run(batches):
         for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for r, text in enumerate(utf8(batch.column(2))):
-                if len(text) < length:
-                    continue
-                at = anchors(text)
-                rank = phrases(text, at)
-                if len(rank):
-                    rows.append((r, rank, reach(at, length)[:len(rank)]))
-                    held += len(rank)
-                if held > 200_000:
-                    yield pack(batch, rows)
-                    rows, held = [], 0
-            if rows:
-                yield pack(batch, rows)
-
-    def pack(batch, rows):
-        take = pa.array(np.repeat([r for r, _, _ in rows], [len(x) for _, x, _ in rows]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(_signed(np.concatenate([x for _, x, _ in rows]))), batch.column(0).take(take), batch.column(1).take(take),
-             pa.array(np.concatenate([np.arange(len(x)) for _, x, _ in rows]), pa.int32()),
-             pa.array(np.concatenate([m for _, _, m in rows]), pa.int32())], names=["rank", "key", "th", "i", "m"])
-
-    return docs.mapInArrow(run, f"rank bigint, key {sql_type(docs, 'key')}, th bigint, i int, m int")
+            texts = utf8(batch.column(2))
+            for a, b in slices([len(t) for t in texts], 1 << 22):
+                parts = []
+                for r in range(a, b):
+                    data = texts[r]
+                    if len(data) < length:
+                        continue
+                    at = anchors(data)
+                    rank = phrases(data, at)
+                    if len(rank):
+                        n = len(rank)
+                        parts.append((r, 0, rank, np.zeros(n, np.uint64), np.arange(n), reach(at, length)[:n],
+                                      least_inside(at, len(data), length)[:n]))
+                    _, few = windows(data, at, none, none, none, none, length, bare=True)
+                    if len(few):
+                        spans, x, one, two = _decide(data, np.zeros(len(data) - length + 1, bool), few, length)
+                        parts.append((r, 1, one, two, x, x + length, np.zeros(len(x), np.int64)))
+                        parts.append((r, 2, *_aside(spans, r), spans[:, 0], spans[:, 1], np.zeros(len(spans), np.int64)))
+                if parts:
+                    yield _pack(batch, parts)
+
+    return docs.mapInArrow(run, f"rank bigint, second bigint, kind int, i int, m int, least int, sure boolean, "
+                                f"key {sql_type(docs, 'key')}, th bigint")
+
+
+def _aside(spans: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Any keys for rows that pass the sort without being compared."""
+    x = mix64(spans[:, 0].astype(np.uint64) + (np.uint64(r + 1) << np.uint64(40)))
+    return x, mix64(x)
+
+
+def _pack(batch, parts) -> pa.RecordBatch:
+    size = [len(p[2]) for p in parts]
+    own = pa.array(np.repeat([p[0] for p in parts], size))
+    kind = np.repeat([p[1] for p in parts], size)
+    rank, second, i, m, least = (np.concatenate([p[c] for p in parts]) for c in range(2, 7))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(_signed(rank)), pa.array(_signed(second)), pa.array(kind, pa.int32()), pa.array(i, pa.int32()),
+         pa.array(m, pa.int32()), pa.array(np.minimum(least, 1 << 30), pa.int32()), pa.array(kind == 2),
+         batch.column(0).take(own), batch.column(1).take(own)],
+        names=["rank", "second", "kind", "i", "m", "least", "sure", "key", "th"])
 
 
 def _by_text(rows: DataFrame, *fields: str) -> DataFrame:
-    """One row per text: its anchors in order; ``many`` tells that the same row stands in the table more than once."""
-    return (rows.groupBy("key", "th").agg(F.sort_array(F.collect_list(F.struct("i", *fields))).alias("at"))
-            .select("key", "th", "at"))
-
-
-def _unpack(column: pa.Array, r: int, fields: list[str]) -> list[np.ndarray]:
-    values = column[r].values
-    return [values.field(f).to_numpy(zero_copy_only=False) for f in fields]
+    """(key, th, at): one row per text, with its anchors in order."""
+    return rows.groupBy("key", "th").agg(F.sort_array(F.collect_list(F.struct("i", *fields))).alias("at"))
+
+
+class _Anchors:
+    """The anchors of a batch of texts as flat arrays; ``at`` orders them by text and number."""
+
+    def __init__(self, batch: pa.RecordBatch, fields: list[str]):
+        lists = batch.column(2)
+        values = lists.flatten()
+        self.batch = batch
+        self.text = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        self.f = {n: values.field(n).to_numpy(zero_copy_only=False) for n in ("i", *fields)}
+        self.at = self.text << 32 | self.f["i"].astype(np.int64)
+
+    def take(self, rows: np.ndarray) -> None:
+        self.text, self.at = self.text[rows], self.at[rows]
+        self.f = {n: v[rows] for n, v in self.f.items()}
+
+    def once(self) -> np.ndarray:
+        """Drop repeats of an anchor (the same row stands in the table twice); tells which texts had some."""
+        again = np.concatenate(([False], self.at[1:] == self.at[:-1]))
+        many = np.zeros(self.batch.num_rows, bool)
+        many[self.text[again]] = True
+        self.take(np.flatnonzero(~again))
+        return many
+
+    def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.minimum(np.searchsorted(self.at, at), max(0, len(self.at) - 1))
+        return place, self.at[place] == at if len(self.at) else np.zeros(len(at), bool)
+
+    def rows(self, rows: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        own = pa.array(self.text[rows])
+        out = columns | {"key": self.batch.column(0).take(own), "th": self.batch.column(1).take(own),
+                         "i": pa.array(self.f["i"][rows], pa.int32())}
+        return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+
+def _hopeful(a: _Anchors, run: int) -> np.ndarray:
+    """Rows of stretches of anchors long enough, somewhere, to hold the inside of a window."""
+    n = len(a.at)
+    if not n:
+        return np.zeros(0, np.int64)
+    new = np.concatenate(([True], a.at[1:] != a.at[:-1] + 1))
+    stretch = np.cumsum(new) - 1
+    end = np.concatenate((np.flatnonzero(new)[1:], [n]))
+    enough = end[stretch] - np.arange(n) >= a.f["least"] - run + 1
+    return np.flatnonzero(np.bincount(stretch, enough)[stretch] > 0)
 
 
 def _longer(texts: DataFrame) -> DataFrame:
-    """(r1, r2, key, th, i, m, many): ranks of runs of ``RUN`` phrases, from the ranks of their phrases."""
+    """Ranks of runs of ``RUN`` phrases, from the ranks of their phrases."""
     def run(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                i, rank, m = _unpack(batch.column(2), r, ["i", "rank", "m"])
-                new = np.concatenate(([True], i[1:] != i[:-1]))
-                many = not new.all()
-                i, rank, m = i[new], rank[new].view(np.uint64), m[new]
-                n = len(i) - RUN + 1
-                if n <= 0:
-                    continue
-                ok = np.flatnonzero(i[RUN - 1:] - i[:n] == RUN - 1)
-                if not len(ok):
-                    continue
-                parts = [rank[ok + j] for j in range(RUN)]
-                yield _rows(batch, r, [_combine(parts), _combine(parts, _SEED2)], i[ok], m[ok], many)
-
-    key = sql_type(texts, "key")
-    return texts.mapInArrow(run, f"r1 bigint, r2 bigint, key {key}, th bigint, i int, m int, many boolean")
-
-
-def _rows(batch, r, ranks, i, m, many):
-    n = len(i)
-    take = pa.array(np.full(n, r))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(_signed(x)) for x in ranks] + [batch.column(0).take(take), batch.column(1).take(take),
-                                                pa.array(i, pa.int32()), pa.array(m, pa.int32()), pa.array(np.full(n, many))],
-        names=["r1", "r2", "key", "th", "i", "m", "many"])
+            a = _Anchors(batch, ["rank", "m", "least"])
+            many = a.once()
+            a.take(_hopeful(a, 1))
+            rank = a.f["rank"].view(np.uint64)
+            place, ok = a.find(a.at + (RUN - 1))  # anchors are distinct and in order: the run is whole if its last one
+            here = np.flatnonzero(ok & (place - np.arange(len(place)) == RUN - 1))  # stands RUN - 1 places on
+            yield a.rows(here, {"rank": pa.array(_signed(_combine([rank[here + j] for j in range(RUN)]))),
+                                "m": pa.array(a.f["m"][here], pa.int32()), "least": pa.array(a.f["least"][here], pa.int32()),
+                                "many": pa.array(many[a.text[here]])})
+
+    return texts.mapInArrow(run, f"rank bigint, m int, least int, many boolean, key {sql_type(texts, 'key')}, th bigint, i int")
 
 
 def _reaching(texts: DataFrame) -> DataFrame:
-    """As ``_longer``, for the runs that reach the threshold: a chain of runs that overlap at the end."""
+    """Runs (rank, 0), and ranks of the chains that reach the threshold: runs one after another, the last overlapping.
+
+    ``pass`` marks rows that stay without an equal: runs, and rows of a
+    text that stands in the table more than once.
+    """
     def run(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                i, r1, r2, m, flag = _unpack(batch.column(2), r, ["i", "r1", "r2", "m", "many"])
-                new = np.concatenate(([True], i[1:] != i[:-1]))
-                many = bool(flag.any()) or not new.all()
-                i, r1, r2, m = i[new], r1[new].view(np.uint64), r2[new].view(np.uint64), m[new]
-                for size in np.unique(m[m >= RUN]):
-                    steps = [*range(0, size - RUN, RUN), size - RUN]
-                    here = np.flatnonzero(m == size)
-                    place = np.searchsorted(i, i[here, None] + np.array(steps))
-                    inside = place < len(i)
-                    found = inside & (i[np.minimum(place, len(i) - 1)] == i[here, None] + np.array(steps))
-                    ok = found.all(axis=1)
-                    if not ok.any():
-                        continue
-                    here, place = here[ok], place[ok]
-                    one = _combine([r1[place[:, j]] for j in range(len(steps))] + [np.full(len(here), size, np.uint64)])
-                    two = _combine([r2[place[:, j]] for j in range(len(steps))] + [np.full(len(here), size, np.uint64)], _SEED2)
-                    yield _rows(batch, r, [one, two], i[here], m[here], many)
-
-    key = sql_type(texts, "key")
-    return texts.mapInArrow(run, f"r1 bigint, r2 bigint, key {key}, th bigint, i int, m int, many boolean")
+            a = _Anchors(batch, ["rank", "m", "least", "many"])
+            flag = np.zeros(batch.num_rows, bool)
+            flag[a.text[a.f["many"]]] = True
+            many = a.once() | flag
+            a.take(_hopeful(a, RUN))
+            rank, m = a.f["rank"].view(np.uint64), a.f["m"]
+            n = len(rank)
+            found, one, two = [np.arange(n)], [rank], [np.zeros(n, np.uint64)]
+            for size in np.unique(m[m >= RUN]):
+                here = np.flatnonzero(m == size)
+                parts = []
+                for step in [*range(0, size - RUN, RUN), size - RUN]:
+                    place, ok = a.find(a.at[here] + step)
+                    here, parts = here[ok], [p[ok] for p in parts] + [place[ok]]
+                end = [np.full(len(here), size, np.uint64)]
+                found.append(here)
+                one.append(_combine([rank[p] for p in parts] + end))
+                two.append(_combine([rank[p] for p in parts] + end, _SEED2))
+            here = np.concatenate(found)
+            chain = np.arange(len(here)) >= n
+            yield a.rows(here, {"r1": pa.array(_signed(np.concatenate(one))), "r2": pa.array(_signed(np.concatenate(two))),
+                                "chain": pa.array(chain), "pass": pa.array(~chain | many[a.text[here]])})
+
+    return texts.mapInArrow(run, f"r1 bigint, r2 bigint, chain boolean, pass boolean, key {sql_type(texts, 'key')}, th bigint, i int")
+
+
+def _hash_tables(seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte codes, powers of an odd base, powers of its inverse."""
+    odd = seed | np.uint64(1)
+    return (mix64(_BYTE_CODE * seed), _powers(2 * _BLOCK, odd),
+            _powers(2 * _BLOCK, np.uint64(pow(int(odd), -1, 1 << 64))))
+
+
+_HASH1, _HASH2 = _hash_tables(_MULT), _hash_tables(_SEED2)
 
 
 def window_hashes(data: bytes, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,18 +271,16 @@ def window_hashes(data: bytes, places: np.ndarray, length: int) -> tuple[np.ndar
     if not len(places):
         return one, two
     # runs of near places share one table of running sums
-    gaps = np.flatnonzero(np.diff(places) > length) + 1
-    for part in np.split(np.arange(len(places)), gaps):
-        for block in np.array_split(part, max(1, len(part) // _BLOCK)):
-            low, high = int(places[block[0]]), int(places[block[-1]]) + length
-            piece = b[low:high]
-            at = places[block] - low
-            for out, odd, seed in ((one, _MULT | np.uint64(1), _MULT), (two, _SEED2 | np.uint64(1), _SEED2)):
-                code = mix64(_BYTE_CODE * seed)[piece] * _powers(len(piece), odd)[:-1]
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code, dtype=np.uint64)))
-                # bring every window to the same power (an odd base has an inverse)
-                back = _powers(len(piece), np.uint64(pow(int(odd), -1, 1 << 64)))
-                out[block] = mix64((total[at + length] - total[at]) * back[at])
+    cut = np.flatnonzero((np.diff(places) > length) | (np.diff(places // _BLOCK) > 0)) + 1
+    for start, end in zip([0, *cut], [*cut, len(places)]):
+        low = int(places[start])
+        piece = b[low:int(places[end - 1]) + length]
+        at = places[start:end] - low
+        for out, codes, powers, back in ((one, *_HASH1), (two, *_HASH2)):
+            total = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(codes[piece] * powers[:len(piece)], out=total[1:])
+            # bring every window to the same power (an odd base has an inverse)
+            out[start:end] = mix64((total[at + length] - total[at]) * back[at])
     return one, two
     # runs of near places share one table of running sums
     gaps = np.flatnonzero(np.diff(places) > length) + 1
@@ -230,23 +301,17 @@ def window_hashes(data: bytes, places: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def _asked(texts: DataFrame) -> DataFrame:
-    """(r1, r2, open, key, th, i): runs, and whether a window that starts at or before them may be left to hashing."""
+    """Runs, and whether a window that starts at or before them may be left to hashing."""
     def run(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                i, r1, r2, chain = _unpack(batch.column(2), r, ["i", "r1", "r2", "chain"])
-                whole = set(i[chain].tolist())
-                runs = ~chain
-                i, r1, r2 = i[runs], r1[runs], r2[runs]
-                if not len(i):
-                    continue
-                left_open = np.array([x not in whole or x - 1 not in whole for x in i.tolist()])
-                take = pa.array(np.full(len(i), r))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r1), pa.array(r2), pa.array(left_open), batch.column(0).take(take), batch.column(1).take(take),
-                     pa.array(i, pa.int32())], names=["r1", "r2", "open", "key", "th", "i"])
-
-    return texts.mapInArrow(run, f"r1 bigint, r2 bigint, open boolean, key {sql_type(texts, 'key')}, th bigint, i int")
+            a = _Anchors(batch, ["chain", "r1"])
+            chains = a.at[a.f["chain"]]
+            a.take(np.flatnonzero(~a.f["chain"]))
+            a.once()
+            left = ~(np.isin(a.at, chains) & np.isin(a.at - 1, chains) & (a.f["i"] > 0))
+            yield a.rows(np.arange(len(left)), {"rank": pa.array(a.f["r1"]), "open": pa.array(left)})
+
+    return texts.mapInArrow(run, f"rank bigint, open boolean, key {sql_type(texts, 'key')}, th bigint, i int")
 
 
 def _wanted(asked: DataFrame) -> DataFrame:
@@ -256,39 +321,42 @@ def _wanted(asked: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            one, two = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            is_open = batch.column(2).to_numpy(zero_copy_only=False)
-            new = np.concatenate(([(one[0], two[0]) != held[0]], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+            rank = batch.column(0).to_numpy()
+            is_open = batch.column(1).to_numpy(zero_copy_only=False)
+            new = np.concatenate(([rank[0] != held[0]], rank[1:] != rank[:-1]))
             start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
             keep = np.where(start >= 0, is_open[np.maximum(start, 0)], held[1])
-            held = ((one[-1], two[-1]), bool(keep[-1]))
+            held = (rank[-1], bool(keep[-1]))
             yield batch.filter(pa.array(keep)).select(["key", "th", "i"])
 
-    order = ["r1", "r2", F.col("open").desc()]
-    return (asked.repartition("r1", "r2").sortWithinPartitions(*order)
+    return (asked.repartition("rank").sortWithinPartitions("rank", F.col("open").desc())
             .mapInArrow(run, f"key {sql_type(asked, 'key')}, th bigint, i int"))
 
 
-def windows(data: bytes, runs: np.ndarray, chains: np.ndarray, wanted: np.ndarray,
+def windows(data: bytes, at: np.ndarray, runs: np.ndarray, chains: np.ndarray, wanted: np.ndarray, leading: np.ndarray,
             length: int, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Window starts that repeat for sure (mask), and places to hash: those left open and those others may equal.
 
+    ``runs``, ``chains`` and ``wanted``: numbers of the anchors whose run of
+    ``RUN`` phrases repeats, whose chain repeats, whose run is asked for;
+    ``leading``: those of ``chains`` that answer for their equals (all
+    windows that start before the next anchor are equal with the chain).
     ``bare``: the places whose windows hold fewer than ``RUN`` phrases,
     which no rank can judge; the others otherwise. Equal windows are of
     the same kind.
-
-    ``runs``, ``chains`` and ``wanted``: numbers of the anchors whose run of
-    ``RUN`` phrases repeats, whose chain repeats, whose run is asked for.
     """
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, bool), np.zeros(0, np.int64)
-    at = anchors(data)
-    x = np.arange(n)
-    first = np.searchsorted(at, x, side="left")  # first anchor inside
-    block = np.searchsorted(at, x, side="right")  # 1 + the anchor at or before
-    last = np.searchsorted(at, x + length - GRAM, side="right") - 1
-    whole = last - first  # phrases inside
+    is_anchor = np.zeros(len(data), np.int32)
+    is_anchor[at] = 1
+    so_far = np.cumsum(is_anchor, dtype=np.int32)
+    block = so_far[:n]  # 1 + the anchor at or before
+    first = block - is_anchor[:n]  # first anchor inside
+    last = so_far[length - GRAM:length - GRAM + n] - 1
+    few = last - first < RUN  # phrases inside
+    if bare:
+        return np.zeros(n, bool), np.flatnonzero(few)
 
     def flags(numbers: np.ndarray, shift: int = 0) -> np.ndarray:
         mask = np.zeros(len(at) + 2, bool)
@@ -297,10 +365,9 @@ def windows(data: bytes, runs: np.ndarray, chains: np.ndarray, wanted: np.ndarra
 
     sure = flags(chains, 1)[block]
     unique = np.concatenate(([0], np.cumsum(~flags(runs))))
-    end = np.maximum(first, last - RUN + 1)
-    maybe = unique[np.minimum(end, len(at))] == unique[np.minimum(first, len(at))]
-    many = whole >= RUN
-    return sure, np.flatnonzero(~many if bare else many & np.where(sure, flags(wanted)[first], maybe))
+    maybe = unique[np.maximum(first, last - RUN + 1)] == unique[first]
+    hashed = ~few & np.where(sure, flags(wanted)[first] & flags(leading, 1)[block], maybe)
+    return sure, np.flatnonzero(hashed)
 
 
 def _covered(starts: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -315,6 +382,20 @@ def _spans(mask: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
 
 
+def _decide(data: bytes, sure: np.ndarray, x: np.ndarray, length: int) -> tuple:
+    """Spans of windows that repeat for sure, and the windows (place, hashes) to be compared with other texts."""
+    one, two = window_hashes(data, x, length)
+    # windows that repeat inside the text are sure; each hash is handed on once
+    order = np.lexsort((x, two, one))
+    new = np.ones(len(x), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    group = np.cumsum(new) - 1
+    inside = np.bincount(group, minlength=1)[group] > 1
+    spans = _spans(_covered(np.concatenate((np.flatnonzero(sure), x[order][inside])), len(data), length))
+    first = order[new]
+    return spans, x[first], one[first], two[first]
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, th, spans): the byte spans of each text that a repeated string of ``length`` bytes covers.
 
@@ -322,63 +403,42 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     row. Texts with nothing to remove have no row. Rows equal in key and
     text are repeats of one another.
     """
-    source = docs.select(docs[key].alias("key"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("th"),
-                         F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    single = stored(repeated(_scan(source, length), ["rank"]), "phrases")
-    runs = stored(repeated(_longer(_by_text(single, "rank", "m")), ["r1", "r2"], "many"), "runs")
-    chains = stored(repeated(_reaching(_by_text(runs, "r1", "r2", "m", "many")), ["r1", "r2"], "many")
-                    .select("key", "th", "i"), "chains")
-    places = (runs.select("key", "th", "i", "r1", "r2", F.lit(False).alias("chain"))
-              .unionAll(chains.select("key", "th", "i", F.lit(0).cast("bigint").alias("r1"),
-                                      F.lit(0).cast("bigint").alias("r2"), F.lit(True).alias("chain"))))
-    wanted = _wanted(_asked(_by_text(places, "chain", "r1", "r2")))
-    levels = (runs.select("key", "th", F.lit(0).alias("level"), "i")
-              .unionAll(chains.select("key", "th", F.lit(1).alias("level"), "i"))
-              .unionAll(wanted.select("key", "th", F.lit(2).alias("level"), "i")))
+    body = F.coalesce(docs[text].cast("string"), F.lit(""))
+    source = docs.select(docs[key].alias("key"), F.xxhash64(body).alias("th"), body.alias("text"))
+    long = source.where(F.octet_length("text") >= length)
+    single = stored(repeated(_scan(long, length), ["rank", "second"], "sure").drop("sure", "second"), "phrases")
+    runs = repeated(_longer(_by_text(single.where("kind = 0"), "rank", "m", "least")), ["rank"], "many")
+    places = stored(repeated(_reaching(_by_text(runs, "rank", "m", "least", "many")), ["r1", "r2"], "pass", "leads")
+                    .drop("r2", "pass"), "places")
+    wanted = _wanted(_asked(_by_text(places, "chain", "r1")))
+    levels = (places.select("key", "th", "i", F.when(~F.col("chain"), 0).when(F.col("leads"), 3).otherwise(1).alias("level"))
+              .unionAll(wanted.select("key", "th", "i", F.lit(2))))
     marks = stored(levels.groupBy("key", "th").agg(*[
-        F.collect_set(F.when(F.col("level") == k, F.col("i"))).alias(f"l{k}") for k in range(3)]), "marks")
-    key_type = sql_type(source, "key")
-    out = f"key {key_type}, th bigint, start bigint, end bigint, h1 bigint, h2 bigint"
-    names = ["key", "th", "start", "end", "h1", "h2"]
-    none = np.zeros(0, np.int64)
+        F.collect_set(F.when(F.col("level") == k, F.col("i"))).alias(f"l{k}") for k in range(4)]), "marks")
 
-    def decided(batch, r, data, found, bare):
-        """Spans of windows that repeat for sure (no hash), and the windows to be compared with other texts."""
-        sure, x = windows(data, *found, length, bare)
-        one, two = window_hashes(data, x, length)
-        # windows that repeat inside the text are sure; each hash is handed on once
-        order = np.lexsort((x, two, one))
-        new = np.ones(len(x), bool)
-        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        group = np.cumsum(new) - 1
-        inside = np.bincount(group, minlength=1)[group] > 1
-        spans = _spans(_covered(np.concatenate((np.flatnonzero(sure), x[order][inside])), len(data), length))
-        first = order[new]
-        for start, end, h in ((spans[:, 0], spans[:, 1], None), (x[first], x[first] + length, first)):
-            n = len(start)
-            if n:
-                take = pa.array(np.full(n, r))
-                hashes = [pa.nulls(n, pa.int64())] * 2 if h is None else [pa.array(_signed(one[h])), pa.array(_signed(two[h]))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int64()),
-                     pa.array(end, pa.int64()), *hashes], names=names)
-
-    def plain(batches):
-        for batch in batches:
-            for r, data in enumerate(utf8(batch.column(2))):
-                yield from decided(batch, r, data, (none, none, none), True)
-
-    def marked(batches):
+    def run(batches):
         for batch in batches:
-            for r, data in enumerate(utf8(batch.column(2))):
-                found = [np.sort(batch.column(3 + j)[r].values.to_numpy(zero_copy_only=False).astype(np.int64)) for j in range(3)]
-                yield from decided(batch, r, data, found, False)
-
-    long = source.where(F.octet_length("text") >= length)
-    found = stored(long.mapInArrow(plain, out).unionAll(_with_marks(long, marks).mapInArrow(marked, out)), "windows")
-    sure = found.where("h1 IS NULL").select("key", "th", "start", "end")
-    equal = repeated(found.where("h1 IS NOT NULL"), ["h1", "h2"]).select("key", "th", "start", "end")
-    return sure.unionAll(equal).groupBy("key", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+            texts = utf8(batch.column(2))
+            lists = [batch.column(3 + j) for j in range(4)]
+            for a, b in slices([len(t) for t in texts], 1 << 22):
+                parts = []
+                for r in range(a, b):
+                    found = [x[r].values.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+                    chains = np.concatenate((found[1], found[3]))
+                    sure, x = windows(texts[r], anchors(texts[r]), found[0], chains, found[2], found[3], length)
+                    if len(x) or sure.any():
+                        spans, x, one, two = _decide(texts[r], sure, x, length)
+                        parts.append((r, 1, one, two, x, x + length, np.zeros(len(x), np.int64)))
+                        parts.append((r, 2, *_aside(spans, r), spans[:, 0], spans[:, 1], np.zeros(len(spans), np.int64)))
+                if parts:
+                    yield _pack(batch, parts).drop_columns(["least"])
+
+    hashed = _with_marks(long, marks).mapInArrow(
+        run, f"rank bigint, second bigint, kind int, i int, m int, sure boolean, key {sql_type(source, 'key')}, th bigint")
+    covered = (single.where("kind > 0").select("key", "th", "i", "m")
+               .unionAll(repeated(hashed, ["rank", "second"], "sure").select("key", "th", "i", "m")))
+    return covered.groupBy("key", "th").agg(F.sort_array(F.collect_set(
+        F.struct(F.col("i").cast("long").alias("start"), F.col("m").cast("long").alias("end")))).alias("spans"))
 
 
 def _with_marks(long: DataFrame, marks: DataFrame) -> DataFrame:
@@ -387,7 +447,7 @@ def _with_marks(long: DataFrame, marks: DataFrame) -> DataFrame:
     hit = filter_texts(long, [slot(long["key"], long["th"])], lambda: lambda c: in_bitmap(shipped.value, c[0]))
     left, right = hit.alias("x"), marks.alias("y")
     on = F.col("x.key").eqNullSafe(F.col("y.key")) & (F.col("x.th") == F.col("y.th"))
-    return left.join(right, on).select(F.col("x.key").alias("key"), F.col("x.th").alias("th"), "text", "l0", "l1", "l2")
+    return left.join(right, on).select(F.col("x.key").alias("key"), F.col("x.th").alias("th"), "text", "l0", "l1", "l2", "l3")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
