@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,13 +46,74 @@ def _grams(b: np.ndarray) -> np.ndarray:
     return mix64(x8[:-4] * _MULT + x4[8:].astype(np.uint64))
 
 
-def anchors(data: bytes) -> np.ndarray:
-    """Anchor places of a text, ascending."""
-    found = []
-    for at in range(0, max(0, len(data) - GRAM + 1), _BLOCK):
-        b = np.frombuffer(data[at:at + _BLOCK + GRAM - 1], dtype=np.uint8)
-        found.append(np.flatnonzero(_grams(b) < np.uint64((1 << 64) // EVERY)) + at)
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+class Text:
+    """Texts one after another, with their anchors and phrases; all places count from the start of ``data``."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        self.end = np.cumsum(size)
+        self.start = self.end - size
+        found = []
+        for low in range(0, max(0, len(self.data) - GRAM + 1), _BLOCK):
+            grams = _grams(self.data[low:low + _BLOCK + GRAM - 1])
+            found.append(np.flatnonzero(grams < np.uint64((1 << 64) // EVERY)) + low)
+        at = np.concatenate(found) if found else np.zeros(0, np.int64)
+        of = np.searchsorted(self.end, at, side="right")
+        inside = at + GRAM <= self.end[of] if len(at) else np.zeros(0, bool)
+        self.at, self.of = at[inside], of[inside]
+        self.number = np.arange(len(self.at)) - np.searchsorted(self.of, self.of, side="left")
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors that another one of the same text follows; fingerprint of the bytes up to that one."""
+        if len(self.at) < 2:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        low, high = self.at[0], self.at[-1]
+        size = np.diff(self.at)
+        value = _BYTE_CODE[self.data[low:high]]
+        within = np.arange(high - low) - np.repeat(self.at[:-1] - low, size)
+        value *= _powers(int(size.max()))[within]
+        hashes = mix64(np.add.reduceat(value, self.at[:-1] - low) + mix64(size.astype(np.uint64)))
+        here = np.flatnonzero(self.of[1:] == self.of[:-1])
+        return here, hashes[here]
+
+    def reach(self, length: int) -> np.ndarray:
+        """Phrases from each anchor until they hold every window that starts before the next anchor; 0 if they never do."""
+        n = len(self.at)
+        out = np.zeros(n, np.int64)
+        if n > 1:
+            end = np.searchsorted(self.at + GRAM, self.at[1:] - 1 + length, side="left")
+            ok = (end < n) & (self.of[np.minimum(end, n - 1)] == self.of[:-1]) & (self.of[1:] == self.of[:-1])
+            out[:-1] = np.where(ok, end - np.arange(n - 1), 0)
+        return out
+
+    def least_inside(self, length: int) -> np.ndarray:
+        """For each anchor the phrases inside any window whose first anchor it is, at least; huge if there is none."""
+        if not len(self.at):
+            return np.zeros(0, np.int64)
+        start = np.where(self.number == 0, self.start[self.of], np.concatenate(([0], self.at[:-1])) + 1)
+        last = np.searchsorted(self.at, start + length - GRAM, side="right") - 1
+        return np.where(start + length <= self.end[self.of], np.maximum(last - np.arange(len(self.at)), RUN), 1 << 30)
+
+    def counts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every place with a whole buffer window after it: anchors up to it, before it, up to its last gram."""
+        n = len(self.data) - length + 1
+        is_anchor = np.zeros(len(self.data), np.int32)
+        is_anchor[self.at] = 1
+        so_far = np.cumsum(is_anchor, dtype=np.int32)
+        return so_far[:n], so_far[:n] - is_anchor[:n], so_far[length - GRAM:length - GRAM + n]
+
+    def bare(self, length: int) -> list[tuple[int, np.ndarray]]:
+        """Texts with windows of fewer than ``RUN`` phrases, which no rank can judge, and where these start."""
+        if len(self.data) < length:
+            return []
+        _, first, last = self.counts(length)
+        x = np.flatnonzero(last - first - 1 < RUN)
+        of = np.searchsorted(self.end, x, side="right")
+        ok = x + length <= self.end[of] if len(x) else np.zeros(0, bool)
+        x, of = x[ok], of[ok]
+        cut = np.flatnonzero(np.diff(of)) + 1
+        return [(int(of[a]), x[a:b] - self.start[of[a]]) for a, b in zip([0, *cut], [*cut, len(x)]) if b > a]
 
 
 def _powers(n: int, base: np.uint64 = _MULT | np.uint64(1)) -> np.ndarray:
@@ -60,27 +122,6 @@ def _powers(n: int, base: np.uint64 = _MULT | np.uint64(1)) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def phrases(data: bytes, at: np.ndarray) -> np.ndarray:
-    """Fingerprint of the bytes between each anchor and the next."""
-    if len(at) < 2:
-        return np.zeros(0, np.uint64)
-    size = np.diff(at)
-    b = np.frombuffer(data, dtype=np.uint8)[at[0]:at[-1]]
-    first = at[:-1] - at[0]
-    within = np.arange(len(b)) - np.repeat(first, size)
-    value = _BYTE_CODE[b] * _powers(int(size.max()))[within]
-    return mix64(np.add.reduceat(value, first) + mix64(size.astype(np.uint64)))
-
-
-def reach(at: np.ndarray, length: int) -> np.ndarray:
-    """Phrases from each anchor until they hold every window that starts before the next anchor; 0 if they never do."""
-    out = np.zeros(len(at), np.int64)
-    if len(at) > 1:
-        end = np.searchsorted(at + GRAM, at[1:] - 1 + length, side="left")
-        out[:-1] = np.where(end < len(at), end - np.arange(len(at) - 1), 0)
-    return out
-
-
 def _combine(parts: list[np.ndarray], seed: np.uint64 = _MULT) -> np.ndarray:
     out = np.zeros(len(parts[0]), np.uint64)
     for p in parts:
@@ -92,58 +133,38 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def least_inside(at: np.ndarray, n: int, length: int) -> np.ndarray:
-    """For each anchor the phrases inside any window whose first anchor it is, at least; beyond reach if there is none."""
-    start = np.concatenate(([0], at[:-1] + 1)) if len(at) else at
-    last = np.searchsorted(at, start + length - GRAM, side="right") - 1
-    return np.where(start + length <= n, np.maximum(last - np.arange(len(at)), RUN), 1 << 30)
-
-
 def _scan(docs: DataFrame, length: int) -> DataFrame:
     """Every phrase with its fingerprint (kind 0), and what windows without ``RUN`` phrases give (kinds 1 and 2).
 
     kind 0: i the anchor, m its reach, least as ``least_inside``; kind 1: a
     window at i with its hash; kind 2: bytes i to m that repeat inside the text.
     """
-    none = np.zeros(0, np.int64)
-
     def run(batches):
         for batch in batches:
             texts = utf8(batch.column(2))
-            for a, b in slices([len(t) for t in texts], 1 << 22):
-                parts = []
-                for r in range(a, b):
-                    data = texts[r]
-                    if len(data) < length:
-                        continue
-                    at = anchors(data)
-                    rank = phrases(data, at)
-                    if len(rank):
-                        n = len(rank)
-                        parts.append((r, 0, rank, np.zeros(n, np.uint64), np.arange(n), reach(at, length)[:n],
-                                      least_inside(at, len(data), length)[:n]))
-                    _, few = windows(data, at, none, none, none, none, length, bare=True)
-                    if len(few):
-                        spans, x, one, two = _decide(data, np.zeros(len(data) - length + 1, bool), few, length)
-                        parts.append((r, 1, one, two, x, x + length, np.zeros(len(x), np.int64)))
-                        parts.append((r, 2, *_aside(spans, r), spans[:, 0], spans[:, 1], np.zeros(len(spans), np.int64)))
-                if parts:
-                    yield _pack(batch, parts)
+            for a, b in slices([len(t) for t in texts]):
+                t = Text(texts[a:b])
+                here, rank = t.phrases()
+                parts = [(t.of[here] + a, 0, rank, np.zeros(len(here), np.uint64), t.number[here],
+                          t.reach(length)[here], t.least_inside(length)[here])]
+                for r, x in t.bare(length):
+                    parts += _rows(r + a, *_decide(texts[r + a], np.zeros(len(texts[r + a]) - length + 1, bool), x, length), length)
+                yield _pack(batch, parts)
 
     return docs.mapInArrow(run, f"rank bigint, second bigint, kind int, i int, m int, least int, sure boolean, "
                                 f"key {sql_type(docs, 'key')}, th bigint")
 
 
-def _aside(spans: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
-    """Any keys for rows that pass the sort without being compared."""
-    x = mix64(spans[:, 0].astype(np.uint64) + (np.uint64(r + 1) << np.uint64(40)))
-    return x, mix64(x)
+def _rows(r: int, spans: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray, length: int) -> list[tuple]:
+    """Parts of ``_pack``: windows of text r (kind 1), and spans (kind 2) with keys of no meaning."""
+    mixed = mix64(spans[:, 0].astype(np.uint64) + (np.uint64(r + 1) << np.uint64(40)))
+    return [(np.full(len(x), r), 1, one, two, x, x + length, np.zeros(len(x), np.int64)),
+            (np.full(len(spans), r), 2, mixed, mix64(mixed), spans[:, 0], spans[:, 1], np.zeros(len(spans), np.int64))]
 
 
 def _pack(batch, parts) -> pa.RecordBatch:
-    size = [len(p[2]) for p in parts]
-    own = pa.array(np.repeat([p[0] for p in parts], size))
-    kind = np.repeat([p[1] for p in parts], size)
+    own = pa.array(np.concatenate([p[0] for p in parts]))
+    kind = np.repeat([p[1] for p in parts], [len(p[2]) for p in parts])
     rank, second, i, m, least = (np.concatenate([p[c] for p in parts]) for c in range(2, 7))
     return pa.RecordBatch.from_arrays(
         [pa.array(_signed(rank)), pa.array(_signed(second)), pa.array(kind, pa.int32()), pa.array(i, pa.int32()),
@@ -333,40 +354,31 @@ def _wanted(asked: DataFrame) -> DataFrame:
             .mapInArrow(run, f"key {sql_type(asked, 'key')}, th bigint, i int"))
 
 
-def windows(data: bytes, at: np.ndarray, runs: np.ndarray, chains: np.ndarray, wanted: np.ndarray, leading: np.ndarray,
-            length: int, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def windows(data: bytes, runs: np.ndarray, chains: np.ndarray, wanted: np.ndarray, leading: np.ndarray,
+            length: int) -> tuple[np.ndarray, np.ndarray]:
     """Window starts that repeat for sure (mask), and places to hash: those left open and those others may equal.
 
     ``runs``, ``chains`` and ``wanted``: numbers of the anchors whose run of
     ``RUN`` phrases repeats, whose chain repeats, whose run is asked for;
     ``leading``: those of ``chains`` that answer for their equals (all
     windows that start before the next anchor are equal with the chain).
-    ``bare``: the places whose windows hold fewer than ``RUN`` phrases,
-    which no rank can judge; the others otherwise. Equal windows are of
-    the same kind.
+    Windows with fewer phrases are left out; equals of theirs have as few.
     """
-    n = len(data) - length + 1
-    if n <= 0:
+    if len(data) < length:
         return np.zeros(0, bool), np.zeros(0, np.int64)
-    is_anchor = np.zeros(len(data), np.int32)
-    is_anchor[at] = 1
-    so_far = np.cumsum(is_anchor, dtype=np.int32)
-    block = so_far[:n]  # 1 + the anchor at or before
-    first = block - is_anchor[:n]  # first anchor inside
-    last = so_far[length - GRAM:length - GRAM + n] - 1
-    few = last - first < RUN  # phrases inside
-    if bare:
-        return np.zeros(n, bool), np.flatnonzero(few)
+    t = Text([data])
+    block, first, last = t.counts(length)  # block: 1 + the anchor at or before
+    last = last - 1
 
     def flags(numbers: np.ndarray, shift: int = 0) -> np.ndarray:
-        mask = np.zeros(len(at) + 2, bool)
+        mask = np.zeros(len(t.at) + 2, bool)
         mask[numbers + shift] = True
         return mask
 
     sure = flags(chains, 1)[block]
     unique = np.concatenate(([0], np.cumsum(~flags(runs))))
     maybe = unique[np.maximum(first, last - RUN + 1)] == unique[first]
-    hashed = ~few & np.where(sure, flags(wanted)[first] & flags(leading, 1)[block], maybe)
+    hashed = (last - first >= RUN) & np.where(sure, flags(wanted)[first] & flags(leading, 1)[block], maybe)
     return sure, np.flatnonzero(hashed)
 
 
@@ -425,11 +437,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                 for r in range(a, b):
                     found = [x[r].values.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
                     chains = np.concatenate((found[1], found[3]))
-                    sure, x = windows(texts[r], anchors(texts[r]), found[0], chains, found[2], found[3], length)
+                    sure, x = windows(texts[r], found[0], chains, found[2], found[3], length)
                     if len(x) or sure.any():
-                        spans, x, one, two = _decide(texts[r], sure, x, length)
-                        parts.append((r, 1, one, two, x, x + length, np.zeros(len(x), np.int64)))
-                        parts.append((r, 2, *_aside(spans, r), spans[:, 0], spans[:, 1], np.zeros(len(spans), np.int64)))
+                        parts += _rows(r, *_decide(texts[r], sure, x, length), length)
                 if parts:
                     yield _pack(batch, parts).drop_columns(["least"])
 
@@ -464,30 +474,41 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     key_type = sql_type(source, "key")
     out = f"key {key_type}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
     def cut(batches):
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             removed, spans, kept = [], [], []
             texts = utf8(batch.column(1))
             for data, given in zip(texts, batch.column(2).to_pylist()):
-                mask = np.zeros(len(data) + 1, np.int64)
+                runs: list[dict] = []  # spans come in order of start
                 for s in given or ():
-                    mask[s["start"]] += 1
-                    mask[s["end"]] -= 1
-                mask = np.cumsum(mask[:-1]) > 0
-                runs = _spans(mask)
-                spans.append([{"start": int(a), "end": int(b)} for a, b in runs])
-                removed.append(int(mask.sum()))
-                kept.append(np.frombuffer(data, np.uint8)[~mask].tobytes())
+                    if runs and s["start"] <= runs[-1]["end"]:
+                        runs[-1]["end"] = max(runs[-1]["end"], s["end"])
+                    else:
+                        runs.append(dict(s))
+                spans.append(runs)
+                removed.append(sum(s["end"] - s["start"] for s in runs))
+                edges = [0, *(x for s in runs for x in (s["start"], s["end"])), len(data)]
+                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else data)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(spans, kind), pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "spans", "kept"])
 
-    hit = filter_texts(source, [slot(source["key"], source["th"])], lambda: lambda c: in_bitmap(shipped.value, c[0]))
-    rest = filter_texts(source, [slot(source["key"], source["th"])], lambda: lambda c: ~in_bitmap(shipped.value, c[0]))
-    none = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
+    def whole(batches):
+        """Rows that no span can belong to, as they are."""
+        for batch in batches:
+            rest = batch.filter(pa.array(~in_bitmap(shipped.value, batch.column(2))))
+            texts = rest.column(1).cast(pa.binary())
+            n = rest.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [rest.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(np.zeros(n, np.int64)),
+                 pa.array([[]] * n, kind), texts], names=["key", "n_bytes", "n_removed", "spans", "kept"])
+
+    at = slot(source["key"], source["th"])
+    hit = filter_texts(source, [at], lambda: lambda c: in_bitmap(shipped.value, c[0]))
     left, right = hit.alias("x"), found.alias("y")
     on = F.col("x.key").eqNullSafe(F.col("y.key")) & (F.col("x.th") == F.col("y.th"))
     joined = left.join(right, on, "left").select(F.col("x.key").alias("key"), "text", "spans")
-    return (rest.select("key", "text", none.alias("spans")).mapInArrow(cut, out)
+    return (source.select("key", "text", at.alias("slot")).mapInArrow(whole, out)
             .unionAll(joined.mapInArrow(cut, out)).withColumnRenamed("key", key))
