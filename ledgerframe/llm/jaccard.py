@@ -128,7 +128,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, or
                         continue
                     least = least_overlap(n, percent)
                     place = np.lexsort((s, rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                    p = np.sort(s[place[:n - least + min(SHARED, least)]])
+                    p = s[place[:n - least + min(SHARED, least)]]
                     nodes.append(digest(s.tobytes()))
                     groups.append(digest(n.to_bytes(8, "little") + p.tobytes()))
                     prefixes.append(_signed(p))
@@ -144,11 +144,11 @@ def _prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, or
 
 
 def _meeting(groups: DataFrame) -> DataFrame:
-    """Prefix entries (token, grp, n) that another group shares or whose group has several classes.
+    """Prefix entries (token, grp, n, place) that another group shares or whose group has several classes.
 
     """
-    entries = groups.select(F.explode("prefix").alias("token"), "grp", "n", "several")
-    return repeated(entries, ["token"], always="several").select("token", "grp", "n")
+    entries = groups.select(F.posexplode("prefix").alias("place", "token"), "grp", "n", "several")
+    return repeated(entries, ["token"], always="several").select("token", "grp", "n", "place", "several")
 
 
 def _sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -212,23 +212,33 @@ def _assigned(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
                                             F.first("grp").alias("grp"), F.first("n").alias("n")), "jaccard-nodes")
     groups = some.groupBy("grp").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"),
                                      (F.min("node") != F.max("node")).alias("several"))
-    meeting = _meeting(groups)
+    # entries before a shared one that no other group has are in no set that shares it (one global order):
+    # so many shingles of the set at least are lost to any link found there
+    lost = F.col("place") - (F.row_number().over(Window.partitionBy("grp").orderBy("place")) - 1)
+    meeting = _meeting(groups).withColumn("left", F.col("n") - F.when(F.col("several"), 0).otherwise(lost)).drop("place", "several")
     # sizes that can link lie in one band or in two that touch: a list holds a band and the one below
     step = float(-np.log(percent / 100))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step))
     members = nodes.select("grp", "node", "copies")
     lists = (meeting.join(members, "grp").withColumn("band", band)
-             .select("token", "node", "n", "copies", F.explode(F.array(
+             .select("token", "node", "n", "left", "copies", F.explode(F.array(
                  F.struct(F.col("band").alias("list"), F.lit(True).alias("own")),
                  F.struct((F.col("band") + 1).alias("list"), F.lit(False).alias("own")))).alias("at"))
-             .select(F.xxhash64("token", "at.list").alias("list"), "node", "n", "copies", F.col("at.own").alias("own")))
+             .select(F.xxhash64("token", "at.list").alias("list"), "node", "n", "left", "copies", F.col("at.own").alias("own")))
     lists = stored(lists, "jaccard-lists")
-    pivots = (lists.groupBy("list").agg(F.max(F.struct("copies", "node", "n", "own")).alias("p"), F.min("node").alias("low"),
+    pivots = (lists.groupBy("list").agg(F.max(F.struct("copies", "node", "n", "own", "left")).alias("p"), F.min("node").alias("low"),
                                         F.max("node").alias("high"))
-              .where("low != high").select("list", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.own").alias("pown")))
+              .where("low != high").select("list", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.own").alias("pown"),
+                                             F.col("p.left").alias("pleft")))
     lists = stored(lists.join(pivots, "list"), "jaccard-shared")
     overlap = lambda n: F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.col(n) / F.lit(100)))
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+    def fits(x: str, y: str, left_x: str, left_y: str):
+        """Sizes can link, and so can what is left of both sets at this place."""
+        x, y = F.col(x), F.col(y)
+        return ((F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+                & (F.least(left_x, left_y) * (100 + percent) >= (x + y) * percent))
 
     def counted(pairs: DataFrame) -> DataFrame:
         return (pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("an").alias("an"), F.first("bn").alias("bn"))
@@ -241,21 +251,21 @@ def _assigned(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
         return stored(_linked(pairs, stored(_sets(docs, key, text, width, wanted), "jaccard-sets"), percent), "jaccard-links")
 
     star = lists.where((F.col("node") != F.col("pivot")) & (F.col("own") | F.col("pown"))
-                       & fits(F.col("n"), F.col("pn")))
+                       & fits("n", "pn", "left", "pleft"))
     first = verified(counted(star.select(F.col("pivot").alias("a"), F.col("node").alias("b"),
                                          F.col("pn").alias("an"), F.col("n").alias("bn"))), "star")
     joined = components(first, "a", "b")
     # the second round: lists that still hold several components
-    labelled = (lists.select("list", "node", "n", "own")
+    labelled = (lists.select("list", "node", "n", "left", "own")
                 .join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
     labelled = stored(labelled, "jaccard-labelled")
     mixed = (labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low != high").select("list"))
     open_lists = stored(labelled.join(mixed, "list", "left_semi"), "jaccard-open")
-    x = open_lists.select("list", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "own", "component")])
-    y = open_lists.select("list", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "own", "component")])
+    x = open_lists.select("list", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "left", "own", "component")])
+    y = open_lists.select("list", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "left", "own", "component")])
     rest = (x.join(y, "list").where((F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component"))
-                                    & (F.col("x_own") | F.col("y_own")) & fits(F.col("x_n"), F.col("y_n"))))
+                                    & (F.col("x_own") | F.col("y_own")) & fits("x_n", "y_n", "x_left", "y_left")))
     second = verified(counted(rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"),
                                           F.col("x_n").alias("an"), F.col("y_n").alias("bn"))), "rest")
     final = components(first.unionAll(second), "a", "b")
