@@ -17,14 +17,20 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 1 << 20
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a fresh one of its own only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; one of its own only where that is unset in a local session."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="llm-shared-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="llm-shared-", dir="/tmp")
+    return _OWN[app]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

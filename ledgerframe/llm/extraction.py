@@ -49,8 +49,8 @@ NAMED = frozenset(
     "menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar comment comments disqus reply replies respond "
     "share sharing social related recommended recommendations widget pagination pager skip login search complementary "
     "contentinfo teaser outbrain taboola".split())
-#: class and id words by which an article names itself where no article element does
-BODY_NAMED = frozenset("article post entry story content main body text".split())
+#: class, id and role words by which an article names itself where no article element does
+BODY_NAMED = frozenset("article post entry story content main".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)"
@@ -121,9 +121,9 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
         if name is None:
             continue
         name, end = name.lower(), bool(m[1] or m[4])
-        if name in INLINE and name not in RAW:
-            words, hidden, _ = _attributes(m[3] or m[6] or "") if not end else (set(), False, "")
-            if not hidden:
+        if name in INLINE:
+            hidden = not end and _attributes(m[3] or m[6] or "")[1]
+            if not hidden and not (end and stack[-1][0] == name):
                 continue
         if name == "br":
             piece.append(" ")
@@ -156,11 +156,12 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
         path = f"{path}/{name}" + (f".{shown}" if shown else "")
         inside = article or main
         furniture = (furniture or hidden or (name in FURNITURE and not (name == "header" and inside))
-                     or bool(words & NAMED) and name not in ("html", "body", "article", "main"))
+                     or bool(words & NAMED) and name not in ("html", "body", "main")
+                     or "header" in words and not inside and name not in ("html", "body"))
         if name == "article":
             articles += 1
             article = article or articles
-        main = main or name == "main" or "main" in words and name != "body"
+        main = main or name == "main" or bool(words & BODY_NAMED) and name not in ("html", "body")
         found.append(_token(path))
         stack.append((name, path, furniture, article, main))
     if at < len(page):

@@ -31,14 +31,14 @@ def _text(docs: DataFrame, text: str) -> Column:
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, th, n, raw, id, words) of every line with a word: n counts such lines, raw all lines of the text."""
+    """(key, th, n, id, words) of every line with a word; n counts such lines."""
     rows = docs.select(docs[key].alias("key"), _text(docs, text).alias("text")).where(F.col("text") != "")
     numbered = rows.select("key", F.xxhash64("text").alias("th"), F.transform(
-        F.split("text", "\n", -1), lambda line, i: F.struct(
-            i.alias("raw"), line.alias("line"), F.regexp_count(line, F.lit(_WORD)).alias("words"))).alias("lines"))
+        F.split("text", "\n", -1), lambda line: F.struct(
+            line.alias("line"), F.regexp_count(line, F.lit(_WORD)).alias("words"))).alias("lines"))
     some = numbered.select("key", "th", F.filter("lines", lambda x: x["words"] > 0).alias("lines"))
     return (some.select("key", "th", F.posexplode("lines").alias("n", "x"))
-            .select("key", "th", "n", F.col("x.raw").alias("raw"), F.unhex(F.md5("x.line")).alias("id"),
+            .select("key", "th", "n", F.unhex(F.md5("x.line")).alias("id"),
                     F.col("x.words").alias("words")))
 
 
@@ -58,7 +58,7 @@ def _ranked(rows: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, th, first, last): runs of lines (numbers in the whole text) that are later copies.
+    """(key, th, first, last): runs of lines, counted among those with a word, that are later copies.
 
     ``th`` is ``xxhash64`` of the text. Copies are ordered by key (nulls
     first), th and line; rows equal in key and text are one text.
@@ -78,9 +78,9 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
                                            F.when(F.col("total") - F.col("start") >= min_words, F.col("count") - 1)))
             .withColumn("first", F.coalesce(F.max("n").over(back) + 1,
                                             F.when(F.col("stop") >= min_words, F.lit(0))))
-            .select(*PLACE, "raw", "id", "first", "last"))
+            .select(*PLACE, "id", "first", "last"))
     runs = stored(runs, "lines")
-    keep = [*PLACE, "raw", "last", "first"]
+    keep = [*PLACE, "last", "first"]
     level = stored(_ranked(runs, ["id"], keep), "line-level")
     levels = [level.select(*PLACE, F.lit(0).alias("k"), "rank")]
     longest = level.agg(F.max(F.greatest(F.col("last") - F.col("n"), F.col("n") - F.col("first")) + 1)).first()[0] or 0
@@ -119,31 +119,31 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     both = stored(both.select("key", "th", "a", "b", "m", "one", "two"), "line-runs")
     firsts = stored(both.groupBy("m", "one", "two").agg(F.min(_place("key", "th", "a")).alias("original")), "line-firsts")
     later = both.join(firsts, ["m", "one", "two"]).where(_place("key", "th", "a") > F.col("original"))
-    # back to line numbers of the whole text
-    raw = level.select("key", "th", "n", "raw").dropDuplicates([*PLACE])
-    start = raw.select(F.col("key").alias("skey"), F.col("th").alias("sth"), F.col("n").alias("sn"), F.col("raw").alias("first"))
-    end = raw.select(F.col("key").alias("ekey"), F.col("th").alias("eth"), F.col("n").alias("en"), F.col("raw").alias("last"))
-    found = later.join(start, later["key"].eqNullSafe(start["skey"]) & (later["th"] == start["sth"]) & (later["a"] == start["sn"]))
-    found = found.join(end, found["key"].eqNullSafe(end["ekey"]) & (found["th"] == end["eth"]) & (found["b"] == end["en"]))
-    return found.select("key", "th", "first", "last")
+    return later.select("key", "th", F.col("a").alias("first"), F.col("b").alias("last"))
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of ``docs`` with ``__kept`` (its text without later copies of repeated runs) and ``__removed`` (lines).
 
     Null text stays null and loses nothing. A text left without any word
-    becomes empty. Lines are what ``\\n`` parts; blank lines between two
-    deleted lines of a run go with it.
+    becomes empty. Lines are what ``\\n`` parts; those without a word are
+    no part of runs and stay.
     """
     runs = repeated_runs(docs, key, text, min_words)
     gone = (runs.select(F.col("key").alias("__key"), F.col("th").alias("__of"), F.explode(F.sequence("first", "last")).alias("line"))
             .groupBy("__key", "__of").agg(F.collect_set("line").alias("__gone")))
-    left = docs.withColumn("__th", F.xxhash64(_text(docs, text)))
-    joined = left.join(gone, left[key].eqNullSafe(gone["__key"]) & (left["__th"] == gone["__of"]), "left")
-    parts = F.split(F.col(text), "\n", -1)
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own_key, own = (F.col(f"c{names.index(c)}") for c in (key, text))
+    left = plain.withColumn("__th", F.xxhash64(_text(plain, f"c{names.index(text)}")))
+    joined = left.join(gone, own_key.eqNullSafe(gone["__key"]) & (left["__th"] == gone["__of"]), "left")
+    parts = F.split(own, "\n", -1)
+    every = F.sequence(F.lit(0), F.size(parts) - 1)
+    worded = F.filter(every, lambda i: F.regexp_like(F.get(parts, i), F.lit(_WORD)))
+    stay = F.array_except(every, F.transform("__gone", lambda n: F.get(worded, n)))
     kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     kept = F.when(F.regexp_like(kept, F.lit(_WORD)), kept).otherwise(F.lit(""))
-    return (joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
-            .withColumn("__removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
-            .select(*[joined[c] for c in docs.columns], "__kept", "__removed"))
+    return joined.select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)],
+        F.when(F.col("__gone").isNull(), own).otherwise(kept).alias("__kept"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("__removed"))

@@ -21,13 +21,13 @@ WITH parts AS (
   FROM seq b JOIN seq a ON a.doc_id = b.doc_id AND a.n <= b.n AND a.stop - a.words <= b.stop - 50
   GROUP BY b.doc_id, b.n
 ), runs AS (
-  SELECT r.doc_id, r.s, r.e, string_agg(q.line, chr(10) ORDER BY q.n) AS body, min(q.raw) AS r0, max(q.raw) AS r1
+  SELECT r.doc_id, r.s, r.e, string_agg(q.line, chr(10) ORDER BY q.n) AS body
   FROM ranges r JOIN seq q ON q.doc_id = r.doc_id AND q.n BETWEEN r.s AND r.e
   GROUP BY ALL
 ), later AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS copy FROM runs) WHERE copy > 1
 ), gone AS (
-  SELECT DISTINCT p.doc_id, p.raw FROM parts p JOIN later l ON p.doc_id = l.doc_id AND p.raw BETWEEN l.r0 AND l.r1
+  SELECT DISTINCT p.doc_id, p.raw FROM seq p JOIN later l ON p.doc_id = l.doc_id AND p.n BETWEEN l.s AND l.e
 ), kept AS (
   SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.raw) AS body
   FROM parts p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.raw = g.raw

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, map_texts, slices, utf8
+from .common import filter_texts, map_texts, slices, stored, utf8
 
 #: labelled rows the weights are learned from, at most (those with the smallest key hashes)
 SAMPLE_ROWS = 50_000
@@ -30,8 +30,10 @@ SAMPLE_ROWS = 50_000
 MAX_TOKENS = 5_000
 PREFIXES = (4, 5)
 #: documents that the corpus prior counts for, and a floor for unseen tokens
-PRIOR_DOCS, PRIOR_FLOOR = 500.0, 0.5
-MIN_Z = 3.0
+PRIOR_DOCS, PRIOR_FLOOR = 10.0, 0.5
+#: a token must stand out so far that, of all tokens tried, a hundredth of one would by chance
+CHANCE = 0.01
+MIN_ODDS = 2.5
 MIN_DOCS = 3
 THRESHOLD = 0.7
 #: distinct words counted before a task hands its counts on; words whose weight a worker remembers
@@ -157,6 +159,30 @@ def _count(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame
     return partial.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n0", "w", "w1", "w0")])
 
 
+def _contexts(docs: DataFrame, chosen: DataFrame, key: str, text: str, names: set[str]) -> dict[str, int]:
+    """In how many different surroundings (word before, word after) the named tokens stand in texts labelled 1.
+
+    Words of one text and its many copies keep their neighbours; words that
+    carry a meaning of their own do not. One row a token reaches the driver.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(names)
+    toxic = docs.select(docs[key].alias("__doc"), docs[text].cast("string").alias("__body")).join(
+        F.broadcast(chosen.where("__label = 1")), F.col("__doc") == F.col("__id")).select("__body")
+
+    def run(batches):
+        for batch in batches:
+            seen = set()
+            for body in utf8(batch.column(0)):
+                words = ["", *words_of(body), ""]
+                for before, word, after in zip(words, words[1:], words[2:]):
+                    seen.update((t, f"{before} {after}") for t in tokens(word) & shipped.value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t for t, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string())], names=["token", "around"])
+
+    rows = toxic.mapInArrow(run, "token string, around string").distinct().groupBy("token").count().collect()
+    return {r["token"]: r["count"] for r in rows}
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
           sample_rows: int = SAMPLE_ROWS, max_tokens: int = MAX_TOKENS) -> Model:
     """Learn token weights from ``labels`` rows (at most ``sample_rows``) and the corpus prior from all ``docs``.
@@ -170,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
               .orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
     counted = _count(docs, chosen, key, text)
     # one aggregate feeds the totals and the few tokens that stand out
-    spread = counted.where((F.col("n1") >= MIN_DOCS) | (F.col("token") == ""))
+    spread = stored(counted.where((F.col("n1") >= MIN_DOCS) | (F.col("token") == "")), "toxic-tokens")
+    tried = spread.count()
     rows = (spread.orderBy((F.col("token") == "").desc(), (F.col("n1") / (F.col("n0") + 1)).desc(),
                            F.col("n1").desc(), "token").limit(8 * max_tokens + 1).collect())
     totals = next((r for r in rows if r["token"] == ""), None)
@@ -178,14 +205,27 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model()
     d1, d0, d = totals["n1"], totals["n0"], totals["n"]
     weighed = []
+    share = d1 / (d1 + d0)
+    bar = math.log(tried / CHANCE)
+
+    def surprise(n1: int, n0: int) -> float:
+        """Minus the log of the chance (at most) of n1 toxic documents or more among n1 + n0."""
+        n, q = n1 + n0, n1 / (n1 + n0)
+        return n1 * math.log(q / share) + (n0 * math.log((1 - q) / (1 - share)) if n0 else 0.0) if q > share else 0.0
+
+    def stands_out(n1: int, n0: int) -> bool:
+        return n1 >= MIN_DOCS and surprise(n1, n0) >= bar
+
+    rows = [r for r in rows if r["token"] and stands_out(r["n1"], r["n0"])]
+    around = _contexts(docs, chosen, key, text, {r["token"] for r in rows})
     for r in rows:
-        if not r["token"]:
+        if not stands_out(min(r["n1"], around.get(r["token"], 0)), r["n0"]):
             continue
         prior = PRIOR_FLOOR + PRIOR_DOCS * r["n"] / d
         in1, in0 = r["n1"] + prior, r["n0"] + prior
         odds = math.log(in1 / (d1 + PRIOR_DOCS)) - math.log(in0 / (d0 + PRIOR_DOCS))
         z = odds / math.sqrt(1 / in1 + 1 / in0)
-        if z >= MIN_Z and odds > 0:
+        if odds >= MIN_ODDS:
             weighed.append((z, r["token"], odds, r["n1"], r["n0"]))
     weighed.sort(key=lambda x: (-x[0], x[1]))
     weighed = weighed[:max_tokens]
