@@ -10,7 +10,6 @@ returns a DataFrame; nothing is collected to the driver. Sub-packages:
                 grain-agnostic measures, validation rules)
 - ``plans``     the analytic reports and marts composed from the operators,
                 the load / mart-rebuild / run-all jobs and the catalogue
-- ``streaming`` (intentionally empty, see its docstring)
 
 ``python -m ledgerframe`` runs the jobs and any catalogued query.
 """

@@ -1,33 +1,23 @@
 """Global RANK / ROW_NUMBER / NTILE without a single-partition window.
 
 ``Window.orderBy`` with no partition key moves the whole frame into one
-task. Over categories (whose number grows with the data) that does not
-scale, so the distributed form is the default:
-
-1. range-partition the frame on (order key, unique tie-break); equal
-   order keys may span partitions but every partition holds a
-   contiguous slice of the global order and partitions stay balanced
-   even when one key value is shared by a third of the rows;
-2. number and rank rows inside each partition (a window partitioned by
-   the range partition id, i.e. one slice per task);
-3. summarise each partition in one row (count, first and last key,
-   rows sharing the last key). This table has as many rows as there
-   are partitions, a fixed bound, so it is broadcast;
-4. global row number = rows in earlier partitions + local row number;
-   global rank = the same, minus the rows of a tie group that started
-   in earlier partitions (for the partition's first key only).
-
-``ntile`` follows from the global row number and the total count.
-The frame is read twice (summary and final join) from one shared
-shuffle, so both reads see the same partition ids.
-
-``prepare`` materialises the (aggregated) input once with a reliable
-checkpoint in the cluster's shared checkpoint folder: the lineage is
-cut (a lost executor re-reads the checkpoint instead of recomputing
-the fact aggregation), the range-partition sampling jobs read only the
-small checkpoint, and the row count it returns is a checked size. Up to
-``NATIVE_MAX_ROWS`` rows a plain window (one task) is cheaper and is
-used; beyond it the distributed form is used.
+task. Here one algorithm serves every size:
+
+1. range-partition the frame on (order key, unique tie-break) and sort
+   inside the partitions: every partition holds a contiguous slice of the
+   global order, also when one key is shared by a third of the rows;
+2. number the rows of each slice where they stand and write slice, place
+   and all columns once to the cluster's shared folder. Everything after
+   reads that table, so no slice can be dealt a second time with other
+   bounds;
+3. summarise each slice in one row (rows, first and last key, place where
+   the last key starts); running sums over these rows, one per slice, give
+   the rows before each slice and the place where a key that runs on from
+   earlier slices began;
+4. row number = rows before the slice + place; rank = the row number at
+   which the key begins, the smallest in its slice or the one run on.
+
+``ntile`` follows from the row number and the total count.
 """
 
 from __future__ import annotations
@@ -35,23 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-NATIVE_MAX_ROWS = 1_000_000
-
-
-def prepare(df: DataFrame, distributed: bool | None = None,
-            native_max_rows: int = NATIVE_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Checkpoint ``df`` once; return it and whether to rank it distributed.
-
-    ``distributed=None`` decides from the checked row count.
-    """
-    from ledgerframe.session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    frame = df.checkpoint(eager=True)
-    if distributed is None:
-        distributed = frame.count() > native_max_rows
-    return frame, distributed
+from ledgerframe.session import staged
 
 
 def _c(x) -> Column:
@@ -64,91 +38,76 @@ def _parts(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _numbered(df: DataFrame, key_order: Column, tb_order: Column, n_parts: int | None):
-    rp = df.repartitionByRange(_parts(df, n_parts), key_order, tb_order).withColumn(
-        "__pid", F.spark_partition_id())
-    local = Window.partitionBy("__pid").orderBy(key_order, tb_order)
-    local_key = Window.partitionBy("__pid").orderBy(key_order)
-    return rp.withColumn("__lrn", F.row_number().over(local)).withColumn(
-        "__lrank", F.rank().over(local_key))
+def _numbered(df: DataFrame, key_order: Column, tb_order: Column, n_parts: int | None) -> DataFrame:
+    """``df`` with its slice (``__pid``) and place in it from 1 (``__pos``), stored."""
+    place = F.monotonically_increasing_id()  # the partition above bit 33, the row in it below
+    sliced = (df.repartitionByRange(_parts(df, n_parts), key_order, tb_order)
+              .sortWithinPartitions(key_order, tb_order).withColumn("__id", place))
+    return staged(sliced.select(*df.columns, F.shiftright("__id", 33).cast("int").alias("__pid"),
+                                (F.col("__id").bitwiseAND((1 << 33) - 1) + 1).alias("__pos")), "ranking")
 
 
-def _summary(numbered: DataFrame, key: str) -> DataFrame:
-    s = numbered.groupBy("__pid").agg(
-        F.count(F.lit(1)).alias("__cnt"),
-        F.min_by(F.col(key), F.col("__lrn")).alias("__first_key"),
-        F.max_by(F.col(key), F.col("__lrn")).alias("__last_key"),
-        F.max("__lrank").alias("__last_rank"),
-    ).withColumn("__cnt_last", F.col("__cnt") - F.col("__last_rank") + 1)
+def _offsets(numbered: DataFrame) -> DataFrame:
+    """One row per slice: rows before it and rows in all."""
+    slices = numbered.groupBy("__pid").agg(F.count(F.lit(1)).alias("__rows"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding,
-                                                     Window.unboundedFollowing)
-    s = s.withColumn("__offset", F.coalesce(F.sum("__cnt").over(before), F.lit(0))) \
-         .withColumn("__total", F.sum("__cnt").over(everything))
-    # rows of the partition's first key that sit in earlier partitions
-    q = s.select(F.col("__pid").alias("__qpid"), F.col("__last_key").alias("__qkey"),
-                 F.col("__cnt_last").alias("__qcnt"))
-    carry = s.join(q, (q["__qkey"].eqNullSafe(s["__first_key"])) & (q["__qpid"] < s["__pid"]),
-                   "inner").groupBy("__pid").agg(F.sum("__qcnt").alias("__carry"))
-    return s.join(carry, "__pid", "left").select(
-        "__pid", "__offset", "__total", "__first_key",
-        F.coalesce(F.col("__carry"), F.lit(0)).alias("__carry"))
-
-
-def _attach(df: DataFrame, key_order: Column, tb_order: Column, key: str,
-            n_parts: int | None) -> DataFrame:
-    numbered = _numbered(df, key_order, tb_order, n_parts)
-    summ = _summary(numbered, key)
-    return numbered.join(F.broadcast(summ), "__pid")
+    return slices.select(
+        F.col("__pid").alias("__of"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"),
+        F.sum("__rows").over(Window.partitionBy()).alias("__total"))
 
 
-def _tiebreak(df: DataFrame, tiebreak: str | None) -> str:
-    if tiebreak:
-        return tiebreak
-    raise ValueError("a unique tie-break column is required for the distributed form")
+def _with_row_number(df: DataFrame, key_order: Column, tb_order: Column, n_parts: int | None) -> DataFrame:
+    numbered = _numbered(df, key_order, tb_order, n_parts)
+    return (numbered.join(F.broadcast(_offsets(numbered)), F.col("__pid") == F.col("__of"))
+            .withColumn("__rn", F.col("__offset") + F.col("__pos")))
 
 
 def rank_desc(df: DataFrame, key: str, out: str, tiebreak: str | None = None,
-              distributed: bool = True, n_parts: int | None = None) -> DataFrame:
+              n_parts: int | None = None) -> DataFrame:
     """RANK() OVER (ORDER BY key DESC), NULLs first as in SQL, as BIGINT."""
-    return rank(df, _c(key).desc_nulls_first(), key, out, tiebreak, distributed, n_parts)
+    return rank(df, _c(key).desc_nulls_first(), key, out, tiebreak, n_parts)
 
 
 def rank(df: DataFrame, key_order: Column, key: str, out: str, tiebreak: str | None = None,
-         distributed: bool = True, n_parts: int | None = None) -> DataFrame:
-    if not distributed:
-        return df.withColumn(out, F.rank().over(Window.orderBy(key_order)).cast("bigint"))
-    tb = _tiebreak(df, tiebreak or df.columns[0])
-    j = _attach(df, key_order, F.col(tb).asc_nulls_last(), key, n_parts)
-    adj = F.when(F.col(key).eqNullSafe(F.col("__first_key")), F.col("__carry")).otherwise(0)
-    r = (F.col("__offset") + F.col("__lrank") - adj).cast("bigint")
-    return j.withColumn(out, r).select(*df.columns, out)
+         n_parts: int | None = None) -> DataFrame:
+    """RANK() over ``key_order``, an order of the column ``key``."""
+    numbered = _numbered(df, key_order, F.col(tiebreak or df.columns[0]).asc_nulls_last(), n_parts)
+    # where each key starts inside each slice: combined before the shuffle, one row per slice and key
+    starts = numbered.groupBy("__pid", F.col(key).alias("__key")).agg(
+        F.min("__pos").alias("__start"), F.count(F.lit(1)).alias("__n"))
+    slices = starts.groupBy("__pid").agg(
+        F.sum("__n").alias("__rows"), F.min_by(F.struct("__key"), "__start").alias("__first"),
+        F.max_by(F.struct("__key"), "__start").alias("__last"), F.max("__start").alias("__last_start"))
+    in_order = Window.orderBy("__pid")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    runs_on = F.lag("__last").over(in_order).eqNullSafe(F.col("__first"))
+    slices = (slices.withColumn("__offset", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+              .withColumn("__runs_on", F.coalesce(F.lag("__rows").over(in_order).isNotNull() & runs_on, F.lit(False))))
+    # the row number at which the last key of a slice starts, unless it started earlier
+    own = F.when(~(F.col("__runs_on") & (F.col("__last_start") == 1)), F.col("__offset") + F.col("__last_start"))
+    slices = (slices.withColumn("__own", own)
+              .withColumn("__begun", F.last("__own", ignorenulls=True).over(before))
+              .select(F.col("__pid").alias("__of"), "__offset", "__runs_on", "__begun"))
+    ranks = starts.join(F.broadcast(slices), F.col("__pid") == F.col("__of")).select(
+        F.col("__pid").alias("__of"), "__key",
+        F.when(F.col("__runs_on") & (F.col("__start") == 1), F.col("__begun"))
+        .otherwise(F.col("__offset") + F.col("__start")).cast("bigint").alias(out))
+    on = (numbered["__pid"] == ranks["__of"]) & numbered[key].eqNullSafe(ranks["__key"])
+    return numbered.join(ranks, on).select(*[numbered[c] for c in df.columns], out)
 
 
 def row_number(df: DataFrame, key_order: Column, tb_order: Column, out: str,
-               distributed: bool = True, n_parts: int | None = None) -> DataFrame:
+               n_parts: int | None = None) -> DataFrame:
     """ROW_NUMBER() over (key_order, tb_order); tb must make the order total."""
-    if not distributed:
-        return df.withColumn(out, F.row_number().over(Window.orderBy(key_order, tb_order))
-                             .cast("bigint"))
-    key = "__rn_key"
-    d = df.withColumn(key, F.lit(0))
-    j = _attach(d, key_order, tb_order, key, n_parts)
-    return j.withColumn(out, (F.col("__offset") + F.col("__lrn")).cast("bigint")) \
-        .select(*df.columns, out)
+    j = _with_row_number(df, key_order, tb_order, n_parts)
+    return j.withColumn(out, F.col("__rn").cast("bigint")).select(*df.columns, out)
 
 
 def ntile(df: DataFrame, buckets: int, key_order: Column, tb_order: Column, out: str,
-          distributed: bool = True, n_parts: int | None = None) -> DataFrame:
+          n_parts: int | None = None) -> DataFrame:
     """NTILE(buckets) over (key_order, tb_order): the first N % b buckets get one extra row."""
-    if not distributed:
-        return df.withColumn(out, F.ntile(buckets).over(Window.orderBy(key_order, tb_order))
-                             .cast("bigint"))
-    key = "__nt_key"
-    d = df.withColumn(key, F.lit(0))
-    j = _attach(d, key_order, tb_order, key, n_parts)
-    rn = F.col("__offset") + F.col("__lrn")
-    n = F.col("__total")
+    j = _with_row_number(df, key_order, tb_order, n_parts)
+    rn, n = F.col("__rn"), F.col("__total")
     q = F.floor(n / buckets).cast("bigint")
     r = (n % buckets).cast("bigint")
     big = r * (q + 1)

@@ -43,6 +43,7 @@ def catalog(as_of=AS_OF, updated_at=UPDATED_AT) -> dict[str, Callable[[DataFrame
         "q03_cumulative": reports.cumulative_daily,
         # RFM
         "q04_rfm": lambda t: rfm.rfm(t, as_of=as_of),
+        "q04_rfm_all": lambda t: rfm.rfm(t, n=None, as_of=as_of),
         "q04_big_categories": lambda t: reports.big_categories(t, as_of=as_of),
         "q04_big_categories_1m": lambda t: reports.big_categories(t, min_volume=1000000, as_of=as_of),
         # cohorts
@@ -56,6 +57,7 @@ def catalog(as_of=AS_OF, updated_at=UPDATED_AT) -> dict[str, Callable[[DataFrame
         # window analyses
         "q07_daily_moving": reports.daily_moving,
         "q07_ranking": reports.rank_categories,
+        "q07_ranking_all": lambda t: reports.rank_categories(t, n=None),
         "q07_monthly_cumulative": reports.monthly_cumulative,
         "q07_period_change": reports.period_change,
         "q07_first_last": reports.first_last,
@@ -95,9 +97,9 @@ CATALOG: dict[str, Callable[[DataFrame], DataFrame]] = catalog()
 ROLLUP_KEYS = frozenset({
     "q01_overall", "q01_top_days",
     "q03_weekday", "q03_moving_avg", "q03_top_flagged", "q03_cumulative",
-    "q04_rfm", "q04_big_categories", "q04_big_categories_1m", "q05_cohort",
+    "q04_rfm", "q04_rfm_all", "q04_big_categories", "q04_big_categories_1m", "q05_cohort",
     "q06_monthly", "q06_top_flagged", "q06_weekday",
-    "q07_daily_moving", "q07_ranking", "q07_monthly_cumulative", "q07_period_change",
+    "q07_daily_moving", "q07_ranking", "q07_ranking_all", "q07_monthly_cumulative", "q07_period_change",
     "q08_kpis", "q08_monthly", "q08_top_categories", "q08_weekday", "q08_seasonality",
     "q08_dashboard",
     "m01_daily", "m01_count", "m01_preview", "m02_category", "m02_count", "m02_preview",

@@ -14,7 +14,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.operators.rollup import Measures
+from ledgerframe.operators.rollup import Measures, day_category_rollup, is_rollup
 
 from ledgerframe.functions import calendar as cal
 from ledgerframe.functions import labels as L
@@ -37,7 +37,7 @@ from ledgerframe.operators.grouped import (
     stats_by,
     sum_count,
 )
-from ledgerframe.operators.ranking import prepare, rank_desc
+from ledgerframe.operators.ranking import rank_desc
 from ledgerframe.operators.window import (
     asc,
     desc,
@@ -49,6 +49,7 @@ from ledgerframe.operators.window import (
     sort_bounded,
     top_k,
 )
+from ledgerframe.session import staged
 
 
 def _as_of(as_of) -> Column:
@@ -271,9 +272,8 @@ def daily_moving(t: DataFrame) -> DataFrame:
     ).orderBy(*order)
 
 
-def rank_categories(t: DataFrame, n: int = 30, min_rows: int = 5,
-                    distributed: bool | None = None) -> DataFrame:
-    """Categories (> ``min_rows`` rows) ranked by debit, frequency and risk; top n by debit rank."""
+def rank_categories(t: DataFrame, n: int | None = 30, min_rows: int = 5) -> DataFrame:
+    """Categories (> ``min_rows`` rows) ranked by debit, frequency and risk; top n by debit rank (all if n is None)."""
     m = Measures(t)
     g = t.groupBy("description").agg(
         m.rows().alias("txn_count"),
@@ -285,11 +285,11 @@ def rank_categories(t: DataFrame, n: int = 30, min_rows: int = 5,
     # exact-enough order key for the rate: 17 digits separates any two
     # distinct fractions with denominators below ~3e8
     g = g.withColumn("__rate", div_round("__fs", "__fn", 17))
-    g, distributed = prepare(g, distributed)
+    g = staged(g, "ranking")  # the total and three ranks read it
     g = share_of_total(g, "txn_count", "pct_of_total_txns")
-    g = rank_desc(g, "__sd", "debit_rank", tiebreak="description", distributed=distributed)
-    g = rank_desc(g, "txn_count", "frequency_rank", tiebreak="description", distributed=distributed)
-    g = rank_desc(g, "__rate", "risk_rank", tiebreak="description", distributed=distributed)
+    g = rank_desc(g, "__sd", "debit_rank", tiebreak="description")
+    g = rank_desc(g, "txn_count", "frequency_rank", tiebreak="description")
+    g = rank_desc(g, "__rate", "risk_rank", tiebreak="description")
     out = g.select(
         "description",
         as_count("txn_count").alias("txn_count"),
@@ -301,7 +301,8 @@ def rank_categories(t: DataFrame, n: int = 30, min_rows: int = 5,
         "risk_rank",
         "pct_of_total_txns",
     )
-    return top_k(out, [asc("debit_rank"), asc("description")], n)
+    order = [asc("debit_rank"), asc("description")]
+    return top_k(out, order, n) if n else out.orderBy(*order)
 
 
 def monthly_cumulative(t: DataFrame) -> DataFrame:
@@ -379,10 +380,15 @@ def first_last(t: DataFrame, key: str = "description", order: str = "transaction
 
 # ---------------------------------------------------------- business insights
 def kpis_long(t: DataFrame) -> DataFrame:
-    """Ten headline KPIs in long form (group, name, text value, unit) from one aggregate."""
+    """Ten headline KPIs in long form (group, name, text value, unit).
+
+    Two distinct counts expand every row they read, so they read the (day,
+    category) rollup instead of the fact.
+    """
+    t = t if is_rollup(t) else day_category_rollup(t)
     m = Measures(t)
     a = t.agg(
-        m.rows().alias("total_txns"),
+        F.coalesce(m.rows(), F.lit(0)).alias("total_txns"),  # no rows sum to null in a rollup
         F.countDistinct("description").alias("total_categories"),
         F.countDistinct("transaction_date").alias("active_days"),
         F.min("transaction_date").alias("first_date"),
@@ -495,13 +501,15 @@ def dashboard(t: DataFrame) -> DataFrame:
     """One row of seven headline numbers, from a single pass over the fact table.
 
     The mean of daily counts is rows / day groups, where the day groups
-    are the distinct dates plus one group for NULL dates if any.
+    are the distinct dates plus one group for NULL dates if any. The two
+    distinct counts expand the (day, category) rollup, not the fact.
     """
+    t = t if is_rollup(t) else day_category_rollup(t)
     m = Measures(t)
     day_groups = F.countDistinct("transaction_date") + F.max(
         F.when(F.col("transaction_date").isNull(), 1).otherwise(0))
     a = t.agg(
-        m.rows().alias("__cnt"),
+        F.coalesce(m.rows(), F.lit(0)).alias("__cnt"),
         F.countDistinct("description").alias("__cats"),
         *m.sum_count("debit"),
         m.sum(FLAG).alias("__fs"),

@@ -26,13 +26,14 @@ from ledgerframe.functions import labels as L
 from ledgerframe.functions.exact import as_count, money, percent
 from ledgerframe.operators.bands import above_band, between_band
 from ledgerframe.operators.grouped import FLAG
-from ledgerframe.operators.ranking import ntile, prepare
+from ledgerframe.operators.ranking import ntile
 from ledgerframe.operators.window import top_k
 from ledgerframe.plans.reports import _as_of
+from ledgerframe.session import staged
 
 
 def rfm(t: DataFrame, as_of=None, buckets: int = 5, min_rows: int = 5, n: int | None = 50,
-        invert_scores: bool = False, distributed: bool | None = None) -> DataFrame:
+        invert_scores: bool = False) -> DataFrame:
     m = Measures(t)
     g = t.groupBy(F.col("description").alias("category")).agg(
         F.max("transaction_date").alias("__last"),
@@ -49,7 +50,7 @@ def rfm(t: DataFrame, as_of=None, buckets: int = 5, min_rows: int = 5, n: int |
         percent("__fs", "__fn").alias("suspicious_percentage"),
     ).where(F.col("recency").isNotNull())
 
-    g, distributed = prepare(g, distributed)
+    g = staged(g, "rfm")  # ranked three times
     tb = F.col("category").asc_nulls_last()
     axes = [
         ("r_score", F.col("recency").asc_nulls_last(), F.col("recency").desc_nulls_first()),
@@ -58,7 +59,7 @@ def rfm(t: DataFrame, as_of=None, buckets: int = 5, min_rows: int = 5, n: int |
     ]
     for name, best_first, worst_first in axes:
         order = worst_first if invert_scores else best_first
-        g = ntile(g, buckets, order, tb, name, distributed=distributed)
+        g = ntile(g, buckets, order, tb, name)
 
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     out = g.select(

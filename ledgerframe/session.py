@@ -9,8 +9,9 @@ behave (AQE, skew splitting, UTC) and is what tests and the bench use.
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -81,3 +82,11 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         os.makedirs(fallback, exist_ok=True)
     sc.setCheckpointDir(fallback)
     return fallback
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends, columns stay prunable."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

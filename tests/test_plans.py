@@ -59,6 +59,13 @@ def test_anomaly_mart_has_no_expand(fact):
     assert "Expand" not in p
 
 
+def test_distinct_counts_expand_the_rollup_and_not_the_fact(fact):
+    for df in (reports.dashboard(fact), reports.kpis_long(fact)):
+        p = tree(df)
+        below = p[p.index("Expand"):]
+        assert "Exchange" in below and "Aggregate" in below.split("Scan parquet")[0]
+
+
 def test_dashboard_and_big_categories_single_pass(fact):
     for df in (reports.dashboard(fact), reports.big_categories(fact, min_volume=1000000)):
         p = tree(df)

@@ -71,26 +71,16 @@ def test_ntile_buckets_differ_by_at_most_one(fact):
         assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
 
 
-def test_distributed_equals_native_on_fixture(fact):
-    # both outputs are fully ordered (ties broken by category), so compare as lists
-    a = [tuple(r) for r in reports.rank_categories(fact, n=1000, distributed=True).collect()]
-    b = [tuple(r) for r in reports.rank_categories(fact, n=1000, distributed=False).collect()]
-    assert a == b and len(a) > 400
-    a = [tuple(r) for r in rfm.rfm(fact, as_of=AS_OF, n=None, distributed=True).collect()]
-    b = [tuple(r) for r in rfm.rfm(fact, as_of=AS_OF, n=None, distributed=False).collect()]
-    assert a == b and len(a) > 400
-
-
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(values=st.lists(st.one_of(st.none(), st.integers(-3, 3)), min_size=1, max_size=60),
        parts=st.integers(1, 9), buckets=st.integers(1, 7))
 def test_random_rank_and_ntile(spark, values, parts, buckets):
     df = spark.createDataFrame([(f"k{i:03d}", v) for i, v in enumerate(values)], "k string, v long")
     key, tb = F.col("v").desc_nulls_first(), F.col("k").asc_nulls_last()
-    got = ranking.rank(df, key, "v", "r", tiebreak="k", distributed=True, n_parts=parts)
+    got = ranking.rank(df, key, "v", "r", tiebreak="k", n_parts=parts)
     exp = df.withColumn("r", F.rank().over(Window.orderBy(key)))
     assert sorted(got.collect()) == sorted(exp.collect())
-    got = ranking.ntile(df, buckets, key, tb, "t", distributed=True, n_parts=parts)
+    got = ranking.ntile(df, buckets, key, tb, "t", n_parts=parts)
     exp = df.withColumn("t", F.ntile(buckets).over(Window.orderBy(key, tb)))
     assert sorted(got.collect()) == sorted(exp.collect())
 

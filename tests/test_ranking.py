@@ -28,7 +28,7 @@ def _frame(spark, n, seed, hot_share=0.34):
 @pytest.mark.parametrize("n,parts,seed", [(1, 3, 1), (17, 4, 2), (500, 7, 3), (2000, 16, 4)])
 def test_rank_matches_native(spark, n, parts, seed):
     df = _frame(spark, n, seed)
-    got = ranking.rank_desc(df, "v", "r", tiebreak="k", distributed=True, n_parts=parts)
+    got = ranking.rank_desc(df, "v", "r", tiebreak="k", n_parts=parts)
     exp = df.withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc_nulls_first())))
     assert sorted(got.collect()) == sorted(exp.collect())
 
@@ -38,34 +38,34 @@ def test_ntile_and_row_number_match_native(spark, n, parts, buckets):
     df = _frame(spark, n, n)
     key, tb = F.col("v").asc_nulls_last(), F.col("k").asc_nulls_last()
     w = Window.orderBy(key, tb)
-    got = ranking.ntile(df, buckets, key, tb, "t", distributed=True, n_parts=parts)
+    got = ranking.ntile(df, buckets, key, tb, "t", n_parts=parts)
     exp = df.withColumn("t", F.ntile(buckets).over(w))
     assert sorted(got.collect()) == sorted(exp.collect())
-    got = ranking.row_number(df, key, tb, "t", distributed=True, n_parts=parts)
+    got = ranking.row_number(df, key, tb, "t", n_parts=parts)
     exp = df.withColumn("t", F.row_number().over(w))
     assert sorted(got.collect()) == sorted(exp.collect())
 
 
-def test_distributed_plan_has_no_single_partition_exchange(spark):
-    df = _frame(spark, 100, 9)
-    plan = ranking.rank_desc(df, "v", "r", tiebreak="k", distributed=True, n_parts=4) \
-        ._jdf.queryExecution().executedPlan().toString()
-    main = plan.split("BroadcastExchange")[0]
-    assert "rangepartitioning" in main
-    assert "SinglePartition" not in main
+def test_plan_has_no_single_partition_exchange_of_rows(spark):
+    out = ranking.rank_desc(_frame(spark, 100, 9), "v", "r", tiebreak="k", n_parts=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
 
 
-def test_prepare_decides_by_checked_size(spark):
-    df = _frame(spark, 50, 1)
-    _, dist = ranking.prepare(df, native_max_rows=10)
-    assert dist is True
-    _, dist = ranking.prepare(df, native_max_rows=1000)
-    assert dist is False
-
-
-def test_distributed_branches_share_one_exchange(spark):
-    # summary and final join must read the same range-partitioned shuffle
-    df = _frame(spark, 300, 5)
-    out = ranking.rank_desc(df, "v", "r", tiebreak="k", distributed=True, n_parts=4)
-    out.collect()
-    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+def test_wide_frame_of_many_rows_matches_native(spark, tmp_path):
+    """200,000 rows, extra columns, 16 slices, a value shared by a third; results written and compared in full."""
+    v = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 41 == 0, None).otherwise(F.xxhash64("id") % 5000)
+    df = spark.range(0, 200_000, 1, 16).select(
+        F.format_string("k%06d", F.col("id")).alias("k"), v.cast("long").alias("v"),
+        F.md5(F.col("id").cast("string")).alias("pad"), (F.col("id") * 2).alias("x"), F.lit("y").alias("z"))
+    key, tb = F.col("v").desc_nulls_first(), F.col("k").asc_nulls_last()
+    got = ranking.rank_desc(df, "v", "r", tiebreak="k", n_parts=16)
+    got = ranking.row_number(got, key, tb, "n", n_parts=16)
+    got = ranking.ntile(got, 5, key, tb, "t", n_parts=16)
+    got.write.parquet(str(tmp_path / "got"))
+    w = Window.orderBy(key, tb)
+    want = (df.withColumn("r", F.rank().over(Window.orderBy(key)).cast("long"))
+            .withColumn("n", F.row_number().over(w).cast("long")).withColumn("t", F.ntile(5).over(w).cast("long")))
+    back = spark.read.parquet(str(tmp_path / "got"))
+    assert back.count() == 200_000
+    assert want.exceptAll(back).count() == 0

@@ -105,12 +105,11 @@ def test_period_change_zero_previous_month(spark):
     assert rows(reports.period_change(f, safe=True))[1]["debit_growth_pct"] is None
 
 
-@pytest.mark.parametrize("distributed", [False, True])
-def test_ntile_seven_into_five(spark, distributed):
+def test_ntile_seven_into_five(spark):
     data = [("2024-01-0%d" % (i + 1), c, "1.00", None, "1.00", 0)
             for i, c in enumerate("ABCDEFG") for _ in range(6)]
     f = make_fact(spark, data)
-    out = rows(rfm.rfm(f, as_of=AS_OF, n=None, distributed=distributed))
+    out = rows(rfm.rfm(f, as_of=AS_OF, n=None))
     sizes = sorted(sum(1 for r in out if r["r_score"] == b) for b in range(1, 6))
     assert sorted(sizes, reverse=True) == [2, 2, 1, 1, 1]
     by_cat = {r["category"]: r["r_score"] for r in out}
