@@ -137,10 +137,13 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     own_key, own = (F.col(f"c{names.index(c)}") for c in (key, text))
     left = plain.withColumn("__th", F.xxhash64(_text(plain, f"c{names.index(text)}")))
     joined = left.join(gone, own_key.eqNullSafe(gone["__key"]) & (left["__th"] == gone["__of"]), "left")
-    parts = F.split(own, "\n", -1)
+    # columns of their own: inside a lambda an expression would be split anew for every line
+    joined = joined.withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split(own, "\n", -1)))
+    parts = F.col("__parts")
     every = F.sequence(F.lit(0), F.size(parts) - 1)
-    worded = F.filter(every, lambda i: F.regexp_like(F.get(parts, i), F.lit(_WORD)))
-    stay = F.array_except(every, F.transform("__gone", lambda n: F.get(worded, n)))
+    joined = joined.withColumn("__worded", F.when(
+        F.col("__gone").isNotNull(), F.filter(every, lambda i: F.regexp_like(F.get(parts, i), F.lit(_WORD)))))
+    stay = F.array_except(every, F.transform("__gone", lambda n: F.get(F.col("__worded"), n)))
     kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     kept = F.when(F.regexp_like(kept, F.lit(_WORD)), kept).otherwise(F.lit(""))
     return joined.select(
