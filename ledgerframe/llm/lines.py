@@ -122,6 +122,27 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     return later.select("key", "th", F.col("a").alias("first"), F.col("b").alias("last"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A column of its own would not do: a filter on the result is pushed below
+    it and puts its expression back in every place that names it.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _rest(text: Column, gone: Column) -> Column:
+    """``text`` without the lines numbered in ``gone`` (counted among lines with a word); empty if no word is left."""
+    def joined(parts: Column, every: Column, worded: Column) -> Column:
+        stay = F.array_except(every, F.transform(gone, lambda n: F.get(worded, n)))
+        return F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+
+    return _let(F.split(text, "\n", -1), lambda parts: _let(
+        F.sequence(F.lit(0), F.size(parts) - 1), lambda every: _let(
+            F.filter(every, lambda i: F.regexp_like(F.get(parts, i), F.lit(_WORD))), lambda worded: _let(
+                joined(parts, every, worded), lambda kept: F.when(F.regexp_like(kept, F.lit(_WORD)), kept).otherwise(F.lit(""))))))
+
+
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of ``docs`` with ``__kept`` (its text without later copies of repeated runs) and ``__removed`` (lines).
 
@@ -137,15 +158,7 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     own_key, own = (F.col(f"c{names.index(c)}") for c in (key, text))
     left = plain.withColumn("__th", F.xxhash64(_text(plain, f"c{names.index(text)}")))
     joined = left.join(gone, own_key.eqNullSafe(gone["__key"]) & (left["__th"] == gone["__of"]), "left")
-    # columns of their own: inside a lambda an expression would be split anew for every line
-    joined = joined.withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split(own, "\n", -1)))
-    parts = F.col("__parts")
-    every = F.sequence(F.lit(0), F.size(parts) - 1)
-    joined = joined.withColumn("__worded", F.when(
-        F.col("__gone").isNotNull(), F.filter(every, lambda i: F.regexp_like(F.get(parts, i), F.lit(_WORD)))))
-    stay = F.array_except(every, F.transform("__gone", lambda n: F.get(F.col("__worded"), n)))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    kept = F.when(F.regexp_like(kept, F.lit(_WORD)), kept).otherwise(F.lit(""))
+    kept = _rest(own, F.col("__gone"))
     return joined.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)],
         F.when(F.col("__gone").isNull(), own).otherwise(kept).alias("__kept"),
