@@ -159,7 +159,8 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     left = plain.withColumn("__th", F.xxhash64(_text(plain, f"c{names.index(text)}")))
     joined = left.join(gone, own_key.eqNullSafe(gone["__key"]) & (left["__th"] == gone["__of"]), "left")
     kept = _rest(own, F.col("__gone"))
-    return joined.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)],
-        F.when(F.col("__gone").isNull(), own).otherwise(kept).alias("__kept"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("__removed"))
+    found = joined.select(
+        *plain.columns,
+        F.when(F.col("__gone").isNull(), own).otherwise(kept).alias("kept"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("removed"))
+    return found.toDF(*names, "__kept", "__removed")
