@@ -14,21 +14,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ledgerframe.operators.validate import validate
-from ledgerframe.plans import cohort, marts, reports, rfm
+from ledgerframe.plans import cohort, loads, marts, reports, rfm
 from ledgerframe.sources.tables import load_report
 
 AS_OF = _dt.date(2002, 1, 1)
 UPDATED_AT = _dt.datetime(2002, 1, 1, 0, 0, 0)
 
 
+# name -> (mart, query over the stored mart)
+READ_BACKS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    "m01_count": (marts.DAILY_MART, marts.daily_mart_count),
+    "m01_preview": (marts.DAILY_MART, marts.daily_mart_preview),
+    "m02_count": (marts.CATEGORY_MART, marts.category_mart_count),
+    "m02_preview": (marts.CATEGORY_MART, marts.category_mart_preview),
+    "m03_top_days": (marts.ANOMALY_MART, marts.top_risk_days),
+    "m03_anomalies": (marts.ANOMALY_MART, marts.anomalous_days),
+    "m03_weekday": (marts.ANOMALY_MART, marts.mart_by_weekday),
+    "m03_monthly": (marts.ANOMALY_MART, marts.mart_by_month),
+}
+
+
+def mart_builds(as_of=AS_OF, updated_at=UPDATED_AT) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Mart name -> its build over the fact table or its rollup."""
+    return {
+        marts.DAILY_MART: lambda t: marts.daily_mart(t, updated_at=updated_at),
+        marts.CATEGORY_MART: lambda t: marts.category_mart(t, as_of=as_of, updated_at=updated_at),
+        marts.ANOMALY_MART: lambda t: marts.anomaly_mart(t, updated_at=updated_at),
+    }
+
+
+def _read_back(mart: str, build, read) -> Callable[[DataFrame], DataFrame]:
+    """Run on its own, a read-back stores its mart first and then reads that table."""
+    return lambda t: read(marts.stored_mart(mart, build(t)))
+
+
 def catalog(as_of=AS_OF, updated_at=UPDATED_AT) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """name -> query over a fact table (or its rollup, for ROLLUP_KEYS).
 
     ``as_of`` replaces CURRENT_DATE and ``updated_at`` CURRENT_TIMESTAMP;
     pass None for the clock values of the moment the query runs.
     """
+    builds = mart_builds(as_of, updated_at)
     return {
         # load and table rules
+        "l01_reload": loads.reload_twice,
+        "l02_csv_round_trip": loads.csv_round_trip,
+        "l03_surrogate_id": loads.ids_in_file_order,
         "l04_load_report": load_report,
         "l06_validate": validate,
         # basic stats
@@ -69,22 +100,11 @@ def catalog(as_of=AS_OF, updated_at=UPDATED_AT) -> dict[str, Callable[[DataFrame
         "q08_seasonality": reports.day_of_month_profile,
         "q08_risk_bands": reports.risk_bands,
         "q08_dashboard": reports.dashboard,
-        # daily mart
-        "m01_daily": lambda t: marts.daily_mart(t, updated_at=updated_at),
-        "m01_count": lambda t: marts.daily_mart_count(marts.daily_mart(t, updated_at=updated_at)),
-        "m01_preview": lambda t: marts.daily_mart_preview(marts.daily_mart(t, updated_at=updated_at)),
-        # category mart
-        "m02_category": lambda t: marts.category_mart(t, as_of=as_of, updated_at=updated_at),
-        "m02_count": lambda t: marts.category_mart_count(
-            marts.category_mart(t, as_of=as_of, updated_at=updated_at)),
-        "m02_preview": lambda t: marts.category_mart_preview(
-            marts.category_mart(t, as_of=as_of, updated_at=updated_at)),
-        # anomaly mart
-        "m03_anomaly": lambda t: marts.anomaly_mart(t, updated_at=updated_at),
-        "m03_top_days": lambda t: marts.top_risk_days(marts.anomaly_mart(t, updated_at=updated_at)),
-        "m03_anomalies": lambda t: marts.anomalous_days(marts.anomaly_mart(t, updated_at=updated_at)),
-        "m03_weekday": lambda t: marts.mart_by_weekday(marts.anomaly_mart(t, updated_at=updated_at)),
-        "m03_monthly": lambda t: marts.mart_by_month(marts.anomaly_mart(t, updated_at=updated_at)),
+        # marts, and the queries that read a stored one
+        "m01_daily": builds[marts.DAILY_MART],
+        "m02_category": builds[marts.CATEGORY_MART],
+        "m03_anomaly": builds[marts.ANOMALY_MART],
+        **{k: _read_back(mart, builds[mart], read) for k, (mart, read) in READ_BACKS.items()},
     }
 
 

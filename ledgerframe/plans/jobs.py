@@ -19,7 +19,7 @@ from ledgerframe.functions import labels as L
 from ledgerframe.operators.validate import assert_valid
 from ledgerframe.plans import marts
 from ledgerframe.sources import csv as csvsrc
-from ledgerframe.session import checkpoint_dir
+from ledgerframe.session import checkpoint_dir, staged
 from ledgerframe.sources import tables
 
 
@@ -30,27 +30,30 @@ def load_transactions(
     path: str | None = None,
     date_format: str = "yyyy-MM-dd",
     check_rules: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV -> rule check -> overwrite the fact table -> one-row load report.
 
     The CSV is parsed exactly once: it is staged as parquet in the shared
     checkpoint folder (the parse is FAILFAST, so a bad row aborts here),
-    and the rule check and the dense ids read the columnar copy.
+    and the rule check and the dense ids, in file order, read the
+    columnar copy.
     """
-    raw = csvsrc.read_transactions(spark, csv_path, date_format=date_format)
+    raw = csvsrc.read_transactions(spark, csv_path, date_format=date_format,
+                                   multi_line=multi_line, position=True)
     stage_path = _staging_path(spark)
     try:
         raw.write.mode("overwrite").parquet(stage_path)
-        staged = tables.with_surrogate_id(spark.read.parquet(stage_path), dense=True)
+        rows = tables.with_surrogate_id(spark.read.parquet(stage_path), dense=True)
         if check_rules:
             # row rules only: the ids were just generated and are unique by construction
-            assert_valid(staged, check_unique=False)
+            assert_valid(rows, check_unique=False)
         if path:
-            tables.load(staged, path=path)
+            tables.load(rows, path=path)
             loaded = spark.read.parquet(path)
         else:
             tables.ensure_table(spark, table)
-            tables.load(staged, name=table)
+            tables.load(rows, name=table)
             tables.comment(spark, table, L.FACT_TABLE_COMMENT, L.FACT_COLUMN_COMMENTS)
             loaded = spark.table(table)
     finally:
@@ -80,16 +83,15 @@ def rebuild_marts(
     """Rebuild the daily, category and anomaly marts; return their row-count reports.
 
     The fact table is scanned once: all three marts derive from one
-    checkpointed (day, category) pre-aggregate.
+    stored (day, category) pre-aggregate.
 
     With ``root`` the marts are parquet folders under it; otherwise they
     are catalog tables (``names`` may rename them) with comments attached.
     """
     spark = t.sparkSession
     # one scan of the fact table: the shared (day, category) pre-aggregate is
-    # checkpointed to the cluster's checkpoint folder and feeds all three marts
-    checkpoint_dir(spark)
-    r = marts.day_category_rollup(t).checkpoint(eager=True)
+    # written to the cluster's shared folder and feeds all three marts
+    r = staged(marts.day_category_rollup(t), "rollup")
     builds = {
         marts.DAILY_MART: (marts.daily_mart(None, updated_at=updated_at, rollup=r), "rows_in_mart"),
         marts.CATEGORY_MART: (marts.category_mart(None, as_of=as_of, updated_at=updated_at,
@@ -119,20 +121,33 @@ def run_reports(t: DataFrame, keys=None, as_of=None, updated_at=None,
                 pinned: bool = True) -> dict[str, DataFrame]:
     """Every catalogued report, mart and read-back with one pre-aggregation.
 
-    The (day, category) rollup is computed once and checkpointed to the
-    shared checkpoint folder; the queries that need only day- or
-    category-level sums and counts read it, the few that need row-level
-    values read the fact table. Returns lazy DataFrames keyed by name.
+    The (day, category) rollup is computed once and written as Parquet to
+    the shared folder; the queries that need only day- or category-level
+    sums and counts read the columns they use, the few that need row-level
+    values read the fact table. Each mart that a read-back asks for is
+    stored once and serves all its read-backs. Returns DataFrames keyed
+    by name.
     ``pinned=True`` uses the catalogue's fixed clock values; otherwise
     ``as_of`` / ``updated_at`` (None: the moment the query runs).
     """
     from ledgerframe.operators.rollup import day_category_rollup
-    from ledgerframe.plans.catalog import CATALOG, ROLLUP_KEYS, catalog
+    from ledgerframe.plans.catalog import AS_OF, READ_BACKS, ROLLUP_KEYS, UPDATED_AT, catalog, mart_builds
 
-    cat = CATALOG if pinned else catalog(as_of, updated_at)
+    if pinned:
+        as_of, updated_at = AS_OF, UPDATED_AT
+    cat = catalog(as_of, updated_at)
     wanted = list(keys or cat)
     rollup = None
     if any(k in ROLLUP_KEYS for k in wanted):
-        checkpoint_dir(t.sparkSession)
-        rollup = day_category_rollup(t).checkpoint(eager=True)
-    return {k: cat[k](rollup if k in ROLLUP_KEYS else t) for k in wanted}
+        rollup = staged(day_category_rollup(t), "rollup")
+    builds = mart_builds(as_of, updated_at)
+    stored = {m: marts.stored_mart(m, builds[m](rollup))
+              for m in {READ_BACKS[k][0] for k in wanted if k in READ_BACKS}}
+
+    def result(k: str) -> DataFrame:
+        if k in READ_BACKS:
+            mart, read = READ_BACKS[k]
+            return read(stored[mart])
+        return cat[k](rollup if k in ROLLUP_KEYS else t)
+
+    return {k: result(k) for k in wanted}

@@ -13,6 +13,7 @@ reproducible output.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +41,8 @@ from ledgerframe.operators.window import (
     top_k,
 )
 from ledgerframe.plans.reports import _as_of
-from ledgerframe.sources.tables import mart_report, preview
+from ledgerframe.session import checkpoint_dir
+from ledgerframe.sources.tables import mart_report, preview, write_mart
 
 DAILY_MART = "mart_daily_metrics"
 CATEGORY_MART = "mart_category_summary"
@@ -88,6 +90,15 @@ def _rollup(t: DataFrame | None, rollup: DataFrame | None) -> DataFrame:
     return day_category_rollup(t)
 
 
+def stored_mart(name: str, mart: DataFrame) -> DataFrame:
+    """The mart written in its layout to the shared folder, and read back from there."""
+    spark = mart.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    sort_by, partition_by = MART_LAYOUT[name]
+    write_mart(mart, path=path, sort_by=sort_by, partition_by=partition_by)
+    return spark.read.schema(mart.schema).parquet(path)
+
+
 # ---------------------------------------------------------------- daily mart
 def daily_mart(t: DataFrame | None, updated_at=None, rollup: DataFrame | None = None) -> DataFrame:
     """One row per day (NULL dates form one row): counts, sums, means, 7-row averages."""

@@ -21,6 +21,7 @@ from ledgerframe.schema import CSV_COLUMNS, TRANSACTION_SCHEMA
 
 _EMPTY_SENTINEL = "\u0000lf-empty\u0000"
 CORRUPT_COLUMN = "_corrupt_record"
+POSITION = ("_lf_file", "_lf_block", "_lf_row")
 
 
 def csv_schema(with_corrupt: bool = False) -> T.StructType:
@@ -37,12 +38,23 @@ def read_transactions(
     mode: str = "FAILFAST",
     delimiter: str = ",",
     header: bool = True,
+    multi_line: bool = False,
+    position: bool = False,
 ) -> DataFrame:
     """Read transaction CSV files into the fact columns (no id yet).
 
     ``mode`` is FAILFAST (default, abort on a bad row) or PERMISSIVE, in
     which case bad rows keep their raw line in ``_corrupt_record`` and
     NULL fields; use ``split_quarantine`` to separate them.
+
+    Every read parses every column, whatever is selected later: a scan
+    pruned to some columns would take a row for good whose other fields
+    cannot be parsed.
+
+    ``multi_line`` allows line breaks inside quoted fields; a file is then
+    read by one task, so give many files. ``position`` adds the columns of
+    ``POSITION`` (file, start of the split in it, a number that grows along
+    the split) for ids in file order.
     """
     permissive = mode.upper() == "PERMISSIVE"
     reader = (
@@ -56,10 +68,17 @@ def read_transactions(
         .option("emptyValue", _EMPTY_SENTINEL)
         .option("nullValue", "")
         .option("enforceSchema", True)
+        .option("multiLine", multi_line)
     )
     if permissive:
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
     df = reader.csv(path)
+    if position:
+        df = df.select("*", F.col("_metadata.file_path").alias(POSITION[0]),
+                       F.col("_metadata.file_block_start").alias(POSITION[1]),
+                       F.monotonically_increasing_id().alias(POSITION[2]))
+    # always true, and needs every field of the file
+    df = df.where(F.hash(*csv_schema(with_corrupt=permissive).names) >= -(2 ** 31))
     return df.withColumn(
         "description",
         F.when(F.col("description") == _EMPTY_SENTINEL, F.lit("")).otherwise(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.schema import TRANSACTION_SCHEMA
+from ledgerframe.sources.csv import POSITION
 
 FACT_TABLE = "fact_transactions"
 
@@ -23,13 +24,14 @@ def with_surrogate_id(df: DataFrame, dense: bool = False, col: str = "transactio
 
     ``dense=False``: ``monotonically_increasing_id`` (unique, ordered by
     input position, one pass, not contiguous).
-    ``dense=True``: 1..N in input order like a fresh sequence. Each input
-    partition's row count is computed (one row per partition, so the
-    offsets table is bounded by the partition count and is broadcast);
-    the id is the partition's offset plus the position in the partition.
-    Input order of a file scan is deterministic, so a recomputed task
-    after an executor loss produces the same ids.
+    ``dense=True``: 1..N. Rows read with ``position=True`` (``POSITION``
+    columns, dropped here) are numbered in file order: files by path,
+    splits by their start, rows along the split. Other rows follow the
+    order of Spark's partitions, which for a scan of several files is not
+    the order of the files.
     """
+    if dense and set(POSITION) <= set(df.columns):
+        return _file_order_id(df, col)
     pid = F.spark_partition_id()
     mid = F.monotonically_increasing_id()
     if not dense:
@@ -49,11 +51,33 @@ def with_surrogate_id(df: DataFrame, dense: bool = False, col: str = "transactio
             F.lit(0),
         ).alias("_off"),
     )
-    return tagged.join(F.broadcast(offsets), "_pid").select(
+    return tagged.join(offsets, "_pid").select(
         (F.col("_off") + F.col("_pos") + 1).alias(col), *df.columns
     )
 
 
+def _file_order_id(df: DataFrame, col: str) -> DataFrame:
+    """Dense ids in file order: rows before the file, plus rows before the split, plus the place in it.
+
+    Counts are combined to one row per split, summed along each file in
+    parallel and then along the files; only that last sum, over one row
+    per file, runs in one task. Spark chooses the join by the size of the
+    table of splits (no broadcast is forced).
+    """
+    file, block, row = POSITION
+    before = (Window.unboundedPreceding, -1)
+    splits = df.groupBy(file, block).agg(F.count(F.lit(1)).alias("_n"), F.min(row).alias("_first"))
+    files = splits.groupBy(file).agg(F.sum("_n").alias("_n"))
+    files = files.select(F.col(file).alias("_of"), F.coalesce(
+        F.sum("_n").over(Window.orderBy(file).rowsBetween(*before)), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(file).orderBy(block).rowsBetween(*before)), F.lit(0))
+    offsets = (splits.withColumn("_inside", inside).join(files, F.col(file) == F.col("_of"))
+               .select(F.col(file).alias("_of"), F.col(block).alias("_at"),
+                       (F.col("_start") + F.col("_inside") - F.col("_first") + 1).alias("_off")))
+    rows = df.join(offsets, (F.col(file) == F.col("_of")) & (F.col(block) == F.col("_at")))
+    return rows.select((F.col("_off") + F.col(row)).alias(col), *[c for c in df.columns if c not in POSITION])
+
+
 # ---------------------------------------------------------- fact table (L1, L4, L9)
 def ensure_table(spark: SparkSession, name: str = FACT_TABLE, location: str | None = None) -> None:
     """CREATE TABLE IF NOT EXISTS with the declared fact schema (parquet)."""

@@ -49,10 +49,44 @@ def test_csv_bad_amount_fails_the_load(spark):
 
 def test_csv_quarantine_mode(spark):
     p = _write("2024-01-01,A,abc,,10.00,0\n2024-01-02,B,1.00,,10.00,0\n")
-    df = csvsrc.read_transactions(spark, p, mode="PERMISSIVE").cache()
+    df = csvsrc.read_transactions(spark, p, mode="PERMISSIVE")
     good, bad = csvsrc.split_quarantine(df)
     assert [r.description for r in good.collect()] == ["B"]
-    assert bad.count() == 1
+    assert [r.description for r in good.select("description").collect()] == ["B"]
+    assert (good.count(), bad.count(), len(bad.collect())) == (1, 1, 1)
+
+
+def test_csv_narrow_reads_fail_on_a_bad_row(spark):
+    df = csvsrc.read_transactions(spark, _write("2024-01-01,A,abc,,10.00,0\n"))
+    for narrow in (df.select("description"), df.groupBy().count()):
+        with pytest.raises(Exception):
+            narrow.collect()
+
+
+def test_csv_line_break_inside_quotes(spark):
+    p = _write('2024-01-01,"a\nb",1.00,,10.00,0\n')
+    assert csvsrc.read_transactions(spark, p, multi_line=True).first().description == "a\nb"
+
+
+def test_load_numbers_rows_in_file_order(spark):
+    from ledgerframe.plans import jobs
+
+    root = tempfile.mkdtemp(prefix="lf-order-", dir="/tmp")
+    at = 0
+    for name, n in (("a", 500), ("b", 20000), ("c", 3000)):
+        with open(os.path.join(root, f"{name}.csv"), "w", encoding="utf-8") as f:
+            f.write(HEADER + "".join(f"2024-01-01,r{at + i + 1},1.00,,1.00,0\n" for i in range(n)))
+        at += n
+    out = tempfile.mkdtemp(prefix="lf-order-", dir="/tmp")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")  # several splits a file
+    try:
+        jobs.load_transactions(spark, root, path=os.path.join(out, "fact"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    fact = spark.read.parquet(os.path.join(out, "fact"))
+    assert fact.count() == at
+    assert fact.where(F.concat(F.lit("r"), F.col("transaction_id")) != F.col("description")).count() == 0
 
 
 def test_rules_report_violations(spark):
