@@ -4,10 +4,11 @@ A suffix array over every byte does not fit a cluster's disks, so
 positions are thinned first. An anchor is a place whose next ``GRAM``
 bytes hash below a bound; equal strings have their anchors at equal
 places, and bytes between two anchors form a phrase. Ranks are given to
-anchors: first by one phrase, then by the ranks at growing offsets (runs
-of 2 phrases, then chains of those as long as the threshold needs). In
+anchors in three rounds: by one phrase, by runs of 2 phrases (the one
+doubling), then by chains of such runs as long as the threshold needs. In
 every round Spark sorts the (rank, position) rows, and anchors whose rank
-is unique leave.
+is unique leave. Ranks of phrases and runs are 64-bit hashes; those of
+chains are 128 bits wide, over the 64-bit ranks of their runs.
 
 What is left gives two exact tests for a window of ``length`` bytes. If
 the chain of phrases that contains it repeats, so does the window. If a
@@ -82,7 +83,8 @@ class Text:
         n = len(self.at)
         out = np.zeros(n, np.int64)
         if n > 1:
-            end = np.searchsorted(self.at + GRAM, self.at[1:] - 1 + length, side="left")
+            # phrases end where the last anchor begins: its gram may differ between equal chains
+            end = np.searchsorted(self.at, self.at[1:] - 1 + length, side="left")
             ok = (end < n) & (self.of[np.minimum(end, n - 1)] == self.of[:-1]) & (self.of[1:] == self.of[:-1])
             out[:-1] = np.where(ok, end - np.arange(n - 1), 0)
         return out

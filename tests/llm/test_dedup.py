@@ -57,6 +57,39 @@ def test_substrings_match_brute_force(docs, length):
         assert all(a["end"] < b["start"] for a, b in zip(got[i]["spans"], got[i]["spans"][1:]))
 
 
+def passage_pairs(n, length, seed=11):
+    """Pairs of texts that share one passage; in every thirtieth an anchor stands less than a gram before the passage's end."""
+    r = random.Random(seed)
+    some = lambda k: "".join(r.choices("abcdefghijklmnop ", k=k))
+    out = []
+    for i in range(n):
+        passage = some(r.randint(length, length + 120))
+        tails = [some(60), some(60)]
+        if i % 30 == 0:
+            back = r.randint(1, substrings.GRAM // 2)
+            for j in (0, 1):  # bytes after the passage differ, but leave the place an anchor
+                tails[j] = "ab"[j] + some(59)
+                while not len(substrings.Text([(passage[-back:] + tails[j][:substrings.GRAM - back]).encode()]).at):
+                    tails[j] = "ab"[j] + some(59)
+        out += [some(r.randint(0, 90)) + passage + t for t in tails]
+    return out
+
+
+def test_substrings_at_thousands_of_passage_ends(docs):
+    length, texts = 150, passage_pairs(1500, 150)  # 3000 texts with a passage start and end each
+    got = {r["doc_id"]: r for r in substrings.without_repeats(docs(texts), length=length).collect()}
+    want = [w for i in range(0, len(texts), 2) for w in removed_bytes(texts[i:i + 2], length)]
+    wrong = [i for i, w in enumerate(want) if (got[i]["n_bytes"], got[i]["n_removed"], bytes(got[i]["kept"])) != w]
+    assert wrong == []
+
+
+def test_chains_hold_all_bytes_of_their_windows():
+    t = substrings.Text([x.encode() for x in passage_pairs(60, 400)])
+    reach = t.reach(400)
+    held = [i for i in range(len(reach)) if reach[i]]
+    assert held and all(t.at[i + reach[i]] >= t.at[i + 1] - 1 + 400 for i in held)
+
+
 def test_substrings_of_repeated_and_null_rows(docs):
     body = " ".join(f"w{i}" for i in range(200))
     got = substrings.without_repeats(docs([body, body, "short", None, body + "!"], ids=[1, 1, None, None, None])).collect()
