@@ -34,7 +34,7 @@ BASE = {
 
 @dataclass(frozen=True)
 class Rule:
-    """``gate``: a word or phrase that every match contains; ``weight``: certainty of one hit, 0 to 1."""
+    """``gate``: words of which every match holds one at least; ``weight``: certainty of one hit, 0 to 1."""
 
     label: str
     pattern: str
@@ -43,19 +43,19 @@ class Rule:
     weight: float
 
 
-#: label, name as normalised words (a regex), gate word
+#: label, name as normalised words (a regex), gate words
 FAMILIES = [
     ("gpl-2.0", r"gnu (?:general public license|gpl)(?: as published by the free software foundation)? (?:version |v ?)?2(?: 0)?", "gnu"),
     ("gpl-3.0", r"gnu (?:general public license|gpl)(?: as published by the free software foundation)? (?:version |v ?)?3(?: 0)?", "gnu"),
     ("gpl", r"gnu (?:general public license|gpl)", "gnu"),
-    ("gpl-2.0", r"gpl ?v?2(?: 0)?", "gpl"),
-    ("gpl-3.0", r"gpl ?v?3(?: 0)?", "gpl"),
+    ("gpl-2.0", r"gpl ?v?2(?: 0)?", "gpl gplv2 gpl2"),
+    ("gpl-3.0", r"gpl ?v?3(?: 0)?", "gpl gplv3 gpl3"),
     ("lgpl-2.1", r"gnu (?:lesser|library) general public license (?:version |v ?)?2(?: 1| 0)?", "gnu"),
     ("lgpl-3.0", r"gnu lesser general public license (?:version |v ?)?3(?: 0)?", "gnu"),
     ("lgpl", r"gnu (?:lesser|library) general public license", "gnu"),
-    ("lgpl", r"lgpl(?: ?v?[23](?: [01])?)?", "lgpl"),
+    ("lgpl", r"lgpl(?: ?v?[23](?: [01])?)?", "lgpl lgplv2 lgplv3 lgpl2 lgpl3"),
     ("agpl-3.0", r"gnu affero general public license(?: (?:version |v ?)?3(?: 0)?)?", "affero"),
-    ("agpl-3.0", r"agpl(?: ?v?3(?: 0)?)?", "agpl"),
+    ("agpl-3.0", r"agpl(?: ?v?3(?: 0)?)?", "agpl agplv3 agpl3"),
     ("gfdl", r"gnu free documentation license(?: (?:version |v ?)?1 [0-9])?", "documentation"),
     ("apache-2.0", r"apache (?:software )?license (?:version |v ?)?2(?: 0)?", "apache"),
     ("apache-1.1", r"apache (?:software )?license (?:version |v ?)?1 1", "apache"),
@@ -64,11 +64,11 @@ FAMILIES = [
     ("mit", r"expat license", "expat"),
     ("mit-0", r"mit no attribution(?: license)?", "attribution"),
     ("x11", r"x11 license", "x11"),
-    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?", "bsd"),
+    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?", "bsd freebsd"),
     ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?", "bsd"),
     ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?", "bsd"),
     ("bsd", r"bsd(?: style)? license", "bsd"),
-    ("0bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)(?: license)?", "bsd"),
+    ("0bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)(?: license)?", "bsd 0bsd"),
     ("isc", r"isc license", "isc"),
     ("mpl-2.0", r"mozilla public license (?:version |v ?)?2(?: 0)?", "mozilla"),
     ("mpl-1.1", r"mozilla public license (?:version |v ?)?1 1", "mozilla"),
@@ -84,7 +84,7 @@ FAMILIES = [
     ("bsl-1.0", r"boost software license(?: (?:version |v ?)?1 0)?", "boost"),
     ("busl-1.1", r"business source license(?: (?:version |v ?)?1 1)?", "business"),
     ("unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", "what"),
+    ("wtfpl", r"do what the fuck you want to public license", "what"),
     ("wtfpl", r"wtfpl", "wtfpl"),
     ("psf-2.0", r"python software foundation license(?: (?:version |v ?)?2)?", "python"),
     ("php-3.0", r"php license(?: (?:version |v ?)?3(?: 0[01]?)?)?", "php"),
@@ -106,7 +106,7 @@ FAMILIES = [
     ("vim", r"vim license", "vim"),
     ("json", r"json license", "json"),
     ("beerware", r"beer ?ware license", "license"),
-    ("openrail", r"(?:creativeml )?open ?rail m?(?: license)?", "rail"),
+    ("openrail", r"(?:creativeml )?open ?rail(?: m)?(?: license)?", "rail openrail"),
     ("llama", r"llama [23](?: [0-9])? community license", "llama"),
     ("ogl-uk-3.0", r"open government licen[cs]e(?: v?(?:ersion )?[123](?: 0)?)?", "government"),
 ]
@@ -144,6 +144,23 @@ GRANTS = [
 ]
 
 
+#: ids of the SPDX list as normalised words (a regex), for names that elsewhere need the word license
+SPDX_IDS = [
+    ("mit", "mit"), ("mit-0", "mit 0"), ("x11", "x11"), ("isc", "isc"), ("0bsd", "0bsd"), ("zlib", "zlib"),
+    ("libpng", "libpng(?: 2 0)?"), ("apache-2.0", "apache 2 0"), ("apache-1.1", "apache 1 1"), ("mpl-2.0", "mpl 2 0"),
+    ("mpl-1.1", "mpl 1 1"), ("epl-2.0", "epl 2 0"), ("epl-1.0", "epl 1 0"), ("cddl-1.0", "cddl 1 0"), ("cpl-1.0", "cpl 1 0"),
+    ("eupl-1.2", "eupl 1 2"), ("artistic-2.0", "artistic 2 0"), ("bsl-1.0", "bsl 1 0"), ("busl-1.1", "busl 1 1"),
+    ("gfdl", "gfdl 1 [123]"), ("psf-2.0", "(?:psf|python) 2 0"), ("php-3.0", "php 3 01?"), ("ruby", "ruby"),
+    ("openssl", "openssl"), ("ofl-1.1", "ofl 1 1"), ("odbl-1.0", "odbl 1 0"), ("odc-by-1.0", "odc by 1 0"), ("pddl-1.0", "pddl 1 0"),
+    ("ms-pl", "ms pl"), ("ms-rl", "ms rl"), ("upl-1.0", "upl 1 0"), ("sspl-1.0", "sspl 1 0"), ("elastic-2.0", "elastic 2 0"),
+    ("osl-3.0", "osl 3 0"), ("afl-3.0", "afl 3 0"), ("ncsa", "ncsa"), ("postgresql", "postgresql"), ("vim", "vim"),
+    ("json", "json"), ("beerware", "beerware"), ("ogl-uk-3.0", "ogl uk 3 0"),
+]
+#: any id that may stand before another one in an SPDX expression
+_SPDX_ANY = "(?:" + "|".join([p for _, p in SPDX_IDS] + [
+    "[al]?gpl [123] [01]", "bsd [234] clause", "cc by(?: nc| sa| nd)* [1-4] [05]", "cc0 1 0", "unlicense", "wtfpl"]) + ")(?: only| or later)?"
+
+
 def rules() -> list[Rule]:
     """The ordered rules: every license name under every form of grant, then full-text phrases."""
     names = list(FAMILIES)
@@ -151,13 +168,16 @@ def rules() -> list[Rule]:
         names.append((f"cc-{code}", rf"cc {short}(?! (?:sa|nd|nc)\b)(?: [1-4] [05])?", "cc"))
         names.append((f"cc-{code}", rf"creative commons {short}(?! (?:sa|nd|nc)\b)(?: [1-4] [05])?", "creative"))
         names.append((f"cc-{code}", rf"creative commons {_CC_LONG[code]}(?! (?:share|non|no))(?: [1-4] [05])?(?: international)?(?: licen[cs]e)?", "commons"))
-    names.append(("cc0-1.0", r"(?:cc0|creative commons zero)(?: (?:version |v ?)?1 0)?(?: universal)?", "cc0"))
+    names.append(("cc0-1.0", r"cc0(?: (?:version |v ?)?1 0)?(?: universal)?", "cc0"))
     names.append(("cc0-1.0", r"creative commons zero(?: (?:version |v ?)?1 0)?(?: universal)?", "zero"))
     out = []
     for before, priority, weight in GRANTS:
         for i, (label, name, gate) in enumerate(names):
             finer = 1 if re.search(r"-\d", label) else 0
             out.append(Rule(label, before + name, gate, priority + finer, weight))
+    for label, name in SPDX_IDS:
+        finer = 1 if re.search(r"-\d", label) else 0
+        out.append(Rule(label, rf"spdx license identifier (?:{_SPDX_ANY} (?:or|and) )*(?P<name>{name})", "spdx", 60 + finer, 1.0))
     for label, words, gate in TEXTS:
         out.append(Rule(label, words, gate, 30, 0.3 if label == "proprietary" else 0.85))
     return sorted(out, key=lambda r: -r.priority)
@@ -170,7 +190,8 @@ class Scanner:
         self.base = base
         self.by_gate: dict[str, list[int]] = {}
         for i, r in enumerate(self.rules):
-            self.by_gate.setdefault(r.gate, []).append(i)
+            for word in r.gate.split():
+                self.by_gate.setdefault(word, []).append(i)
         self.gates = ahocorasick.Automaton()
         for word in [*self.by_gate, *base]:
             self.gates.add_word(f" {word} ", word)
@@ -181,7 +202,8 @@ class Scanner:
         found = []
         for i in sorted({i for g in seen if g in self.by_gate for i in self.by_gate[g]}):
             r = self.rules[i]
-            found += [(m.start(), m.end(), i, r) for m in self.find[i].finditer(line)]
+            name = "name" if "name" in self.find[i].groupindex else 0
+            found += [(m.start(name), m.end(), i, r) for m in self.find[i].finditer(line)]
         found.sort(key=lambda x: (-x[3].priority, x[0] - x[1], x[0], x[2]))
         kept: list[tuple[int, int, Rule]] = []
         starts: list[int] = []  # the widest kept spans: none inside another, so starts and ends rise together

@@ -61,6 +61,58 @@ def test_license_rules_resolve_overlaps():
     assert len(licenses.rules()) > 200
 
 
+def matches_of(parsed, most=40):
+    """Strings that a parsed rule matches: every branch, with and without each optional part."""
+    texts = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "BRANCH":
+            more = [x for p in arg[1] for x in matches_of(p)]
+        elif op == "SUBPATTERN":
+            more = matches_of(arg[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = ([""] if arg[0] == 0 else []) + (matches_of(arg[2]) if arg[1] else [])
+        elif op == "IN":
+            more = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg]
+        elif op == "ANY":
+            more = ["x"]
+        else:  # assertions add no text
+            continue
+        kept = more if len(texts) * len(more) <= 4000 else more[:most]
+        texts = [a + b for a in texts for b in kept]
+    return texts
+
+
+def test_every_match_of_every_rule_passes_its_gate():
+    everything = licenses.Scanner()
+    words = set(everything.by_gate)
+    closed = []
+    for rule in licenses.rules():
+        one = licenses.Scanner([rule])
+        found = 0
+        for text in dict.fromkeys(matches_of(re._parser.parse(rule.pattern))):
+            line = f" {text} "
+            open_ = one.detections(line, words)
+            seen = {w for _, w in one.gates.iter(line)}
+            found += bool(open_)
+            if one.detections(line, seen) != open_:
+                closed.append((rule.label, text))
+        assert found, rule
+    assert closed == []
+
+
+def test_licenses_by_glued_names_and_spdx_ids():
+    scan = licenses.Scanner().scan
+    want = {"Released under GPLv2": "gpl-2.0", "gpl3": "gpl-3.0", "LGPLv3": "lgpl", "AGPLv3": "agpl-3.0", "FreeBSD license": "bsd-2-clause",
+            "0BSD": "0bsd", "OpenRAIL license": "openrail", "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: ISC": "isc",
+            "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: MPL-2.0": "mpl-2.0",
+            "SPDX-License-Identifier: MIT-0": "mit-0", "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2.0,mit",
+            "SPDX-License-Identifier: GPL-2.0-only OR MIT": "gpl-2.0,mit", "work at mit and isc": ""}
+    assert {t: scan(t.encode())["labels"] for t in want} == want
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
