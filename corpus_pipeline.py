@@ -15,6 +15,9 @@ from ledgerframe.llm import bpe, jaccard, lines, mixing, toxicity
 from ledgerframe.llm.common import stored, table
 from ledgerframe.llm.queries import tokenizer_path
 
+#: near copies of the corpus: shingles of five words, similarity of 0.8 or more (op8 on its own keeps its contract)
+WIDTH, PERCENT = 5, 80
+
 
 def _with_text(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     """``found`` with its text replaced and ``n_chars``, where ``docs`` has it, counted anew."""
@@ -43,7 +46,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each component of linked documents."""
-    return jaccard.representatives(docs)
+    return jaccard.representatives(docs, width=WIDTH, percent=PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
