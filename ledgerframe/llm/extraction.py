@@ -11,7 +11,8 @@ pages are the root, rarer ones lie in the slots between. Text that is
 itself a template token is the template's; the remaining slots hold data,
 and the article is read from them: from the article or main element if
 the page has one, else from the fullest run of slots, without elements
-that name themselves as page furniture.
+that name themselves as page furniture by a whole class name, id or role
+(never those that hold most of the main text).
 """
 
 from __future__ import annotations
@@ -49,6 +50,9 @@ NAMED = frozenset(
     "menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar comment comments disqus reply replies respond "
     "share sharing social related recommended recommendations widget pagination pager skip login search complementary "
     "contentinfo teaser outbrain taboola".split())
+#: words that say nothing beside those
+FILLER = frozenset("site page box list section wrap wrapper container area links block top bottom left right bar global form "
+                   "buttons icons item items".split())
 #: class, id and role words by which an article names itself where no article element does
 BODY_NAMED = frozenset("article post entry story content main".split())
 
@@ -69,23 +73,24 @@ class Block:
     furniture: bool
     article: int  # number of the article element it stands in, 0: none
     main: bool
+    named: tuple[int, ...]  # numbers of the elements around it that name themselves furniture
 
 
-def _attributes(raw: str) -> tuple[set[str], bool, str]:
-    """Words of class, id and role; whether the element is hidden; class as written."""
-    words: set[str] = set()
+def _attributes(raw: str) -> tuple[list[set[str]], bool, str]:
+    """Words of each name in class, id and role; whether the element is hidden; class as written."""
+    names: list[set[str]] = []
     hidden, shown = False, ""
     if raw.strip():
         for name, a, b, c in _NAMES.findall(raw):
             name, value = name.lower(), (a or b or c)
             if name in ("class", "id", "role"):
-                words.update(x for x in _SPLIT.split(value.lower()) if x)
+                names += [{x for x in _SPLIT.split(n) if x} for n in value.lower().split()]
                 shown = value if name == "class" else shown
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                 hidden = True
             elif name == "style" and "display:none" in value.replace(" ", "").lower():
                 hidden = True
-    return words, hidden, shown
+    return names, hidden, shown
 
 
 def _token(*parts: str) -> int:
@@ -96,19 +101,20 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
     """Tokens of a page in order, and its text blocks."""
     found: list[int] = []
     blocks: list[Block] = []
-    # open elements: name, path, furniture, article number, main, named like an article body
-    stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, 0, False)]
+    # open elements: name, path, furniture, article number, main or named like an article body, named like furniture
+    stack: list[tuple[str, str, bool, int, bool, tuple[int, ...]]] = [("", "", False, 0, False, ())]
     piece: list[str] = []
-    articles = 0
+    articles = named_so_far = 0
+    has_main = False
 
     def flush():
         if piece:
             text = _SPACE.sub(" ", entities.unescape("".join(piece))).strip()
             piece.clear()
             if text:
-                _, path, furniture, article, main = stack[-1]
+                _, path, furniture, article, main, named = stack[-1]
                 found.append(_token(path, "#", text))
-                blocks.append(Block(text, found[-1], len(found) - 1, furniture, article, main))
+                blocks.append(Block(text, found[-1], len(found) - 1, furniture, article, main, named))
 
     at, lower = 0, None
     for m in _TAG.finditer(page):
@@ -143,7 +149,7 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
             continue
         if name in VOID or (m[3] or m[6] or "").endswith("/") and name not in FURNITURE:
             continue
-        words, hidden, shown = _attributes(m[3] or m[6] or "")
+        names, hidden, shown = _attributes(m[3] or m[6] or "")
         if stack[-1][0] == "p" and name not in INLINE:
             stack.pop()
         for i in range(len(stack) - 1, 0, -1):
@@ -152,24 +158,51 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
                 break
             if stack[i][0] in ("ul", "ol", "table", "dl", "select", "div", "article"):
                 break
-        _, path, furniture, article, main = stack[-1]
+        _, path, furniture, article, main, named = stack[-1]
         path = f"{path}/{name}" + (f".{shown}" if shown else "")
         inside = article or main
-        furniture = (furniture or hidden or (name in FURNITURE and not (name == "header" and inside))
-                     or bool(words & NAMED) and name not in ("html", "body", "main")
-                     or "header" in words and not inside and name not in ("html", "body"))
+        furniture = furniture or hidden or (name in FURNITURE and not (name == "header" and inside))
+        if name not in ("html", "body", "main") and any(
+                n & NAMED and n <= NAMED | FILLER or "header" in n and n <= FILLER | {"header"} and not inside for n in names):
+            named_so_far += 1
+            named += (named_so_far,)
         if name == "article":
             articles += 1
             article = article or articles
-        main = main or name == "main" or bool(words & BODY_NAMED) and name not in ("html", "body")
+        has_main = has_main or name == "main"
+        main = main or name == "main" or name not in ("html", "body") and any(n & BODY_NAMED and not n & NAMED for n in names)
         found.append(_token(path))
-        stack.append((name, path, furniture, article, main))
+        stack.append((name, path, furniture, article, main, named))
     if at < len(page):
         piece.append(page[at:])
     flush()
+    _judge_names(blocks, articles > 0, has_main)
     return found, blocks
 
 
+def _judge_names(blocks: list[Block], has_article: bool, has_main: bool) -> None:
+    """Blocks in elements named as furniture are furniture, unless the element holds most of the main text."""
+    shown = [b for b in blocks if not b.furniture]
+    if has_article:
+        size: dict[int, int] = {}
+        for b in shown:
+            size[b.article] = size.get(b.article, 0) + len(b.text) if b.article else 0
+        best = max(size, key=lambda a: (size[a], -a), default=0)
+        core = [b for b in shown if b.article and b.article == best]
+    else:
+        core = [b for b in shown if b.main] or ([] if has_main else shown)
+    held: dict[int, list[int]] = {}
+    for b in core:
+        for e in b.named:
+            held.setdefault(e, []).append(len(b.text))
+    total = sum(len(b.text) for b in core)
+    # on a page that names no main text, one long notice does not make an element of it
+    least = 1 if has_article or has_main or any(b.main for b in core) else 2
+    spared = {e for e, sizes in held.items() if 2 * sum(sizes) > total and len(sizes) >= least}
+    for b in shown:
+        b.furniture = not spared.issuperset(b.named)
+
+
 def article_text(page: str, template: set[int]) -> str:
     """The main text of a page beside its host's template; blocks joined by one newline."""
     found, blocks = parse(page)

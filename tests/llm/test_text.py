@@ -219,6 +219,18 @@ def test_article_of_a_page(body, want):
     assert got == want if want else got in ("",)
 
 
+@pytest.mark.parametrize("body", [
+    '<article class="post has-sidebar"><h1>A</h1><p>long enough text</p></article>',
+    '<div class="content comments-open"><h1>A</h1><p>long enough text</p></div>',
+    '<div id="social-story"><h1>A</h1><p>long enough text</p></div>',
+    '<div class="widget"><article><h1>A</h1><p>long enough text</p></article></div>',
+    '<article class="promo"><h1>A</h1><p>long enough text</p></article>',
+    '<article><h1>A</h1><p>long enough text</p><div class="share-buttons">Tweet</div></article>',
+])
+def test_names_do_not_cut_the_main_text(body):
+    assert extraction.article_text(PAGE % body, set()) == "A\nlong enough text"
+
+
 def test_template_of_a_host_is_left_out(spark):
     page = lambda i: (f"<html><body><div>Site name</div><div><p>story {i} of the day</p><p>more {i * i}</p></div>"
                       f"<div>About us</div></body></html>")
