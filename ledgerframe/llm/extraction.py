@@ -8,9 +8,9 @@ its total, so a hot host only adds numbers. Tokens of one host with equal
 vectors form a class; a class is valid when it is large and frequent
 enough and keeps its order. Valid classes nest by support: those on all
 pages are the root, rarer ones lie in the slots between. Text that is
-itself a template token is the template's; the remaining slots hold data,
-and the article is read from them: from the article or main element if
-the page has one, else from the fullest run of slots, without elements
+itself a template token is the template's, inside article elements too; the
+remaining slots hold data, and the article is read from them: from all
+article elements or main if the page has one, else from the fullest run of slots, without elements
 that name themselves as page furniture by a whole class name, id or role
 (never those that hold most of the main text).
 """
@@ -206,20 +206,14 @@ def _judge_names(blocks: list[Block], has_article: bool, has_main: bool) -> None
 def article_text(page: str, template: set[int]) -> str:
     """The main text of a page beside its host's template; blocks joined by one newline."""
     found, blocks = parse(page)
-    left = [b for b in blocks if not b.furniture]
-    inside = [b for b in left if b.article]
-    if inside:
-        size: dict[int, int] = {}
-        for b in inside:
-            size[b.article] = size.get(b.article, 0) + len(b.text)
-        best = max(size, key=lambda a: (size[a], -a))
-        return "\n".join(b.text for b in inside if b.article == best)
-    left = [b for b in left if b.token not in template]
-    inside = [b for b in left if b.main]
-    if inside:
-        return "\n".join(b.text for b in inside)
-    if not left or not template:
-        return "\n".join(b.text for b in left)
+    data = [b for b in blocks if b.token not in template]
+    if not any(not b.furniture for b in data):
+        data = blocks  # all text is the template's: copies of one page, which tell nothing apart
+    left = [b for b in data if not b.furniture]
+    # element names choose among the data: all parts of articles, else main or what is named like an article body
+    inside = [b for b in left if b.article] or [b for b in left if b.main]
+    if inside or not left or not template:
+        return "\n".join(b.text for b in inside or left)
     # data slots between template tokens; the fullest one, with the neighbours that only nested classes part from it
     edges = [i for i, t in enumerate(found) if t in template]
     slot_of = {}

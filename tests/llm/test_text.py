@@ -245,6 +245,16 @@ def test_template_of_a_host_is_left_out(spark):
     assert extraction.extracted(pages.limit(0), ["page_id"]).count() == 0
 
 
+def test_template_inside_articles_and_articles_in_parts(spark):
+    page = lambda i: (f"<html><body><article><h1>Head {i}</h1><p>story {i}</p><div class='x'>Support us</div></article>"
+                      f"<article><p>part two of {i}</p></article></body></html>")
+    copies = "<html><body><article><p>the same</p></article></body></html>"
+    rows = [(i, f"http://host.example/{i}", page(i)) for i in range(6)] + [(i, f"http://copies.example/{i}", copies) for i in (10, 11, 12)]
+    got = {r["page_id"]: r["text"] for r in extraction.extracted(
+        spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert got == {i: f"Head {i}\nstory {i}\npart two of {i}" for i in range(6)} | {i: "the same" for i in (10, 11, 12)}
+
+
 # ---------------------------------------------------------------- mixing
 
 
