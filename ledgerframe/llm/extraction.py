@@ -5,12 +5,13 @@ and text blocks with path and text. Over the pages of a host a token has
 an occurrence vector (how often it stands in each page). Vectors are never
 gathered: each is summed up as two additive fingerprints, its support and
 its total, so a hot host only adds numbers. Tokens of one host with equal
-vectors form a class; a class is valid when it is large and frequent
-enough and keeps its order. Valid classes nest by support: those on all
-pages are the root, rarer ones lie in the slots between. Text that is
+vectors form a class, which must be large and frequent enough. Classes nest
+by support: those on all pages are the root, rarer ones lie in the slots
+between. Order and nesting are checked on each page: members out of their
+class's order, or alone in a slot of the outer classes, are no template there. Text that is
 itself a template token is the template's, inside article elements too; the
 remaining slots hold data, and the article is read from them: from all
-article elements or main if the page has one, else from the fullest run of slots, without elements
+article elements or main if the page has one, else from all data slots, without elements
 that name themselves as page furniture by a whole class name, id or role
 (never those that hold most of the main text).
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -69,7 +71,6 @@ _SPACE = re.compile(r"\s+")
 class Block:
     text: str
     token: int
-    slot: int  # tokens before it
     furniture: bool
     article: int  # number of the article element it stands in, 0: none
     main: bool
@@ -114,7 +115,7 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
             if text:
                 _, path, furniture, article, main, named = stack[-1]
                 found.append(_token(path, "#", text))
-                blocks.append(Block(text, found[-1], len(found) - 1, furniture, article, main, named))
+                blocks.append(Block(text, found[-1], furniture, article, main, named))
 
     at, lower = 0, None
     for m in _TAG.finditer(page):
@@ -203,31 +204,55 @@ def _judge_names(blocks: list[Block], has_article: bool, has_main: bool) -> None
         b.furniture = not spared.issuperset(b.named)
 
 
-def article_text(page: str, template: set[int]) -> str:
+def standing(found: list[int], classes: list[tuple[int, list[int]]]) -> set[int]:
+    """Tokens of ``classes`` (pages, members in order), outer classes first, that stand on a page in order and nested.
+
+    A class counts apart in each slot of the classes on more pages than its
+    own, and there only members that follow one another in its order, if
+    they are enough.
+    """
+    place: dict[int, int] = {}
+    for i, t in enumerate(found):
+        place.setdefault(t, i)
+    out: set[int] = set()
+    edges: list[int] = []
+    last = None
+    for n, members in classes:
+        if n != last:
+            edges, last = sorted(place[t] for t in out), n
+        parts: dict[int, list[int]] = {}
+        for t in members:
+            if t in place:
+                parts.setdefault(bisect_left(edges, place[t]), []).append(t)
+        for part in parts.values():
+            # longest run of members in order
+            ends: list[int] = []  # least place at which a run of each length ends, and the member that ends it
+            who: list[int] = []
+            before: list[int] = []
+            for j, t in enumerate(part):
+                k = bisect_left(ends, place[t])
+                ends[k:k + 1], who[k:k + 1] = [place[t]], [j]
+                before.append(who[k - 1] if k else -1)
+            if len(ends) >= MIN_TOKENS:
+                j = who[-1]
+                while j >= 0:
+                    out.add(part[j])
+                    j = before[j]
+    return out
+
+
+def article_text(page: str, classes: list[tuple[int, list[int]]] | set) -> str:
     """The main text of a page beside its host's template; blocks joined by one newline."""
     found, blocks = parse(page)
+    template = standing(found, list(classes))
     data = [b for b in blocks if b.token not in template]
     if not any(not b.furniture for b in data):
         data = blocks  # all text is the template's: copies of one page, which tell nothing apart
     left = [b for b in data if not b.furniture]
-    # element names choose among the data: all parts of articles, else main or what is named like an article body
-    inside = [b for b in left if b.article] or [b for b in left if b.main]
-    if inside or not left or not template:
-        return "\n".join(b.text for b in inside or left)
-    # data slots between template tokens; the fullest one, with the neighbours that only nested classes part from it
-    edges = [i for i, t in enumerate(found) if t in template]
-    slot_of = {}
-    run, e = 0, 0
-    for b in left:
-        while e < len(edges) and edges[e] < b.slot:
-            e += 1
-            run = e
-        slot_of[id(b)] = run
-    size = {}
-    for b in left:
-        size[slot_of[id(b)]] = size.get(slot_of[id(b)], 0) + len(b.text)
-    best = max(size, key=lambda s: (size[s], -s))
-    return "\n".join(b.text for b in left if slot_of[id(b)] == best)
+    # element names choose among the data: all parts of articles, else main or what is named like an article body,
+    # else every data slot of the outermost class
+    inside = [b for b in left if b.article] or [b for b in left if b.main] or left
+    return "\n".join(b.text for b in inside)
 
 
 def host_of(url: Column) -> Column:
@@ -290,7 +315,7 @@ def occurrence_vectors(pages: DataFrame, url: str, html: str, key: str) -> DataF
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id",
               min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """One row per host: the tokens of its valid classes, outer classes first, in page order.
+    """One row per host: its frequent classes (pages, tokens in their mean order), outer classes first.
 
     Tokens on at least ``min_share`` of a host's pages number at most
     1/min_share times the tokens of a mean page, so a row is bounded by
@@ -308,8 +333,8 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", key: str =
                .where(F.size("members") >= min_tokens))
     nested = classes.groupBy("host").agg(F.sort_array(F.collect_list(
         F.struct((-F.col("pages")).alias("outer"), F.sort_array("members").alias("members")))).alias("classes"))
-    return nested.select("host", F.flatten(F.transform("classes", lambda c: F.transform(c["members"], lambda m: m["token"])))
-                         .alias("tokens"))
+    return nested.select("host", F.transform("classes", lambda c: F.struct(
+        (-c["outer"]).alias("pages"), F.transform(c["members"], lambda m: m["token"]).alias("tokens"))).alias("classes"))
 
 
 def extracted(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
@@ -325,21 +350,17 @@ def extracted(pages: DataFrame, keep: list[str], url: str = "url", html: str = "
     kept = [pages[c].alias(f"__k{i}") for i, c in enumerate(keep)]
     source = pages.select(*kept, host_of(pages[url]).alias("__host"), pages[html].cast("string").alias("__html"))
     joined = (source.join(deduced, source["__host"] == deduced["host"], "left")
-              .select(*[f"__k{i}" for i in range(len(keep))], F.col("tokens").alias("__tokens"), "__html"))
+              .select(*[f"__k{i}" for i in range(len(keep))], F.col("classes").alias("__classes"), "__html"))
     n_keep = len(keep)
     ddl = ", ".join(f"__k{i} {sql_type(pages, c)}" for i, c in enumerate(keep))
 
     def run(batches):
-        known: dict[tuple, set[int]] = {}
         for batch in batches:
             texts = utf8(batch.column(n_keep + 1))
             for a, b in slices([len(t) for t in texts]):
                 out = []
-                for tokens, text in zip(batch.column(n_keep).slice(a, b - a).to_pylist(), texts[a:b]):
-                    template = known.setdefault(tuple(tokens or ()), set(tokens or ()))
-                    out.append(article_text(text.decode(), template))
-                if len(known) > 200:
-                    known.clear()
+                for classes, text in zip(batch.column(n_keep).slice(a, b - a).to_pylist(), texts[a:b]):
+                    out.append(article_text(text.decode(), [(c["pages"], c["tokens"]) for c in classes or ()]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(a, b - a) for i in range(n_keep)]
                     + [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],

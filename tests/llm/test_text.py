@@ -255,6 +255,25 @@ def test_template_inside_articles_and_articles_in_parts(spark):
     assert got == {i: f"Head {i}\nstory {i}\npart two of {i}" for i in range(6)} | {i: "the same" for i in (10, 11, 12)}
 
 
+def test_all_data_slots_of_a_page_without_article(spark):
+    page = lambda i: (f"<html><body><div>Site name</div><div class='a'><h1>Head {i}</h1><div class='lead'>Lead {i}</div>"
+                      f"<div class='b'><p>first {i}</p><div class='mid'>Read on</div><p>second {i}</p></div></div>"
+                      f"<div>About us</div></body></html>")
+    rows = [(i, f"http://host.example/{i}", page(i)) for i in range(6)]
+    got = extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Head {i}\nLead {i}\nfirst {i}\nsecond {i}" for i in range(6)}
+
+
+def test_classes_keep_their_order_and_nest():
+    classes = [(9, [1, 2, 3, 4]), (5, [7, 8]), (5, [5, 6])]
+    assert extraction.standing([1, 2, 3, 4], classes) == {1, 2, 3, 4}
+    assert extraction.standing([1, 3, 4, 2], classes) == {1, 3, 4}
+    assert extraction.standing([1, 7, 8, 2, 3, 4], classes) == {1, 2, 3, 4, 7, 8}
+    assert extraction.standing([1, 7, 2, 8, 3, 4], classes) == {1, 2, 3, 4}
+    assert extraction.standing([1, 2, 6, 5, 3, 4], classes) == {1, 2, 3, 4}
+    assert extraction.standing([], classes) == set()
+
+
 # ---------------------------------------------------------------- mixing
 
 
