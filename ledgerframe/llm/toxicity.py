@@ -187,8 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
           sample_rows: int = SAMPLE_ROWS, max_tokens: int = MAX_TOKENS) -> Model:
     """Learn token weights from ``labels`` rows (at most ``sample_rows``) and the corpus prior from all ``docs``.
 
-    To the driver come the totals and at most ``max_tokens`` weighted
-    tokens. Null keys or labels teach nothing, a key labelled both ways counts as 1; without rows of both labels
+    To the driver come the totals and, in parts of 8 ``max_tokens``, tokens
+    that stand out, best z first, until ``max_tokens`` are weighted. Null keys or labels teach nothing, a key labelled both ways counts as 1; without rows of both labels
     the model is empty and every score 0.
     """
     chosen = (labels.where(labels[key].isNotNull() & labels[label].isNotNull())
@@ -198,13 +198,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # one aggregate feeds the totals and the few tokens that stand out
     spread = stored(counted.where((F.col("n1") >= MIN_DOCS) | (F.col("token") == "")), "toxic-tokens")
     tried = spread.count()
-    rows = (spread.orderBy((F.col("token") == "").desc(), (F.col("n1") / (F.col("n0") + 1)).desc(),
-                           F.col("n1").desc(), "token").limit(8 * max_tokens + 1).collect())
-    totals = next((r for r in rows if r["token"] == ""), None)
+    totals = next(iter(spread.where("token = ''").collect()), None)
     if totals is None or not totals["n1"] or not totals["n0"]:
         return Model()
     d1, d0, d = totals["n1"], totals["n0"], totals["n"]
-    weighed = []
     share = d1 / (d1 + d0)
     bar = math.log(tried / CHANCE)
 
@@ -216,17 +213,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def stands_out(n1: int, n0: int) -> bool:
         return n1 >= MIN_DOCS and surprise(n1, n0) >= bar
 
-    rows = [r for r in rows if r["token"] and stands_out(r["n1"], r["n0"])]
-    around = _contexts(docs, chosen, key, text, {r["token"] for r in rows})
-    for r in rows:
-        if not stands_out(min(r["n1"], around.get(r["token"], 0)), r["n0"]):
-            continue
-        prior = PRIOR_FLOOR + PRIOR_DOCS * r["n"] / d
-        in1, in0 = r["n1"] + prior, r["n0"] + prior
-        odds = math.log(in1 / (d1 + PRIOR_DOCS)) - math.log(in0 / (d0 + PRIOR_DOCS))
-        z = odds / math.sqrt(1 / in1 + 1 / in0)
-        if odds >= MIN_ODDS:
-            weighed.append((z, r["token"], odds, r["n1"], r["n0"]))
+    # the same test in Spark, so that no token is left out before it; those that pass come in order of z
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    q = n1 / (n1 + n0)
+    surprising = n1 * F.log(q / share) + F.when(n0 > 0, n0 * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    prior = PRIOR_FLOOR + PRIOR_DOCS * F.col("n") / d
+    odds = F.log((n1 + prior) / (d1 + PRIOR_DOCS)) - F.log((n0 + prior) / (d0 + PRIOR_DOCS))
+    passed = stored(spread.where((F.col("token") != "") & (q > share) & (surprising >= bar) & (odds >= MIN_ODDS))
+                    .select("token", "n1", "n0", odds.alias("odds"), (odds / F.sqrt(1 / (n1 + prior) + 1 / (n0 + prior))).alias("z")),
+                    "toxic-passed").orderBy(F.col("z").desc(), "token")
+    weighed, step, at = [], 8 * max_tokens, 0
+    while len(weighed) < max_tokens:  # a part at a time, until enough have surroundings of their own or none is left
+        rows = passed.offset(at).limit(step).collect()
+        around = _contexts(docs, chosen, key, text, {r["token"] for r in rows}) if rows else {}
+        weighed += [(r["z"], r["token"], r["odds"], r["n1"], r["n0"]) for r in rows
+                    if stands_out(min(r["n1"], around.get(r["token"], 0)), r["n0"])]
+        at += step
+        if len(rows) < step:
+            break
     weighed.sort(key=lambda x: (-x[0], x[1]))
     weighed = weighed[:max_tokens]
     if not weighed:

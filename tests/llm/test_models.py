@@ -116,6 +116,16 @@ def test_toxicity_on_held_out_rows_and_odd_texts(spark, docs):
     assert toxicity.scored(docs([]), ["doc_id"], "text", model).count() == 0
 
 
+def test_rare_words_do_not_push_out_a_frequent_toxic_one(spark, docs):
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    rare = [word() for _ in range(20)]  # in 3 toxic texts and no clean one: before the others by n1 / (n0 + 1)
+    texts = [" ".join([word(), "vile" if i < 30 else word(), word(), rare[i // 2], rare[(i // 2 + i % 2 + 1) % 20]]) for i in range(40)]
+    texts += [" ".join([word(), "vile" if i < 11 else word(), word()]) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(440)], "doc_id bigint, toxic int")
+    assert list(toxicity.train(docs(texts), labels, max_tokens=1).weight) == ["vile"]
+
+
 # ---------------------------------------------------------------- queries and pipeline
 
 
