@@ -67,7 +67,8 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: no SQL: the toxicity model and the tokenizer cannot be written in it (tests compare with a brute-force version)
+#: no SQL: the toxicity model and the tokenizer cannot be written in it. Tests hold the operators behind stages 2 to 4 to
+#: brute force, the tokens to a library and the toxicity model to labels held out; the stages in a row only to types and counts
 ORACLE_SQL = None
 
 
