@@ -67,4 +67,27 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
-ORACLE = {"op2_line_dedup": LINE_DEDUP, "op7_mixing": MIXING}
+FILL_IN_MIDDLE = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), ranks AS (
+  SELECT doc_id, body, units, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS r1,
+         ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS r2, ('0x' || h[25:32])::BIGINT % 100 < 50 AS suffix_first,
+         body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') AS plain
+  FROM drawn
+), parts AS (
+  SELECT *, array_to_string(units[1:least(r1, r2)], '') AS p, array_to_string(units[least(r1, r2) + 1:greatest(r1, r2)], '') AS m,
+         array_to_string(units[greatest(r1, r2) + 1:], '') AS s
+  FROM ranks
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN NOT plain THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE WHEN plain THEN body WHEN suffix_first THEN '<S>' || s || '<P>' || p || '<M>' || m
+                   ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM parts
+"""
+
+ORACLE = {"op2_line_dedup": LINE_DEDUP, "op7_mixing": MIXING, "op13_fill_in_middle": FILL_IN_MIDDLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, fingerprints, jaccard, licenses, lines, mixing, quality, substrings, toxicity
+from . import bpe, extraction, fingerprints, jaccard, licenses, lines, middle, mixing, quality, substrings, toxicity
 from .common import table
 
 
@@ -70,6 +70,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, ["doc_id"], "text", quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = middle.transformed(table(spark, sf_dir, "documents"), ["doc_id"])
+    back = middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                        F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +94,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": pipeline,
 }
 
