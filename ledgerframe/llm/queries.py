@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, fingerprints, jaccard, licenses, lines, middle, mixing, quality, substrings, toxicity
-from .common import table
+from . import bpe, extraction, fingerprints, jaccard, licenses, lines, middle, mixing, quality, search, substrings, toxicity, warc
+from .common import shared_dir, table
 
 
 def tokenizer_path() -> str:
@@ -70,6 +72,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, ["doc_id"], "text", quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, warc.summary)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = middle.transformed(table(spark, sf_dir, "documents"), ["doc_id"])
     back = middle.restored(F.col("output"), F.col("form"))
@@ -94,6 +106,8 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_warc": op12_warc,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": pipeline,
 }
