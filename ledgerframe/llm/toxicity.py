@@ -1,9 +1,10 @@
 """Toxicity: maximum-scoring segments over token log-odds, calibrated by extreme values.
 
 A token is a word or one of its short prefixes (stems carry the meaning
-where endings vary). Its weight is the log-odds of documents labelled
-toxic against clean ones under a Dirichlet prior drawn from the whole
-corpus, kept when it stands out from its own standard error. Over a text,
+where endings vary). Its weight is the log-odds of its occurrences in
+documents labelled toxic against clean ones under a Dirichlet prior drawn
+from the whole corpus, kept when documents that hold it, or hold it twice,
+are toxic beyond a false-discovery bar. Over a text,
 words carry the weight of their best token and all others a small cost;
 one linear scan finds every maximal scoring segment. A segment of score S
 in n words is expected K n exp(-lambda S) times by chance, lambda from the
@@ -26,13 +27,11 @@ from .common import filter_texts, map_texts, slices, stored, utf8
 
 #: labelled rows the weights are learned from, at most (those with the smallest key hashes)
 SAMPLE_ROWS = 50_000
-#: tokens in the model, at most (those that stand out most)
-MAX_TOKENS = 5_000
 PREFIXES = (4, 5)
 #: documents that the corpus prior counts for, and a floor for unseen tokens
 PRIOR_DOCS, PRIOR_FLOOR = 10.0, 0.5
-#: a token must stand out so far that, of all tokens tried, a hundredth of one would by chance
-CHANCE = 0.01
+#: share of the tokens that pass which may have passed by chance
+FALSE_SHARE = 0.3
 MIN_ODDS = 2.5
 MIN_DOCS = 3
 THRESHOLD = 0.7
@@ -118,56 +117,100 @@ def _solve_rate(positive: list[tuple[float, float]], cost: float) -> float:
     return low
 
 
-def _count(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
-    """Documents that hold each token: all, labelled 1, labelled 0. The token "" carries word and document totals."""
-    labelled = docs.select(docs[key].alias("__doc"), docs[text].cast("string").alias("__body")).join(
-        F.broadcast(chosen), F.col("__doc") == F.col("__id"), "left").select("__label", "__body")
+def _labelled(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
+    """(label, body) of the documents named in ``chosen``, which is bounded by the sample."""
+    return docs.select(docs[key].alias("__doc"), docs[text].cast("string").alias("__body")).join(
+        F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__label", "__body")
+
+
+_COUNTS = ("n1", "n0", "t1", "t0", "c1", "c0", "g1", "g0")
+
+
+def damped(n: int) -> int:
+    return round(1000 * math.log2(1 + n))
+
+
+def _count(labelled: DataFrame) -> DataFrame:
+    """Per token and label: documents that hold it (n), that hold it twice or more (t), occurrences (c), damped ones (g).
+
+    Damped, c occurrences in one document count log2(1 + c) (in thousandths), so
+    that one text full of a word does not outweigh many. The token ""
+    carries the documents (n) and words (c, g) of each label.
+    """
 
     def run(batches):
-        counts = [Counter(), Counter(), Counter()]
-        extra = [0, 0, 0, 0, 0, 0]
+        counts: dict[str, list[int]] = {}
 
         def flush():
-            names = list(counts[0])
+            rows = list(counts.items())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string())]
-                + [pa.array([c[t] for t in names], pa.int64()) for c in counts]
-                + [pa.array([0] * len(names), pa.int64())] * 3,
-                names=["token", "n", "n1", "n0", "w", "w1", "w0"])
-            for c in counts:
-                c.clear()
+                [pa.array([t for t, _ in rows], pa.string())] + [pa.array([c[i] for _, c in rows], pa.int64()) for i in range(len(_COUNTS))],
+                names=["token", *_COUNTS])
+            counts.clear()
 
         for batch in batches:
             labels, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             for a, b in slices([len(t) for t in texts]):
                 for label, body in zip(labels[a:b], texts[a:b]):
-                    words = words_of(body)
-                    here = {t for w in set(words) for t in tokens(w)}
-                    for side in (0,) if label is None else (0, 1 if label == 1 else 2):
-                        counts[side].update(here)
-                        extra[side] += 1
-                        extra[3 + side] += len(words)
-                if len(counts[0]) >= FLUSH_TOKENS:
+                    side = 0 if label == 1 else 1
+                    words = Counter(words_of(body))
+                    here: Counter = Counter()
+                    for w, n in words.items():
+                        for t in tokens(w):
+                            here[t] += n
+                    for t, n in here.items():
+                        c = counts.setdefault(t, [0] * len(_COUNTS))
+                        c[side] += 1
+                        c[2 + side] += n > 1
+                        c[4 + side] += n
+                        c[6 + side] += damped(n)
+                    c = counts.setdefault("", [0] * len(_COUNTS))
+                    c[side] += 1
+                    c[4 + side] += words.total()
+                    c[6 + side] += sum(map(damped, words.values()))
+                if len(counts) >= FLUSH_TOKENS:
                     yield from flush()
-        if counts[0]:
-            yield from flush()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([""])] + [pa.array([x], pa.int64()) for x in extra],
-            names=["token", "n", "n1", "n0", "w", "w1", "w0"])
+        yield from flush()
+
+    partial = labelled.mapInArrow(run, "token string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return partial.groupBy("token").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
-    partial = labelled.mapInArrow(run, "token string, n bigint, n1 bigint, n0 bigint, w bigint, w1 bigint, w0 bigint")
-    return partial.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n0", "w", "w1", "w0")])
 
+def _corpus(docs: DataFrame, text: str, names: set[str]) -> tuple[int, int, dict[str, int]]:
+    """Documents and words of the whole corpus, and how often each named token occurs in it (one row a token)."""
+    shipped = docs.sparkSession.sparkContext.broadcast(names)
 
-def _contexts(docs: DataFrame, chosen: DataFrame, key: str, text: str, names: set[str]) -> dict[str, int]:
+    def run(batches):
+        counts, known, documents, total = Counter(), {}, 0, 0
+        for batch in batches:
+            texts = utf8(batch.column(0))
+            for a, b in slices([len(t) for t in texts]):
+                for body in texts[a:b]:
+                    words = words_of(body)
+                    documents, total = documents + 1, total + len(words)
+                    for w in words:
+                        hit = known.get(w)
+                        if hit is None:
+                            if len(known) >= KEPT_WORDS:
+                                known.clear()
+                            hit = known[w] = tuple(tokens(w) & shipped.value)
+                        for t in hit:
+                            counts[t] += 1
+        rows = [*counts.items(), ("", total), ("*", documents)]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["token", "n"])
+
+    rows = docs.select(docs[text].cast("string")).mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    found = {r["token"]: r["n"] for r in rows}
+    return found.pop("*", 0), found.pop("", 0), found
+
+
+def _contexts(labelled: DataFrame, names: set[str]) -> dict[str, int]:
     """In how many different surroundings (word before, word after) the named tokens stand in texts labelled 1.
 
     Words of one text and its many copies keep their neighbours; words that
     carry a meaning of their own do not. One row a token reaches the driver.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(names)
-    toxic = docs.select(docs[key].alias("__doc"), docs[text].cast("string").alias("__body")).join(
-        F.broadcast(chosen.where("__label = 1")), F.col("__doc") == F.col("__id")).select("__body")
+    shipped = labelled.sparkSession.sparkContext.broadcast(names)
 
     def run(batches):
         for batch in batches:
@@ -179,67 +222,96 @@ def _contexts(docs: DataFrame, chosen: DataFrame, key: str, text: str, names: se
             yield pa.RecordBatch.from_arrays(
                 [pa.array([t for t, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string())], names=["token", "around"])
 
-    rows = toxic.mapInArrow(run, "token string, around string").distinct().groupBy("token").count().collect()
+    rows = (labelled.where("__label = 1").select("__body").mapInArrow(run, "token string, around string")
+            .distinct().groupBy("token").count().collect())
     return {r["token"]: r["count"] for r in rows}
 
 
+def surprise(n1: int, n0: int, share: float) -> float:
+    """Minus the log of the chance (at most) of n1 toxic documents or more among n1 + n0."""
+    n = n1 + n0
+    q = n1 / n if n else 0.0
+    return n1 * math.log(q / share) + (n0 * math.log((1 - q) / (1 - share)) if n0 else 0.0) if q > share else 0.0
+
+
+def _surprise(n1: str, n0: str, share: float):
+    a, b = F.col(n1).cast("double"), F.col(n0).cast("double")
+    q = a / F.nullif(a + b, F.lit(0.0))
+    value = a * F.log(q / share) + F.when(b > 0, b * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    return F.when(q > share, value).otherwise(0.0)
+
+
+def _bar(spread: DataFrame, tried: int) -> float:
+    """The surprise from which on a share of at most ``FALSE_SHARE`` of the tokens would be there by chance.
+
+    Of ``tried`` tokens, ``tried * exp(-x)`` have a surprise of x by chance: the
+    bar is the lowest x at which that is within the share of those that
+    have it (counted in steps of a tenth, up to 60).
+    """
+    step = F.least(F.floor(F.col("surprise") * 10), F.lit(600)).cast("int")
+    counts = {r["step"]: r["count"] for r in spread.groupBy(step.alias("step")).count().collect()}  # 601 rows at most
+    bar, above = math.inf, 0
+    for x in range(600, 0, -1):
+        above += counts.get(x, 0)
+        if above and tried * math.exp(-x / 10) <= FALSE_SHARE * above:
+            bar = x / 10
+    return bar
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-          sample_rows: int = SAMPLE_ROWS, max_tokens: int = MAX_TOKENS) -> Model:
+          sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn token weights from ``labels`` rows (at most ``sample_rows``) and the corpus prior from all ``docs``.
 
-    To the driver come the totals and, in parts of 8 ``max_tokens``, tokens
-    that stand out, best z first, until ``max_tokens`` are weighted. Null keys or labels teach nothing, a key labelled both ways counts as 1; without rows of both labels
-    the model is empty and every score 0.
+    A token must be in more toxic documents (or be in more of them twice)
+    than chance allows, by a bar that holds the share of false ones among
+    all that pass; and in as many different surroundings. Its weight is
+    the log-odds of its damped occurrences. To the driver come the totals and the
+    tokens that pass, all of them: they are tokens of at least ``MIN_DOCS``
+    sampled documents, so the sample bounds their number and the broadcast.
+    Null keys or labels teach nothing, a key labelled both ways counts as 1;
+    without rows of both labels the model is empty and every score 0.
     """
-    chosen = (labels.where(labels[key].isNotNull() & labels[label].isNotNull())
-              .groupBy(labels[key].alias("__id")).agg(F.max(labels[label].cast("int")).alias("__label"))
-              .orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
-    counted = _count(docs, chosen, key, text)
-    # one aggregate feeds the totals and the few tokens that stand out
-    spread = stored(counted.where((F.col("n1") >= MIN_DOCS) | (F.col("token") == "")), "toxic-tokens")
-    tried = spread.count()
+    chosen = stored(labels.where(labels[key].isNotNull() & labels[label].isNotNull())
+                    .groupBy(labels[key].alias("__id")).agg(F.max(labels[label].cast("int")).alias("__label"))
+                    .orderBy(F.xxhash64("__id"), "__id").limit(sample_rows), "toxic-chosen")
+    labelled = _labelled(docs, chosen, key, text)
+    spread = stored(_count(labelled).where((F.col("n1") >= MIN_DOCS) | (F.col("token") == "")), "toxic-tokens")
     totals = next(iter(spread.where("token = ''").collect()), None)
     if totals is None or not totals["n1"] or not totals["n0"]:
         return Model()
-    d1, d0, d = totals["n1"], totals["n0"], totals["n"]
-    share = d1 / (d1 + d0)
-    bar = math.log(tried / CHANCE)
-
-    def surprise(n1: int, n0: int) -> float:
-        """Minus the log of the chance (at most) of n1 toxic documents or more among n1 + n0."""
-        n, q = n1 + n0, n1 / (n1 + n0)
-        return n1 * math.log(q / share) + (n0 * math.log((1 - q) / (1 - share)) if n0 else 0.0) if q > share else 0.0
-
-    def stands_out(n1: int, n0: int) -> bool:
-        return n1 >= MIN_DOCS and surprise(n1, n0) >= bar
-
-    # the same test in Spark, so that no token is left out before it; those that pass come in order of z
-    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
-    q = n1 / (n1 + n0)
-    surprising = n1 * F.log(q / share) + F.when(n0 > 0, n0 * F.log((1 - q) / (1 - share))).otherwise(0.0)
-    prior = PRIOR_FLOOR + PRIOR_DOCS * F.col("n") / d
-    odds = F.log((n1 + prior) / (d1 + PRIOR_DOCS)) - F.log((n0 + prior) / (d0 + PRIOR_DOCS))
-    passed = stored(spread.where((F.col("token") != "") & (q > share) & (surprising >= bar) & (odds >= MIN_ODDS))
-                    .select("token", "n1", "n0", odds.alias("odds"), (odds / F.sqrt(1 / (n1 + prior) + 1 / (n0 + prior))).alias("z")),
-                    "toxic-passed").orderBy(F.col("z").desc(), "token")
-    weighed, step, at = [], 8 * max_tokens, 0
-    while len(weighed) < max_tokens:  # a part at a time, until enough have surroundings of their own or none is left
-        rows = passed.offset(at).limit(step).collect()
-        around = _contexts(docs, chosen, key, text, {r["token"] for r in rows}) if rows else {}
-        weighed += [(r["z"], r["token"], r["odds"], r["n1"], r["n0"]) for r in rows
-                    if stands_out(min(r["n1"], around.get(r["token"], 0)), r["n0"])]
-        at += step
-        if len(rows) < step:
-            break
-    weighed.sort(key=lambda x: (-x[0], x[1]))
-    weighed = weighed[:max_tokens]
-    if not weighed:
+    share = totals["n1"] / (totals["n1"] + totals["n0"])
+    # two tests a token, so each may take half the chance
+    tested = spread.where("token != ''").withColumn(
+        "surprise", F.greatest(_surprise("n1", "n0", share), F.when(F.col("t1") >= MIN_DOCS, _surprise("t1", "t0", share)).otherwise(0.0)) - math.log(2))
+    bar = _bar(tested, tested.count())
+    rows = tested.where(F.col("surprise") >= bar).collect() if bar < math.inf else []
+    if not rows:
+        return Model()
+    names = {r["token"] for r in rows}
+    around = _contexts(labelled, names)
+    d, w, corpus = _corpus(docs, text, names)
+
+    def stands_out(r) -> bool:
+        most = around.get(r["token"], 0)
+        n1, t1 = min(r["n1"], most), min(r["t1"], most)
+        return max(surprise(n1, r["n0"], share) if n1 >= MIN_DOCS else 0.0, surprise(t1, r["t0"], share) if t1 >= MIN_DOCS else 0.0) - math.log(2) >= bar
+
+    weight, background, hits = {}, [], 0
+    clean_words = max(1, totals["c0"])
+    for r in rows:
+        prior = PRIOR_FLOOR + PRIOR_DOCS * corpus.get(r["token"], 0) / max(1, d)
+        rest = PRIOR_DOCS * w / max(1, d)
+        odds = (math.log((r["g1"] / 1000 + prior) / (totals["g1"] / 1000 + rest))
+                - math.log((r["g0"] / 1000 + prior) / (totals["g0"] / 1000 + rest)))
+        if odds >= MIN_ODDS and stands_out(r):
+            weight[r["token"]] = odds
+            hits += r["c1"] if not r["token"].endswith("*") else 0
+            background.append((r["c0"] or 0.5, odds))
+    if not weight:
         return Model()
-    hits = min(0.5, sum(x[3] for x in weighed if not x[1].endswith("*")) / max(1, totals["w1"]))
-    cost = max(0.01, -math.log(1 - hits))
-    clean_words = max(1, totals["w0"])
-    background = [((n0 or 0.5 / len(weighed)) / clean_words, odds) for _, _, odds, _, n0 in weighed]
-    return Model({t: odds for _, t, odds, _, _ in weighed}, cost, _solve_rate(background, cost))
+    cost = max(0.01, -math.log(1 - min(0.5, hits / max(1, totals["c1"]))))
+    background = [((n if n >= 1 else n / len(weight)) / clean_words, odds) for n, odds in background]
+    return Model(weight, cost, _solve_rate(background, cost))
 
 
 def scored(docs: DataFrame, keep: list[str], text: str, model: Model, threshold: float = THRESHOLD) -> DataFrame:
