@@ -4,6 +4,7 @@
     python -m ledgerframe marts --fact out/fact --out out/marts         (or catalog tables)
     python -m ledgerframe query --fact out/fact q01_overall q04_rfm --show 20
     python -m ledgerframe query --fact out/fact --all --out out/reports
+    python -m ledgerframe query --fact out/fact --marts out/marts m03_monthly   # reads the stored marts
     python -m ledgerframe list
 
 ``--fact`` is a parquet folder or a catalog table name. Queries use the
@@ -41,6 +42,7 @@ def main(argv=None) -> int:
     qy.add_argument("--fact", required=True)
     qy.add_argument("names", nargs="*")
     qy.add_argument("--all", action="store_true")
+    qy.add_argument("--marts", default=None, help="root of stored marts: read-backs read them, nothing is rebuilt")
     qy.add_argument("--as-of", default=None)
     qy.add_argument("--updated-at", default=None)
     qy.add_argument("--show", type=int, default=20)
@@ -49,7 +51,7 @@ def main(argv=None) -> int:
     a = ap.parse_args(argv)
 
     from ledgerframe.plans import jobs
-    from ledgerframe.plans.catalog import CATALOG, ROLLUP_KEYS, catalog
+    from ledgerframe.plans.catalog import CATALOG, READ_BACKS, ROLLUP_KEYS, catalog, read_stored
 
     if a.cmd == "list":
         for k in CATALOG:
@@ -77,10 +79,13 @@ def main(argv=None) -> int:
         print(f"unknown or no query names: {unknown}; see `list`", file=sys.stderr)
         return 2
     if a.all:
-        results = jobs.run_reports(t, keys=names, as_of=as_of, updated_at=updated_at,
+        stored = set(READ_BACKS) if a.marts else set()
+        results = jobs.run_reports(t, keys=[n for n in names if n not in stored], as_of=as_of, updated_at=updated_at,
                                    pinned=False)
     else:
-        results = {n: cat[n](t) for n in names}
+        results = {n: cat[n](t) for n in names if not (a.marts and n in READ_BACKS)}
+    if a.marts:
+        results |= {n: read() for n, read in read_stored(a.marts, spark).items() if n in names}
     for name, df in results.items():
         if a.out:
             df.write.mode("overwrite").parquet(f"{a.out.rstrip('/')}/{name}")

@@ -89,7 +89,7 @@ LARGE_DEBIT = 100000  # flagged rows with debit strictly above
 BIG_CATEGORY_VOLUME = 100000000  # debit+credit volume strictly above
 
 # --- fixed values: table and column documentation of the marts and fact table ---
-FACT_TABLE_COMMENT = "Факты транзакций"
+FACT_TABLE_COMMENT = "Факты транзакций из Kaggle датасета"
 FACT_COLUMN_COMMENTS = {
     "is_suspicious": "Флаг подозрительности: 0 - норма, 1 - подозрительно",
 }

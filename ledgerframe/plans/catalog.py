@@ -43,9 +43,15 @@ def mart_builds(as_of=AS_OF, updated_at=UPDATED_AT) -> dict[str, Callable[[DataF
     }
 
 
-def _read_back(mart: str, build, read) -> Callable[[DataFrame], DataFrame]:
-    """Run on its own, a read-back stores its mart first and then reads that table."""
-    return lambda t: read(marts.stored_mart(mart, build(t)))
+def _read_back(mart: str, build, read, clock: dict) -> Callable[[DataFrame], DataFrame]:
+    """A read-back reads the stored mart; the first one of a fact stores it (see ``sources.manifest``)."""
+    return lambda t: read(marts.stored_mart(mart, t, build, **clock))
+
+
+def read_stored(root: str, spark) -> dict[str, Callable[[], DataFrame]]:
+    """name -> read-back over the marts that ``jobs.rebuild_marts(root=...)`` stored under ``root``."""
+    return {k: (lambda mart=mart, read=read: read(marts.open_mart(spark, root, mart)))
+            for k, (mart, read) in READ_BACKS.items()}
 
 
 def catalog(as_of=AS_OF, updated_at=UPDATED_AT) -> dict[str, Callable[[DataFrame], DataFrame]]:
@@ -55,6 +61,8 @@ def catalog(as_of=AS_OF, updated_at=UPDATED_AT) -> dict[str, Callable[[DataFrame
     pass None for the clock values of the moment the query runs.
     """
     builds = mart_builds(as_of, updated_at)
+    # a mart of today's date is known again today; its build time is that of the build
+    clock = {"as_of": as_of or _dt.date.today(), "updated_at": updated_at or "build"}
     return {
         # load and table rules
         "l01_reload": loads.reload_twice,
@@ -104,7 +112,7 @@ def catalog(as_of=AS_OF, updated_at=UPDATED_AT) -> dict[str, Callable[[DataFrame
         "m01_daily": builds[marts.DAILY_MART],
         "m02_category": builds[marts.CATEGORY_MART],
         "m03_anomaly": builds[marts.ANOMALY_MART],
-        **{k: _read_back(mart, builds[mart], read) for k, (mart, read) in READ_BACKS.items()},
+        **{k: _read_back(mart, builds[mart], read, clock) for k, (mart, read) in READ_BACKS.items()},
     }
 
 

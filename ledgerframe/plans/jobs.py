@@ -10,7 +10,7 @@ the driver.
 
 from __future__ import annotations
 
-import os
+import datetime as _dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +20,7 @@ from ledgerframe.operators.validate import assert_valid
 from ledgerframe.plans import marts
 from ledgerframe.sources import csv as csvsrc
 from ledgerframe.session import checkpoint_dir, staged
-from ledgerframe.sources import tables
+from ledgerframe.sources import manifest, tables
 
 
 def load_transactions(
@@ -52,8 +52,8 @@ def load_transactions(
             tables.load(rows, path=path)
             loaded = spark.read.parquet(path)
         else:
-            tables.ensure_table(spark, table)
-            tables.load(rows, name=table)
+            base = f"{checkpoint_dir(spark).rstrip('/')}/ledgerframe-tables"
+            tables.publish(tables.declared(rows), table, lambda df, folder: df.write.parquet(folder), base)
             tables.comment(spark, table, L.FACT_TABLE_COMMENT, L.FACT_COLUMN_COMMENTS)
             loaded = spark.table(table)
     finally:
@@ -85,8 +85,10 @@ def rebuild_marts(
     The fact table is scanned once: all three marts derive from one
     stored (day, category) pre-aggregate.
 
-    With ``root`` the marts are parquet folders under it; otherwise they
-    are catalog tables (``names`` may rename them) with comments attached.
+    With ``root`` the marts are Parquet folders under it, entered in its
+    manifest when they are whole (``marts.open_mart`` reads the last);
+    otherwise they are catalog tables (``names`` may rename them) with
+    comments attached, moved to the new rows when those are whole.
     """
     spark = t.sparkSession
     # one scan of the fact table: the shared (day, category) pre-aggregate is
@@ -101,14 +103,12 @@ def rebuild_marts(
     }
     reports = {}
     for key, (df, count_alias) in builds.items():
-        sort_by, partition_by = marts.MART_LAYOUT[key]
         if root:
-            out = os.path.join(root, key) if "://" not in root else f"{root.rstrip('/')}/{key}"
-            tables.write_mart(df, path=out, sort_by=sort_by, partition_by=partition_by)
-            written = spark.read.parquet(out)
+            written = manifest.store(spark, root.rstrip("/"), key, None, df, marts.write_laid_out(key))
         else:
             name = (names or {}).get(key, key)
-            tables.write_mart(df, name=name, sort_by=sort_by, partition_by=partition_by)
+            base = f"{checkpoint_dir(spark).rstrip('/')}/ledgerframe-tables"
+            tables.publish(df, name, marts.write_laid_out(key, parted=False), base)
             if key in marts.MART_COMMENTS:
                 title, cols = marts.MART_COMMENTS[key]
                 tables.comment(spark, name, title, cols)
@@ -141,7 +141,8 @@ def run_reports(t: DataFrame, keys=None, as_of=None, updated_at=None,
     if any(k in ROLLUP_KEYS for k in wanted):
         rollup = staged(day_category_rollup(t), "rollup")
     builds = mart_builds(as_of, updated_at)
-    stored = {m: marts.stored_mart(m, builds[m](rollup))
+    clock = {"as_of": as_of or _dt.date.today(), "updated_at": updated_at or "build"}
+    stored = {m: marts.stored_mart(m, t, lambda _, m=m: builds[m](rollup), **clock)
               for m in {READ_BACKS[k][0] for k in wanted if k in READ_BACKS}}
 
     def result(k: str) -> DataFrame:

@@ -13,7 +13,6 @@ reproducible output.
 from __future__ import annotations
 
 import datetime as _dt
-import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -41,18 +40,19 @@ from ledgerframe.operators.window import (
     top_k,
 )
 from ledgerframe.plans.reports import _as_of
-from ledgerframe.session import checkpoint_dir
+from ledgerframe.sources import manifest
 from ledgerframe.sources.tables import mart_report, preview, write_mart
 
 DAILY_MART = "mart_daily_metrics"
 CATEGORY_MART = "mart_category_summary"
 ANOMALY_MART = "mart_suspicious_analysis"
 
-# Layout of each mart table: (sort keys, directory partition columns).
+# Layout of each mart table: the order of its files and rows (column, descending), the folders it is parted
+# into where it is a folder, and the columns whose values a Parquet bloom filter finds.
 MART_LAYOUT = {
-    DAILY_MART: (["transaction_date"], None),
-    CATEGORY_MART: (["category"], None),
-    ANOMALY_MART: (["day"], None),
+    DAILY_MART: {"sort_by": [("transaction_date", False)], "partition_by": ["year"]},
+    CATEGORY_MART: {"sort_by": [("total_volume", True), ("category", False)], "partition_by": ["risk_segment"], "bloom": ["category"]},
+    ANOMALY_MART: {"sort_by": [("day", True)], "partition_by": ["year"]},
 }
 
 # Documentation attached to the marts when written to the catalog.
@@ -90,13 +90,37 @@ def _rollup(t: DataFrame | None, rollup: DataFrame | None) -> DataFrame:
     return day_category_rollup(t)
 
 
-def stored_mart(name: str, mart: DataFrame) -> DataFrame:
-    """The mart written in its layout to the shared folder, and read back from there."""
-    spark = mart.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    sort_by, partition_by = MART_LAYOUT[name]
-    write_mart(mart, path=path, sort_by=sort_by, partition_by=partition_by)
-    return spark.read.schema(mart.schema).parquet(path)
+def write_laid_out(name: str, parted: bool = True):
+    """A writer of the named mart in its layout: ``write(mart, folder)``."""
+    layout = MART_LAYOUT[name]
+
+    def write(mart: DataFrame, path: str) -> None:
+        order = [desc(c) if down else asc(c) for c, down in layout["sort_by"]]
+        write_mart(mart, path=path, sort_by=order, partition_by=layout["partition_by"] if parted else None, bloom=layout.get("bloom"))
+
+    return write
+
+
+def stored_mart(name: str, t: DataFrame, build, **clock) -> DataFrame:
+    """The mart of the fact ``t`` in its layout, read from the shared folder.
+
+    A mart stored before from the same files with the same clock values is
+    opened; else ``build(t)`` is written and entered in the manifest. A fact
+    that is not read from files cannot be known again and is always built.
+    """
+    spark = t.sparkSession
+    where = manifest.root(spark)
+    key = manifest.key_of(t, name, **clock)
+    found = manifest.find(spark, where, name, key) if key else None
+    return manifest.store(spark, where, name, key, build(t), write_laid_out(name)) if found is None else found
+
+
+def open_mart(spark, root: str, name: str) -> DataFrame:
+    """The mart that ``jobs.rebuild_marts(root=...)`` last finished under ``root``."""
+    found = manifest.find(spark, root, name)
+    if found is None:
+        raise FileNotFoundError(f"no {name} stored under {root}")
+    return found
 
 
 # ---------------------------------------------------------------- daily mart

@@ -9,6 +9,8 @@ optional directory partitioning (``partition_by``) for pruning.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,12 @@ def ensure_table(spark: SparkSession, name: str = FACT_TABLE, location: str | No
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{loc}")
 
 
+def declared(df: DataFrame, dense_ids: bool = True) -> DataFrame:
+    """Rows in the declared columns and types of the fact, with ids if they have none."""
+    rows = df if "transaction_id" in df.columns else with_surrogate_id(df, dense=dense_ids)
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in TRANSACTION_SCHEMA.fields])
+
+
 def load(
     df: DataFrame,
     name: str = FACT_TABLE,
@@ -94,9 +102,7 @@ def load(
     path: str | None = None,
 ) -> None:
     """Full reload of the fact table: replace its rows, ids restarted."""
-    rows = df if "transaction_id" in df.columns else with_surrogate_id(df, dense=dense_ids)
-    rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in TRANSACTION_SCHEMA.fields])
-    writer = rows.write.mode(mode).format("parquet")
+    writer = declared(df, dense_ids).write.mode(mode).format("parquet")
     if path:
         writer.save(path)
     else:
@@ -116,6 +122,7 @@ def write_mart(
     sort_by: list[Column | str] | None = None,
     partition_by: list[str] | None = None,
     num_files: int | None = None,
+    bloom: list[str] | None = None,
 ) -> None:
     """Rebuild a mart: overwrite it with ``df`` in key order.
 
@@ -124,7 +131,9 @@ def write_mart(
     adds directory partitions (e.g. ``year``). Without ``num_files`` the
     range exchange uses the session's shuffle partitions and adaptive
     execution coalesces them to the data size, so a small mart is not
-    scattered over thousands of tiny files on a large cluster.
+    scattered over thousands of tiny files on a large cluster. ``bloom``
+    names columns that get Parquet bloom filters (lookups by equality skip
+    row groups whose range holds the value by chance only).
     """
     if (name is None) == (path is None):
         raise ValueError("give exactly one of name or path")
@@ -136,12 +145,39 @@ def write_mart(
     writer = out.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    for column in bloom or []:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     if name:
         writer.saveAsTable(name)
     else:
         writer.save(path)
 
 
+def publish(df: DataFrame, name: str, write, base: str) -> None:
+    """Write ``df`` to a new folder under ``base`` with ``write(df, folder)``, then point the catalog table at it.
+
+    Readers see the old rows until the table moves and the new ones from
+    then on; a write that fails or a driver that is lost half-way leaves the
+    old table as it was. A table of other columns is replaced. Old folders stay.
+    """
+    spark = df.sparkSession
+    location = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    write(df, location)
+    fields = [(f.name, f.dataType) for f in df.schema.fields]
+    same = spark.catalog.tableExists(name) and [(f.name, f.dataType) for f in spark.table(name).schema.fields] == fields
+    if same:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION {_quote(location)}")
+        spark.catalog.refreshTable(name)
+        return
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    columns = ", ".join(f"{_ident(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION {_quote(location)}")
+
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -163,3 +199,35 @@ def mart_report(df: DataFrame, alias: str = "rows_in_mart") -> DataFrame:
 def preview(df: DataFrame, order_by: list[Column], n: int = 10) -> DataFrame:
     """First ``n`` rows in a fixed key order (a bare LIMIT is arbitrary)."""
     return df.orderBy(*order_by).limit(n)
+
+
+# ---------------------------------------------------------------- catalog metadata (L5, L9, L11)
+def described(spark: SparkSession, table: str) -> DataFrame:
+    """The columns of a catalog table as rows: position, column_name, data_type, comment (null: none).
+
+    One row a column, so the driver holds a schema and no data.
+    """
+    rows = [(i, c.name, c.dataType, c.description) for i, c in enumerate(spark.catalog.listColumns(table), 1)]
+    return spark.createDataFrame(rows, "position bigint, column_name string, data_type string, comment string")
+
+
+def filled(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column_name, filled_rows, total_rows): how many rows carry a value in each column; one pass with map-side sums."""
+    names = columns or df.columns
+    sums = df.agg(F.count(F.lit(1)).alias("__all"), *[F.count(F.col(c)).alias(f"__{i}") for i, c in enumerate(names)])
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"__{i}").alias("filled_rows"), F.col("__all").alias("total_rows"))
+                     for i, c in enumerate(names)])
+    return sums.select(F.inline(each))
+
+
+def footer_count(spark: SparkSession, path: str, alias: str = "rows") -> DataFrame:
+    """Row count of a Parquet folder from its footers: the scan itself returns one count a file.
+
+    The count is pushed into the reader by Spark's second data source
+    interface, in a session of its own (catalog and files are shared), so
+    that the settings of the caller's session stay.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "csv,json,text,orc,avro")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).agg(F.count(F.lit(1)).alias(alias))
