@@ -18,6 +18,13 @@ task. Here one algorithm serves every size:
    which the key begins, the smallest in its slice or the one run on.
 
 ``ntile`` follows from the row number and the total count.
+
+Ranks by counting (``ranks_desc``) need no order of the rows at all: a rank is
+one more than the rows with a greater key, so only distinct keys with their
+counts are ordered, in slices that an order-preserving function of the key
+gives (the same in every run), and the counts of greater slices are added.
+No job runs before an action, and a key shared by a third of the rows is one
+row from the map side on.
 """
 
 from __future__ import annotations
@@ -96,6 +103,70 @@ def rank(df: DataFrame, key_order: Column, key: str, out: str, tiebreak: str | N
     return numbered.join(ranks, on).select(*[numbered[c] for c in df.columns], out)
 
 
+# ---------------------------------------------------------------- ranks by counting
+def decimal_slice(key: Column) -> Column:
+    """Order-preserving slice of a whole number: sign, number of digits and the first three of them.
+
+    At most 900 slices a digit and sign, whatever the values are.
+    """
+    digits = F.abs(key.cast("decimal(38,0)")).cast("string")
+    code = F.length(digits) * 1000 + F.substring(F.rpad(digits, 3, "0"), 1, 3).cast("int")
+    return F.when(key < 0, -code).otherwise(code).cast("bigint")
+
+
+def fraction_key(num: Column, den: Column) -> Column:
+    """An array that orders fractions of whole numbers exactly (den > 0; null or 0: null).
+
+    The terms of the continued fraction, every second one negated: arrays
+    compare by the first term that differs, and a greater term makes the
+    fraction greater at even places and smaller at odd ones. The end counts
+    as a term beyond all others. Equal fractions have equal arrays, whatever
+    their denominators; 92 steps serve any pair of 64-bit numbers.
+    """
+    most = F.lit((1 << 63) - 1)
+    state = F.struct(num.cast("bigint").alias("a"), den.cast("bigint").alias("b"), F.array().cast("array<bigint>").alias("key"))
+
+    def step(s: Column, i: Column) -> Column:
+        floor = F.call_function("div", s["a"] - F.pmod(s["a"], s["b"]), s["b"])
+        sign = F.when(i % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+        return F.when(s["b"] == 0, s).otherwise(F.struct(
+            s["b"].alias("a"), F.pmod(s["a"], s["b"]).alias("b"), F.concat(s["key"], F.array(floor * sign)).alias("key")))
+
+    terms = F.aggregate(F.sequence(F.lit(0), F.lit(91)), state, step)["key"]
+    end = F.when(F.size(terms) % 2 == 0, most).otherwise(-most)
+    return F.when((den > 0) & num.isNotNull(), F.concat(terms, F.array(end)))
+
+
+def ranks_desc(df: DataFrame, axes: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """RANK() OVER (ORDER BY key DESC) for several keys at once, NULLs first as in SQL, as BIGINT.
+
+    ``axes`` maps each result column to (key, slice): the key as whole numbers in
+    an array (compared by the first that differs; null: no value) and a
+    function of it that never falls where the key rises. One pass counts the
+    distinct keys of all axes; sums run inside slices and over slices; each
+    axis is joined back by its key.
+    """
+    names = list(axes)
+    keyed = df.select(*[F.col(c) for c in df.columns], *[x.alias(f"__k{i}") for i, (x, _) in enumerate(axes.values())])
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("__axis"), s.cast("bigint").alias("__slice"), k.cast("array<decimal(38,0)>").alias("__key"))
+        for i, (k, s) in enumerate(axes.values())])))
+    counts = long.groupBy("__axis", "__slice", "__key").agg(F.count(F.lit(1)).alias("__n"))
+    before = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__axis", "__slice").orderBy(F.col("__key").desc_nulls_first()).rowsBetween(*before)
+    over = Window.partitionBy("__axis").orderBy(F.col("__slice").desc_nulls_first()).rowsBetween(*before)
+    slices = counts.groupBy("__axis", "__slice").agg(F.sum("__n").alias("__m"))
+    slices = slices.select(F.col("__axis").alias("__a"), F.col("__slice").alias("__s"), F.coalesce(F.sum("__m").over(over), F.lit(0)).alias("__above"))
+    placed = (counts.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+              .join(slices, (F.col("__axis") == F.col("__a")) & F.col("__slice").eqNullSafe(F.col("__s")))
+              .select("__axis", "__key", (F.col("__above") + F.col("__in") + 1).cast("bigint").alias("__rank")))
+    out = keyed
+    for i, name in enumerate(names):
+        axis = placed.where(F.col("__axis") == i).select(F.col("__key").alias(f"__j{i}"), F.col("__rank").alias(name))
+        out = out.join(axis, F.col(f"__k{i}").cast("array<decimal(38,0)>").eqNullSafe(F.col(f"__j{i}")), "left")
+    return out.select(*[F.col(c) for c in df.columns], *names)
+
+
 def row_number(df: DataFrame, key_order: Column, tb_order: Column, out: str,
                n_parts: int | None = None) -> DataFrame:
     """ROW_NUMBER() over (key_order, tb_order); tb must make the order total."""

@@ -48,6 +48,12 @@ def _read_back(mart: str, build, read, clock: dict) -> Callable[[DataFrame], Dat
     return lambda t: read(marts.stored_mart(mart, t, build, **clock))
 
 
+def _layouts(t: DataFrame, builds, clock: dict) -> DataFrame:
+    """How the three stored marts lie in their files."""
+    reports = [marts.layout_report(m, marts.stored_mart(m, t, build, **clock)) for m, build in builds.items()]
+    return reports[0].unionAll(reports[1]).unionAll(reports[2])
+
+
 def read_stored(root: str, spark) -> dict[str, Callable[[], DataFrame]]:
     """name -> read-back over the marts that ``jobs.rebuild_marts(root=...)`` stored under ``root``."""
     return {k: (lambda mart=mart, read=read: read(marts.open_mart(spark, root, mart)))
@@ -69,7 +75,11 @@ def catalog(as_of=AS_OF, updated_at=UPDATED_AT) -> dict[str, Callable[[DataFrame
         "l02_csv_round_trip": loads.csv_round_trip,
         "l03_surrogate_id": loads.ids_in_file_order,
         "l04_load_report": load_report,
+        "l05_schema": loads.declared_columns,
         "l06_validate": validate,
+        "l09_ensure": loads.ensured_twice,
+        "l11_comments": loads.documentation,
+        "l14_layout": lambda t: _layouts(t, builds, clock),
         # basic stats
         "q01_overall": reports.overall_stats,
         "q01_by_flag": lambda t: reports.stats_by(t),

@@ -50,15 +50,14 @@ def load_transactions(
             assert_valid(rows, check_unique=False)
         if path:
             tables.load(rows, path=path)
-            loaded = spark.read.parquet(path)
+            return tables.footer_count(spark, path, "loaded_rows")
         else:
             base = f"{checkpoint_dir(spark).rstrip('/')}/ledgerframe-tables"
             tables.publish(tables.declared(rows), table, lambda df, folder: df.write.parquet(folder), base)
             tables.comment(spark, table, L.FACT_TABLE_COMMENT, L.FACT_COLUMN_COMMENTS)
-            loaded = spark.table(table)
+            return tables.load_report(spark.table(table))
     finally:
         _delete(spark, stage_path)  # the staged copy is as large as the input
-    return tables.load_report(loaded)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

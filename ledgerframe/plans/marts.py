@@ -15,7 +15,7 @@ from __future__ import annotations
 import datetime as _dt
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.functions import calendar as cal
@@ -123,6 +123,32 @@ def open_mart(spark, root: str, name: str) -> DataFrame:
     return found
 
 
+def layout_report(name: str, mart: DataFrame) -> DataFrame:
+    """How a stored mart lies in its files, a row a folder: (mart, part, n_rows, lowest_key, highest_key, out_of_order, overlaps, folders).
+
+    ``out_of_order`` counts rows that stand elsewhere in their file than the
+    layout's order puts them, ``overlaps`` files of a folder whose range of the
+    leading key meets the next file's, ``folders`` the folders that hold rows
+    of the part (a lookup by it reads no other).
+    """
+    layout = MART_LAYOUT[name]
+    order = [desc(c) if down else asc(c) for c, down in layout["sort_by"]]
+    key, down = layout["sort_by"][0]
+    part = layout["partition_by"][0]
+    rows = mart.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__file").orderBy(*order)))
+    files = rows.groupBy(F.col(part).cast("string").alias("part"), "__file").agg(
+        F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"),
+        F.count(F.when(F.col("__place") != F.col("__at") + 1, 1)).alias("moved"))
+    by_key = Window.partitionBy("part").orderBy(F.col("low"), F.col("high"))
+    files = files.withColumn("meets", F.lead("low").over(by_key) < F.col("high"))
+    return files.groupBy("part").agg(
+        F.sum("n").alias("n_rows"), F.min("low").cast("string").alias("lowest_key"), F.max("high").cast("string").alias("highest_key"),
+        F.sum("moved").alias("out_of_order"), F.count(F.when(F.col("meets"), 1)).alias("overlaps"),
+        F.countDistinct(F.regexp_replace("__file", "/[^/]*$", "")).alias("folders"),
+    ).select(F.lit(name).alias("mart"), "part", "n_rows", "lowest_key", "highest_key", "out_of_order", "overlaps", "folders")
+
+
 # ---------------------------------------------------------------- daily mart
 def daily_mart(t: DataFrame | None, updated_at=None, rollup: DataFrame | None = None) -> DataFrame:
     """One row per day (NULL dates form one row): counts, sums, means, 7-row averages."""

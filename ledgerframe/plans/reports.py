@@ -37,7 +37,7 @@ from ledgerframe.operators.grouped import (
     stats_by,
     sum_count,
 )
-from ledgerframe.operators.ranking import rank_desc
+from ledgerframe.operators.ranking import decimal_slice, fraction_key, ranks_desc
 from ledgerframe.operators.window import (
     asc,
     desc,
@@ -282,14 +282,16 @@ def rank_categories(t: DataFrame, n: int | None = 30, min_rows: int = 5) -> Data
         m.sum(FLAG).alias("__fs"),
         m.count(FLAG).alias("__fn"),
     ).where(F.col("txn_count") > min_rows)
-    # exact-enough order key for the rate: 17 digits separates any two
-    # distinct fractions with denominators below ~3e8
-    g = g.withColumn("__rate", div_round("__fs", "__fn", 17))
-    g = staged(g, "ranking")  # the total and three ranks read it
+    g = staged(g, "ranking")  # the total and the ranks read it
+    cents = F.when(F.col("__sd").isNotNull(), F.array((F.col("__sd") * 100).cast("decimal(38,0)")))
     g = share_of_total(g, "txn_count", "pct_of_total_txns")
-    g = rank_desc(g, "__sd", "debit_rank", tiebreak="description")
-    g = rank_desc(g, "txn_count", "frequency_rank", tiebreak="description")
-    g = rank_desc(g, "__rate", "risk_rank", tiebreak="description")
+    g = ranks_desc(g, {
+        "debit_rank": (cents, decimal_slice((F.col("__sd") * 100).cast("decimal(38,0)"))),
+        "frequency_rank": (F.array("txn_count"), decimal_slice(F.col("txn_count"))),
+        # exact for any denominator; slices of a thousandth
+        "risk_rank": (fraction_key(F.col("__fs"), F.col("__fn")),
+                      F.when(F.col("__fn") > 0, F.floor(F.col("__fs") * 1000 / F.col("__fn")))),
+    })
     out = g.select(
         "description",
         as_count("txn_count").alias("txn_count"),

@@ -141,7 +141,8 @@ def write_mart(
     if sort_by:
         out = (out.repartitionByRange(num_files, *sort_by) if num_files
                else out.repartitionByRange(*sort_by))
-        out = out.sortWithinPartitions(*sort_by)
+        # the folder first, as the writer asks for it: it would sort anew by the folder alone and lose the order of the rows
+        out = out.sortWithinPartitions(*[F.col(c).asc() for c in partition_by or []], *sort_by)
     writer = out.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

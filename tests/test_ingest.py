@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerframe.operators.validate import assert_valid, validate
 from ledgerframe.plans import marts
+from ledgerframe.schema import TRANSACTION_SCHEMA
 from ledgerframe.sources import csv as csvsrc
 from ledgerframe.sources import tables
 from tests.conftest import make_fact
@@ -207,3 +208,25 @@ def test_mart_written_with_year_partitions(spark, hand):
     back = spark.read.parquet(os.path.join(root, "daily"))
     assert back.count() == mart.count()
     assert back.where("year = 2025").count() == 1  # partition pruning on the lookup key
+
+
+@pytest.mark.parametrize("ids", [[1, 2, 3, 4], [1, 2, 2, 3, 2], [5, 32768, 32769, 32768, -1, -1, 0], [None, 1, None, 2], [None, 1, 2], [], [7],
+                                 [1, 10**15, 1], [2**62, -2**62, 2**62], [-40000, -40000, 40000]])
+def test_key_rule_by_bitmaps_counts_repeated_ids(spark, ids):
+    rows = [(i, None, "x" * 256 if n == 0 else "a", None, None, None, 2 if n == 1 else 0) for n, i in enumerate(ids)]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TRANSACTION_SCHEMA.fields)
+    got = validate(spark.createDataFrame(rows, schema).repartition(3)).first().asDict()
+    times = {i: ids.count(i) for i in ids}
+    assert got == {"checked_rows": len(ids), "flag_violations": int(len(ids) > 1), "length_violations": int(len(ids) > 0),
+                   "precision_violations": 0, "duplicate_ids": sum(n > 1 for n in times.values()),
+                   "duplicate_rows": sum(n for n in times.values() if n > 1)}
+
+
+def test_key_rule_moves_bitmaps_not_ids(spark):
+    t = spark.range(200_000).select(F.col("id").alias("transaction_id"), *[F.lit(None).cast(x.dataType).alias(x.name)
+                                                                           for x in TRANSACTION_SCHEMA.fields[1:]])
+    out = validate(t)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan
+    assert out.first()["checked_rows"] == 200_000 and out.first()["duplicate_ids"] == 0
