@@ -114,7 +114,7 @@ def decimal_slice(key: Column) -> Column:
     return F.when(key < 0, -code).otherwise(code).cast("bigint")
 
 
-def fraction_key(num: Column, den: Column) -> Column:
+def fraction_key(num: str, den: str) -> Column:
     """An array that orders fractions of whole numbers exactly (den > 0; null or 0: null).
 
     The terms of the continued fraction, every second one negated: arrays
@@ -123,18 +123,13 @@ def fraction_key(num: Column, den: Column) -> Column:
     as a term beyond all others. Equal fractions have equal arrays, whatever
     their denominators; 92 steps serve any pair of 64-bit numbers.
     """
-    most = F.lit((1 << 63) - 1)
-    state = F.struct(num.cast("bigint").alias("a"), den.cast("bigint").alias("b"), F.array().cast("array<bigint>").alias("key"))
-
-    def step(s: Column, i: Column) -> Column:
-        floor = F.call_function("div", s["a"] - F.pmod(s["a"], s["b"]), s["b"])
-        sign = F.when(i % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
-        return F.when(s["b"] == 0, s).otherwise(F.struct(
-            s["b"].alias("a"), F.pmod(s["a"], s["b"]).alias("b"), F.concat(s["key"], F.array(floor * sign)).alias("key")))
-
-    terms = F.aggregate(F.sequence(F.lit(0), F.lit(91)), state, step)["key"]
-    end = F.when(F.size(terms) % 2 == 0, most).otherwise(-most)
-    return F.when((den > 0) & num.isNotNull(), F.concat(terms, F.array(end)))
+    # one expression string: a call into the JVM for each part would cost more than the work
+    step = ("(s, i) -> if(s.b = 0, s, named_struct('a', s.b, 'b', pmod(s.a, s.b), 'key',"
+            " concat(s.key, array(if(i % 2 = 0, 1L, -1L) * ((s.a - pmod(s.a, s.b)) div s.b)))))")
+    terms = F.expr(f"aggregate(sequence(0, 91), named_struct('a', cast({num} as bigint), 'b', cast({den} as bigint),"
+                   f" 'key', cast(array() as array<bigint>)), {step}).key")
+    end = F.when(F.size(terms) % 2 == 0, F.lit((1 << 63) - 1)).otherwise(F.lit(-(1 << 63) + 1))
+    return F.when((F.col(den) > 0) & F.col(num).isNotNull(), F.concat(terms, F.array(end)))
 
 
 def ranks_desc(df: DataFrame, axes: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -146,25 +141,24 @@ def ranks_desc(df: DataFrame, axes: dict[str, tuple[Column, Column]]) -> DataFra
     distinct keys of all axes; sums run inside slices and over slices; each
     axis is joined back by its key.
     """
-    names = list(axes)
-    keyed = df.select(*[F.col(c) for c in df.columns], *[x.alias(f"__k{i}") for i, (x, _) in enumerate(axes.values())])
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("__axis"), s.cast("bigint").alias("__slice"), k.cast("array<decimal(38,0)>").alias("__key"))
-        for i, (k, s) in enumerate(axes.values())])))
-    counts = long.groupBy("__axis", "__slice", "__key").agg(F.count(F.lit(1)).alias("__n"))
+    parts = [F.struct(F.lit(i).alias("__axis"), s.cast("bigint").alias("__slice"), k.cast("array<decimal(38,0)>").alias("__key"))
+             for i, (k, s) in enumerate(axes.values())]
+    # a row once for each axis; numbered, as rows may be equal
+    long = (df.select(F.monotonically_increasing_id().alias("__row"), "*")
+            .select("__row", *df.columns, F.inline(F.array(*parts))))
+    counts = (df.select(F.inline(F.array(*parts))).groupBy("__axis", "__slice", "__key").agg(F.count(F.lit(1)).alias("__n")))
     before = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy("__axis", "__slice").orderBy(F.col("__key").desc_nulls_first()).rowsBetween(*before)
-    over = Window.partitionBy("__axis").orderBy(F.col("__slice").desc_nulls_first()).rowsBetween(*before)
-    slices = counts.groupBy("__axis", "__slice").agg(F.sum("__n").alias("__m"))
-    slices = slices.select(F.col("__axis").alias("__a"), F.col("__slice").alias("__s"), F.coalesce(F.sum("__m").over(over), F.lit(0)).alias("__above"))
+    over = Window.partitionBy("__a").orderBy(F.col("__s").desc_nulls_first()).rowsBetween(*before)
+    slices = counts.groupBy(F.col("__axis").alias("__a"), F.col("__slice").alias("__s")).agg(F.sum("__n").alias("__m"))
+    slices = slices.select("__a", "__s", F.coalesce(F.sum("__m").over(over), F.lit(0)).alias("__above"))
     placed = (counts.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
               .join(slices, (F.col("__axis") == F.col("__a")) & F.col("__slice").eqNullSafe(F.col("__s")))
-              .select("__axis", "__key", (F.col("__above") + F.col("__in") + 1).cast("bigint").alias("__rank")))
-    out = keyed
-    for i, name in enumerate(names):
-        axis = placed.where(F.col("__axis") == i).select(F.col("__key").alias(f"__j{i}"), F.col("__rank").alias(name))
-        out = out.join(axis, F.col(f"__k{i}").cast("array<decimal(38,0)>").eqNullSafe(F.col(f"__j{i}")), "left")
-    return out.select(*[F.col(c) for c in df.columns], *names)
+              .select(F.col("__axis").alias("__b"), F.col("__key").alias("__j"), (F.col("__above") + F.col("__in") + 1).cast("bigint").alias("__rank")))
+    found = long.join(placed, (F.col("__axis") == F.col("__b")) & F.col("__key").eqNullSafe(F.col("__j")))
+    return found.groupBy("__row").agg(
+        *[F.any_value(c).alias(c) for c in df.columns],
+        *[F.max(F.when(F.col("__axis") == i, F.col("__rank"))).alias(name) for i, name in enumerate(axes)]).drop("__row")
 
 
 def row_number(df: DataFrame, key_order: Column, tb_order: Column, out: str,

@@ -289,7 +289,7 @@ def rank_categories(t: DataFrame, n: int | None = 30, min_rows: int = 5) -> Data
         "debit_rank": (cents, decimal_slice((F.col("__sd") * 100).cast("decimal(38,0)"))),
         "frequency_rank": (F.array("txn_count"), decimal_slice(F.col("txn_count"))),
         # exact for any denominator; slices of a thousandth
-        "risk_rank": (fraction_key(F.col("__fs"), F.col("__fn")),
+        "risk_rank": (fraction_key("__fs", "__fn"),
                       F.when(F.col("__fn") > 0, F.floor(F.col("__fs") * 1000 / F.col("__fn")))),
     })
     out = g.select(

@@ -114,10 +114,10 @@ def test_fraction_keys_order_exactly(spark):
     while b < 2**62:  # neighbours whose continued fractions are longest
         pairs += [(a, b), (a, b - 1)] if b > 1 else []
         a, b = b, a + b
-    df = spark.createDataFrame(pairs, "n bigint, d bigint").withColumn("k", ranking.fraction_key(F.col("n"), F.col("d")))
+    df = spark.createDataFrame(pairs, "n bigint, d bigint").withColumn("k", ranking.fraction_key("n", "d"))
     rows = df.orderBy("k").collect()
     values = [Fraction(r["n"], r["d"]) for r in rows]
     assert values == sorted(values)
     assert len({tuple(r["k"]) for r in rows}) == len(set(values))
-    none = spark.createDataFrame([(1, 0), (None, 2), (1, None)], "n bigint, d bigint").select(ranking.fraction_key(F.col("n"), F.col("d")).alias("k"))
+    none = spark.createDataFrame([(1, 0), (None, 2), (1, None)], "n bigint, d bigint").select(ranking.fraction_key("n", "d").alias("k"))
     assert [r["k"] for r in none.collect()] == [None, None, None]
