@@ -73,6 +73,7 @@ def catalog(as_of=AS_OF, updated_at=UPDATED_AT) -> dict[str, Callable[[DataFrame
         # load and table rules
         "l01_reload": loads.reload_twice,
         "l02_csv_round_trip": loads.csv_round_trip,
+        "l02_csv_line_breaks": loads.csv_line_breaks,
         "l03_surrogate_id": loads.ids_in_file_order,
         "l04_load_report": load_report,
         "l05_schema": loads.declared_columns,

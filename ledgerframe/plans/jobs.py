@@ -120,8 +120,8 @@ def run_reports(t: DataFrame, keys=None, as_of=None, updated_at=None,
                 pinned: bool = True) -> dict[str, DataFrame]:
     """Every catalogued report, mart and read-back with one pre-aggregation.
 
-    The (day, category) rollup is computed once and written as Parquet to
-    the shared folder; the queries that need only day- or category-level
+    The (day, category) rollup is computed once and written to the shared
+    folder in buckets of categories; the queries that need only day- or category-level
     sums and counts read the columns they use, the few that need row-level
     values read the fact table. Each mart that a read-back asks for is
     stored once and serves all its read-backs. Returns DataFrames keyed
@@ -138,7 +138,8 @@ def run_reports(t: DataFrame, keys=None, as_of=None, updated_at=None,
     wanted = list(keys or cat)
     rollup = None
     if any(k in ROLLUP_KEYS for k in wanted):
-        rollup = staged(day_category_rollup(t), "rollup")
+        # in buckets of categories: the reports by category (RFM, cohorts, ranks, category mart) group where the rows lie
+        rollup = tables.bucketed(day_category_rollup(t), "description", checkpoint_dir(t.sparkSession))
     builds = mart_builds(as_of, updated_at)
     clock = {"as_of": as_of or _dt.date.today(), "updated_at": updated_at or "build"}
     stored = {m: marts.stored_mart(m, t, lambda _, m=m: builds[m](rollup), **clock)

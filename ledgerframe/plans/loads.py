@@ -36,6 +36,14 @@ def csv_round_trip(t: DataFrame) -> DataFrame:
     return csvsrc.read_transactions(t.sparkSession, path, multi_line=False)
 
 
+def csv_line_breaks(t: DataFrame) -> DataFrame:
+    """Rows whose description holds a line break, quotes and a delimiter, after they went through CSV files."""
+    path = _folder(t, "fact-csv")
+    broken = F.concat(F.col("description"), F.lit('\n"second", line'))
+    write_csv(t.withColumn("description", broken), path)
+    return csvsrc.read_transactions(t.sparkSession, path, multi_line=True)
+
+
 def _loaded(t: DataFrame, times: int = 1) -> DataFrame:
     from ledgerframe.plans.jobs import load_transactions
 

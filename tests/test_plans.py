@@ -137,3 +137,22 @@ def test_no_single_partition_exchange_over_raw_fact_rows(fact, key):
     for i, (nid, name, _) in enumerate(nodes):
         if nid in single:
             assert _aggregated_below(nodes, i), f"{key}: single-partition exchange ({nid}) over raw rows"
+
+
+def test_bucketed_rollup_groups_categories_without_an_exchange(spark):
+    from ledgerframe.operators.rollup import day_category_rollup
+    from ledgerframe.plans import cohort, marts
+    from ledgerframe.session import checkpoint_dir
+    from ledgerframe.sources import tables
+    from ledgerframe.sources.fixture import load_fact
+    from tests.conftest import SF001
+
+    plain = day_category_rollup(load_fact(spark, SF001))
+    rollup = tables.bucketed(plain, "description", checkpoint_dir(spark), buckets=4)
+    assert sorted(map(str, rollup.collect())) == sorted(map(str, plain.collect()))
+    for report in (lambda r: marts.category_mart(r, updated_at="2002-01-01", as_of="2002-01-01"), cohort.cohort_retention):
+        plan = report(rollup)._jdf.queryExecution().executedPlan().toString()
+        lines = plan.splitlines()
+        first = max(i for i, line in enumerate(lines) if "Aggregate(keys=[description" in line)
+        assert "Bucketed: true" in plan and not any("Exchange" in line for line in lines[first:]), plan
+        assert sorted(map(str, report(rollup).collect())) == sorted(map(str, report(plain).collect()))
