@@ -306,9 +306,12 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text",
     at = slot(docs[key], F.xxhash64(docs[text].cast("string")))
     hit = filter_texts(docs, [at], lambda: lambda c: in_bitmap(shipped.value, c[0]))
     other = filter_texts(docs, [at], lambda: lambda c: ~in_bitmap(shipped.value, c[0]))
-    left = hit.withColumn("__th", F.xxhash64(hit[text].cast("string")))
-    on = left[key].eqNullSafe(touched["__key"]) & (left["__th"] == touched["__of"])
-    same = Window.partitionBy(left[key], left["__th"]).orderBy("__best")
+    names = docs.columns
+    left = hit.toDF(*[f"c{i}" for i in range(len(names))])  # no column of the input can have a name used below
+    own_key, own_text = (F.col(f"c{names.index(c)}") for c in (key, text))
+    own = F.xxhash64(own_text.cast("string"))
+    on = own_key.eqNullSafe(touched["__key"]) & (own == touched["__of"])
+    same = Window.partitionBy(own_key, own).orderBy("__best")
     kept = (left.join(touched, on, "left").where("__best IS NULL OR __best")
             .withColumn("__n", F.when(F.col("__best").isNull(), 1).otherwise(F.row_number().over(same))).where("__n = 1"))
-    return other.unionAll(kept.select(*[left[c] for c in docs.columns]))
+    return other.unionAll(kept.select(*left.columns).toDF(*names))

@@ -237,7 +237,8 @@ class Scanner:
                     base_labels.add(label)
                     at = line.find(f" {phrase} ", at + 1)
         kept = self.detections(line, seen)
-        word_at = lambda c: line.count(" ", 0, c)
+        spaces = [m.start() for m in re.finditer(" ", line)] if places or kept else []
+        word_at = lambda c: bisect_left(spaces, c)
         doubt = 1.0
         for _, _, r in kept:
             doubt *= 1 - r.weight

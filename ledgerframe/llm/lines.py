@@ -143,8 +143,11 @@ def _rest(text: Column, gone: Column) -> Column:
                 joined(parts, every, worded), lambda kept: F.when(F.regexp_like(kept, F.lit(_WORD)), kept).otherwise(F.lit(""))))))
 
 
-def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row of ``docs`` with ``__kept`` (its text without later copies of repeated runs) and ``__removed`` (lines).
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
+                   out: tuple[str, str] = ("__kept", "__removed")) -> DataFrame:
+    """Every row of ``docs`` with its text without later copies of repeated runs and the number of lines removed.
+
+    ``out`` names these two columns; ``common.fresh`` finds names that ``docs`` does not use.
 
     Null text stays null and loses nothing. A text left without any word
     becomes empty. Lines are what ``\\n`` parts; those without a word are
@@ -163,4 +166,4 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         *plain.columns,
         F.when(F.col("__gone").isNull(), own).otherwise(kept).alias("kept"),
         F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("removed"))
-    return found.toDF(*names, "__kept", "__removed")
+    return found.toDF(*names, *out)

@@ -1,9 +1,15 @@
 """Mixing sources to target weights: tokens per source, repetition rates, hash-seeded copies.
 
 Sizes are summed per source with map-side combine (a hot source is only a
-sum), rates come from the table of sources (one row each), and every
-document then decides alone: floor(rate) copies plus one more when its
-seeded hash falls below the fraction. No document row is shuffled.
+sum) and rates come from the table of sources (one row each). Every document
+is taken floor(rate) times and once more with a probability equal to the
+fraction. That Bernoulli draw is systematic: the documents of a source stand
+in order of size, then of a seeded hash, and from one hash-seeded offset on
+each takes a copy where the running sum of fractions passes a whole number.
+Each document has the same chance as in draws of its own, but sizes level out,
+so that a source ends within about one document of its target. A large
+source is dealt to parts of about ``PART_DOCS`` documents by the hash, each
+with an offset of its own.
 """
 
 from __future__ import annotations
@@ -11,10 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = "mix-1"
+#: documents of a source ordered in one task, about
+PART_DOCS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,7 +48,7 @@ def source_rates(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
     One row per source: the number of sources is a property of the corpus
     layout, and this table alone is ordered in one task.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     everything = Window.partitionBy()
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(w) for w in weights])
@@ -58,35 +68,46 @@ def source_rates(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
     target = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(
         F.least(F.col("cap").cast("double"), level * F.col("weight")))
     return levels.select(
-        "source", "source_size", target.alias("target"),
+        "source", "source_size", "docs", target.alias("target"),
         F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(target / F.col("source_size")).alias("rate"))
 
 
+OUT = ("__size", "__source_size", "__target", "__copies")
+
+
 def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST,
-           seed: str = SEED) -> DataFrame:
-    """Every row of ``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``.
-
-    Null text: size 0. Null source: a source of its own, last in order.
-    Rows equal in doc_id and text share one draw. An empty table gives an
-    empty table. A source without words has target 0 and no copies.
-    Broadcast: the table of sources, one row each; past
-    ``spark.sql.autoBroadcastJoinThreshold`` Spark joins it by sort merge.
+           seed: str = SEED, out: tuple[str, str, str, str] = OUT) -> DataFrame:
+    """Every row of ``docs`` with its size, its source's size and target, and its copies, in columns named by ``out``.
+
+    Null text: size 0. Null source: a source of its own, last in order. Rows
+    equal in doc_id and text are drawn as rows of their own, and a rerun draws
+    as many of them. An empty table gives an empty table. A source without
+    words has target 0 and no copies. Columns of any name pass through;
+    ``common.fresh`` finds names for ``out`` that ``docs`` does not use.
+    The table of sources has one row each; Spark broadcasts it up to
+    ``spark.sql.autoBroadcastJoinThreshold`` and joins by sort merge past it.
     """
-    sized = docs.withColumn("__size", n_words(docs["text"]))
-    rates = source_rates(sized.select(docs["source"].alias("source"), F.col("__size").alias("size")),
-                         weights, share, most)
-    rates = rates.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"),
-                         F.col("target").alias("__target"), F.col("rate").alias("__rate"))
-    joined = sized.join(rates, docs["source"].eqNullSafe(F.col("__source")))
-    draw = unit_hash(seed, docs["doc_id"], F.md5(F.coalesce(docs["text"], F.lit(""))))
-    whole = F.floor("__rate")
-    taken = whole + F.when(draw < F.col("__rate") - whole, 1).otherwise(0)
-    return joined.withColumn("__copies", taken.cast("int")).drop("__source", "__rate")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, text, source = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text", "source"))
+    own = F.md5(F.concat_ws("\x1f", F.lit(seed), F.coalesce(key.cast("string"), F.lit("\x00")), F.md5(F.coalesce(text, F.lit("")))))
+    tie = F.xxhash64(*[f.name for f in plain.schema.fields if "map<" not in f.dataType.simpleString()])  # rows equal in id and text
+    sized = plain.withColumns({"size": n_words(text), "own": own, "tie": tie})
+    rates = source_rates(sized.select(source.alias("source"), "size"), weights, share, most)
+    joined = sized.join(rates, source.eqNullSafe(F.col("source")))
+    # the hash deals a large source to parts (its last digits) and orders documents of one size in a part (the whole)
+    part = F.conv(F.substring("own", 25, 8), 16, 10).cast("long") % F.ceil(F.col("docs") / F.lit(PART_DOCS))
+    place = F.row_number().over(Window.partitionBy("source", "part").orderBy("size", "own", "tie"))
+    offset = unit_hash(seed, F.col("source"), F.col("part"))
+    whole = F.floor("rate")
+    before = lambda n: F.floor(n * (F.col("rate") - whole) + offset)
+    found = joined.withColumn("part", part).withColumn("place", place)
+    return found.select(*plain.columns, "size", "source_size", "target",
+                        (whole + before(F.col("place")) - before(F.col("place") - 1)).cast("int").alias("copies")).toDF(*names, *out)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    names = docs.columns
-    found = copies(docs, **how).where("__copies > 0")
-    return (found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-            .select(*names))
+    out = tuple(fresh(docs, n) for n in OUT)
+    found = copies(docs, out=out, **how).where(F.col(out[3]) > 0)
+    return found.withColumn(out[0], F.explode(F.sequence(F.lit(1), F.col(out[3])))).select(*[found[c] for c in docs.columns])

@@ -57,14 +57,20 @@ WITH sized AS (
   SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(2.0 * source_size, level * weight) END AS target
   FROM weighed, water
 ), rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS rate,
-         CAST('0x' || substr(md5('mix-1' || chr(31) || coalesce(s.doc_id::VARCHAR, chr(0)) || chr(31) || md5(coalesce(s.text, ''))), 1, 13) AS BIGINT)
-           / 4503599627370496.0 AS draw
+  SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS rate,
+         md5('mix-1' || chr(31) || coalesce(s.doc_id::VARCHAR, chr(0)) || chr(31) || md5(coalesce(s.text, ''))) AS own,
+         count(*) OVER (PARTITION BY s.source) AS docs
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), dealt AS (
+  SELECT *, ('0x' || own[25:32])::BIGINT % ceil(docs / 10000.0)::BIGINT AS part FROM rated
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source, part ORDER BY size, own) AS place, rate - floor(rate) AS fraction,
+         CAST('0x' || substr(md5('mix-1' || chr(31) || coalesce(source, chr(0)) || chr(31) || part::VARCHAR), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM dealt
 )
 SELECT doc_id, size, source_size, target,
-       (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM rated
+       (size * (floor(rate) + floor(place * fraction + u) - floor((place - 1) * fraction + u)))::BIGINT AS taken
+FROM placed
 """
 
 FILL_IN_MIDDLE = r"""

@@ -25,7 +25,8 @@ def docs(spark):
         if extra:  # columns that clash with names the operators use
             from pyspark.sql import functions as F
 
-            for name in ("key", "th", "n", "rank", "score", "text_", "component", "size", "__gone", "c0", "label"):
+            for name in ("key", "th", "n", "rank", "score", "text_", "component", "size", "__gone", "c0", "label", "__size", "__rate", "__source",
+                         "__copies", "__kept", "__removed", "__th", "__best", "__n", "__key", "__of", "__copy", "place", "part", "own", "rate"):
                 df = df.withColumn(name, F.lit("x"))
         return df
 

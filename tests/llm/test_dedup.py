@@ -151,10 +151,11 @@ def line_corpus(seed=3):
 @pytest.mark.parametrize("min_words", [12, 3])
 def test_lines_match_brute_force(docs, min_words):
     texts = line_corpus()
-    got = {r["doc_id"]: r for r in lines.without_copies(docs(texts, extra=True), min_words=min_words).collect()}
+    got = {r["doc_id"]: r for r in lines.without_copies(docs(texts, extra=True), min_words=min_words, out=("kept", "removed")).collect()}
     want = kept_lines(texts, list(range(len(texts))), min_words)
-    assert [got[i]["__kept"] for i in range(len(texts))] == want
-    assert sum(got[i]["__removed"] for i in got) > 50
+    assert [got[i]["kept"] for i in range(len(texts))] == want
+    assert all(got[i]["__kept"] == got[i]["__removed"] == "x" for i in range(len(texts)))
+    assert sum(got[i]["removed"] for i in got) > 50
 
 
 def test_lines_of_odd_tables(docs):
@@ -222,6 +223,7 @@ def test_jaccard_components_match_brute_force(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(
         i for i, (n, c) in zip(ids, want) if c == i)
     assert kept.columns == docs(texts, ids, extra=True).columns
+    assert all(r["__th"] == r["__best"] == r["__key"] == "x" for r in kept.collect())
 
 
 def test_jaccard_of_odd_tables(docs):

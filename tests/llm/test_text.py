@@ -52,6 +52,20 @@ def test_license_base_matches_brute_force(docs):
         assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"])
 
 
+def test_a_long_text_full_of_licenses_is_scanned_in_linear_time():
+    import time
+
+    scan = licenses.Scanner().scan
+    took = []
+    for n in (20_000, 160_000):
+        text = b"mit license foo " * n
+        start = time.perf_counter()
+        found = scan(text)
+        took.append(time.perf_counter() - start)
+        assert found["n_base"] == n and (found["first_word"], found["last_word"]) == (0, 3 * n - 3)
+    assert took[1] < 30 * took[0]  # eight times the text; 64 times the work were it quadratic
+
+
 def test_license_rules_resolve_overlaps():
     scan = licenses.Scanner().scan
     assert scan(b"GNU Lesser General Public License version 2.1")["labels"] == "lgpl-2.1"
@@ -309,9 +323,11 @@ def test_mixing_targets_and_copies(docs):
         assert 0 <= x["__copies"] <= 2
         taken[x["source"]] = taken.get(x["source"], 0) + x["__copies"] * x["__size"]
     for s, n in taken.items():
-        assert abs(n - want[s]) <= 0.2 * want[s] + 1000  # the largest text has 900 words
+        assert abs(n - want[s]) <= 900  # the words of the largest text
     again = {(x["doc_id"], x["__copies"]) for x in mixing.copies(docs(texts, sources=sources)).collect()}
     assert again == {(x["doc_id"], x["__copies"]) for x in rows}
-    mix = mixing.mixed(docs(texts, sources=sources, extra=True))
+    clashing = docs(texts, sources=sources, extra=True)
+    mix = mixing.mixed(clashing)
+    assert mix.columns == clashing.columns and mix.where("__size = 'x' AND __rate = 'x' AND part = 'x' AND size = 'x'").count() == mix.count()
     assert mix.count() == sum(x["__copies"] for x in rows)
     assert mixing.mixed(docs([])).count() == 0 and mixing.mixed(docs([None, ""])).count() == 0
