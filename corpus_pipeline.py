@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import bpe, jaccard, lines, mixing, toxicity
-from ledgerframe.llm.common import stored, table
+from ledgerframe.llm.common import fresh, stored, table
 from ledgerframe.llm.queries import tokenizer_path
 
 #: near copies of the corpus: shingles of five words, similarity of 0.8 or more (op8 on its own keeps its contract)
@@ -39,9 +39,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated line runs; those left without words go."""
-    found = lines.without_copies(docs)
-    emptied = (F.col("__removed") > 0) & (F.col("__kept") == "")
-    return _with_text(docs, found.where(~emptied), "__kept")
+    kept, removed = fresh(docs, "kept"), fresh(docs, "removed")
+    found = lines.without_copies(docs, out=(kept, removed))
+    emptied = (F.col(removed) > 0) & (F.col(kept) == "")
+    return _with_text(docs, found.where(~emptied), kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

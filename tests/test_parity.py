@@ -69,3 +69,17 @@ def test_results_do_not_depend_on_the_session_time_zone(spark, con, name):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert ok, msg
+
+
+def test_core_queries_stay_when_a_library_of_the_training_operators_is_missing():
+    """A fresh interpreter in which numpy cannot be imported still registers every core query."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    code = ("import sys; sys.modules['numpy'] = None; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as E; "
+            "from ledgerframe.plans.catalog import CATALOG; "
+            "assert set(E.queries()) == set(E.oracle_sql()) == set(CATALOG)")
+    done = subprocess.run([sys.executable, "-c", code, root], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
