@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, sql_type, utf8
+from .common import slices, sql_type, stored, utf8
 
 #: pages of a host below which nothing is deduced, share of them a class must stand on, tokens a class needs
 MIN_PAGES, MIN_SHARE, MIN_TOKENS = 3, 0.5, 2
@@ -39,7 +39,7 @@ FLUSH_TOKENS = 200_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var".split())
-FURNITURE = frozenset("head nav header footer aside form script style noscript template iframe object svg canvas button "
+FURNITURE = frozenset("head nav header footer aside script style noscript template iframe object svg canvas button "
                       "select menu dialog textarea audio video".split())
 RAW = frozenset("script style noscript template iframe textarea svg title".split())
 #: elements that end where one of the named elements starts
@@ -52,6 +52,18 @@ NAMED = frozenset(
     "menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar comment comments disqus reply replies respond "
     "share sharing social related recommended recommendations widget pagination pager skip login search complementary "
     "contentinfo teaser outbrain taboola".split())
+#: words of NAMED that name furniture beside any other word, unless one says that something merely has or lacks it
+TELLING = frozenset("ads advert adverts advertisement sponsored cookie cookies newsletter breadcrumb breadcrumbs sidebar comment comments "
+                    "disqus related recommended recommendations sharing".split())
+STATES = frozenset("has with without no not open closed enabled disabled on off".split())
+READERS, SAYINGS = frozenset("user users reader readers customer customers visitor visitors".split()), frozenset("review reviews rating ratings".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: elements within a line of text that have none of their own
+SILENT = frozenset("img wbr picture source track area map".split())
+#: share of an article's text that must be its own before the template's blocks in it go, and of a card's text in links
+OWN_SHARE, LINK_SHARE = 0.25, 0.5
+#: hosts with this share of all pages are hot; there are fewer of them than this number
+HOT_SHARE = 256
 #: words that say nothing beside those
 FILLER = frozenset("site page box list section wrap wrapper container area links block top bottom left right bar global form "
                    "buttons icons item items".split())
@@ -75,6 +87,8 @@ class Block:
     article: int  # number of the article element it stands in, 0: none
     main: bool
     named: tuple[int, ...]  # numbers of the elements around it that name themselves furniture
+    heading: bool
+    linked: int  # characters inside links
 
 
 def _attributes(raw: str) -> tuple[list[set[str]], bool, str]:
@@ -94,6 +108,14 @@ def _attributes(raw: str) -> tuple[list[set[str]], bool, str]:
     return names, hidden, shown
 
 
+def _names_furniture(n: set[str], inside: bool) -> bool:
+    """Whether the words of one class, id or role name page furniture."""
+    if n & STATES:
+        return False
+    return bool(n & NAMED and n <= NAMED | FILLER or n & TELLING or n & READERS and n & SAYINGS
+                or "header" in n and n <= FILLER | {"header"} and not inside)
+
+
 def _token(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
 
@@ -105,17 +127,19 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
     # open elements: name, path, furniture, article number, main or named like an article body, named like furniture
     stack: list[tuple[str, str, bool, int, bool, tuple[int, ...]]] = [("", "", False, 0, False, ())]
     piece: list[str] = []
-    articles = named_so_far = 0
-    has_main = False
+    articles = named_so_far = linked = 0
+    has_main = in_link = False
 
     def flush():
+        nonlocal linked
         if piece:
             text = _SPACE.sub(" ", entities.unescape("".join(piece))).strip()
             piece.clear()
             if text:
-                _, path, furniture, article, main, named = stack[-1]
+                name, path, furniture, article, main, named = stack[-1]
                 found.append(_token(path, "#", text))
-                blocks.append(Block(text, found[-1], furniture, article, main, named))
+                blocks.append(Block(text, found[-1], furniture, article, main, named, name in HEADINGS, min(linked, len(text))))
+        linked = 0
 
     at, lower = 0, None
     for m in _TAG.finditer(page):
@@ -123,11 +147,16 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
             continue
         if m.start() > at:
             piece.append(page[at:m.start()])
+            linked += m.start() - at if in_link else 0
         at = m.end()
         name = m[2] or m[5]
         if name is None:
             continue
         name, end = name.lower(), bool(m[1] or m[4])
+        if name in SILENT:
+            continue
+        if name == "a":
+            in_link = not end
         if name in INLINE:
             hidden = not end and _attributes(m[3] or m[6] or "")[1]
             if not hidden and not (end and stack[-1][0] == name):
@@ -135,8 +164,9 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
         if name == "br":
             piece.append(" ")
             continue
-        if name in RAW and not end:
-            flush()
+        if name in RAW:  # what it holds is no text; the line around it goes on
+            if end:
+                continue
             lower = page.lower() if lower is None else lower
             close = lower.find(f"</{name}", at)
             at = len(page) if close < 0 else close
@@ -163,8 +193,7 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
         path = f"{path}/{name}" + (f".{shown}" if shown else "")
         inside = article or main
         furniture = furniture or hidden or (name in FURNITURE and not (name == "header" and inside))
-        if name not in ("html", "body", "main") and any(
-                n & NAMED and n <= NAMED | FILLER or "header" in n and n <= FILLER | {"header"} and not inside for n in names):
+        if name == "form" or name not in ("html", "body", "main") and any(_names_furniture(n, inside) for n in names):
             named_so_far += 1
             named += (named_so_far,)
         if name == "article":
@@ -242,17 +271,39 @@ def standing(found: list[int], classes: list[tuple[int, list[int]]]) -> set[int]
 
 
 def article_text(page: str, classes: list[tuple[int, list[int]]] | set) -> str:
-    """The main text of a page beside its host's template; blocks joined by one newline."""
+    """The main text of a page beside its host's template; blocks joined by one newline.
+
+    Where elements tell the main text (articles, else main or what is named
+    like an article body), the template's blocks in it go, but for headings over
+    data; if too little were left, as on copies of one article, it stays
+    whole. Elsewhere every data slot counts. Articles beside the largest that
+    are mostly links are cards of other pages.
+    """
     found, blocks = parse(page)
     template = standing(found, list(classes))
-    data = [b for b in blocks if b.token not in template]
-    if not any(not b.furniture for b in data):
-        data = blocks  # all text is the template's: copies of one page, which tell nothing apart
-    left = [b for b in data if not b.furniture]
-    # element names choose among the data: all parts of articles, else main or what is named like an article body,
-    # else every data slot of the outermost class
-    inside = [b for b in left if b.article] or [b for b in left if b.main] or left
-    return "\n".join(b.text for b in inside)
+    shown = [b for b in blocks if not b.furniture]
+    inside = [b for b in shown if b.article]
+    if inside:
+        size: dict[int, int] = {}
+        links: dict[int, int] = {}
+        for b in inside:
+            size[b.article] = size.get(b.article, 0) + len(b.text)
+            links[b.article] = links.get(b.article, 0) + b.linked
+        most = max(size, key=lambda a: (size[a] - links[a], -a))
+        inside = [b for b in inside if b.article == most or links[b.article] <= LINK_SHARE * size[b.article]]
+    inside = inside or [b for b in shown if b.main]
+    own = sum(len(b.text) for b in inside if b.token not in template)
+    if inside and own < OWN_SHARE * sum(len(b.text) for b in inside):
+        return "\n".join(b.text for b in inside)
+    left, over_data = [], False
+    for b in reversed(inside or shown):
+        own_text = b.token not in template
+        if own_text or b.heading and over_data:
+            left.append(b.text)
+        over_data = (over_data or own_text) and not b.heading
+    if not left:
+        left = [b.text for b in reversed(shown)]  # all text is the template's: copies of one page, which tell nothing apart
+    return "\n".join(reversed(left))
 
 
 def host_of(url: Column) -> Column:
@@ -333,7 +384,8 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", key: str =
                .where(F.size("members") >= min_tokens))
     nested = classes.groupBy("host").agg(F.sort_array(F.collect_list(
         F.struct((-F.col("pages")).alias("outer"), F.sort_array("members").alias("members")))).alias("classes"))
-    return nested.select("host", F.transform("classes", lambda c: F.struct(
+    nested = nested.join(hosts, F.col("host") == F.col("__host"))
+    return nested.select("host", F.col("__pages").alias("host_pages"), F.transform("classes", lambda c: F.struct(
         (-c["outer"]).alias("pages"), F.transform(c["members"], lambda m: m["token"]).alias("tokens"))).alias("classes"))
 
 
@@ -342,15 +394,20 @@ def extracted(pages: DataFrame, keep: list[str], url: str = "url", html: str = "
 
     Null or empty html: empty text. Pages without a host, or on a host
     with too few pages, are read by their elements alone. Equal pages
-    give equal texts. Templates are joined by host: Spark broadcasts them
-    while they are under its own threshold, and sorts and splits skewed
-    hosts beyond it.
+    give equal texts. The templates of hot hosts (fewer than ``HOT_SHARE``,
+    each bounded by the size of a page) are broadcast, so that no task gets
+    all pages of a host; the others are joined by host.
     """
-    deduced = templates(pages, url, html, key)
+    deduced = stored(templates(pages, url, html, key), "templates")
+    all_pages = deduced.agg(F.sum("host_pages")).first()[0] or 0
+    hot = deduced.where(F.col("host_pages") * HOT_SHARE > all_pages).select(F.col("host").alias("__hot"), F.col("classes").alias("__hot_classes"))
+    cold = deduced.where(F.col("host_pages") * HOT_SHARE <= all_pages).select("host", F.col("classes").alias("__classes"))
     kept = [pages[c].alias(f"__k{i}") for i, c in enumerate(keep)]
     source = pages.select(*kept, host_of(pages[url]).alias("__host"), pages[html].cast("string").alias("__html"))
-    joined = (source.join(deduced, source["__host"] == deduced["host"], "left")
-              .select(*[f"__k{i}" for i in range(len(keep))], F.col("classes").alias("__classes"), "__html"))
+    met = source.join(F.broadcast(hot), F.col("__host") == F.col("__hot"), "left")
+    columns = [f"__k{i}" for i in range(len(keep))]
+    joined = met.where("__hot IS NOT NULL").select(*columns, F.col("__hot_classes").alias("__classes"), "__html").unionAll(
+        met.where("__hot IS NULL").join(cold, F.col("__host") == F.col("host"), "left").select(*columns, "__classes", "__html"))
     n_keep = len(keep)
     ddl = ", ".join(f"__k{i} {sql_type(pages, c)}" for i, c in enumerate(keep))
 

@@ -331,3 +331,59 @@ def test_mixing_targets_and_copies(docs):
     assert mix.columns == clashing.columns and mix.where("__size = 'x' AND __rate = 'x' AND part = 'x' AND size = 'x'").count() == mix.count()
     assert mix.count() == sum(x["__copies"] for x in rows)
     assert mixing.mixed(docs([])).count() == 0 and mixing.mixed(docs([None, ""])).count() == 0
+
+
+# ---------------------------------------------------------------- pages: what must stay and what must go
+
+
+def _site(spark, bodies, host="h.example"):
+    rows = [(i, f"http://{host}/{i}", f"<html><body><nav>Home About</nav>{b}<footer>(c) us</footer></body></html>") for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in extraction.extracted(df, ["page_id"]).collect()}
+
+
+def test_copies_of_an_article_do_not_vote_it_away(spark):
+    body = "<article><h1>Title</h1><p>The whole long story of the day.</p><p>Its end, with more words.</p></article><div>visit number {}</div>"
+    got = _site(spark, [body.format(i) for i in range(4)] + ["<article><p>Another one, quite different.</p></article><div>visit number 9</div>"])
+    assert [got[i] for i in range(4)] == ["Title\nThe whole long story of the day.\nIts end, with more words."] * 4
+    assert got[4] == "Another one, quite different."
+
+
+def test_repeated_subheads_stay_and_repeated_notices_go(spark):
+    page = ("<article><h1>Dish {0}</h1><h2>Ingredients</h2><p>{0} eggs and {0} spoons of flour.</p><h2>Method</h2><p>Stir {0} times, then bake.</p>"
+            "<div class=x>This site uses small cakes.</div></article>")
+    got = _site(spark, [page.format(i) for i in range(2, 9)])
+    assert got[0] == "Dish 2\nIngredients\n2 eggs and 2 spoons of flour.\nMethod\nStir 2 times, then bake."
+
+
+def test_elements_within_a_line_do_not_part_it():
+    for inner in ("one <img src=a> two", "one <svg><text>x</text></svg> two", "one <picture><source><img></picture> two",
+                  "one <script>var a = '<p>';</script> two"):
+        assert extraction.article_text(PAGE % f"<p>{inner}</p>", set()) == "one two"
+    assert extraction.article_text(PAGE % "<p>foo<wbr>bar</p>", set()) == "foobar"
+
+
+def test_forms_reader_comments_and_cards():
+    text = "<p>A long first paragraph of the page.</p><p>A second one, just as long.</p>"
+    assert extraction.article_text(f"<body><form><nav>menu</nav><div class=content>{text}</div></form></body>", set()).count("\n") == 1
+    assert extraction.article_text(f"<body><form><p>Search</p></form><article>{text}</article></body>", set()).count("\n") == 1
+    for name in ("reader-comments", "user-reviews", "article-comments", "sidebar-right-hand"):
+        page = f"<article>{text}<div class='{name}'><p>zap!</p></div></article>"
+        assert "zap" not in extraction.article_text(page, set()), name
+    for name in ("has-sidebar", "comments-open post", "content comments-open"):
+        assert extraction.article_text(f"<article class='{name}'>{text}</article>", set()).count("\n") == 1
+    card = "<article><a href=x>Another story to read</a> now</article>"
+    assert "Another" not in extraction.article_text(f"<article>{text}</article>{card}", set())
+
+
+def test_pages_with_columns_of_other_names_repeated_rows_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    long = "<article>" + "".join(f"<p>paragraph {i} of a very long page</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://a/1", long), (1, "http://a/1", long), (None, None, None), (2, "http://a/2", ""), (3, "no url", "<p>x</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("host", "classes", "__host", "__html", "__classes", "text", "n_chars", "token", "pages"):
+        df = df.withColumn(name, F.lit("x"))
+    got = extraction.extracted(df, ["page_id", "url"]).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == sorted(
+        [(1, len("\n".join(f"paragraph {i} of a very long page" for i in range(20_000))))] * 2 + [(0, 0), (2, 0), (3, 1)])
