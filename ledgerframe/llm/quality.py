@@ -184,7 +184,7 @@ def _matrix(s: dict[str, np.ndarray]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
           sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Fit on at most ``sample_rows`` labelled rows; their statistics, and no texts, come to the driver.
+    """Fit on at most ``sample_rows`` labelled keys; the statistics of one row each, and no texts, come to the driver.
 
     Rows with a null key or label teach nothing, a key labelled both ways counts as 1. Without labelled rows
     every text passes.
@@ -192,8 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = (labels.where(labels[key].isNotNull() & labels[label].isNotNull())
               .groupBy(labels[key].alias("__id")).agg(F.max(labels[label].cast("int")).alias("__label"))
               .orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
-    joined = (docs.select(docs[key].alias("__doc"), docs[text].alias("__body"))
-              .join(F.broadcast(chosen), F.col("__doc") == F.col("__id")))
+    # one row a key, the same in every run: of rows that share a key the one with the smallest text hash
+    one = F.min(F.struct(F.xxhash64("__body").alias("hash"), "__body", "__label")).alias("one")
+    joined = (docs.select(docs[key].alias("__doc"), docs[text].cast("string").alias("__body"))
+              .join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).groupBy("__id").agg(one).select("one.__label", "one.__body"))
 
     def make():
         def work(texts):
@@ -201,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             return {"x": list(_matrix(s))}
         return work
 
-    rows = map_texts(joined, ["__label"], "__body", make, "x array<double>").limit(2 * sample_rows).toPandas()
+    rows = map_texts(joined, ["__label"], "__body", make, "x array<double>").toPandas()
     y = rows["__label"].to_numpy(dtype=float)
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(y), len(FEATURES))
     order = np.lexsort((*x.T, y))  # the fit does not depend on the order in which rows arrive

@@ -293,34 +293,6 @@ def window_hashes(data: bytes, places: np.ndarray, length: int) -> tuple[np.ndar
     one, two = np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint64)
     if not len(places):
         return one, two
-    # runs of near places share one table of running sums
-    cut = np.flatnonzero((np.diff(places) > length) | (np.diff(places // _BLOCK) > 0)) + 1
-    for start, end in zip([0, *cut], [*cut, len(places)]):
-        low = int(places[start])
-        piece = b[low:int(places[end - 1]) + length]
-        at = places[start:end] - low
-        for out, codes, powers, back in ((one, *_HASH1), (two, *_HASH2)):
-            total = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(codes[piece] * powers[:len(piece)], out=total[1:])
-            # bring every window to the same power (an odd base has an inverse)
-            out[start:end] = mix64((total[at + length] - total[at]) * back[at])
-    return one, two
-    # runs of near places share one table of running sums
-    gaps = np.flatnonzero(np.diff(places) > length) + 1
-    for part in np.split(np.arange(len(places)), gaps):
-        for block in np.array_split(part, max(1, len(part) // _BLOCK)):
-            low, high = int(places[block[0]]), int(places[block[-1]]) + length
-            piece = b[low:high]
-            at = places[block] - low
-            for out, odd, seed in ((one, _MULT | np.uint64(1), _MULT), (two, _SEED2 | np.uint64(1), _SEED2)):
-                code = mix64(_BYTE_CODE * seed)
-                p = np.full(len(piece) + 1, odd, dtype=np.uint64)
-                p[0] = 1
-                p = np.cumprod(p, dtype=np.uint64)
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code[piece] * p[:-1], dtype=np.uint64)))
-                # bring every window to the same power: those that start earlier are raised
-                out[block] = mix64((total[at + length] - total[at]) * p[len(piece) - length - at])
-    return one, two
 
 
 def _asked(texts: DataFrame) -> DataFrame:
