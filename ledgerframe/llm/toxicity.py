@@ -60,16 +60,16 @@ class Model:
         self._known: dict[str, float] = {}
 
     def of(self, word: str) -> float:
-        got = self._known.get(word)
-        if got is None:
-            if len(self._known) >= KEPT_WORDS:
-                self._known.clear()
-            got = self._known[word] = max((self.weight.get(t, 0.0) for t in tokens(word)), default=0.0)
-        return got
+        return max((self.weight.get(t, 0.0) for t in tokens(word)), default=0.0)
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """All maximal scoring segments (first word, last word, score), in one scan."""
-        hits = [(i, s) for i, w in enumerate(words) if (s := self.of(w)) > 0]
+        known = self._known
+        if len(known) >= KEPT_WORDS:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = self.of(w)
+        hits = [(i, s) for i, s in enumerate(map(known.__getitem__, words)) if s > 0]
         # open candidates: (first, last, total before it, total up to its end)
         stack: list[tuple[int, int, float, float]] = []
         nearest: list[int] = []  # for each candidate the last one that began lower, or -1
@@ -186,16 +186,16 @@ def _corpus(docs: DataFrame, text: str, names: set[str]) -> tuple[int, int, dict
             texts = utf8(batch.column(0))
             for a, b in slices([len(t) for t in texts]):
                 for body in texts[a:b]:
-                    words = words_of(body)
-                    documents, total = documents + 1, total + len(words)
-                    for w in words:
+                    words = Counter(words_of(body))
+                    documents, total = documents + 1, total + words.total()
+                    if len(known) >= KEPT_WORDS:
+                        known.clear()
+                    for w, n in words.items():
                         hit = known.get(w)
                         if hit is None:
-                            if len(known) >= KEPT_WORDS:
-                                known.clear()
                             hit = known[w] = tuple(tokens(w) & shipped.value)
                         for t in hit:
-                            counts[t] += 1
+                            counts[t] += n
         rows = [*counts.items(), ("", total), ("*", documents)]
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["token", "n"])
 
@@ -204,23 +204,32 @@ def _corpus(docs: DataFrame, text: str, names: set[str]) -> tuple[int, int, dict
     return found.pop("*", 0), found.pop("", 0), found
 
 
-def _contexts(labelled: DataFrame, names: set[str]) -> dict[str, int]:
+def _contexts(labelled: DataFrame, enough: dict[str, int]) -> dict[str, int]:
     """In how many different surroundings (word before, word after) the named tokens stand in texts labelled 1.
 
     Words of one text and its many copies keep their neighbours; words that
-    carry a meaning of their own do not. One row a token reaches the driver.
+    carry a meaning of their own do not. A task that has found as many as
+    are ``enough`` for a token needs no more of it, so counts below that
+    are exact. One row a token reaches the driver.
     """
-    shipped = labelled.sparkSession.sparkContext.broadcast(names)
+    shipped = labelled.sparkSession.sparkContext.broadcast(enough)
 
     def run(batches):
+        wanted = shipped.value
+        names = wanted.keys()
+        seen: dict[str, set[str]] = {}
         for batch in batches:
-            seen = set()
             for body in utf8(batch.column(0)):
                 words = ["", *words_of(body), ""]
-                for before, word, after in zip(words, words[1:], words[2:]):
-                    seen.update((t, f"{before} {after}") for t in tokens(word) & shipped.value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([t for t, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string())], names=["token", "around"])
+                known = {w: hit for w in set(words) if w and (hit := tokens(w) & names)}
+                for i, word in enumerate(words):
+                    for t in known.get(word, ()):
+                        here = seen.setdefault(t, set())
+                        if len(here) < wanted[t]:
+                            here.add(f"{words[i - 1]} {words[i + 1]}")
+        rows = [(t, c) for t, found in seen.items() for c in found]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t for t, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.string())], names=["token", "around"])
 
     rows = (labelled.where("__label = 1").select("__body").mapInArrow(run, "token string, around string")
             .distinct().groupBy("token").count().collect())
@@ -234,6 +243,19 @@ def surprise(n1: int, n0: int, share: float) -> float:
     return n1 * math.log(q / share) + (n0 * math.log((1 - q) / (1 - share)) if n0 else 0.0) if q > share else 0.0
 
 
+def least_surroundings(r, share: float, bar: float) -> int:
+    """The smallest m with which min(n1, m) or min(t1, m) documents still surprise enough."""
+    def meets(m: int) -> bool:
+        n1, t1 = min(r["n1"], m), min(r["t1"], m)
+        return max(surprise(n1, r["n0"], share) if n1 >= MIN_DOCS else 0.0, surprise(t1, r["t0"], share) if t1 >= MIN_DOCS else 0.0) - math.log(2) >= bar
+
+    low, high = 1, max(r["n1"], r["t1"], 1)
+    while low < high:  # surprise rises with m
+        middle = (low + high) // 2
+        low, high = (low, middle) if meets(middle) else (middle + 1, high)
+    return low
+
+
 def _surprise(n1: str, n0: str, share: float):
     a, b = F.col(n1).cast("double"), F.col(n0).cast("double")
     q = a / F.nullif(a + b, F.lit(0.0))
@@ -287,26 +309,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = tested.where(F.col("surprise") >= bar).collect() if bar < math.inf else []
     if not rows:
         return Model()
-    names = {r["token"] for r in rows}
-    around = _contexts(labelled, names)
-    d, w, corpus = _corpus(docs, text, names)
-
-    def stands_out(r) -> bool:
-        most = around.get(r["token"], 0)
-        n1, t1 = min(r["n1"], most), min(r["t1"], most)
-        return max(surprise(n1, r["n0"], share) if n1 >= MIN_DOCS else 0.0, surprise(t1, r["t0"], share) if t1 >= MIN_DOCS else 0.0) - math.log(2) >= bar
-
-    weight, background, hits = {}, [], 0
-    clean_words = max(1, totals["c0"])
+    d, w, corpus = _corpus(docs, text, {r["token"] for r in rows})
+    rest = PRIOR_DOCS * w / max(1, d)
+    weight = {}
     for r in rows:
         prior = PRIOR_FLOOR + PRIOR_DOCS * corpus.get(r["token"], 0) / max(1, d)
-        rest = PRIOR_DOCS * w / max(1, d)
         odds = (math.log((r["g1"] / 1000 + prior) / (totals["g1"] / 1000 + rest))
                 - math.log((r["g0"] / 1000 + prior) / (totals["g0"] / 1000 + rest)))
-        if odds >= MIN_ODDS and stands_out(r):
+        if odds >= MIN_ODDS:
             weight[r["token"]] = odds
-            hits += r["c1"] if not r["token"].endswith("*") else 0
-            background.append((r["c0"] or 0.5, odds))
+    # the fewest surroundings with which a token would still meet the bar
+    rows = [r for r in rows if r["token"] in weight]
+    enough = {r["token"]: least_surroundings(r, share, bar) for r in rows}
+    around = _contexts(labelled, enough) if enough else {}
+    rows = [r for r in rows if around.get(r["token"], 0) >= enough[r["token"]]]
+    weight = {r["token"]: weight[r["token"]] for r in rows}
+    hits = sum(r["c1"] for r in rows if not r["token"].endswith("*"))
+    background = [(r["c0"] or 0.5, weight[r["token"]]) for r in rows]
+    clean_words = max(1, totals["c0"])
     if not weight:
         return Model()
     cost = max(0.01, -math.log(1 - min(0.5, hits / max(1, totals["c1"]))))
