@@ -23,3 +23,30 @@ def test_near_copies_from_four_fifths_on_go(spark, docs):
     assert 0.81 < similarity(*near) < 0.83 and similarity(*far) < 0.8
     kept = corpus_pipeline.drop_near_copies(spark, docs([*near, *far]), "").collect()
     assert sorted(r["doc_id"] for r in kept) == [0, 2, 3]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_take_null_and_empty_texts_and_columns_of_any_name(spark, docs):
+    body = " ".join(f"w{i}" for i in range(60))
+    table = docs([None, "", " \n ", body, body, "short text"], ids=[None, 1, 2, 3, 4, 4], extra=True)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, table, SF)
+        assert after.columns == table.columns, name
+        rows = after.collect()
+        assert all(r["__kept"] == r["__th"] == r["__size"] == "x" for r in rows), name
+        ids = sorted((r["doc_id"] or -1, r["text"] or "") for r in rows)
+        if name == "toxicity":
+            assert len(ids) == 6
+        if name == "line_dedup":  # the later copy of the run is left without words and goes
+            assert ids == [(-1, ""), (1, ""), (2, " \n "), (3, body), (4, "short text")]
+        if name == "ngram_jaccard_join":
+            assert ids == [(-1, ""), (1, ""), (2, " \n "), (3, body), (4, "short text")]
+    last = corpus_pipeline.STAGES[-1][1](spark, table, SF).collect()
+    assert sorted(r["n_tokens"] for r in last)[:2] == [0, 0] and len(last) == 6
+
+
+def test_stages_take_an_empty_table(spark, docs):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs([]), SF).count() == 0, name
