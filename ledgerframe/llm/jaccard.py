@@ -3,15 +3,18 @@
 Documents with the same shingle set form one class (copies are never
 paired). A class is known by its prefix: its shingles in one global order,
 rare ones first, cut so that two linked classes must share at least
-``SHARED`` of them. Classes with the same prefix and size form one group,
-and only groups are sorted by prefix shingle; groups that meet there, at
-sizes that can link, are expanded to their classes and verified on the
-full sets.
-
-Only components are wanted, so a list of classes that share a shingle is
-not paired out at once: all its members are first held against one pivot
-(the class with most copies). Members that the first round already joined
-need no pair; only classes of different components meet in the second
+``SHARED`` of them. Classes with the same prefix and size form one group.
+Only groups are listed by prefix shingle, paired and filtered (sizes, places
+in the prefix, shared prefix shingles); the pairs of groups that are left are
+expanded to their classes. A pair of classes is verified on the full sets
+unless a table of bucket counts of each set already shows too small an overlap
+(an upper bound, so no link is lost).
+
+Only components are wanted, so neither a list of groups nor a group is
+paired out at once. In the first round all groups of a list are held against
+one pivot (the group with most rows), all classes of a group against its head
+(the class with most copies). What the first round joined needs no pair; only
+groups, and classes of a group, of different components meet in the second
 round, in which nothing is left out.
 
 The global order comes from a sketch: counts of all shingles of all texts
@@ -61,6 +64,22 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def bucket_counts(s: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each range of hash values, about four a range, rounded up to a byte each."""
+    bits = max(4, (len(s) // 4).bit_length())
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    scale = max(1, -(-int(counts.max()) // 255))
+    return scale.to_bytes(8, "little") + (-(-counts // scale)).astype(np.uint8).tobytes()
+
+
+def most_overlap(x: bytes, y: bytes) -> int:
+    """Upper bound of the shingles two sets share, from their ``bucket_counts``."""
+    x, y = (np.frombuffer(b, np.uint8, offset=8).astype(np.int64) * int.from_bytes(b[:8], "little") for b in (x, y))
+    size = min(len(x), len(y))
+    x, y = (c.reshape(size, -1).sum(axis=1) for c in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def _sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """How often shingles fall into each of 2^SKETCH_BITS buckets, over all texts."""
     size = 1 << SKETCH_BITS
@@ -108,7 +127,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, order: np.ndarray) -> DataFrame:
-    """(key, th, n, node, grp, prefix) of every row; node and grp are 128-bit digests of the set and of prefix and size."""
+    """(key, th, n, node, grp, prefix, counts) of every row; node and grp are 128-bit digests of the set and of prefix and size."""
     shipped = docs.sparkSession.sparkContext.broadcast(order)
     digest = lambda b: hashlib.blake2b(b, digest_size=16).digest()
 
@@ -117,7 +136,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, or
         for batch in batches:
             texts = utf8(batch.column(2))
             for a, b in slices([len(t) for t in texts]):
-                sizes, nodes, groups, prefixes = [], [], [], []
+                sizes, nodes, groups, prefixes, counts = [], [], [], [], []
                 for s in shingle_sets(texts[a:b], width):
                     n = len(s)
                     sizes.append(n)
@@ -125,6 +144,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, or
                         nodes.append(None)
                         groups.append(None)
                         prefixes.append(None)
+                        counts.append(None)
                         continue
                     least = least_overlap(n, percent)
                     place = np.lexsort((s, rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
@@ -132,27 +152,27 @@ def _prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, or
                     nodes.append(digest(s.tobytes()))
                     groups.append(digest(n.to_bytes(8, "little") + p.tobytes()))
                     prefixes.append(_signed(p))
+                    counts.append(bucket_counts(s))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
-                     pa.array(groups, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    names=["key", "th", "n", "node", "grp", "prefix"])
+                     pa.array(groups, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())],
+                    names=["key", "th", "n", "node", "grp", "prefix", "counts"])
 
     body = docs[text].cast("string")
     source = docs.select(docs[key].alias("key"), F.xxhash64(body).alias("th"), body.alias("text"))
     return source.mapInArrow(
-        run, f"key {sql_type(docs, key)}, th bigint, n bigint, node binary, grp binary, prefix array<bigint>")
+        run, f"key {sql_type(docs, key)}, th bigint, n bigint, node binary, grp binary, prefix array<bigint>, "
+             "counts binary")
 
 
 def _meeting(groups: DataFrame) -> DataFrame:
-    """Prefix entries (token, grp, n, place) that another group shares or whose group has several classes.
-
-    """
-    entries = groups.select(F.posexplode("prefix").alias("place", "token"), "grp", "n", "several")
-    return repeated(entries, ["token"], always="several").select("token", "grp", "n", "place", "several")
+    """Prefix entries (token, grp, n, place, rows) that another group shares."""
+    entries = groups.select(F.posexplode("prefix").alias("place", "token"), "grp", "n", "rows")
+    return repeated(entries, ["token"]).select("token", "grp", "n", "place", "rows")
 
 
 def _sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the classes in ``wanted`` (node, key of one of its rows).
+    """(node, shingles, left) of the classes in ``wanted`` (node, key of one of its rows, left).
 
     A bitmap of the wanted keys, of fixed size, lets the scan skip other
     texts; what it lets through by chance is dropped by the join.
@@ -181,13 +201,29 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -
 
     source = docs.select(slot(docs[key]).alias("__slot"), docs[text].cast("string").alias("__text"))
     found = source.mapInArrow(run, "node binary, shingles binary")
-    return (found.join(wanted.select("node"), "node", "left_semi")
-            .groupBy("node").agg(F.first("shingles").alias("shingles")))
+    return (found.join(wanted.select("node", "left"), "node")
+            .groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("left").alias("left")))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the bucket counts of both classes do not rule out."""
+    x = nodes.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("counts").alias("ac"))
+    y = nodes.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("counts").alias("bc"))
+
+    def run(batches):
+        for batch in batches:
+            an, ac, bn, bc = (batch.column(i).to_pylist() for i in range(2, 6))
+            both = np.array([most_overlap(p, q) for p, q in zip(ac, bc)], np.int64)
+            keep = 100 * both >= percent * (np.array(an, np.int64) + np.array(bn, np.int64) - both)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return (pairs.join(y, "b").join(x, "a").select("a", "b", "an", "ac", "bn", "bc")
+            .mapInArrow(run, "a binary, b binary"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets meet the similarity, by intersecting the full sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    left = sets.where("left").select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
     def run(batches):
@@ -199,7 +235,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    return (pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
             .mapInArrow(run, "a binary, b binary"))
 
 
@@ -208,32 +244,30 @@ def _assigned(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     order = _common(_sketch(docs, text, width))
     rows = stored(_prefixes(docs, key, text, width, percent, order), "jaccard-rows")
     some = rows.where("node IS NOT NULL")
-    nodes = stored(some.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"),
-                                            F.first("grp").alias("grp"), F.first("n").alias("n")), "jaccard-nodes")
-    groups = some.groupBy("grp").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"),
-                                     (F.min("node") != F.max("node")).alias("several"))
+    nodes = stored(some.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"),
+                                            F.first("n").alias("n"), F.first("counts").alias("counts")), "jaccard-nodes")
+    heads = nodes.groupBy("grp").agg(F.max(F.struct("copies", "node"))["node"].alias("head"), F.count(F.lit(1)).alias("classes"))
+    groups = some.groupBy("grp").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     # entries before a shared one that no other group has are in no set that shares it (one global order):
     # so many shingles of the set at least are lost to any link found there
     lost = F.col("place") - (F.row_number().over(Window.partitionBy("grp").orderBy("place")) - 1)
-    meeting = _meeting(groups).withColumn("left", F.col("n") - F.when(F.col("several"), 0).otherwise(lost)).drop("place", "several")
+    meeting = _meeting(groups).withColumn("left", F.col("n") - lost).drop("place")
     # sizes that can link lie in one band or in two that touch: a list holds a band and the one below
     step = float(-np.log(percent / 100))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step))
-    members = nodes.select("grp", "node", "copies")
-    lists = (meeting.join(members, "grp").withColumn("band", band)
-             .select("token", "node", "n", "left", "copies", F.explode(F.array(
+    lists = (meeting.withColumn("band", band)
+             .select("token", "grp", "n", "left", "rows", F.explode(F.array(
                  F.struct(F.col("band").alias("list"), F.lit(True).alias("own")),
                  F.struct((F.col("band") + 1).alias("list"), F.lit(False).alias("own")))).alias("at"))
-             .select(F.xxhash64("token", "at.list").alias("list"), "node", "n", "left", "copies", F.col("at.own").alias("own")))
+             .select(F.xxhash64("token", "at.list").alias("list"), "grp", "n", "left", "rows", F.col("at.own").alias("own")))
     lists = stored(lists, "jaccard-lists")
-    pivots = (lists.groupBy("list").agg(F.max(F.struct("copies", "node", "n", "own", "left")).alias("p"), F.min("node").alias("low"),
-                                        F.max("node").alias("high"))
-              .where("low != high").select("list", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.own").alias("pown"),
+    pivots = (lists.groupBy("list").agg(F.max(F.struct("rows", "grp", "n", "own", "left")).alias("p"), F.min("grp").alias("low"),
+                                        F.max("grp").alias("high"))
+              .where("low != high").select("list", F.col("p.grp").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.own").alias("pown"),
                                              F.col("p.left").alias("pleft")))
-    lists = stored(lists.join(pivots, "list"), "jaccard-shared")
+    lists = stored(lists.drop("rows").join(pivots, "list"), "jaccard-shared")
     overlap = lambda n: F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.col(n) / F.lit(100)))
 
-
     def fits(x: str, y: str, left_x: str, left_y: str):
         """Sizes can link, and so can what is left of both sets at this place."""
         x, y = F.col(x), F.col(y)
@@ -241,33 +275,49 @@ def _assigned(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
                 & (F.least(left_x, left_y) * (100 + percent) >= (x + y) * percent))
 
     def counted(pairs: DataFrame) -> DataFrame:
-        return (pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("an").alias("an"), F.first("bn").alias("bn"))
-                .where(F.col("times") >= F.least(overlap("an"), overlap("bn"))).select("a", "b"))
+        """Pairs of groups (ga, gb) that share enough prefix shingles."""
+        return (pairs.groupBy("ga", "gb").agg(F.count(F.lit(1)).alias("times"), F.first("an").alias("an"), F.first("bn").alias("bn"))
+                .where(F.col("times") >= F.least(overlap("an"), overlap("bn"))).select("ga", "gb"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stored(pairs, f"jaccard-{name}")
-        wanted = (pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-                  .join(nodes.select("node", "key"), "node"))
+        pairs = stored(_likely(pairs, nodes, percent), f"jaccard-{name}")
+        wanted = (pairs.select(F.col("a").alias("node"), F.lit(True).alias("left"))
+                  .unionAll(pairs.select(F.col("b").alias("node"), F.lit(False).alias("left")))
+                  .groupBy("node").agg(F.max("left").alias("left")).join(nodes.select("node", "key"), "node"))
         return stored(_linked(pairs, stored(_sets(docs, key, text, width, wanted), "jaccard-sets"), percent), "jaccard-links")
 
-    star = lists.where((F.col("node") != F.col("pivot")) & (F.col("own") | F.col("pown"))
-                       & fits("n", "pn", "left", "pleft"))
-    first = verified(counted(star.select(F.col("pivot").alias("a"), F.col("node").alias("b"),
-                                         F.col("pn").alias("an"), F.col("n").alias("bn"))), "star")
+    # the first round: groups against the pivot of a list, classes against the head of a group
+    star = counted(lists.where((F.col("grp") != F.col("pivot")) & (F.col("own") | F.col("pown")) & fits("n", "pn", "left", "pleft"))
+                   .select(F.col("pivot").alias("ga"), F.col("grp").alias("gb"), F.col("pn").alias("an"), F.col("n").alias("bn")))
+    across = (star.join(nodes.select(F.col("grp").alias("gb"), F.col("node").alias("b")), "gb")
+              .join(heads.select(F.col("grp").alias("ga"), F.col("head").alias("a")), "ga").select("a", "b"))
+    inside = (nodes.select("grp", F.col("node").alias("b")).join(heads.where("classes > 1"), "grp")
+              .where("b != head").select(F.col("head").alias("a"), "b"))
+    first = verified(across.unionAll(inside), "star")
     joined = components(first, "a", "b")
-    # the second round: lists that still hold several components
-    labelled = (lists.select("list", "node", "n", "left", "own")
-                .join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    labelled = stored(labelled, "jaccard-labelled")
-    mixed = (labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    # the second round: lists and groups that still hold several components
+    labelled = stored(nodes.select("grp", "node").join(joined, "node", "left")
+                      .withColumn("component", F.coalesce("component", "node")), "jaccard-labelled")
+    whole = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    # a group in several components counts as one of its own, unlike all others
+    labels = whole.select("grp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("grp")).alias("component"))
+    lists = stored(lists.select("list", "grp", "n", "left", "own").join(labels, "grp"), "jaccard-labels")
+    mixed = (lists.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low != high").select("list"))
-    open_lists = stored(labelled.join(mixed, "list", "left_semi"), "jaccard-open")
-    x = open_lists.select("list", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "left", "own", "component")])
-    y = open_lists.select("list", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "left", "own", "component")])
-    rest = (x.join(y, "list").where((F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component"))
-                                    & (F.col("x_own") | F.col("y_own")) & fits("x_n", "y_n", "x_left", "y_left")))
-    second = verified(counted(rest.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"),
-                                          F.col("x_n").alias("an"), F.col("y_n").alias("bn"))), "rest")
+    open_lists = stored(lists.join(mixed, "list", "left_semi"), "jaccard-open")
+    x = open_lists.select("list", *[F.col(c).alias(f"x_{c}") for c in ("grp", "n", "left", "own", "component")])
+    y = open_lists.select("list", *[F.col(c).alias(f"y_{c}") for c in ("grp", "n", "left", "own", "component")])
+    rest = counted(x.join(y, "list").where((F.col("x_grp") < F.col("y_grp")) & (F.col("x_component") != F.col("y_component"))
+                                           & (F.col("x_own") | F.col("y_own")) & fits("x_n", "y_n", "x_left", "y_left"))
+                   .select(F.col("x_grp").alias("ga"), F.col("y_grp").alias("gb"), F.col("x_n").alias("an"), F.col("y_n").alias("bn")))
+    a_side = labelled.select(F.col("grp").alias("ga"), F.col("node").alias("a"), F.col("component").alias("ca"))
+    b_side = labelled.select(F.col("grp").alias("gb"), F.col("node").alias("b"), F.col("component").alias("cb"))
+    across = rest.join(a_side, "ga").join(b_side, "gb").where("ca != cb").select("a", "b")
+    parted = labelled.join(whole.where("low != high").select("grp"), "grp", "left_semi")
+    inside = (parted.select("grp", F.col("node").alias("a"), F.col("component").alias("ca"))
+              .join(parted.select("grp", F.col("node").alias("b"), F.col("component").alias("cb")), "grp")
+              .where("a < b AND ca != cb").select("a", "b"))
+    second = verified(across.unionAll(inside), "rest")
     final = components(first.unionAll(second), "a", "b")
     return stored(rows.select("key", "th", "n", "node").join(final, "node", "left")
                   .withColumn("component", F.coalesce("component", "node")), "jaccard-assigned")
