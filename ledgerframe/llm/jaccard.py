@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, bitmap, filter_texts, in_bitmap, repeated, slices, slot, sql_type, stored, utf8
+from .common import Words, bitmap, dropped, filter_texts, in_bitmap, repeated, slices, slot, sql_type, stored, utf8
 from .components import components
 
 WIDTH, PERCENT = 4, 85
@@ -166,9 +166,9 @@ def _prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, or
 
 
 def _meeting(groups: DataFrame) -> DataFrame:
-    """Prefix entries (token, grp, n, place, rows) that another group shares."""
-    entries = groups.select(F.posexplode("prefix").alias("place", "token"), "grp", "n", "rows")
-    return repeated(entries, ["token"]).select("token", "grp", "n", "place", "rows")
+    """Prefix entries (token, gid, n, place, rows) that another group shares."""
+    entries = groups.select(F.posexplode("prefix").alias("place", "token"), "gid", "n", "rows")
+    return repeated(entries, ["token"])
 
 
 def _sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -246,27 +246,35 @@ def _assigned(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     some = rows.where("node IS NOT NULL")
     nodes = stored(some.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"),
                                             F.first("n").alias("n"), F.first("counts").alias("counts")), "jaccard-nodes")
-    heads = nodes.groupBy("grp").agg(F.max(F.struct("copies", "node"))["node"].alias("head"), F.count(F.lit(1)).alias("classes"))
-    groups = some.groupBy("grp").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    # groups get small numbers, fixed by this table: the long lists below hold no digests
+    heads = stored(nodes.groupBy("grp").agg(F.max(F.struct("copies", "node"))["node"].alias("head"), F.count(F.lit(1)).alias("classes"))
+                   .withColumn("gid", F.monotonically_increasing_id()), "jaccard-groups")
+    ids = heads.select("grp", "gid")
+    groups = (some.groupBy("grp").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+              .join(ids, "grp"))
+    overlap = lambda n: F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.col(n) / F.lit(100)))
     # entries before a shared one that no other group has are in no set that shares it (one global order):
-    # so many shingles of the set at least are lost to any link found there
-    lost = F.col("place") - (F.row_number().over(Window.partitionBy("grp").orderBy("place")) - 1)
-    meeting = _meeting(groups).withColumn("left", F.col("n") - lost).drop("place")
+    # so many shingles of the set at least are lost to any link found there; with too few shared entries there is none
+    by_group = Window.partitionBy("gid")
+    lost = F.col("place") - (F.row_number().over(by_group.orderBy("place")) - 1)
+    meeting = (_meeting(groups).withColumn("left", F.col("n") - lost).withColumn("met", F.count(F.lit(1)).over(by_group))
+               .where(F.col("met") >= overlap("n")).drop("place", "met"))
     # sizes that can link lie in one band or in two that touch: a list holds a band and the one below
     step = float(-np.log(percent / 100))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step))
     lists = (meeting.withColumn("band", band)
-             .select("token", "grp", "n", "left", "rows", F.explode(F.array(
+             .select("token", "gid", "n", "left", "rows", F.explode(F.array(
                  F.struct(F.col("band").alias("list"), F.lit(True).alias("own")),
                  F.struct((F.col("band") + 1).alias("list"), F.lit(False).alias("own")))).alias("at"))
-             .select(F.xxhash64("token", "at.list").alias("list"), "grp", "n", "left", "rows", F.col("at.own").alias("own")))
+             .select(F.xxhash64("token", "at.list").alias("list"), "gid", "n", "left", "rows", F.col("at.own").alias("own")))
     lists = stored(lists, "jaccard-lists")
-    pivots = (lists.groupBy("list").agg(F.max(F.struct("rows", "grp", "n", "own", "left")).alias("p"), F.min("grp").alias("low"),
-                                        F.max("grp").alias("high"))
-              .where("low != high").select("list", F.col("p.grp").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.own").alias("pown"),
+    pivots = (lists.groupBy("list").agg(F.max(F.struct("rows", "gid", "n", "own", "left")).alias("p"), F.min("gid").alias("low"),
+                                        F.max("gid").alias("high"))
+              .where("low != high").select("list", F.col("p.gid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.own").alias("pown"),
                                              F.col("p.left").alias("pleft")))
+    short = lists
     lists = stored(lists.drop("rows").join(pivots, "list"), "jaccard-shared")
-    overlap = lambda n: F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.col(n) / F.lit(100)))
+    dropped(short)
 
     def fits(x: str, y: str, left_x: str, left_y: str):
         """Sizes can link, and so can what is left of both sets at this place."""
@@ -284,38 +292,46 @@ def _assigned(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
         wanted = (pairs.select(F.col("a").alias("node"), F.lit(True).alias("left"))
                   .unionAll(pairs.select(F.col("b").alias("node"), F.lit(False).alias("left")))
                   .groupBy("node").agg(F.max("left").alias("left")).join(nodes.select("node", "key"), "node"))
-        return stored(_linked(pairs, stored(_sets(docs, key, text, width, wanted), "jaccard-sets"), percent), "jaccard-links")
+        sets = stored(_sets(docs, key, text, width, wanted), "jaccard-sets")
+        links = stored(_linked(pairs, sets, percent), "jaccard-links")
+        dropped(sets)
+        return links
 
+    members = nodes.select("grp", "node").join(ids, "grp").drop("grp")
     # the first round: groups against the pivot of a list, classes against the head of a group
-    star = counted(lists.where((F.col("grp") != F.col("pivot")) & (F.col("own") | F.col("pown")) & fits("n", "pn", "left", "pleft"))
-                   .select(F.col("pivot").alias("ga"), F.col("grp").alias("gb"), F.col("pn").alias("an"), F.col("n").alias("bn")))
-    across = (star.join(nodes.select(F.col("grp").alias("gb"), F.col("node").alias("b")), "gb")
-              .join(heads.select(F.col("grp").alias("ga"), F.col("head").alias("a")), "ga").select("a", "b"))
-    inside = (nodes.select("grp", F.col("node").alias("b")).join(heads.where("classes > 1"), "grp")
+    star = counted(lists.where((F.col("gid") != F.col("pivot")) & (F.col("own") | F.col("pown")) & fits("n", "pn", "left", "pleft"))
+                   .select(F.col("pivot").alias("ga"), F.col("gid").alias("gb"), F.col("pn").alias("an"), F.col("n").alias("bn")))
+    across = (star.join(members.select(F.col("gid").alias("gb"), F.col("node").alias("b")), "gb")
+              .join(heads.select(F.col("gid").alias("ga"), F.col("head").alias("a")), "ga").select("a", "b"))
+    inside = (members.select("gid", F.col("node").alias("b")).join(heads.where("classes > 1"), "gid")
               .where("b != head").select(F.col("head").alias("a"), "b"))
     first = verified(across.unionAll(inside), "star")
     joined = components(first, "a", "b")
     # the second round: lists and groups that still hold several components
-    labelled = stored(nodes.select("grp", "node").join(joined, "node", "left")
+    labelled = stored(members.join(joined, "node", "left")
                       .withColumn("component", F.coalesce("component", "node")), "jaccard-labelled")
-    whole = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    # a group in several components counts as one of its own, unlike all others
-    labels = whole.select("grp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("grp")).alias("component"))
-    lists = stored(lists.select("list", "grp", "n", "left", "own").join(labels, "grp"), "jaccard-labels")
+    whole = labelled.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    # a component goes by its lowest group; a group in several counts as one of its own, unlike all others
+    alike = Window.partitionBy("low", F.when(F.col("low") != F.col("high"), F.col("gid")))
+    labels = stored(whole.select("gid", F.min("gid").over(alike).alias("component")), "jaccard-labels")
+    shared = lists
+    lists = stored(lists.select("list", "gid", "n", "left", "own").join(labels, "gid"), "jaccard-shared")
+    dropped(shared)
     mixed = (lists.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low != high").select("list"))
     open_lists = stored(lists.join(mixed, "list", "left_semi"), "jaccard-open")
-    x = open_lists.select("list", *[F.col(c).alias(f"x_{c}") for c in ("grp", "n", "left", "own", "component")])
-    y = open_lists.select("list", *[F.col(c).alias(f"y_{c}") for c in ("grp", "n", "left", "own", "component")])
-    rest = counted(x.join(y, "list").where((F.col("x_grp") < F.col("y_grp")) & (F.col("x_component") != F.col("y_component"))
+    dropped(lists)
+    x = open_lists.select("list", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "left", "own", "component")])
+    y = open_lists.select("list", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "left", "own", "component")])
+    rest = counted(x.join(y, "list").where((F.col("x_gid") < F.col("y_gid")) & (F.col("x_component") != F.col("y_component"))
                                            & (F.col("x_own") | F.col("y_own")) & fits("x_n", "y_n", "x_left", "y_left"))
-                   .select(F.col("x_grp").alias("ga"), F.col("y_grp").alias("gb"), F.col("x_n").alias("an"), F.col("y_n").alias("bn")))
-    a_side = labelled.select(F.col("grp").alias("ga"), F.col("node").alias("a"), F.col("component").alias("ca"))
-    b_side = labelled.select(F.col("grp").alias("gb"), F.col("node").alias("b"), F.col("component").alias("cb"))
+                   .select(F.col("x_gid").alias("ga"), F.col("y_gid").alias("gb"), F.col("x_n").alias("an"), F.col("y_n").alias("bn")))
+    a_side = labelled.select(F.col("gid").alias("ga"), F.col("node").alias("a"), F.col("component").alias("ca"))
+    b_side = labelled.select(F.col("gid").alias("gb"), F.col("node").alias("b"), F.col("component").alias("cb"))
     across = rest.join(a_side, "ga").join(b_side, "gb").where("ca != cb").select("a", "b")
-    parted = labelled.join(whole.where("low != high").select("grp"), "grp", "left_semi")
-    inside = (parted.select("grp", F.col("node").alias("a"), F.col("component").alias("ca"))
-              .join(parted.select("grp", F.col("node").alias("b"), F.col("component").alias("cb")), "grp")
+    parted = labelled.join(whole.where("low != high").select("gid"), "gid", "left_semi")
+    inside = (parted.select("gid", F.col("node").alias("a"), F.col("component").alias("ca"))
+              .join(parted.select("gid", F.col("node").alias("b"), F.col("component").alias("cb")), "gid")
               .where("a < b AND ca != cb").select("a", "b"))
     second = verified(across.unionAll(inside), "rest")
     final = components(first.unionAll(second), "a", "b")
