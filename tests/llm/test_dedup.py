@@ -6,6 +6,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 
 from ledgerframe.llm import jaccard, lines, substrings
@@ -226,6 +227,50 @@ def test_jaccard_components_match_brute_force(docs):
     assert all(r["__th"] == r["__best"] == r["__key"] == "x" for r in kept.collect())
 
 
+def test_bucket_counts_never_rule_out_an_overlap():
+    rng = np.random.default_rng(3)
+    for size, other, same in [(1, 1, 1), (5, 4, 4), (40, 46, 34), (700, 800, 650), (300, 90_000, 250), (90_000, 90_000, 89_000), (60, 60, 0)]:
+        both = rng.integers(0, 1 << 63, same, dtype=np.uint64) * np.uint64(2)
+        x = np.unique(np.concatenate((both, rng.integers(0, 1 << 63, size - same, dtype=np.uint64))))
+        y = np.unique(np.concatenate((both, rng.integers(0, 1 << 63, other - same, dtype=np.uint64))))
+        most = jaccard.most_overlap(jaccard.bucket_counts(x), jaccard.bucket_counts(y))
+        assert most >= len(np.intersect1d(x, y))
+        assert jaccard.most_overlap(jaccard.bucket_counts(x), jaccard.bucket_counts(x)) >= len(x)
+    crowded = np.arange(5000, dtype=np.uint64)  # all in one bucket: counts beyond a byte
+    assert jaccard.most_overlap(jaccard.bucket_counts(crowded), jaccard.bucket_counts(crowded[::2])) >= 2500
+    far = [jaccard.bucket_counts(np.unique(rng.integers(0, 1 << 64, 400, dtype=np.uint64))) for _ in range(2)]
+    assert jaccard.most_overlap(*far) < 0.9 * 400
+
+
+def test_jaccard_group_of_several_components(docs, monkeypatch):
+    # one order for all shingles, so that sets with the same low hashes fall into one group
+    monkeypatch.setattr(jaccard, "_common", lambda counts: np.zeros(len(counts), np.uint8))
+    pool = [f"word{i}" for i in range(600)]
+    low = {w: int(s[0]) for w, s in zip(pool, jaccard.shingle_sets([w.encode() for w in pool], 1))}
+    order = sorted(pool, key=low.get)
+    rng = np.random.default_rng(11)
+    sets = []
+    for _ in range(12):  # chains of three, two words changed at each step; the ends of a chain need not link
+        rest = list(rng.choice(order[9:], 31, replace=False))
+        for _ in range(3):
+            sets.append(frozenset(order[:9] + rest))
+            rest = rest[2:] + [w for w in rng.permutation(order[9:]) if w not in rest][:2]
+    texts = [" ".join(rng.permutation(sorted(s))) for s in sets] + [" ".join(sorted(sets[0]))]
+    sets.append(sets[0])
+    parent = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                one, other = parent[a], parent[b]
+                parent = [min(one, other) if p in (one, other) else p for p in parent]
+    order_table = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    groups = jaccard._prefixes(docs(texts), "doc_id", "text", 1, 85, order_table).select("grp").distinct().count()
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.linked_components(docs(texts), width=1).collect()}
+    ids = sorted(got)
+    assert groups == 1 and len(set(parent)) >= 12
+    assert [got[i] for i in ids] == [ids[p] for p in parent]
+
+
 def test_jaccard_of_odd_tables(docs):
     body = " ".join(f"w{i}" for i in range(50))
     rows = docs([body, body, body, None, "", None], ids=[None, 4, 4, None, 9, 8])
