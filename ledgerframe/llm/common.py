@@ -165,35 +165,50 @@ def repeated(df: DataFrame, key: list[str], always: str | None = None, first: st
 
     ``first`` adds a column that is true for one row of each key.
 
-    Rows are dealt and sorted by the key; a task reads its sorted runs as
-    a stream and keeps one row in hand, so no run is ever gathered.
+    Rows are dealt by the key and sorted by its first number alone (one
+    number Spark sorts by its digits). A task reads them as a stream and
+    keeps in hand the last row of each key with the last first number: one,
+    or a few where hashes collide in it. So no run is ever gathered.
     """
     places = [df.columns.index(c) for c in key]
     flag = None if always is None else df.columns.index(always)
 
     def run(batches):
-        held, held_key, given = None, None, True
+        held, last = {}, None  # key: its last row, or None if that was given
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in places]
             same = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+            if ((columns[0][1:] == columns[0][:-1]) & ~same).any():
+                order = np.lexsort(columns[::-1])
+                batch, columns = batch.take(pa.array(order)), [c[order] for c in columns]
+                same = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
             keep = (np.zeros(batch.num_rows, bool) if flag is None
                     else batch.column(flag).to_numpy(zero_copy_only=False).astype(bool))
             keep[1:] |= same
             keep[:-1] |= same
-            goes_on = held_key == tuple(c[0] for c in columns)
-            if goes_on:
-                keep[0] = True
-                if not given:
-                    yield held
+            new = np.concatenate(([True], ~same))
+            start = np.flatnonzero(new)
+            if columns[0][0] == last:
+                for s in start[start < np.searchsorted(columns[0], last, side="right")]:
+                    k = tuple(c[s] for c in columns)
+                    if k in held:
+                        keep[s], new[s] = True, False
+                        if held[k] is not None:
+                            yield held[k]
+                            held[k] = None
             if first is not None:
-                batch = batch.append_column(first, pa.array(np.concatenate(([not goes_on], ~same))))
+                batch = batch.append_column(first, pa.array(new))
             yield batch.filter(pa.array(keep))
-            held, held_key, given = batch.slice(batch.num_rows - 1), tuple(c[-1] for c in columns), keep[-1]
+            if columns[0][-1] != last:
+                held, last = {}, columns[0][-1]
+            ends = np.append(start[1:], batch.num_rows) - 1
+            for e in ends[ends >= np.searchsorted(columns[0], last)]:
+                held[tuple(c[e] for c in columns)] = None if keep[e] else batch.slice(e, 1)
 
     schema = df.schema if first is None else StructType(df.schema.fields).add(first, "boolean")
-    return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
+    return df.repartition(*key).sortWithinPartitions(key[0]).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- words as arrays

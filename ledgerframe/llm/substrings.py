@@ -40,11 +40,15 @@ _SEED2 = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _grams(b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the ``GRAM`` (12) bytes at every place."""
+    """A 32-bit hash of the ``GRAM`` (12) bytes at every place."""
     x2 = b[:-1].astype(np.uint16) | b[1:].astype(np.uint16) << np.uint16(8)
     x4 = x2[:-2].astype(np.uint32) | x2[2:].astype(np.uint32) << np.uint32(16)
-    x8 = x4[:-4].astype(np.uint64) | x4[4:].astype(np.uint64) << np.uint64(32)
-    return mix64(x8[:-4] * _MULT + x4[8:].astype(np.uint64))
+    x = x4[:-8] * np.uint32(0x9E3779B1)
+    for part, odd in ((x4[4:-4], 0x85EBCA77), (x4[8:], 0xC2B2AE3D)):
+        x += part
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(odd)
+    return x
 
 
 class Text:
@@ -58,7 +62,7 @@ class Text:
         found = []
         for low in range(0, max(0, len(self.data) - GRAM + 1), _BLOCK):
             grams = _grams(self.data[low:low + _BLOCK + GRAM - 1])
-            found.append(np.flatnonzero(grams < np.uint64((1 << 64) // EVERY)) + low)
+            found.append(np.flatnonzero(grams < np.uint32((1 << 32) // EVERY)) + low)
         at = np.concatenate(found) if found else np.zeros(0, np.int64)
         of = np.searchsorted(self.end, at, side="right")
         inside = at + GRAM <= self.end[of] if len(at) else np.zeros(0, bool)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from ledgerframe.llm import jaccard, lines, substrings
+from ledgerframe.llm.common import repeated
 
 ODD = [None, "", " \n\t ", "a", "one two three", "x" * 5000, "é" * 300 + "\n" + "é" * 300, "a b c " * 300]
 
@@ -47,6 +48,26 @@ def removed_bytes(texts, length):
     return out
 
 
+@pytest.mark.parametrize("size", [2, 3, 7, 10_000])
+def test_repeated_keys_that_agree_in_their_first_number(spark, size):
+    """Keys are told apart though rows are sorted by their first number alone, at every place where batches end."""
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 1, 2, 7, 8]) if i < 40 else 100 + i, rng.randrange(12), rng.random() < 0.1, i) for i in range(90)]
+    count = collections.Counter(r[:2] for r in rows)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        df = spark.createDataFrame(rows, "a bigint, b bigint, keep boolean, n int")
+        plain = [r["n"] for r in repeated(df, ["a", "b"]).collect()]
+        flagged = repeated(df, ["a", "b"], "keep", "leads").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(plain) == [r[3] for r in rows if count[r[:2]] > 1]
+    assert sorted(r["n"] for r in flagged) == [r[3] for r in rows if count[r[:2]] > 1 or r[2]]
+    leads = collections.Counter((r["a"], r["b"]) for r in flagged if r["leads"])
+    assert set(leads.values()) == {1} and set(leads) == {(r["a"], r["b"]) for r in flagged}
+
+
 @pytest.mark.parametrize("length", [400, 150])
 def test_substrings_match_brute_force(docs, length):
     texts = corpus()
