@@ -17,9 +17,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ MIN_ODDS = 2.5
 MIN_DOCS = 3
 THRESHOLD = 0.7
 #: distinct words counted before a task hands its counts on; words whose weight a worker remembers
-FLUSH_TOKENS, KEPT_WORDS = 300_000, 400_000
+FLUSH_TOKENS, KEPT_WORDS = 100_000, 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -46,6 +48,13 @@ def tokens(word: str) -> set[str]:
     return {word, *(word[:k] + "*" for k in PREFIXES if len(word) >= k)}
 
 
+def bodies(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a batch in order (null: empty); about a slice of them is held as Python objects at a time."""
+    column = column.cast(pa.binary())
+    for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        yield from utf8(column.slice(a, b - a))
+
+
 def words_of(text: bytes) -> list[str]:
     return _WORD.findall(text.decode("utf-8", "replace").lower())
 
@@ -149,25 +158,23 @@ def _count(labelled: DataFrame) -> DataFrame:
             counts.clear()
 
         for batch in batches:
-            labels, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-            for a, b in slices([len(t) for t in texts]):
-                for label, body in zip(labels[a:b], texts[a:b]):
-                    side = 0 if label == 1 else 1
-                    words = Counter(words_of(body))
-                    here: Counter = Counter()
-                    for w, n in words.items():
-                        for t in tokens(w):
-                            here[t] += n
-                    for t, n in here.items():
-                        c = counts.setdefault(t, [0] * len(_COUNTS))
-                        c[side] += 1
-                        c[2 + side] += n > 1
-                        c[4 + side] += n
-                        c[6 + side] += damped(n)
-                    c = counts.setdefault("", [0] * len(_COUNTS))
+            for label, body in zip(batch.column(0).to_pylist(), bodies(batch.column(1))):
+                side = 0 if label == 1 else 1
+                words = Counter(words_of(body))
+                here: Counter = Counter()
+                for w, n in words.items():
+                    for t in tokens(w):
+                        here[t] += n
+                for t, n in here.items():
+                    c = counts.setdefault(t, [0] * len(_COUNTS))
                     c[side] += 1
-                    c[4 + side] += words.total()
-                    c[6 + side] += sum(map(damped, words.values()))
+                    c[2 + side] += n > 1
+                    c[4 + side] += n
+                    c[6 + side] += damped(n)
+                c = counts.setdefault("", [0] * len(_COUNTS))
+                c[side] += 1
+                c[4 + side] += words.total()
+                c[6 + side] += sum(map(damped, words.values()))
                 if len(counts) >= FLUSH_TOKENS:
                     yield from flush()
         yield from flush()
@@ -183,19 +190,17 @@ def _corpus(docs: DataFrame, text: str, names: set[str]) -> tuple[int, int, dict
     def run(batches):
         counts, known, documents, total = Counter(), {}, 0, 0
         for batch in batches:
-            texts = utf8(batch.column(0))
-            for a, b in slices([len(t) for t in texts]):
-                for body in texts[a:b]:
-                    words = Counter(words_of(body))
-                    documents, total = documents + 1, total + words.total()
-                    if len(known) >= KEPT_WORDS:
-                        known.clear()
-                    for w, n in words.items():
-                        hit = known.get(w)
-                        if hit is None:
-                            hit = known[w] = tuple(tokens(w) & shipped.value)
-                        for t in hit:
-                            counts[t] += n
+            for body in bodies(batch.column(0)):
+                words = Counter(words_of(body))
+                documents, total = documents + 1, total + words.total()
+                if len(known) >= KEPT_WORDS:
+                    known.clear()
+                for w, n in words.items():
+                    hit = known.get(w)
+                    if hit is None:
+                        hit = known[w] = tuple(tokens(w) & shipped.value)
+                    for t in hit:
+                        counts[t] += n
         rows = [*counts.items(), ("", total), ("*", documents)]
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["token", "n"])
 
@@ -219,7 +224,7 @@ def _contexts(labelled: DataFrame, enough: dict[str, int]) -> dict[str, int]:
         names = wanted.keys()
         seen: dict[str, set[str]] = {}
         for batch in batches:
-            for body in utf8(batch.column(0)):
+            for body in bodies(batch.column(0)):
                 words = ["", *words_of(body), ""]
                 known = {w: hit for w in set(words) if w and (hit := tokens(w) & names)}
                 for i, word in enumerate(words):
@@ -360,6 +365,6 @@ def accepted(docs: DataFrame, text: str, model: Model, threshold: float = THRESH
 
     def make():
         learned = Model(*shipped.value)
-        return lambda columns: [learned.score(words_of(t))[0] < threshold for t in utf8(columns[0])]
+        return lambda columns: [learned.score(words_of(t))[0] < threshold for t in bodies(columns[0])]
 
     return filter_texts(docs, [docs[text].cast("string")], make)
