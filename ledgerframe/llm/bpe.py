@@ -18,7 +18,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts
+from .common import kept, map_texts
 
 #: white space as the byte-level pre-tokenizer knows it (fixed value)
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -159,15 +159,8 @@ class Encoder:
         return out
 
 
-
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def _encoder(spec_key: int, spec: str) -> Encoder:
-    if spec_key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[spec_key] = Encoder(Vocabulary(spec))
-    return _ENCODERS[spec_key]
+    return kept(("bpe", spec_key), lambda: Encoder(Vocabulary(spec)))
 
 
 def _read_spec(path: str) -> str:

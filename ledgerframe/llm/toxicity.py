@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import filter_texts, map_texts, slices, stored, utf8
+from .common import filter_texts, map_texts, released, slices, stored, utf8
 
 #: labelled rows the weights are learned from, at most (those with the smallest key hashes)
 SAMPLE_ROWS = 50_000
@@ -148,6 +149,7 @@ def _count(labelled: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        released()
         counts: dict[str, list[int]] = {}
 
         def flush():
@@ -188,6 +190,7 @@ def _corpus(docs: DataFrame, text: str, names: set[str]) -> tuple[int, int, dict
     shipped = docs.sparkSession.sparkContext.broadcast(names)
 
     def run(batches):
+        released()
         counts, known, documents, total = Counter(), {}, 0, 0
         for batch in batches:
             for body in bodies(batch.column(0)):
@@ -220,6 +223,7 @@ def _contexts(labelled: DataFrame, enough: dict[str, int]) -> dict[str, int]:
     shipped = labelled.sparkSession.sparkContext.broadcast(enough)
 
     def run(batches):
+        released()
         wanted = shipped.value
         names = wanted.keys()
         seen: dict[str, set[str]] = {}
@@ -347,6 +351,7 @@ def scored(docs: DataFrame, keep: list[str], text: str, model: Model, threshold:
     shipped = docs.sparkSession.sparkContext.broadcast((model.weight, model.cost, model.rate))
 
     def make():
+        released()
         learned = Model(*shipped.value)
 
         def work(texts):
@@ -364,7 +369,10 @@ def accepted(docs: DataFrame, text: str, model: Model, threshold: float = THRESH
     shipped = docs.sparkSession.sparkContext.broadcast((model.weight, model.cost, model.rate))
 
     def make():
+        released()
         learned = Model(*shipped.value)
         return lambda columns: [learned.score(words_of(t))[0] < threshold for t in bodies(columns[0])]
 
-    return filter_texts(docs, [docs[text].cast("string")], make)
+    name = docs.select(docs[text]).columns[0]
+    plain = isinstance(docs.schema[name].dataType, StringType)
+    return filter_texts(docs, [docs.columns.index(name) if plain else docs[text].cast("string")], make)
