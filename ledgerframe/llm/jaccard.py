@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, bitmap, dropped, filter_texts, in_bitmap, repeated, slices, slot, sql_type, stored, utf8
+from .common import (PAIR_ROWS, TEXT_ROWS, Words, bitmap, dropped, filter_texts, in_bitmap, repeated, slices, slot, small_batches, sql_type,
+                     stored, utf8)
 from .components import components
 
 WIDTH, PERCENT = 4, 85
@@ -241,8 +242,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _assigned(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """(key, th, n, node, component) of every row; node and component are null without words."""
-    order = _common(_sketch(docs, text, width))
-    rows = stored(_prefixes(docs, key, text, width, percent, order), "jaccard-rows")
+    spark = docs.sparkSession
+    with small_batches(spark, TEXT_ROWS):
+        order = _common(_sketch(docs, text, width))
+        rows = stored(_prefixes(docs, key, text, width, percent, order), "jaccard-rows")
     some = rows.where("node IS NOT NULL")
     nodes = stored(some.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"),
                                             F.first("n").alias("n"), F.first("counts").alias("counts")), "jaccard-nodes")
@@ -288,12 +291,15 @@ def _assigned(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
                 .where(F.col("times") >= F.least(overlap("an"), overlap("bn"))).select("ga", "gb"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stored(_likely(pairs, nodes, percent), f"jaccard-{name}")
+        with small_batches(spark, PAIR_ROWS):
+            pairs = stored(_likely(pairs, nodes, percent), f"jaccard-{name}")
         wanted = (pairs.select(F.col("a").alias("node"), F.lit(True).alias("left"))
                   .unionAll(pairs.select(F.col("b").alias("node"), F.lit(False).alias("left")))
                   .groupBy("node").agg(F.max("left").alias("left")).join(nodes.select("node", "key"), "node"))
-        sets = stored(_sets(docs, key, text, width, wanted), "jaccard-sets")
-        links = stored(_linked(pairs, sets, percent), "jaccard-links")
+        with small_batches(spark, TEXT_ROWS):
+            sets = stored(_sets(docs, key, text, width, wanted), "jaccard-sets")
+        with small_batches(spark, PAIR_ROWS):
+            links = stored(_linked(pairs, sets, percent), "jaccard-links")
         dropped(sets)
         return links
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import filter_texts, map_texts, released, slices, stored, utf8
+from .common import TEXT_ROWS, filter_texts, map_texts, released, slices, small_batches, stored, utf8
 
 #: labelled rows the weights are learned from, at most (those with the smallest key hashes)
 SAMPLE_ROWS = 50_000
@@ -306,7 +306,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                     .groupBy(labels[key].alias("__id")).agg(F.max(labels[label].cast("int")).alias("__label"))
                     .orderBy(F.xxhash64("__id"), "__id").limit(sample_rows), "toxic-chosen")
     labelled = _labelled(docs, chosen, key, text)
-    spread = stored(_count(labelled).where((F.col("n1") >= MIN_DOCS) | (F.col("token") == "")), "toxic-tokens")
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        spread = stored(_count(labelled).where((F.col("n1") >= MIN_DOCS) | (F.col("token") == "")), "toxic-tokens")
     totals = next(iter(spread.where("token = ''").collect()), None)
     if totals is None or not totals["n1"] or not totals["n0"]:
         return Model()
@@ -318,7 +319,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = tested.where(F.col("surprise") >= bar).collect() if bar < math.inf else []
     if not rows:
         return Model()
-    d, w, corpus = _corpus(docs, text, {r["token"] for r in rows})
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        d, w, corpus = _corpus(docs, text, {r["token"] for r in rows})
     rest = PRIOR_DOCS * w / max(1, d)
     weight = {}
     for r in rows:
@@ -330,7 +332,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # the fewest surroundings with which a token would still meet the bar
     rows = [r for r in rows if r["token"] in weight]
     enough = {r["token"]: least_surroundings(r, share, bar) for r in rows}
-    around = _contexts(labelled, enough) if enough else {}
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        around = _contexts(labelled, enough) if enough else {}
     rows = [r for r in rows if around.get(r["token"], 0) >= enough[r["token"]]]
     weight = {r["token"]: weight[r["token"]] for r in rows}
     hits = sum(r["c1"] for r in rows if not r["token"].endswith("*"))
