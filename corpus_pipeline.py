@@ -1,8 +1,9 @@
 """Corpus pipeline: toxicity, line dedup, near duplicates, source mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run``
-writes every result as Parquet in the shared folder and hands the table
-read back to the next stage. All stages but the last return the columns
+hands each stage the result of the one before, written as Parquet in the
+shared folder and read back. Stages whose last step is Python over texts
+write it themselves, so that their tasks get few texts at a time. All stages but the last return the columns
 of ``documents``.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import bpe, jaccard, lines, mixing, toxicity
-from ledgerframe.llm.common import fresh, stored, table
+from ledgerframe.llm.common import TEXT_ROWS, fresh, small_batches, stored, table
 from ledgerframe.llm.queries import tokenizer_path
 
 #: near copies of the corpus: shingles of five words, similarity of 0.8 or more (op8 on its own keeps its contract)
@@ -27,6 +28,11 @@ def _with_text(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     return found.withColumns(new).select(*docs.columns)
 
 
+def _written(found: DataFrame, name: str) -> DataFrame:
+    with small_batches(found.sparkSession, TEXT_ROWS):
+        return stored(found, f"pipeline-{name}")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject (predicted 0); a null text is kept.
 
@@ -34,7 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the pass that scores the text, and the row goes on with its columns.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.accepted(docs, "text", model)
+    return _written(toxicity.accepted(docs, "text", model), "toxicity")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each component of linked documents."""
-    return jaccard.representatives(docs, width=WIDTH, percent=PERCENT)
+    return _written(jaccard.representatives(docs, width=WIDTH, percent=PERCENT), "ngram_jaccard_join")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of them and of the text decoded from them."""
-    return bpe.digests(docs, ["doc_id", "source"], "text", tokenizer_path())
+    return _written(bpe.digests(docs, ["doc_id", "source"], "text", tokenizer_path()), "bpe")
 
 
 STAGES = [
@@ -68,6 +74,9 @@ STAGES = [
     ("bpe", encode),
 ]
 
+#: stages that return a table they have written
+WRITTEN = {"toxicity", "ngram_jaccard_join", "bpe"}
+
 #: no SQL: the toxicity model and the tokenizer cannot be written in it. Tests hold the operators behind stages 2 to 4 to
 #: brute force, the tokens to a library and the toxicity model to labels held out; the stages in a row only to types and counts
 ORACLE_SQL = None
@@ -76,5 +85,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stage(spark, docs, sf_dir)
+        if name not in WRITTEN:
+            docs = stored(docs, f"pipeline-{name}")
     return docs
